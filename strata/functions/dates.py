@@ -64,4 +64,4 @@ def fmt_mdy_short(d) -> Column:
 
 def lenient_date(c, pattern: str = "M/d/yyyy") -> Column:
     """Parse text as a date; anything unparseable becomes NULL instead of failing."""
-    return F.try_to_date(_c(c), F.lit(pattern))
+    return F.try_to_date(_c(c), pattern)

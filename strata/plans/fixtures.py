@@ -119,3 +119,26 @@ def run_date_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8: a one-row table whose second column is the run date as yyyyMMdd."""
     return table(spark, sf_dir, "orders").agg(
         F.lit("run").alias("name"), F.date_format(F.max("o_orderdate"), "yyyyMMdd").alias("run_yyyymmdd"))
+
+
+# URL parts (scheme, host, path) as regular expressions.
+HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)"
+URL_PATH_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)"
+
+
+def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one file per page; path = host + URL path without trailing '/',
+    size = length of the page text."""
+    url = F.col("url")
+    path = F.regexp_replace(F.concat(F.regexp_extract(url, HOST_RE, 1), F.regexp_extract(url, URL_PATH_RE, 1)),
+                            "/+$", "")
+    return table(spark, sf_dir, "pages").select(
+        path.alias("path"), F.length("html").cast("long").alias("size"),
+        F.lit(False).alias("is_symlink"), F.lit("file").alias("kind"))
+
+
+# The exclusion list of the registered exclusion query, one of
+# each documented kind (name anywhere, relative path, absolute path inside the
+# root, absolute path outside it, blank).
+MANIFEST_ROOT = "/srv/site"
+EXCLUDES = ["es", " blog.ththan.example.net/en ", "/srv/site/m.ththth.example.net/en", "/var/other/x", "  "]

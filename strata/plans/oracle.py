@@ -217,3 +217,149 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     out.update(php_queries())
     return out
+
+
+# ---- extract, run date ---------------------------------------------------------------
+
+def _normalized_sql() -> str:
+    cols = [c.strip() for c in F1_COLUMNS.split(",")]
+    sel = ", ".join("CASE WHEN _k % 97 = 0 THEN CAST(NULL AS DATE) ELSE otod END AS otod" if c == "otod" else c
+                    for c in cols)
+    return f"WITH f AS ({F1_SQL}) SELECT {sel} FROM f"
+
+
+RUN_DATE_SQL = ("SELECT CAST(max(o_orderdate) AS DATE) AS run_date, "
+                "strftime(max(o_orderdate), '%m%d%Y') AS run_date_mmddyyyy FROM orders")
+
+# ---- manifests -------------------------------------------------------------------------
+
+_HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)"
+_PATH_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)"
+MANIFEST_CTE = (f"manifest AS (SELECT regexp_replace(regexp_extract(url, '{_HOST_RE}', 1) || "
+                f"regexp_extract(url, '{_PATH_RE}', 1), '/+$', '') AS path, "
+                "CAST(length(html) AS BIGINT) AS size, 'file' AS kind FROM pages)")
+
+
+def _rollup_sql(hidden: str) -> str:
+    deepest = "len(comps) - 1"
+    if hidden == "prune":
+        deepest = ("CASE WHEN list_position(list_transform(comps, lambda x: starts_with(x, '.')), true) > 0 "
+                   "THEN least(len(comps) - 1, list_position(list_transform(comps, lambda x: starts_with(x, '.')), true) - 1) "
+                   "ELSE len(comps) - 1 END")
+    return f"""WITH {MANIFEST_CTE},
+comps AS (SELECT string_split(path, '/') AS comps, size FROM manifest),
+levels AS (SELECT comps, size, CAST(unnest(generate_series(0, {deepest})) AS INTEGER) AS depth FROM comps),
+rollup AS (
+  SELECT CASE WHEN depth = 0 THEN '.' ELSE './' || array_to_string(comps[1:depth], '/') END AS dir,
+         depth, CAST(SUM(size) AS BIGINT) AS bytes
+  FROM levels GROUP BY ALL)
+"""
+
+
+def _tight(b: str) -> str:
+    x = f"CAST({b} AS DOUBLE)"
+    parts = []
+    for i, unit in enumerate(["B", "KB", "MB", "GB", "TB", "PB"]):
+        parts.append(f"WHEN {x} / {float(1024 ** i)!r} < 1024.0 THEN printf('%.1f', {x} / {float(1024 ** i)!r}) || '{unit}'")
+    return f"(CASE {' '.join(parts)} ELSE printf('%.1f', {x} / {float(1024 ** 6)!r}) || 'PB' END)"
+
+
+def _integer_size(b: str) -> str:
+    parts = []
+    for i, unit in enumerate(["B", "K", "M", "G", "T", "P"]):
+        v = f"({b} // {1024 ** i})"
+        parts.append(f"WHEN {v} <= 1024 THEN CAST({v} AS VARCHAR) || '{unit}'")
+    return f"(CASE {' '.join(parts)} ELSE CAST({b} // {1024 ** 6} AS VARCHAR) END)"
+
+
+SIZE_LISTING_SQL = _rollup_sql("prune") + f"""
+SELECT dir, depth, bytes,
+  repeat('  ', depth) || CASE WHEN length({_tight('bytes')}) < 10 THEN rpad({_tight('bytes')}, 10, ' ')
+                              ELSE {_tight('bytes')} END || ' ' || dir AS line_tree,
+  repeat('  ', len(string_split(dir, '/')) - 1) || {_integer_size('bytes')} || '  ' || dir AS line_plain,
+  printf('%8d MB  %s', CAST(ceil(bytes / 1048576.0) AS BIGINT), dir) AS line_mb
+FROM rollup WHERE bytes >= {int(0.01 * 1024 * 1024)}
+"""
+
+
+def _exclusion_sql(names, paths) -> str:
+    dirs = "comps[1:len(comps) - 1]"
+    cond = ["false"]
+    if names:
+        lst = ", ".join(f"'{n}'" for n in names)
+        cond.append(f"list_has_any({dirs}, [{lst}])")
+    for p in paths:
+        cond.append(f"array_to_string({dirs}, '/') = '{p}' OR starts_with(array_to_string({dirs}, '/'), '{p}/')")
+    return " OR ".join(f"({c})" for c in cond)
+
+
+def _excluded_manifest_sql() -> str:
+    from strata.operators.hierarchy import clean_excludes
+    from strata.plans.fixtures import EXCLUDES, MANIFEST_ROOT
+    import warnings
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        cleaned = clean_excludes(EXCLUDES, MANIFEST_ROOT)
+    names = [e for e in cleaned if "/" not in e]
+    paths = [e for e in cleaned if "/" in e]
+    return (f"WITH {MANIFEST_CTE}, c AS (SELECT *, string_split(path, '/') AS comps FROM manifest), "
+            f"kept AS (SELECT path, size, kind FROM c WHERE NOT ({_exclusion_sql(names, paths)})) ")
+
+
+def manifest_queries() -> dict[str, str]:
+    excl = _excluded_manifest_sql()
+    return {
+        "size_rollup": _rollup_sql("prune") + "SELECT * FROM rollup",
+        "size_topk": _rollup_sql("keep") + """
+SELECT dir, depth, bytes, CAST(ceil(bytes / 1048576.0) AS BIGINT) AS mb
+FROM rollup WHERE depth <= 2 ORDER BY bytes DESC, dir ASC LIMIT 10""",
+        "size_listing": SIZE_LISTING_SQL,
+        "path_exclude": excl + "SELECT path, size, false AS is_symlink, kind FROM kept",
+        "manifest_totals": excl + ("SELECT COUNT(*) AS files, CAST(COALESCE(SUM(size), 0) AS BIGINT) AS bytes "
+                                   "FROM kept"),
+        "running_share": f"""WITH {MANIFEST_CTE},
+r AS (SELECT path, size,
+        COUNT(*) OVER w AS files_done, SUM(size) OVER w AS bytes_done,
+        COUNT(*) OVER () AS total_files, SUM(size) OVER () AS total_bytes
+      FROM manifest WINDOW w AS (ORDER BY path, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT path, size, files_done,
+  round(CAST(100 AS DOUBLE) * files_done / total_files, 6) AS files_pct,
+  CAST(bytes_done AS BIGINT) AS bytes_done,
+  round(CASE WHEN total_bytes > 0 THEN CAST(100 AS DOUBLE) * CAST(bytes_done AS DOUBLE) / CAST(total_bytes AS DOUBLE)
+             ELSE 0.0 END, 6) AS bytes_pct
+FROM r""",
+    }
+
+
+# ---- log-normal ------------------------------------------------------------------------
+
+def _lognormal_sql(src: str, keys: list[str], value: str, level: float) -> str:
+    k = ", ".join(keys)
+    t = t_quantile_sql("n - 1", 1.0 - (1.0 - level) / 2.0)
+    return f"""WITH x AS (SELECT {k}, CASE WHEN {value} > 0 AND NOT isnan({value}) THEN ln({value}) END AS lx FROM {src}),
+s AS (SELECT {k}, COUNT(lx) AS n, AVG(lx) AS mean_log, STDDEV_SAMP(lx) AS sd_log FROM x GROUP BY {k}),
+c AS (SELECT *, {t} AS t, sd_log / sqrt(CAST(n AS DOUBLE)) AS se FROM s)
+SELECT {k}, round(exp(mean_log - t * se), 4) AS lower, round(exp(mean_log + t * se), 4) AS upper,
+  round(exp(mean_log), 4) AS point_estimate, CAST({level!r} AS DOUBLE) AS confidence_level, n,
+  round(mean_log, 6) AS mean_log, round(sd_log, 6) AS sd_log
+FROM c"""
+
+
+def other_queries() -> dict[str, str]:
+    out = {
+        "reversals_normalized": _normalized_sql(),
+        "run_date": RUN_DATE_SQL,
+        "lognormal_stats": _lognormal_sql("lineitem", ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.98),
+        "lognormal_ci": _lognormal_sql("events", ["event_type"], "value", 0.95),
+    }
+    out.update(manifest_queries())
+    return out
+
+
+_php_oracle = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    out = _php_oracle()
+    out.update(other_queries())
+    return out

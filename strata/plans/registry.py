@@ -71,3 +71,110 @@ def queries() -> dict[str, Query]:
         "update_strings": q_update_strings,
         "manual_review": q_manual_review,
     }
+
+
+# ---- extract, run date, report output -------------------------------------------------
+
+def q_reversals_normalized(spark, sf):
+    from strata.sources.reversals import normalize_reversals
+    df = normalize_reversals(fx.raw_reversal_extract(spark, sf))
+    return df.select(*fx.RAW_NAMES.keys())
+
+
+def q_run_date(spark, sf):
+    from strata.sources.reversals import run_date_frame
+    return run_date_frame(fx.run_date_table(spark, sf))
+
+
+def q_report_roundtrip(spark, sf):
+    from strata.plans.report_job import read_report, write_report
+    from strata.session import scratch_path
+    report = final_report(_updates(spark, sf), fx.AS_OF)
+    out = write_report(report, "Internal review copy", scratch_path(spark, "report"), "06151999")
+    return read_report(spark, out)
+
+
+# ---- manifests and size rollups ----------------------------------------------------------
+
+def q_size_rollup(spark, sf):
+    from strata.operators.hierarchy import size_rollup
+    return size_rollup(fx.page_manifest(spark, sf), root=".", hidden="prune")
+
+
+def q_size_topk(spark, sf):
+    from strata.operators.hierarchy import size_rollup, size_topk
+    return size_topk(size_rollup(fx.page_manifest(spark, sf), root=".", hidden="keep"), max_depth=2, k=10)
+
+
+def q_size_listing(spark, sf):
+    from pyspark.sql import functions as F
+    from strata.operators.hierarchy import format_listing, size_filter, size_rollup
+    rollup = size_filter(size_rollup(fx.page_manifest(spark, sf), root=".", hidden="prune"), min_mb=0.01)
+    tree = format_listing(rollup, "tree").withColumnRenamed("line", "line_tree")
+    mb = F.format_string("%8d MB  %s", F.ceil(F.col("bytes") / F.lit(1048576.0)).cast("long"), F.col("dir"))
+    plain = format_listing(tree, "plain").withColumnRenamed("line", "line_plain")
+    return plain.withColumn("line_mb", mb)
+
+
+def q_path_exclude(spark, sf):
+    from strata.operators.hierarchy import exclude_paths
+    return exclude_paths(fx.page_manifest(spark, sf), fx.EXCLUDES, fx.MANIFEST_ROOT)
+
+
+def q_manifest_totals(spark, sf):
+    from strata.operators.hierarchy import exclude_paths, manifest_totals
+    return manifest_totals(exclude_paths(fx.page_manifest(spark, sf), fx.EXCLUDES, fx.MANIFEST_ROOT))
+
+
+def q_running_share(spark, sf):
+    from pyspark.sql import functions as F
+    from strata.operators.hierarchy import running_share
+    out = running_share(fx.page_manifest(spark, sf))
+    return out.withColumns({"files_pct": F.round("files_pct", 6), "bytes_pct": F.round("bytes_pct", 6)})
+
+
+def q_manifest_scan(spark, sf):
+    from strata.sources.manifest import scan_manifest
+    return scan_manifest(spark, sf).select("path", "size", "is_symlink", "kind")
+
+
+# ---- log-normal intervals --------------------------------------------------------------
+
+def _rounded_ci(df):
+    from pyspark.sql import functions as F
+    return df.withColumns({
+        "lower": F.round("lower", 4), "upper": F.round("upper", 4), "point_estimate": F.round("point_estimate", 4),
+        "mean_log": F.round("mean_log", 6), "sd_log": F.round("sd_log", 6)})
+
+
+def q_lognormal_stats(spark, sf):
+    from strata.operators.lognormal import lognormal_ci
+    li = fx.table(spark, sf, "lineitem")
+    return _rounded_ci(lognormal_ci(li, ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.98))
+
+
+def q_lognormal_ci(spark, sf):
+    from strata.operators.lognormal import lognormal_ci
+    return _rounded_ci(lognormal_ci(fx.table(spark, sf, "events"), "event_type", "value", 0.95))
+
+
+queries_base = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    out = queries_base()
+    out.update({
+        "reversals_normalized": q_reversals_normalized,
+        "run_date": q_run_date,
+        "report_roundtrip": q_report_roundtrip,
+        "size_rollup": q_size_rollup,
+        "size_topk": q_size_topk,
+        "size_listing": q_size_listing,
+        "path_exclude": q_path_exclude,
+        "manifest_totals": q_manifest_totals,
+        "running_share": q_running_share,
+        "manifest_scan": q_manifest_scan,
+        "lognormal_stats": q_lognormal_stats,
+        "lognormal_ci": q_lognormal_ci,
+    })
+    return out

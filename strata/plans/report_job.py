@@ -1,0 +1,40 @@
+"""The end-to-end payment-history report job and its output."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strata.operators.payment_history import php_updates
+from strata.operators.report import final_report, report_label_frame
+from strata.sources.reversals import normalize_reversals, scan_reversals, scan_run_date
+
+REPORT_DATASET = "Reversals"
+LABEL_DATASET = "report_label"
+
+
+def report_dir(out_dir: str, run_mmddyyyy: str, prefix: str = "Pymt_Rev_GoFrwd") -> str:
+    return f"{out_dir.rstrip('/')}/{prefix}_{run_mmddyyyy}"
+
+
+def write_report(report: DataFrame, label: str, out_dir: str, run_mmddyyyy: str) -> str:
+    """Write the report and a one-row label table side by side under a
+    run-date name; returns the folder.  Spark's commit protocol makes each
+    write all-or-nothing, so a lost executor only re-runs its tasks."""
+    target = report_dir(out_dir, run_mmddyyyy)
+    report.write.mode("overwrite").parquet(f"{target}/{REPORT_DATASET}")
+    report_label_frame(report.sparkSession, label).coalesce(1).write.mode("overwrite").parquet(
+        f"{target}/{LABEL_DATASET}")
+    return target
+
+
+def read_report(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(f"{target}/{REPORT_DATASET}")
+
+
+def run_report(spark: SparkSession, extract_path: str, dates: DataFrame, out_dir: str, label: str,
+               as_of=None, fmt: str = "parquet", **read_options) -> str:
+    """Read the run date and the extract, build the report, write it."""
+    _, run_text = scan_run_date(dates)
+    extract = normalize_reversals(scan_reversals(spark, extract_path, fmt, **read_options))
+    report = final_report(php_updates(extract, as_of), as_of)
+    return write_report(report, label, out_dir, run_text)
