@@ -142,3 +142,73 @@ def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # root, absolute path outside it, blank).
 MANIFEST_ROOT = "/srv/site"
 EXCLUDES = ["es", " blog.ththan.example.net/en ", "/srv/site/m.ththth.example.net/en", "/var/other/x", "  "]
+
+
+def definition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page URLs as definition-file lines; file = host, line_no = page id."""
+    return table(spark, sf_dir, "pages").select(
+        F.regexp_extract("url", HOST_RE, 1).alias("file"), F.col("page_id").alias("line_no"),
+        F.col("url").alias("line"))
+
+
+# XML wrapper of the row documents.
+XML_OPEN = "<xml xmlns:rs='urn:schemas-microsoft-com:rowset' xmlns:z='#RowsetSchema'><rs:data>"
+XML_CLOSE = "</rs:data></xml>"
+ROWS_PER_DOCUMENT = 1000
+
+
+def _xml_attr(name: str, value: Column) -> Column:
+    esc = F.replace(F.replace(F.replace(F.replace(value.cast("string"), F.lit("&"), F.lit("&amp;")),
+                                        F.lit("<"), F.lit("&lt;")), F.lit("'"), F.lit("&apos;")),
+                    F.lit('"'), F.lit("&quot;"))
+    return F.when(value.isNotNull(), F.concat(F.lit(f" {name}='"), esc, F.lit("'"))).otherwise(F.lit(""))
+
+
+def supplier_row_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one ``z:row`` element per supplier; ``ows_Nation`` is left out
+    when the nation key is 0, so the rows are ragged."""
+    s = table(spark, sf_dir, "supplier")
+    nation = F.when(F.col("s_nationkey") != 0, F.col("s_nationkey"))
+    elem = F.concat(F.lit("<z:row"), _xml_attr("ows_ID", F.col("s_suppkey")), _xml_attr("ows_Title", F.col("s_name")),
+                    _xml_attr("ows_Nation", nation), F.lit("/>"))
+    return s.select(F.col("s_suppkey"), elem.alias("element"))
+
+
+def supplier_xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 documents: suppliers grouped by key range into documents of at
+    most ROWS_PER_DOCUMENT rows each."""
+    rows = supplier_row_elements(spark, sf_dir)
+    doc = F.floor(F.col("s_suppkey") / ROWS_PER_DOCUMENT)
+    return rows.groupBy(doc.alias("doc")).agg(
+        F.concat(F.lit(XML_OPEN), F.array_join(F.collect_list("element"), ""), F.lit(XML_CLOSE)).alias("value"))
+
+
+RECORDS_PER_ENVELOPE = 100
+
+
+def order_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``{"result": [...]}`` envelopes of at most 100 order records each
+    (one per priority and order-key range); every 7th record lists its keys
+    in the other order."""
+    o = table(spark, sf_dir, "orders")
+    num = F.col("o_orderkey").cast("string")
+    st = F.col("o_orderstatus")
+    fwd = F.concat(F.lit('{"number":"'), num, F.lit('","state":"'), st, F.lit('"}'))
+    rev = F.concat(F.lit('{"state":"'), st, F.lit('","number":"'), num, F.lit('"}'))
+    rec = F.when(F.col("o_orderkey") % 7 == 0, rev).otherwise(fwd)
+    page = F.floor(F.col("o_orderkey") / RECORDS_PER_ENVELOPE)
+    return o.groupBy("o_orderpriority", page.alias("page")).agg(
+        F.concat(F.lit('{"result":['), F.array_join(F.collect_list(rec), ","), F.lit("]}")).alias("body"))
+
+
+def validation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one validation result per event."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "signup", "review") \
+        .otherwise("pass")
+    return e.select(
+        F.concat(F.lit("process_"), (F.col("user_id") % 10).cast("string")).alias("process"),
+        F.col("event_type").alias("test_name"), status.alias("status"),
+        F.concat(F.lit("event <"), F.col("event_id").cast("string"), F.lit("> & user "),
+                 F.col("user_id").cast("string")).alias("detail"),
+        F.col("event_id"))

@@ -59,20 +59,6 @@ def q_manual_review(spark, sf):
     return manual_review(_updates(spark, sf))
 
 
-def queries() -> dict[str, Query]:
-    return {
-        "php_periods": q_php_periods,
-        "php_late_flag": q_php_late_flag,
-        "php_status_byte": q_php_status_byte,
-        "php_positions": q_php_positions,
-        "php_updates": q_php_updates,
-        "cx6_updates": q_cx6_updates,
-        "final_report": q_final_report,
-        "update_strings": q_update_strings,
-        "manual_review": q_manual_review,
-    }
-
-
 # ---- extract, run date, report output -------------------------------------------------
 
 def q_reversals_normalized(spark, sf):
@@ -158,12 +144,89 @@ def q_lognormal_ci(spark, sf):
     return _rounded_ci(lognormal_ci(fx.table(spark, sf, "events"), "event_type", "value", 0.95))
 
 
-queries_base = queries
+# ---- text lines, XML rows, JSON envelopes ------------------------------------------------
+
+def q_kv_parse(spark, sf):
+    from strata.operators.textrows import kv_parse
+    return kv_parse(fx.definition_lines(spark, sf))
+
+
+XML_ROW_SCHEMA = "_ows_ID string, _ows_Title string, _ows_Nation string"
+
+
+def q_xml_rows(spark, sf):
+    from strata.session import scratch_path
+    from strata.sources.xml import scan_xml_rows
+    out = scratch_path(spark, "xml")
+    fx.supplier_xml_documents(spark, sf).select("value").write.text(out)
+    return scan_xml_rows(spark, out, "z:row", schema=XML_ROW_SCHEMA)
+
+
+def q_ragged_union(spark, sf):
+    from pyspark.sql import functions as F
+    from strata.operators.textrows import ragged_union
+    s = fx.table(spark, sf, "supplier")
+    ident = [F.col("s_suppkey").cast("string").alias("ows_ID"), F.col("s_name").alias("ows_Title")]
+    with_nation = s.where(F.col("s_nationkey") != 0).select(*ident, F.col("s_nationkey").cast("string").alias("ows_Nation"))
+    without = s.where(~(F.col("s_nationkey") != 0) | F.col("s_nationkey").isNull()).select(*ident)
+    return ragged_union(without, with_nation)
+
+
+RECORD_SCHEMA = "number string, state string"
+
 
+def q_json_result(spark, sf):
+    from pyspark.sql import types as T
+    from strata.session import scratch_path
+    from strata.sources.json import scan_json_result
+    out = scratch_path(spark, "json")
+    fx.order_envelopes(spark, sf).select("body").write.text(out)
+    schema = T.StructType.fromDDL(RECORD_SCHEMA)
+    return scan_json_result(spark, out, schema, limit=fx.RECORDS_PER_ENVELOPE)
+
+
+def q_json_props(spark, sf):
+    from pyspark.sql import functions as F
+    e = fx.table(spark, sf, "events")
+    return e.select("event_id", F.from_json("props", "k bigint").alias("p")).select("event_id", "p.k")
+
+
+# ---- validation, joins -------------------------------------------------------------------
+
+def q_validation_summary(spark, sf):
+    from strata.operators.validation import validation_summary
+    return validation_summary(fx.validation_results(spark, sf))
+
+
+def q_non_passing(spark, sf):
+    from strata.operators.validation import non_passing
+    return non_passing(fx.validation_results(spark, sf)).drop("event_id")
+
+
+def q_validation_notice(spark, sf):
+    from strata.operators.validation import validation_notice
+    return validation_notice(fx.validation_results(spark, sf), rows_per_part=100, row_key="event_id")
+
+
+def q_join_like(spark, sf):
+    from strata.operators.joins import join_like
+    part = fx.table(spark, sf, "part").select("p_partkey", "p_name")
+    li = fx.table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return join_like(part, li, "p_partkey", "l_partkey", "p_name", "red").select(
+        "p_name", "p_partkey", "l_orderkey", "l_linenumber", "l_quantity")
 
-def queries() -> dict[str, Query]:  # noqa: F811
-    out = queries_base()
-    out.update({
+
+def queries() -> dict[str, Query]:
+    return {
+        "php_periods": q_php_periods,
+        "php_late_flag": q_php_late_flag,
+        "php_status_byte": q_php_status_byte,
+        "php_positions": q_php_positions,
+        "php_updates": q_php_updates,
+        "cx6_updates": q_cx6_updates,
+        "final_report": q_final_report,
+        "update_strings": q_update_strings,
+        "manual_review": q_manual_review,
         "reversals_normalized": q_reversals_normalized,
         "run_date": q_run_date,
         "report_roundtrip": q_report_roundtrip,
@@ -176,5 +239,13 @@ def queries() -> dict[str, Query]:  # noqa: F811
         "manifest_scan": q_manifest_scan,
         "lognormal_stats": q_lognormal_stats,
         "lognormal_ci": q_lognormal_ci,
-    })
-    return out
+        "kv_parse": q_kv_parse,
+        "xml_rows": q_xml_rows,
+        "ragged_union": q_ragged_union,
+        "json_result": q_json_result,
+        "json_props": q_json_props,
+        "validation_summary": q_validation_summary,
+        "non_passing": q_non_passing,
+        "validation_notice": q_validation_notice,
+        "join_like": q_join_like,
+    }
