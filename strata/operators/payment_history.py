@@ -46,11 +46,13 @@ def php_periods(df: DataFrame) -> DataFrame:
 
 
 def _loan_stats(df: DataFrame) -> DataFrame:
-    return df.groupBy(F.col("ln_no").alias(_STATS_KEY)).agg(
+    # One struct column, so that every consumer reads the same aggregate and
+    # Spark can reuse its exchange instead of re-aggregating per branch.
+    return df.groupBy(F.col("ln_no").alias(_STATS_KEY)).agg(F.struct(
         F.min("pymt_ss_month").alias("start_month_php"),
         F.max("rev_ss_month").alias("end_month_php"),
         F.max(F.col("rev_aftr_30_days").cast("boolean")).alias("has_late_reversal"),
-    )
+    ).alias("_loan"))
 
 
 def with_loan_stats(df: DataFrame) -> DataFrame:
@@ -64,9 +66,10 @@ def with_loan_stats(df: DataFrame) -> DataFrame:
     joined = df.join(stats, F.col("ln_no").eqNullSafe(F.col(_STATS_KEY)), "left").drop(_STATS_KEY)
     known = F.col("ln_no").isNotNull()
     return joined.withColumns({
-        "start_month_php": F.when(known, F.col("start_month_php")),
-        "end_month_php": F.when(known, F.col("end_month_php")),
-    })
+        "start_month_php": F.when(known, F.col("_loan.start_month_php")),
+        "end_month_php": F.when(known, F.col("_loan.end_month_php")),
+        "has_late_reversal": F.col("_loan.has_late_reversal"),
+    }).drop("_loan")
 
 
 def with_late_flag(df: DataFrame) -> DataFrame:
