@@ -1,0 +1,152 @@
+"""Size rollups, exclusions, totals and running share on a hand manifest."""
+
+import posixpath
+import warnings
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF01
+from strata.operators.hierarchy import (
+    clean_excludes, exclude_paths, format_listing, manifest_totals, running_share, size_filter, size_rollup,
+    size_topk,
+)
+from strata.plans import fixtures as fx
+from strata.sources.manifest import MANIFEST_SCHEMA, scan_manifest
+
+ROWS = [
+    ("a/.git/objects/x", 100, False, "file"),
+    ("a/.git/HEAD", 5, False, "file"),
+    ("a/b/f", 10, False, "file"),
+    ("a/b/.hidden_file", 1, False, "file"),
+    ("a/b/c/.cache/deep/g", 7, False, "file"),
+    ("src/temp/t", 20, False, "file"),
+    ("x/src/temp/t", 40, False, "file"),
+    ("x/node_modules/m", 3, False, "file"),
+    ("top", 2, False, "file"),
+    ("a/link", 999, True, "file"),
+    ("linkdir", 0, True, "dir"),
+    ("empty/dir", 0, False, "dir"),
+    ("y/temp", 8, False, "file"),
+]
+
+
+@pytest.fixture
+def manifest(spark):
+    return spark.createDataFrame(ROWS, MANIFEST_SCHEMA)
+
+
+def brute_rollup(rows, root, hidden):
+    """Walk-style reference: every directory (and the root) with its bytes."""
+    sizes = {}
+    for path, size, link, kind in rows:
+        parts = path.split("/")
+        dirs = parts if (kind == "dir" and not link) else parts[:-1]
+        nbytes = size if (kind == "file" and not link) else 0
+        for i in range(len(dirs) + 1):
+            d = root if i == 0 else root + "/" + "/".join(dirs[:i])
+            sizes[d] = sizes.get(d, 0) + nbytes
+    out = {}
+    for d, b in sizes.items():
+        rel = [] if d == root else d[len(root) + 1:].split("/")
+        if hidden == "prune" and any(p.startswith(".") for p in rel):
+            continue
+        if hidden == "basename" and rel and rel[-1].startswith("."):
+            continue
+        out[d] = (len(rel), b)
+    return out
+
+
+@pytest.mark.parametrize("hidden", ["prune", "basename", "keep"])
+def test_rollup_matches_walk(spark, manifest, hidden):
+    got = {r.dir: (r.depth, r.bytes) for r in size_rollup(manifest, "root", hidden).collect()}
+    assert got == brute_rollup(ROWS, "root", hidden)
+
+
+def test_rollup_counts_hidden_bytes_in_ancestors(spark, manifest):
+    got = {r.dir: r.bytes for r in size_rollup(manifest, ".", "prune").collect()}
+    assert "./a/.git" not in got and "./a/b/c/.cache" not in got
+    assert got["./a"] == 100 + 5 + 10 + 1 + 7
+    assert got["./a/b/c"] == 7
+    assert got["."] == sum(s for _, s, link, k in ROWS if k == "file" and not link)
+    assert "./linkdir" not in got and got["./empty/dir"] == 0
+
+
+def test_root_hidden_rules(spark, manifest):
+    assert size_rollup(manifest, ".", "basename").where("depth = 0").count() == 0
+    assert size_rollup(manifest, ".", "prune").where("depth = 0").count() == 1
+    assert size_rollup(manifest, "/x/.snap", "prune").where("depth = 0").count() == 0
+
+
+def test_topk_and_listing(spark, manifest):
+    roll = size_rollup(manifest, ".", "keep")
+    top = size_topk(roll, max_depth=1, k=3).collect()
+    assert [(r.dir, r.bytes) for r in top] == [(".", 1 + 2 + 5 + 7 + 8 + 10 + 20 + 40 + 3 + 100),
+                                             ("./a", 123), ("./x", 43)]
+    lines = {r.dir: r.line for r in format_listing(roll, "tree").collect()}
+    assert lines["./a/b"] == "    18.0B      ./a/b"
+    assert {r.dir: r.line for r in format_listing(roll, "mb").collect()}["./a"] == "       1 MB  ./a"
+    assert {r.dir: r.line for r in format_listing(roll, "plain").collect()}["./a/b/c"] == "      7B  ./a/b/c"
+    assert size_filter(roll, 0.0001).count() == roll.where("bytes >= 104").count()
+
+
+def test_clean_excludes():
+    with warnings.catch_warnings(record=True) as w:
+        warnings.simplefilter("always")
+        got = clean_excludes([" .git ", "", "src/temp", "/r/x/data/cache", "/elsewhere/y", "/r/x/..foo", "/r/x"],
+                             "/r/x")
+    assert got == [".git", "src/temp", "data/cache", "."]
+    assert len(w) == 2
+
+
+def brute_excluded(path, kind, excludes):
+    parts = path.split("/")
+    dirs = parts if kind == "dir" else parts[:-1]
+    for i in range(1, len(dirs) + 1):
+        rel, name = "/".join(dirs[:i]), dirs[i - 1]
+        for e in excludes:
+            if "/" in e and (rel == e or rel.startswith(e + "/")):
+                return True
+            if "/" not in e and name == e:
+                return True
+    return False
+
+
+def test_exclusion_matches_walk(spark, manifest):
+    excludes = [".git", "node_modules", "src/temp", "/proj/empty", "/other/z", "temp"]
+    cleaned = clean_excludes(excludes, "/proj")
+    got = {r.path for r in exclude_paths(manifest, excludes, "/proj").collect()}
+    want = {p for p, _, _, k in ROWS if not brute_excluded(p, k, cleaned)}
+    assert got == want
+    assert "y/temp" in got  # a file named like an entry stays
+    tot = manifest_totals(exclude_paths(manifest, excludes, "/proj")).first()
+    assert tot.files == sum(1 for p, _, _, k in ROWS if k == "file" and p in want)
+
+
+def test_running_share_matches_sorted_walk(spark):
+    m = fx.page_manifest(spark, SF01)
+    rows = sorted((r.path, r.size) for r in m.collect())
+    total_n, total_b = len(rows), sum(s for _, s in rows)
+    want, done = [], 0
+    for i, (p, s) in enumerate(rows):
+        done += s
+        want.append((p, s, i + 1, done))
+    got = sorted((r.path, r.size, r.files_done, r.bytes_done) for r in running_share(m, buckets=5).collect())
+    assert got == sorted(want)
+    last = running_share(m, buckets=3).where(F.col("files_done") == total_n).first()
+    assert last.files_pct == 100.0 and last.bytes_pct == 100.0 and last.bytes_done == total_b
+
+
+def test_running_share_hot_duplicate_path(spark):
+    rows = [("same/p", 1, False, "file")] * 300 + [("z", 5, False, "file")]
+    df = spark.createDataFrame(rows, MANIFEST_SCHEMA)
+    out = running_share(df, buckets=4)
+    assert sorted(r.files_done for r in out.collect()) == list(range(1, 302))
+    # the repeated path is spread over several ranges, not one task
+    ranged = df.select("path", F.monotonically_increasing_id().alias("i")).repartitionByRange(4, "path", "i")
+    assert ranged.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_scan_manifest_lists_files(spark):
+    got = {r.path: r.size for r in scan_manifest(spark, SF01).collect()}
+    assert "orders.parquet" in got and got["orders.parquet"] == posixpath.getsize(f"{SF01}/orders.parquet")
