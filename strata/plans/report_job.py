@@ -38,3 +38,23 @@ def run_report(spark: SparkSession, extract_path: str, dates: DataFrame, out_dir
     extract = normalize_reversals(scan_reversals(spark, extract_path, fmt, **read_options))
     report = final_report(php_updates(extract, as_of), as_of)
     return write_report(report, label, out_dir, run_text)
+
+
+def register_views(spark: SparkSession, extract: DataFrame, as_of=None, prefix: str = "") -> dict[str, DataFrame]:
+    """Publish the job's stages as temp views so they can be queried with
+    ``spark.sql`` (names: sor_with_cx6, php_periods, php_updates,
+    cx6_updates, final_report)."""
+    from strata.operators.payment_history import php_periods
+    from strata.operators.report import cx6_updates
+
+    updates = php_updates(extract, as_of)
+    frames = {
+        "sor_with_cx6": extract,
+        "php_periods": php_periods(extract),
+        "php_updates": updates,
+        "cx6_updates": cx6_updates(updates, as_of),
+        "final_report": final_report(updates, as_of),
+    }
+    for name, df in frames.items():
+        df.createOrReplaceTempView(prefix + name)
+    return frames

@@ -1,0 +1,9 @@
+"""Structured Streaming entry points.
+
+The survey found no streaming operator (no watermark, window or state) in the
+reference; its report job runs once per landed extract.  ``report_stream``
+runs exactly that job incrementally: a file-source stream over the landing
+folder, one report per run date, written idempotently from ``foreachBatch``.
+"""
+
+from strata.streaming.report_stream import start_report_stream  # noqa: F401

@@ -1,0 +1,59 @@
+"""The report job end to end: landed files -> stream -> report folders."""
+
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from conftest import SF001
+from strata.operators.payment_history import php_updates
+from strata.operators.report import final_report
+from strata.plans import fixtures as fx
+from strata.plans.report_job import LABEL_DATASET, read_report, register_views, run_report
+from strata.sources.reversals import normalize_reversals
+from strata.streaming import start_report_stream
+
+
+def _expected(spark, raw):
+    return final_report(php_updates(normalize_reversals(raw), fx.AS_OF), fx.AS_OF)
+
+
+def test_run_report_batch(spark):
+    raw = fx.raw_reversal_extract(spark, SF001)
+    base = tempfile.mkdtemp(prefix="job-", dir="/tmp")
+    raw.write.parquet(f"{base}/landing/sor_with_cx6_19990615.parquet")
+    dates = fx.run_date_table(spark, SF001)
+    out = run_report(spark, f"{base}/landing/sor_with_cx6_19990615.parquet", dates, f"{base}/out",
+                     "Internal review copy", fx.AS_OF)
+    assert out.endswith("_" + dates.select(F.date_format(F.to_date("run_yyyymmdd", "yyyyMMdd"), "MMddyyyy")).first()[0])
+    got = read_report(spark, out)
+    assert got.exceptAll(_expected(spark, raw)).count() == 0
+    assert spark.read.parquet(f"{out}/{LABEL_DATASET}").first()[0] == "Internal review copy"
+
+
+def test_stream_processes_each_landed_run(spark):
+    raw = fx.raw_reversal_extract(spark, SF001)
+    base = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+    landing = f"{base}/landing"
+    first = raw.where(F.col("LN_NO") % 2 == 0)
+    second = raw.where(F.col("LN_NO") % 2 == 1)
+    first.coalesce(1).write.parquet(f"{base}/tmp1")
+    second.coalesce(1).write.parquet(f"{base}/tmp2")
+    os.makedirs(landing)
+    for tmp, run in (("tmp1", "19990531"), ("tmp2", "19990615")):
+        part = [f for f in os.listdir(f"{base}/{tmp}") if f.endswith(".parquet")][0]
+        os.link(f"{base}/{tmp}/{part}", f"{landing}/sor_with_cx6_{run}.parquet")
+    q = start_report_stream(spark, landing, raw.schema, f"{base}/out", f"{base}/ckpt", "label", fx.AS_OF,
+                            available_now=True)
+    q.awaitTermination(300)
+    a = read_report(spark, f"{base}/out/Pymt_Rev_GoFrwd_05311999")
+    b = read_report(spark, f"{base}/out/Pymt_Rev_GoFrwd_06151999")
+    assert a.exceptAll(_expected(spark, first)).count() == 0 and a.count() == _expected(spark, first).count()
+    assert b.exceptAll(_expected(spark, second)).count() == 0 and b.count() == _expected(spark, second).count()
+
+
+def test_register_views(spark):
+    register_views(spark, fx.reversal_extract(spark, SF001), fx.AS_OF, prefix="t_")
+    n = spark.sql("SELECT COUNT(*) FROM t_php_updates").first()[0]
+    assert n == fx.reversal_extract(spark, SF001).count()
+    assert spark.sql("SELECT SUM(pair_count) FROM t_final_report").first()[0] >= n
