@@ -72,6 +72,9 @@ def with_loan_stats(df: DataFrame) -> DataFrame:
     }).drop("_loan")
 
 
+with_periods = with_loan_stats
+
+
 def with_late_flag(df: DataFrame) -> DataFrame:
     """Per row, whether any reversal of the same loan came more than 30 days late."""
     stats = df.groupBy(F.col("ln_no").alias(_STATS_KEY)).agg(

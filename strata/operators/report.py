@@ -143,14 +143,37 @@ def _row_side_columns() -> dict[str, Column]:
     return cols
 
 
-def final_report(updates: DataFrame, as_of=None) -> DataFrame:
-    """The 23-column review report as distinct rows with ``pair_count``.
+def _indicators(df: DataFrame) -> DataFrame:
+    php, target = F.col("payment_history_profile"), F.col("What CX6 PHP string should be")
+    df = df.withColumn("CX6 PHP String Update Indicator",
+                       F.when(php.isNull(), "").when(php != target, "Y").otherwise("N"))
+    return df.withColumn(
+        "CX6_Update_Indicator",
+        F.when((F.col("Account Status Update Indicator") == "Y") | (F.col("CX6 PHP String Update Indicator") == "Y"),
+               "Y").otherwise("N"))
+
+
+def final_report(updates: DataFrame, as_of=None, pairing: str = "loan") -> DataFrame:
+    """The 23-column review report.
 
-    ``updates`` is the output of ``php_updates``.  Rows with a NULL loan
-    number match no CX6 row and appear once with a NULL CX6 string.
+    pairing="loan" (the reference rule): every row of a loan is paired with
+    the CX6 string of every row of the same loan; returned as distinct report
+    rows with ``pair_count``.  Rows with a NULL loan number match no CX6 row
+    and appear once with a NULL CX6 string.
+    pairing="row": each row with its own CX6 string, one report row per
+    updates row, no join at all.
+
+    ``updates`` is the output of ``php_updates``.
     """
     cx6 = cx6_columns(as_of)
     should_be = F.coalesce(cx6["cx6_accurate_php_updated"], cx6["cx6_php_updated"])
+    if pairing == "row":
+        own = updates.withColumns({"payment_date": cx6["payment_date"], "months_between": cx6["months_between"]})
+        own = own.select(*[c.alias(n) for n, c in _row_side_columns().items()],
+                         F.when(F.col("ln_no").isNotNull(), should_be).alias("What CX6 PHP string should be"))
+        return _indicators(own).select(*[F.col(f"`{c}`") for c in REPORT_COLUMNS])
+    if pairing != "loan":
+        raise ValueError("pairing must be 'loan' or 'row'")
     per_loan = (updates.where(F.col("ln_no").isNotNull())
                 .withColumns({"payment_date": cx6["payment_date"], "months_between": cx6["months_between"]})
                 .groupBy(F.col("ln_no").alias("_cx6_loan"), should_be.alias("What CX6 PHP string should be"))
@@ -158,16 +181,7 @@ def final_report(updates: DataFrame, as_of=None) -> DataFrame:
 
     row_cols = _row_side_columns()
     rows = updates.select("ln_no", *[c.alias(n) for n, c in row_cols.items()])
-    paired = rows.join(per_loan, F.col("ln_no") == F.col("_cx6_loan"), "left")
-
-    php, target = F.col("payment_history_profile"), F.col("What CX6 PHP string should be")
-    paired = paired.withColumn(
-        "CX6 PHP String Update Indicator",
-        F.when(php.isNull(), "").when(php != target, "Y").otherwise("N"))
-    paired = paired.withColumn(
-        "CX6_Update_Indicator",
-        F.when((F.col("Account Status Update Indicator") == "Y") | (F.col("CX6 PHP String Update Indicator") == "Y"),
-               "Y").otherwise("N"))
+    paired = _indicators(rows.join(per_loan, F.col("ln_no") == F.col("_cx6_loan"), "left"))
     return (paired.groupBy(*[F.col(f"`{c}`") for c in REPORT_COLUMNS])
             .agg(F.sum(F.coalesce(F.col("_cx6_n"), F.lit(1))).alias("pair_count")))
 

@@ -49,6 +49,10 @@ def normalize_reversals(df: DataFrame, date_columns=DATE_COLUMNS, pattern: str =
     return df.withColumns(cols)
 
 
+def read_run_date_table(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+    return spark.read.format(fmt).options(**options).load(path)
+
+
 def run_date_frame(dates: DataFrame) -> DataFrame:
     """From a run-date table (second column = ``yyyyMMdd`` text): the run date
     and its ``MMddyyyy`` form used in output names."""

@@ -132,3 +132,13 @@ def test_positions_need_no_window(spark):
     df = with_positions(with_loan_stats(fx.reversal_extract(spark, SF01)), fx.AS_OF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_row_pairing_is_one_to_one(spark):
+    src = fx.reversal_extract(spark, SF01)
+    up = php_updates(src, fx.AS_OF)
+    rows = final_report(up, fx.AS_OF, pairing="row")
+    assert rows.columns == REPORT_COLUMNS and rows.count() == src.count()
+    # every row-wise report row is one of the loan-paired rows
+    paired = final_report(up, fx.AS_OF).drop("pair_count")
+    assert rows.subtract(paired).count() == 0
