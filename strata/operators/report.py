@@ -174,17 +174,35 @@ def final_report(updates: DataFrame, as_of=None, pairing: str = "loan") -> DataF
         return _indicators(own).select(*[F.col(f"`{c}`") for c in REPORT_COLUMNS])
     if pairing != "loan":
         raise ValueError("pairing must be 'loan' or 'row'")
-    per_loan = (updates.where(F.col("ln_no").isNotNull())
-                .withColumns({"payment_date": cx6["payment_date"], "months_between": cx6["months_between"]})
-                .groupBy(F.col("ln_no").alias("_cx6_loan"), should_be.alias("What CX6 PHP string should be"))
-                .agg(F.count(F.lit(1)).alias("_cx6_n")))
-
-    row_cols = _row_side_columns()
-    rows = updates.select("ln_no", *[c.alias(n) for n, c in row_cols.items()])
+    rows = report_rows(updates)
+    per_loan = report_cx6_strings(updates, as_of).withColumnRenamed("ln_no", "_cx6_loan") \
+        .withColumnRenamed("cx6_count", "_cx6_n")
     paired = _indicators(rows.join(per_loan, F.col("ln_no") == F.col("_cx6_loan"), "left"))
     return (paired.groupBy(*[F.col(f"`{c}`") for c in REPORT_COLUMNS])
             .agg(F.sum(F.coalesce(F.col("_cx6_n"), F.lit(1))).alias("pair_count")))
 
 
+def report_rows(updates: DataFrame) -> DataFrame:
+    """Factored report, part 1: one row per updates row with the 20 report
+    columns that do not depend on the paired CX6 row, plus ``ln_no``."""
+    return updates.select("ln_no", *[c.alias(n) for n, c in _row_side_columns().items()])
+
+
+def report_cx6_strings(updates: DataFrame, as_of=None) -> DataFrame:
+    """Factored report, part 2: per loan, each distinct CX6 string with the
+    number of the loan's rows producing it (``cx6_count``).
+
+    ``report_rows`` joined to this on ``ln_no`` (left join; the three
+    indicator columns follow from the pair) is exactly the paired report.
+    Neither part ever holds a pair, so a loan with a third of all rows costs
+    one row per row plus one row per distinct string."""
+    cx6 = cx6_columns(as_of)
+    should_be = F.coalesce(cx6["cx6_accurate_php_updated"], cx6["cx6_php_updated"])
+    return (updates.where(F.col("ln_no").isNotNull())
+            .withColumns({"payment_date": cx6["payment_date"], "months_between": cx6["months_between"]})
+            .groupBy(F.col("ln_no"), should_be.alias("What CX6 PHP string should be"))
+            .agg(F.count(F.lit(1)).alias("cx6_count")))
+
+
 def report_label_frame(spark, label: str) -> DataFrame:
     return spark.createDataFrame([(label,)], "report_label string")

@@ -434,4 +434,42 @@ def oracle_sql() -> dict[str, str]:
     out.update(php_queries())
     out.update(other_queries())
     out.update(text_queries())
+    out.update(factored_report_queries())
     return out
+
+
+# ---- factored report ------------------------------------------------------------------
+
+ROW_SIDE_SQL = f"""
+    concat('51', loan_number_padded) AS "CX6 Account Number",
+    strftime(pymt_tran_dt, '%m/%d/%Y') AS "PMT_TRANSACTION_DT",
+    strftime(rev_month_snapshot, '%m/%d/%Y') AS "Impacted_Snapshot",
+    account_status AS "Account Status",
+    CASE WHEN payment_history_profile IS NOT NULL THEN account_status ELSE '' END
+      AS "What Account Status Should be In Current File",
+    CASE WHEN payment_history_profile IS NULL THEN ''
+         WHEN rev_month_snapshot >= CAST(date_trunc('month', rev_transaction_dt) AS DATE) + 5
+              AND cx6_account_status <> account_status THEN 'Y' ELSE 'N' END AS "Account Status Update Indicator",
+    cx6_account_status AS "account_sts_CX6",
+    payment_history_profile,
+    pymt_hist_current_yr AS "AFS Current Year String",
+    new_current_yr AS "Updated AFS Current Year String",
+    update_current_yr AS "AFS Current Year PHP String Update Indicator",
+    pymt_hist_previous_1_yr AS "AFS Previous 1 Year String",
+    new_previous_1_yr AS "Updated AFS Previous 1 Year String",
+    update_prev_1_yr AS "AFS Previous 1 Year PHP String Update Indicator",
+    strftime(sor_dofd, '%m/%d/%Y') AS "L_CB_1ST_DLQ_DATE",
+    CASE WHEN sor_dofd IS NOT NULL AND year(sor_dofd) <> 1899
+              AND (account_status = '11' OR rev_aftr_30_days) THEN 'Y' ELSE 'N' END AS "DOFD Update Indicator",
+    {UPDATE_STRINGS_SQL},
+    {REVIEW_SQL} AS "Requires_Manual_Review"
+"""
+
+
+def factored_report_queries() -> dict[str, str]:
+    return {
+        "report_rows": f"WITH {PHP_CTES} SELECT ln_no, {ROW_SIDE_SQL} FROM updates",
+        "report_cx6_strings": (f"WITH {PHP_CTES} SELECT ln_no, coalesce(cx6_accurate_php_updated, cx6_php_updated) "
+                               "AS \"What CX6 PHP string should be\", COUNT(*) AS cx6_count FROM cx6 "
+                               "WHERE ln_no IS NOT NULL GROUP BY ALL"),
+    }

@@ -51,6 +51,16 @@ def q_final_report(spark, sf):
     return final_report(_updates(spark, sf), fx.AS_OF)
 
 
+def q_report_rows(spark, sf):
+    from strata.operators.report import report_rows
+    return report_rows(_updates(spark, sf))
+
+
+def q_report_cx6_strings(spark, sf):
+    from strata.operators.report import report_cx6_strings
+    return report_cx6_strings(_updates(spark, sf), fx.AS_OF)
+
+
 def q_update_strings(spark, sf):
     return update_strings(_updates(spark, sf))
 
@@ -225,6 +235,8 @@ def queries() -> dict[str, Query]:
         "php_updates": q_php_updates,
         "cx6_updates": q_cx6_updates,
         "final_report": q_final_report,
+        "report_rows": q_report_rows,
+        "report_cx6_strings": q_report_cx6_strings,
         "update_strings": q_update_strings,
         "manual_review": q_manual_review,
         "reversals_normalized": q_reversals_normalized,

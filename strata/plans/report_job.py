@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.operators.payment_history import php_updates
-from strata.operators.report import final_report, report_label_frame
+from strata.operators.report import final_report, report_cx6_strings, report_label_frame, report_rows
 from strata.sources.reversals import normalize_reversals, scan_reversals, scan_run_date
 
 REPORT_DATASET = "Reversals"
 LABEL_DATASET = "report_label"
+ROWS_DATASET = "Reversals_rows"
+CX6_DATASET = "Reversals_cx6_strings"
 
 
 def report_dir(out_dir: str, run_mmddyyyy: str, prefix: str = "Pymt_Rev_GoFrwd") -> str:
@@ -31,13 +33,29 @@ def read_report(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(f"{target}/{REPORT_DATASET}")
 
 
+def write_factored_report(updates: DataFrame, label: str, out_dir: str, run_mmddyyyy: str, as_of=None) -> str:
+    """Write the report in factored form: per-row columns and per-loan CX6
+    strings with counts (their join on ``ln_no`` is the paired report)."""
+    target = report_dir(out_dir, run_mmddyyyy)
+    report_rows(updates).write.mode("overwrite").parquet(f"{target}/{ROWS_DATASET}")
+    report_cx6_strings(updates, as_of).write.mode("overwrite").parquet(f"{target}/{CX6_DATASET}")
+    report_label_frame(updates.sparkSession, label).coalesce(1).write.mode("overwrite").parquet(
+        f"{target}/{LABEL_DATASET}")
+    return target
+
+
 def run_report(spark: SparkSession, extract_path: str, dates: DataFrame, out_dir: str, label: str,
-               as_of=None, fmt: str = "parquet", **read_options) -> str:
-    """Read the run date and the extract, build the report, write it."""
+               as_of=None, fmt: str = "parquet", factored: bool = False, **read_options) -> str:
+    """Read the run date and the extract, build the report, write it.
+
+    ``factored=True`` writes the two pair-free parts instead of the paired
+    report (for extracts where one loan carries very many distinct rows)."""
     _, run_text = scan_run_date(dates)
     extract = normalize_reversals(scan_reversals(spark, extract_path, fmt, **read_options))
-    report = final_report(php_updates(extract, as_of), as_of)
-    return write_report(report, label, out_dir, run_text)
+    updates = php_updates(extract, as_of)
+    if factored:
+        return write_factored_report(updates, label, out_dir, run_text, as_of)
+    return write_report(final_report(updates, as_of), label, out_dir, run_text)
 
 
 def register_views(spark: SparkSession, extract: DataFrame, as_of=None, prefix: str = "") -> dict[str, DataFrame]:

@@ -43,4 +43,10 @@ def test_hot_loan_report(spark):
     k = Counter(r.ln_no for r in src.select("ln_no").collect())
     assert k[0] >= src.count() // 3
     assert rep.agg(F.sum("pair_count")).first()[0] == sum(v * v for v in k.values())
-    assert rep.count() < 10 * src.count()
+    # the factored form holds no pair at all: one row per row, one per string
+    from strata.operators.report import report_cx6_strings, report_rows
+    up = php_updates(src, fx.AS_OF)
+    assert report_rows(up).count() == src.count()
+    strings = report_cx6_strings(up, fx.AS_OF)
+    assert strings.count() <= src.count()
+    assert strings.agg(F.sum("cx6_count")).first()[0] == src.where("ln_no IS NOT NULL").count()

@@ -57,3 +57,17 @@ def test_register_views(spark):
     n = spark.sql("SELECT COUNT(*) FROM t_php_updates").first()[0]
     assert n == fx.reversal_extract(spark, SF001).count()
     assert spark.sql("SELECT SUM(pair_count) FROM t_final_report").first()[0] >= n
+
+
+def test_run_report_factored(spark):
+    from strata.plans.report_job import CX6_DATASET, ROWS_DATASET
+    raw = fx.raw_reversal_extract(spark, SF001)
+    base = tempfile.mkdtemp(prefix="jobf-", dir="/tmp")
+    raw.write.parquet(f"{base}/landing/x.parquet")
+    out = run_report(spark, f"{base}/landing/x.parquet", fx.run_date_table(spark, SF001), f"{base}/out",
+                     "label", fx.AS_OF, factored=True)
+    rows = spark.read.parquet(f"{out}/{ROWS_DATASET}")
+    strings = spark.read.parquet(f"{out}/{CX6_DATASET}")
+    assert rows.count() == raw.count()
+    pairs = rows.join(strings, "ln_no", "left").agg(F.sum(F.coalesce("cx6_count", F.lit(1)))).first()[0]
+    assert pairs == _expected(spark, raw).agg(F.sum("pair_count")).first()[0]
