@@ -7,10 +7,13 @@ the listing itself is distributed by Spark's parallel partition discovery.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST_SCHEMA = "path string, size bigint, is_symlink boolean, kind string"
+SCHEME_AUTHORITY = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
 
 
 def scan_manifest(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -20,8 +23,9 @@ def scan_manifest(spark: SparkSession, root: str, glob: str | None = None) -> Da
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(root).select("path", "length", "modificationTime")
-    prefix = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), r"^[a-zA-Z]+:(//)?", "")
+    # compare without scheme and authority: file:/a/b, hdfs://nn/a/b and /a/b all become /a/b
+    prefix = re.sub(SCHEME_AUTHORITY, "", root).rstrip("/") + "/"
+    rel = F.regexp_replace(F.col("path"), SCHEME_AUTHORITY, "")
     rel = F.when(rel.startswith(prefix), rel.substr(F.lit(len(prefix) + 1), F.lit(1 << 30))).otherwise(rel)
     return files.select(rel.alias("path"), F.col("length").alias("size"), F.lit(False).alias("is_symlink"),
                         F.lit("file").alias("kind"), F.col("modificationTime").alias("modified"))
