@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Element text gets a column name no XML attribute can have (names hold no blanks).
+VALUE_TAG = "element text"
+
 
 def scan_xml_rows(spark: SparkSession, path: str, row_tag: str = "z:row", schema=None,
                   attribute_prefix: str = "_") -> DataFrame:
     """One row per ``row_tag`` element, attributes as string columns named
-    without the prefix; attributes absent on an element are NULL.
+    without the prefix; attributes absent on an element are NULL.  Values are
+    kept verbatim (no trimming).
 
-    Without ``schema`` the reader infers the column set (one extra pass) but
-    keeps every value as text."""
+    Without ``schema`` the reader infers the column set (one extra pass),
+    keeps every value as text and returns attributes only (element text and
+    child elements are not attributes)."""
     reader = (spark.read.format("xml").option("rowTag", row_tag)
-              .option("attributePrefix", attribute_prefix).option("inferSchema", "false"))
+              .option("attributePrefix", attribute_prefix).option("inferSchema", "false")
+              .option("ignoreSurroundingSpaces", "false").option("valueTag", VALUE_TAG))
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(path)
     n = len(attribute_prefix)
+    if schema is None and n:
+        df = df.select(*[f"`{c}`" for c in df.columns if c.startswith(attribute_prefix)])
     return df.toDF(*[c[n:] if n and c.startswith(attribute_prefix) else c for c in df.columns])

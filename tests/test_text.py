@@ -56,6 +56,17 @@ def test_xml_rows_ragged(spark):
     assert got == [("1", "x & y", None), ("2", None, "me")]
 
 
+def test_xml_values_verbatim_attributes_only(spark):
+    d = tempfile.mkdtemp(prefix="xml-", dir="/tmp")
+    with open(os.path.join(d, "r.xml"), "w") as f:
+        f.write("<xml xmlns:z='#RowsetSchema'><z:row ows_ID=' 1 ' ows_Title='null'/>"
+                "<z:row ows_ID='2' ows_Title=''/><z:row ows_ID='3'>text</z:row></xml>")
+    df = scan_xml_rows(spark, d)
+    assert sorted(df.columns) == ["ows_ID", "ows_Title"]
+    assert sorted(tuple(r) for r in df.select("ows_ID", "ows_Title").collect()) == \
+        [(" 1 ", "null"), ("2", ""), ("3", None)]
+
+
 def test_ragged_union(spark):
     a = spark.createDataFrame([("1", "x")], "id string, title string")
     b = spark.createDataFrame([("2", "me")], "id string, owner string")
