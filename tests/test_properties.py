@@ -1,0 +1,71 @@
+"""Randomised checks against small pure-Python models (one Spark job per batch)."""
+
+import datetime as dt
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from strata.functions.dates import month_diff
+from strata.functions.sizes import human_size
+from strata.operators.textrows import kv_pairs
+
+SETTINGS = dict(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+def model_pair(line):
+    """Reference rule for one line: split at '=', one trailing empty piece
+    dropped, key = first piece, value = the rest re-joined, both trimmed."""
+    if "=" not in line or line[:3].upper() == "WEB":
+        return None
+    parts = line.split("=")
+    if line.endswith("="):
+        parts = parts[:-1]
+    if len(parts) < 2:
+        return None
+    key = parts[0].strip(" \t\r\n")
+    if key == "":
+        return None
+    return key, "=".join(parts[1:]).strip(" \t\r\n")
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.text(alphabet="=ab \tWEBweb", min_size=0, max_size=8), min_size=1, max_size=60))
+def test_kv_pairs_model(spark, lines):
+    df = spark.createDataFrame([("f", i, l) for i, l in enumerate(lines)], "file string, line_no int, line string")
+    got = {r.line_no: (r.key, r.value) for r in kv_pairs(df).collect()}
+    want = {i: model_pair(l) for i, l in enumerate(lines) if model_pair(l) is not None}
+    assert got == want
+
+
+def model_tight(size):
+    for unit in ["B", "KB", "MB", "GB", "TB", "PB"]:
+        if size < 1024.0:
+            return f"{size:.1f}{unit}"
+        size /= 1024.0
+    return f"{size:.1f}PB"
+
+
+def model_integer(size):
+    units = "BKMGTP"
+    i = 0
+    while size > 1024:
+        size //= 1024
+        i += 1
+    return f"{size}{units[i] if i < len(units) else ''}"
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.one_of(st.integers(0, 5000), st.integers(0, 2 ** 62)), min_size=1, max_size=80))
+def test_human_size_model(spark, sizes):
+    df = spark.createDataFrame([(s,) for s in sizes], "b long")
+    got = df.select(human_size("b", "tight").alias("t"), human_size("b", "integer").alias("i")).collect()
+    assert [(r.t, r.i) for r in got] == [(model_tight(s), model_integer(s)) for s in sizes]
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.dates(dt.date(1899, 1, 1), dt.date(2100, 12, 31)),
+                          st.dates(dt.date(1899, 1, 1), dt.date(2100, 12, 31))), min_size=1, max_size=80))
+def test_month_diff_model(spark, pairs):
+    df = spark.createDataFrame(pairs, "a date, b date")
+    got = [r[0] for r in df.select(month_diff("a", "b")).collect()]
+    assert got == [(b.year - a.year) * 12 + b.month - a.month for a, b in pairs]
