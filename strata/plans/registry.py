@@ -7,16 +7,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strata.functions.sizes import whole_mb
+from strata.operators.hierarchy import (
+    exclude_paths, format_listing, manifest_totals, running_share, size_filter, size_rollup, size_topk,
+)
+from strata.operators.joins import join_like
+from strata.operators.lognormal import lognormal_ci
 from strata.operators.payment_history import (
     php_periods, php_updates, with_late_flag, with_loan_stats, with_positions, with_status_byte,
 )
-from strata.operators.report import cx6_updates, final_report, manual_review, update_strings
+from strata.operators.report import (
+    cx6_updates, final_report, manual_review, report_cx6_strings, report_rows, update_strings,
+)
+from strata.operators.textrows import kv_parse, ragged_union
+from strata.operators.validation import non_passing, validation_notice, validation_summary
 from strata.plans import fixtures as fx
+from strata.plans.report_job import read_report, write_report
+from strata.session import scratch_path
+from strata.sources.json import scan_json_result
+from strata.sources.manifest import scan_manifest
+from strata.sources.reversals import normalize_reversals, run_date_frame
+from strata.sources.xml import scan_xml_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# ---- payment history and the review report -------------------------------------------
+
 def _updates(spark, sf):
     return php_updates(fx.reversal_extract(spark, sf), fx.AS_OF)
 
@@ -52,12 +72,10 @@ def q_final_report(spark, sf):
 
 
 def q_report_rows(spark, sf):
-    from strata.operators.report import report_rows
     return report_rows(_updates(spark, sf))
 
 
 def q_report_cx6_strings(spark, sf):
-    from strata.operators.report import report_cx6_strings
     return report_cx6_strings(_updates(spark, sf), fx.AS_OF)
 
 
@@ -69,134 +87,105 @@ def q_manual_review(spark, sf):
     return manual_review(_updates(spark, sf))
 
 
-# ---- extract, run date, report output -------------------------------------------------
+def q_report_roundtrip(spark, sf):
+    report = final_report(_updates(spark, sf), fx.AS_OF)
+    out = write_report(report, "Internal review copy", scratch_path(spark, "report"), "06151999")
+    return read_report(spark, out)
+
+
+# ---- extract and run date --------------------------------------------------------------
 
 def q_reversals_normalized(spark, sf):
-    from strata.sources.reversals import normalize_reversals
-    df = normalize_reversals(fx.raw_reversal_extract(spark, sf))
-    return df.select(*fx.RAW_NAMES.keys())
+    return normalize_reversals(fx.raw_reversal_extract(spark, sf)).select(*fx.RAW_NAMES.keys())
 
 
 def q_run_date(spark, sf):
-    from strata.sources.reversals import run_date_frame
     return run_date_frame(fx.run_date_table(spark, sf))
 
 
-def q_report_roundtrip(spark, sf):
-    from strata.plans.report_job import read_report, write_report
-    from strata.session import scratch_path
-    report = final_report(_updates(spark, sf), fx.AS_OF)
-    out = write_report(report, "Internal review copy", scratch_path(spark, "report"), "06151999")
-    return read_report(spark, out)
-
-
 # ---- manifests and size rollups ----------------------------------------------------------
 
 def q_size_rollup(spark, sf):
-    from strata.operators.hierarchy import size_rollup
     return size_rollup(fx.page_manifest(spark, sf), root=".", hidden="prune")
 
 
 def q_size_topk(spark, sf):
-    from strata.operators.hierarchy import size_rollup, size_topk
     return size_topk(size_rollup(fx.page_manifest(spark, sf), root=".", hidden="keep"), max_depth=2, k=10)
 
 
 def q_size_listing(spark, sf):
-    from pyspark.sql import functions as F
-    from strata.operators.hierarchy import format_listing, size_filter, size_rollup
     rollup = size_filter(size_rollup(fx.page_manifest(spark, sf), root=".", hidden="prune"), min_mb=0.01)
     tree = format_listing(rollup, "tree").withColumnRenamed("line", "line_tree")
-    mb = F.format_string("%8d MB  %s", F.ceil(F.col("bytes") / F.lit(1048576.0)).cast("long"), F.col("dir"))
     plain = format_listing(tree, "plain").withColumnRenamed("line", "line_plain")
-    return plain.withColumn("line_mb", mb)
+    return plain.withColumn("line_mb", F.format_string("%8d MB  %s", whole_mb("bytes"), F.col("dir")))
 
 
 def q_path_exclude(spark, sf):
-    from strata.operators.hierarchy import exclude_paths
     return exclude_paths(fx.page_manifest(spark, sf), fx.EXCLUDES, fx.MANIFEST_ROOT)
 
 
 def q_manifest_totals(spark, sf):
-    from strata.operators.hierarchy import exclude_paths, manifest_totals
     return manifest_totals(exclude_paths(fx.page_manifest(spark, sf), fx.EXCLUDES, fx.MANIFEST_ROOT))
 
 
 def q_running_share(spark, sf):
-    from pyspark.sql import functions as F
-    from strata.operators.hierarchy import running_share
     out = running_share(fx.page_manifest(spark, sf))
     return out.withColumns({"files_pct": F.round("files_pct", 6), "bytes_pct": F.round("bytes_pct", 6)})
 
 
 def q_manifest_scan(spark, sf):
-    from strata.sources.manifest import scan_manifest
     return scan_manifest(spark, sf).select("path", "size", "is_symlink", "kind")
 
 
 # ---- log-normal intervals --------------------------------------------------------------
 
 def _rounded_ci(df):
-    from pyspark.sql import functions as F
     return df.withColumns({
         "lower": F.round("lower", 4), "upper": F.round("upper", 4), "point_estimate": F.round("point_estimate", 4),
         "mean_log": F.round("mean_log", 6), "sd_log": F.round("sd_log", 6)})
 
 
 def q_lognormal_stats(spark, sf):
-    from strata.operators.lognormal import lognormal_ci
     li = fx.table(spark, sf, "lineitem")
     return _rounded_ci(lognormal_ci(li, ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.98))
 
 
 def q_lognormal_ci(spark, sf):
-    from strata.operators.lognormal import lognormal_ci
     return _rounded_ci(lognormal_ci(fx.table(spark, sf, "events"), "event_type", "value", 0.95))
 
 
 # ---- text lines, XML rows, JSON envelopes ------------------------------------------------
 
-def q_kv_parse(spark, sf):
-    from strata.operators.textrows import kv_parse
-    return kv_parse(fx.definition_lines(spark, sf))
+XML_ROW_SCHEMA = "_ows_ID string, _ows_Title string, _ows_Nation string"
+RECORD_SCHEMA = T.StructType([T.StructField("number", T.StringType()), T.StructField("state", T.StringType())])
 
 
-XML_ROW_SCHEMA = "_ows_ID string, _ows_Title string, _ows_Nation string"
+def q_kv_parse(spark, sf):
+    return kv_parse(fx.definition_lines(spark, sf))
 
 
 def q_xml_rows(spark, sf):
-    from strata.session import scratch_path
-    from strata.sources.xml import scan_xml_rows
     out = scratch_path(spark, "xml")
     fx.supplier_xml_documents(spark, sf).select("value").write.text(out)
     return scan_xml_rows(spark, out, "z:row", schema=XML_ROW_SCHEMA)
 
 
 def q_ragged_union(spark, sf):
-    from pyspark.sql import functions as F
-    from strata.operators.textrows import ragged_union
     s = fx.table(spark, sf, "supplier")
     ident = [F.col("s_suppkey").cast("string").alias("ows_ID"), F.col("s_name").alias("ows_Title")]
-    with_nation = s.where(F.col("s_nationkey") != 0).select(*ident, F.col("s_nationkey").cast("string").alias("ows_Nation"))
-    without = s.where(~(F.col("s_nationkey") != 0) | F.col("s_nationkey").isNull()).select(*ident)
+    has_nation = F.coalesce(F.col("s_nationkey") != 0, F.lit(False))
+    with_nation = s.where(has_nation).select(*ident, F.col("s_nationkey").cast("string").alias("ows_Nation"))
+    without = s.where(~has_nation).select(*ident)
     return ragged_union(without, with_nation)
 
 
-RECORD_SCHEMA = "number string, state string"
-
-
 def q_json_result(spark, sf):
-    from pyspark.sql import types as T
-    from strata.session import scratch_path
-    from strata.sources.json import scan_json_result
     out = scratch_path(spark, "json")
     fx.order_envelopes(spark, sf).select("body").write.text(out)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("number", "state")])
-    return scan_json_result(spark, out, schema, limit=fx.RECORDS_PER_ENVELOPE)
+    return scan_json_result(spark, out, RECORD_SCHEMA, limit=fx.RECORDS_PER_ENVELOPE)
 
 
 def q_json_props(spark, sf):
-    from pyspark.sql import functions as F
     e = fx.table(spark, sf, "events")
     return e.select("event_id", F.from_json("props", "k bigint").alias("p")).select("event_id", "p.k")
 
@@ -204,22 +193,18 @@ def q_json_props(spark, sf):
 # ---- validation, joins -------------------------------------------------------------------
 
 def q_validation_summary(spark, sf):
-    from strata.operators.validation import validation_summary
     return validation_summary(fx.validation_results(spark, sf))
 
 
 def q_non_passing(spark, sf):
-    from strata.operators.validation import non_passing
     return non_passing(fx.validation_results(spark, sf)).drop("event_id")
 
 
 def q_validation_notice(spark, sf):
-    from strata.operators.validation import validation_notice
     return validation_notice(fx.validation_results(spark, sf), rows_per_part=100, row_key="event_id")
 
 
 def q_join_like(spark, sf):
-    from strata.operators.joins import join_like
     part = fx.table(spark, sf, "part").select("p_partkey", "p_name")
     li = fx.table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
     return join_like(part, li, "p_partkey", "l_partkey", "p_name", "red").select(
@@ -239,9 +224,9 @@ def queries() -> dict[str, Query]:
         "report_cx6_strings": q_report_cx6_strings,
         "update_strings": q_update_strings,
         "manual_review": q_manual_review,
+        "report_roundtrip": q_report_roundtrip,
         "reversals_normalized": q_reversals_normalized,
         "run_date": q_run_date,
-        "report_roundtrip": q_report_roundtrip,
         "size_rollup": q_size_rollup,
         "size_topk": q_size_topk,
         "size_listing": q_size_listing,
