@@ -46,24 +46,40 @@ def validation_notice(df: DataFrame, rows_per_part: int = 1000, row_key: str | N
     them over parts; without it a hash of the row is used.
     """
     key = F.col(row_key).cast("long") if row_key else F.xxhash64("process", "test_name", "status", "detail")
-    summary = validation_summary(df).where((F.col("total") - F.col(PASS)) > 0)
-    bad = non_passing(df).withColumn("_key", key)
-    n_parts = F.ceil((F.col("total") - F.col(PASS)) / F.lit(float(rows_per_part))).cast("long")
-    sized = summary.select("process", n_parts.alias("_parts"))
+    # One struct-valued summary read by both branches, so the plans under its
+    # exchange are identical and AQE reuses the aggregate instead of redoing it.
+    st = F.col("status")
+    summary = df.groupBy("process").agg(F.struct(
+        *[F.count(F.when(st == s, 1)).alias(s) for s in STATUSES],
+        F.count(F.when(~st.isin(*STATUSES) | st.isNull(), 1)).alias("other"),
+        F.count(F.lit(1)).alias("total")).alias("_s"))
+    bad_count = F.col("_s.total") - F.col(f"_s.{PASS}")
+    summary = summary.where(bad_count > 0).withColumn(
+        "_parts", F.ceil(bad_count / F.lit(float(rows_per_part))).cast("long"))
+
     row_html = F.concat(
-        F.lit("<tr class=\""), html_escape(F.coalesce(F.col("status"), F.lit(""))), F.lit("\">"),
-        _cell(F.col("test_name")), _cell(F.col("status")), _cell(F.col("detail")), F.lit("</tr>"))
-    parted = bad.join(sized, "process").select(
+        F.lit("<tr class=\""), html_escape(F.coalesce(st, F.lit(""))), F.lit("\">"),
+        _cell(F.col("test_name")), _cell(st), _cell(F.col("detail")), F.lit("</tr>"))
+    # null-safe: a NULL process still gets its rows (and no filter is inferred
+    # that would make this branch's summary differ from the other one)
+    sized = summary.select(F.col("process").alias("_proc"), "_parts")
+    parted = non_passing(df).withColumn("_key", key).join(
+        sized, F.col("process").eqNullSafe(F.col("_proc"))).select(
         "process", (F.pmod(F.col("_key"), F.col("_parts")) + 1).alias("part"),
         F.struct(F.col("test_name"), F.col("_key"), row_html.alias("h")).alias("_r"))
     body = parted.groupBy("process", "part").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("_r")), lambda r: r["h"]), "").alias("html"))
+
     head_html = F.concat(
-        F.lit(NOTICE_OPEN), html_escape(F.col("process").cast("string")), F.lit("</b></p><h3>Summary:</h3>"),
+        F.lit(NOTICE_OPEN), html_escape(F.coalesce(F.col("process").cast("string"), F.lit(""))),
+        F.lit("</b></p><h3>Summary:</h3>"),
         F.lit("<table><tr><th>status</th><th>count</th></tr>"),
-        *[F.concat(F.lit(f"<tr><td>{s}</td><td>"), F.col(s).cast("string"), F.lit("</td></tr>")) for s in STATUSES],
-        F.concat(F.lit("<tr><td>other</td><td>"), F.col("other").cast("string"), F.lit("</td></tr>")),
+        *[F.concat(F.lit(f"<tr><td>{s}</td><td>"), F.col(f"_s.{s}").cast("string"), F.lit("</td></tr>"))
+          for s in (*STATUSES, "other")],
         F.lit("</table><table><tr><th>test_name</th><th>status</th><th>detail</th></tr>"))
-    head = summary.select("process", F.lit(0).cast("long").alias("part"), head_html.alias("html"))
-    tail = summary.select("process", (n_parts + 1).alias("part"), F.lit(NOTICE_CLOSE).alias("html"))
-    return head.unionByName(body.withColumn("part", F.col("part").cast("long"))).unionByName(tail)
+    # head (part 0) and tail (part P+1) of each notice from one pass over the summary
+    ends = summary.select("process", F.explode(F.array(
+        F.struct(F.lit(0).cast("long").alias("part"), head_html.alias("html")),
+        F.struct((F.col("_parts") + 1).alias("part"), F.lit(NOTICE_CLOSE).alias("html")))).alias("_e"))
+    return ends.select("process", "_e.part", "_e.html").unionByName(
+        body.withColumn("part", F.col("part").cast("long")))

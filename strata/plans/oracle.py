@@ -392,7 +392,7 @@ def _esc(x: str) -> str:
 
 def _notice_sql(rows_per_part: int) -> str:
     from strata.operators.validation import NOTICE_CLOSE, NOTICE_OPEN
-    head = (f"'{NOTICE_OPEN}' || {_esc('process')} || '</b></p><h3>Summary:</h3>'"
+    head = (f"'{NOTICE_OPEN}' || {_esc("coalesce(process, '')")} || '</b></p><h3>Summary:</h3>'"
             " || '<table><tr><th>status</th><th>count</th></tr>'"
             " || '<tr><td>pass</td><td>' || CAST(pass AS VARCHAR) || '</td></tr>'"
             " || '<tr><td>fail</td><td>' || CAST(fail AS VARCHAR) || '</td></tr>'"

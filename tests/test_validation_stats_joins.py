@@ -39,6 +39,13 @@ def test_notice_parts_reassemble(spark):
     assert max(p for p, _ in by["p1"]) == 3  # head, two row parts, tail
 
 
+def test_notice_null_process_keeps_rows(spark):
+    df = spark.createDataFrame(RESULTS + [(None, "t_x", "fail", "orphan", 7)], SCHEMA)
+    doc = "".join(r.html for r in sorted(validation_notice(df, row_key="rid").where("process IS NULL").collect(),
+                                          key=lambda r: r.part))
+    assert "orphan" in doc and doc.endswith(NOTICE_CLOSE)
+
+
 def test_notice_parts_bounded(spark):
     v = fx.validation_results(spark, SF01)
     parts = validation_notice(v, rows_per_part=50, row_key="event_id")
