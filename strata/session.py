@@ -66,11 +66,16 @@ def shared_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         return conf_dir.rstrip("/")
-    ctx_dir = spark.sparkContext.getCheckpointDir()
+    try:  # classic sessions only; Spark Connect has no SparkContext
+        ctx = spark.sparkContext
+    except Exception:  # noqa: BLE001
+        ctx = None
+    ctx_dir = ctx.getCheckpointDir() if ctx is not None else None
     if ctx_dir:
         return ctx_dir.rstrip("/")
     local = tempfile.mkdtemp(prefix="strata-ckpt-", dir=os.environ.get("STRATA_SCRATCH", "/tmp"))
-    spark.sparkContext.setCheckpointDir(local)
+    if ctx is not None:
+        ctx.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 
