@@ -76,6 +76,7 @@ def shared_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="strata-ckpt-", dir=os.environ.get("STRATA_SCRATCH", "/tmp"))
     if ctx is not None:
         ctx.setCheckpointDir(local)
+        local = (ctx.getCheckpointDir() or local).rstrip("/")
     try:
         spark.conf.set("spark.checkpoint.dir", local)
     except Exception:  # noqa: BLE001 -- some deployments reject core keys at runtime
