@@ -90,6 +90,12 @@ def status_byte(status) -> Column:
     return expr
 
 
+def padded_loan_number(ln) -> Column:
+    """Loan number as text, left-padded with zeros to 10 (longer ones are cut)."""
+    c = F.col(ln) if isinstance(ln, str) else ln
+    return F.lpad(c.cast("string"), 10, "0")
+
+
 def with_status_byte(df: DataFrame) -> DataFrame:
     return df.withColumn("account_status_php_byte", status_byte("account_status"))
 
@@ -106,7 +112,7 @@ def with_positions(df: DataFrame, as_of=None) -> DataFrame:
         "php_36_original": concat_skip_null("pymt_hist_previous_2_yr", "pymt_hist_previous_1_yr",
                                             "pymt_hist_current_yr"),
         "php_start_date": F.add_months(year_start(start_year), -24),
-        "loan_number_padded": F.lpad(F.col("ln_no").cast("string"), 10, "0"),
+        "loan_number_padded": padded_loan_number("ln_no"),
         "account_status_php_byte": status_byte("account_status"),
     })
     in_period = F.col("snapshot_month").between(F.col("start_month_php"), F.col("end_month_php"))

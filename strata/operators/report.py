@@ -3,11 +3,11 @@
 ``final_report`` reproduces the report whose rows pair every reversal of a
 loan with every CX6 correction of the same loan (a loan with k rows yields k*k
 report rows).  Emitting those pairs one by one grows quadratically with a hot
-loan, so the report is returned in an exact multiset form instead: each
-distinct report row once, with ``pair_count`` = how many times it occurs.  To
-get there without materialising pairs, the CX6 side is first reduced to
-``(ln_no, cx6 string) -> count`` (map-side partial aggregation), joined to the
-rows, and the result is summed per distinct report row.
+loan, so the CX6 side is first reduced to ``(ln_no, cx6 string) -> count``
+(map-side partial aggregation) and joined to the rows: the result has one row
+per (reversal row, distinct CX6 string of its loan) with ``pair_count``, an
+exact, expandable form of the paired report.  ``report_rows`` and
+``report_cx6_strings`` give the fully factored form that holds no pair at all.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.dates import as_date, fmt_mdy, fmt_mdy_short, is_sentinel, month_diff, month_start
 from strata.functions.strings import concat_skip_null, mask_chars
-from strata.operators.payment_history import CORRECTED, BANKRUPTCY
+from strata.operators.payment_history import BANKRUPTCY, CORRECTED, padded_loan_number
 
 # History codes rewritten to ``D`` in the CX6 profile.
 CX6_MARKED = "123456JKL0"
@@ -36,6 +36,13 @@ REPORT_COLUMNS = [
 REVIEW_DEFERRAL, REVIEW_DUE_DATE, REVIEW_SOR, REVIEW_CLOSED, REVIEW_NONE, REVIEW_MULTI = (
     "Y - Deferral", "Y - Due Date", "Y - SOR PHP", "Y - Date Closed", "N", "Y - Multi")
 GRACE_DAYS = 5
+# Updates columns the row side of the report is computed from.
+REPORT_INPUTS = [
+    "pymt_tran_dt", "rev_month_snapshot", "rev_transaction_dt", "account_status", "cx6_account_status",
+    "payment_history_profile", "pymt_hist_current_yr", "new_current_yr", "update_current_yr",
+    "pymt_hist_previous_1_yr", "new_previous_1_yr", "update_prev_1_yr", "sor_dofd", "rev_aftr_30_days",
+    "has_df_tran", "has_due_date_change", "date_closed",
+]
 
 
 def cx6_columns(as_of=None) -> dict[str, Column]:
@@ -157,9 +164,13 @@ def final_report(updates: DataFrame, as_of=None, pairing: str = "loan") -> DataF
     """The 23-column review report.
 
     pairing="loan" (the reference rule): every row of a loan is paired with
-    the CX6 string of every row of the same loan; returned as distinct report
-    rows with ``pair_count``.  Rows with a NULL loan number match no CX6 row
-    and appear once with a NULL CX6 string.
+    the CX6 string of every row of the same loan.  Returned as one row per
+    (updates row, distinct CX6 string of its loan) with ``pair_count`` = the
+    number of the loan's rows giving that string; repeating each row
+    ``pair_count`` times gives the paired report exactly.  Rows with a NULL
+    loan number match no CX6 row and appear once with a NULL CX6 string.
+    The join output is the result: no shuffle after it, so AQE may split a
+    hot loan's rows over many tasks.
     pairing="row": each row with its own CX6 string, one report row per
     updates row, no join at all.
 
@@ -174,12 +185,17 @@ def final_report(updates: DataFrame, as_of=None, pairing: str = "loan") -> DataF
         return _indicators(own).select(*[F.col(f"`{c}`") for c in REPORT_COLUMNS])
     if pairing != "loan":
         raise ValueError("pairing must be 'loan' or 'row'")
-    rows = report_rows(updates)
+    # Only the raw inputs of the report columns cross the join's shuffle
+    # (dates, codes, 12-character strings); the formatted text is built after it.
+    rows = updates.select("ln_no", *REPORT_INPUTS)
     per_loan = report_cx6_strings(updates, as_of).withColumnRenamed("ln_no", "_cx6_loan") \
         .withColumnRenamed("cx6_count", "_cx6_n")
-    paired = _indicators(rows.join(per_loan, F.col("ln_no") == F.col("_cx6_loan"), "left"))
-    return (paired.groupBy(*[F.col(f"`{c}`") for c in REPORT_COLUMNS])
-            .agg(F.sum(F.coalesce(F.col("_cx6_n"), F.lit(1))).alias("pair_count")))
+    joined = rows.join(per_loan, F.col("ln_no") == F.col("_cx6_loan"), "left").withColumn(
+        "loan_number_padded", padded_loan_number("ln_no"))
+    paired = _indicators(joined.select(
+        *[c.alias(n) for n, c in _row_side_columns().items()], "What CX6 PHP string should be", "_cx6_n"))
+    return paired.select(*[F.col(f"`{c}`") for c in REPORT_COLUMNS],
+                         F.coalesce(F.col("_cx6_n"), F.lit(1)).cast("long").alias("pair_count"))
 
 
 def report_rows(updates: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def _md(a: str, b: str) -> str:
 # The whole payment-history chain as CTEs over ``src`` (F1 columns).
 PHP_CTES = f"""
 src_k AS ({F1_SQL}),
-src AS (SELECT {F1_COLUMNS} FROM src_k),
+src AS (SELECT _k, {F1_COLUMNS} FROM src_k),
 inner_periods AS (
   SELECT ln_no, rev_month_snapshot, rev_ss_month, rev_transaction_dt, MIN(pymt_ss_month) AS first_month
   FROM src GROUP BY ln_no, rev_month_snapshot, rev_ss_month, rev_transaction_dt),
@@ -167,7 +167,7 @@ report_cols AS (
          WHEN payment_history_profile <> cx6_should_be THEN 'Y' ELSE 'N' END AS php_ind
   FROM report_src),
 report_pairs AS (
-  SELECT
+  SELECT _k,
     concat('51', loan_number_padded) AS "CX6 Account Number",
     strftime(pymt_tran_dt, '%m/%d/%Y') AS "PMT_TRANSACTION_DT",
     strftime(rev_month_snapshot, '%m/%d/%Y') AS "Impacted_Snapshot",
@@ -192,7 +192,7 @@ report_pairs AS (
     {UPDATE_STRINGS_SQL},
     {REVIEW_SQL} AS "Requires_Manual_Review"
   FROM report_cols)
-SELECT *, COUNT(*) AS pair_count FROM report_pairs GROUP BY ALL
+SELECT * EXCLUDE (_k) FROM (SELECT *, COUNT(*) AS pair_count FROM report_pairs GROUP BY ALL)
 """
 
 
