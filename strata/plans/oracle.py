@@ -416,6 +416,9 @@ UNION ALL SELECT process, parts + 1 AS part, '{NOTICE_CLOSE}' AS html FROM b"""
 def text_queries() -> dict[str, str]:
     return {
         "kv_parse": KV_PARSE_SQL,
+        "line_classes": (f"SELECT regexp_extract(url, '{_HOST_RE}', 1) AS file, page_id AS line_no, url AS line, "
+                         "regexp_matches(url, '^WEB', 'i') AS is_web, regexp_matches(url, '^http', 'i') AS is_url "
+                         "FROM pages"),
         "xml_rows": SUPPLIER_ROWS_SQL,
         "ragged_union": SUPPLIER_ROWS_SQL,
         "json_result": "SELECT CAST(o_orderkey AS VARCHAR) AS number, o_orderstatus AS state FROM orders",

@@ -22,7 +22,7 @@ from strata.operators.payment_history import (
 from strata.operators.report import (
     cx6_updates, final_report, manual_review, report_cx6_strings, report_rows, update_strings,
 )
-from strata.operators.textrows import kv_parse, ragged_union
+from strata.operators.textrows import classify_lines, kv_parse, ragged_union
 from strata.operators.validation import non_passing, validation_notice, validation_summary
 from strata.plans import fixtures as fx
 from strata.plans.report_job import read_report, write_report
@@ -164,6 +164,10 @@ def q_kv_parse(spark, sf):
     return kv_parse(fx.definition_lines(spark, sf))
 
 
+def q_line_classes(spark, sf):
+    return classify_lines(fx.definition_lines(spark, sf))
+
+
 def q_xml_rows(spark, sf):
     out = scratch_path(spark, "xml")
     fx.supplier_xml_documents(spark, sf).select("value").write.text(out)
@@ -237,6 +241,7 @@ def queries() -> dict[str, Query]:
         "lognormal_stats": q_lognormal_stats,
         "lognormal_ci": q_lognormal_ci,
         "kv_parse": q_kv_parse,
+        "line_classes": q_line_classes,
         "xml_rows": q_xml_rows,
         "ragged_union": q_ragged_union,
         "json_result": q_json_result,
