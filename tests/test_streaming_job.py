@@ -71,3 +71,22 @@ def test_run_report_factored(spark):
     assert rows.count() == raw.count()
     pairs = rows.join(strings, "ln_no", "left").agg(F.sum(F.coalesce("cx6_count", F.lit(1)))).first()[0]
     assert pairs == _expected(spark, raw).agg(F.sum("pair_count")).first()[0]
+
+
+def test_stream_batch_with_two_runs_keeps_runs_apart(spark):
+    raw = fx.raw_reversal_extract(spark, SF001)
+    base = tempfile.mkdtemp(prefix="stream2-", dir="/tmp")
+    landing = f"{base}/landing"
+    os.makedirs(landing)
+    halves = (raw.where(F.col("LN_NO") < 100), raw.where(F.col("LN_NO") >= 100))
+    for i, (part_df, run) in enumerate(zip(halves, ("19990101", "19990201"))):
+        part_df.coalesce(1).write.parquet(f"{base}/t{i}")
+        f = [x for x in os.listdir(f"{base}/t{i}") if x.endswith(".parquet")][0]
+        os.link(f"{base}/t{i}/{f}", f"{landing}/extract_{run}.parquet")
+    q = start_report_stream(spark, landing, raw.schema, f"{base}/out", f"{base}/ckpt", "label", fx.AS_OF,
+                            files_per_trigger=2, available_now=True)
+    q.awaitTermination(300)
+    for part_df, day in zip(halves, ("01011999", "02011999")):
+        got = read_report(spark, f"{base}/out/Pymt_Rev_GoFrwd_{day}")
+        want = _expected(spark, part_df)
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
