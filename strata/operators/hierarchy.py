@@ -158,25 +158,66 @@ def manifest_totals(manifest: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(files & ~link, F.col("size"))), F.lit(0)).cast("long").alias("bytes"))
 
 
+def _bucket_of(key: Column, bounds: list[tuple]) -> Column:
+    """Number of boundaries <= key, as a balanced tree of comparisons
+    (log2 of the bucket count per row).  Monotone in the key."""
+    def lit(b):
+        return F.struct(F.lit(b[0]).cast("string"), F.lit(b[1]).cast("long"), F.lit(b[2]).cast("long"))
+
+    def build(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+
+    return build(0, len(bounds))
+
+
+def _sample_bounds(keyed: DataFrame, buckets: int, per_bucket: int = 20, seed: int = 7) -> list[tuple]:
+    """Up to ``buckets - 1`` boundary keys from a sample of about
+    ``buckets * per_bucket`` keys (bounded, whatever the table size)."""
+    total = keyed.count()
+    if total == 0 or buckets <= 1:
+        return []
+    fraction = min(1.0, 3.0 * buckets * per_bucket / total)
+    rows = keyed.sample(False, fraction, seed).where(F.col("path").isNotNull()) \
+        .limit(6 * buckets * per_bucket).collect()
+    keys = sorted((r["path"], r["size"] if r["size"] is not None else -(1 << 62), r["_rid"]) for r in rows)
+    if not keys:
+        return []
+    picks = {keys[(i * len(keys)) // buckets] for i in range(1, buckets)}
+    return sorted(picks)
+
+
 def running_share(manifest: DataFrame, buckets: int | None = None) -> DataFrame:
     """Per regular file in path order: files and bytes done so far and their
-    percentage of the totals (0 when the total is 0).
-
-    No global window: rows are range-partitioned on the order key into
-    ``buckets`` ranges; each range's count and bytes are summed (one row per
-    range), turned into start offsets by a window over those few rows, and
-    broadcast back; the running values are then a per-range window plus the
-    range's offset.  A row id ends the order key so even one path repeated on a
-    third of the rows splits across ranges.
+    percentage of the totals (0 when the total is 0).  A NULL size (an
+    unreadable file) counts 0 bytes.
+
+    No global window.  Rows get a bucket from boundary keys sampled from the
+    data (a bounded sample, like a range partitioner's), so each bucket is one
+    contiguous range of the order.  Per-bucket totals come from a map-side
+    partial aggregation (one row per bucket, turned into start offsets and
+    broadcast back); the rows cross one hash shuffle on the bucket, and the
+    running window then needs no further exchange.  A row id ends the
+    order key, so even one path repeated on a third of the rows is split over
+    several buckets.  The sample only affects balance, never the result.
     """
     spark = manifest.sparkSession
     if buckets is None:
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = manifest.where((F.col("kind") == "file") & ~F.coalesce(F.col("is_symlink"), F.lit(False)))
-    keyed = files.select("path", "size", F.monotonically_increasing_id().alias("_rid"))
+    # an unreadable file (NULL size) counts as a file with 0 bytes
+    keyed = files.select("path", "size", F.coalesce(F.col("size"), F.lit(0)).alias("_bytes"),
+                         F.monotonically_increasing_id().alias("_rid"))
+    bounds = _sample_bounds(keyed, buckets)
     order = ["path", "size", "_rid"]
-    ranged = keyed.repartitionByRange(buckets, *order).withColumn("_bucket", F.spark_partition_id())
-    per_bucket = ranged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_bn"), F.sum("size").alias("_bb"))
+    key = F.struct(F.col("path"), F.coalesce(F.col("size"), F.lit(-(1 << 62))), F.col("_rid"))
+    with_bucket = keyed.withColumn("_bucket", _bucket_of(key, bounds))
+    # totals per bucket: partial aggregation before its (tiny) shuffle
+    per_bucket = with_bucket.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_bn"), F.sum("_bytes").alias("_bb"))
+    # the one data shuffle: rows to their bucket
+    bucketed = with_bucket.repartition(max(1, len(bounds) + 1), "_bucket")
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = per_bucket.select(
@@ -186,11 +227,11 @@ def running_share(manifest: DataFrame, buckets: int | None = None) -> DataFrame:
         F.sum("_bn").over(everything).alias("total_files"),
         F.sum("_bb").over(everything).alias("total_bytes"))
     upto = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # ``offsets`` has one row per range (``buckets`` rows), so broadcasting it is bounded.
-    done = ranged.join(F.broadcast(offsets), "_bucket").select(
+    # ``offsets`` has one row per bucket (at most ``buckets`` rows), so broadcasting it is bounded.
+    done = bucketed.join(F.broadcast(offsets), "_bucket").select(
         "path", "size",
         (F.col("_off_n") + F.count(F.lit(1)).over(upto)).alias("files_done"),
-        (F.col("_off_b") + F.sum("size").over(upto)).alias("bytes_done"),
+        (F.col("_off_b") + F.sum("_bytes").over(upto)).alias("bytes_done"),
         "total_files", "total_bytes")
     pct = F.lit(100.0)
     return done.select(

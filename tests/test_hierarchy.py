@@ -137,14 +137,34 @@ def test_running_share_matches_sorted_walk(spark):
     assert last.files_pct == 100.0 and last.bytes_pct == 100.0 and last.bytes_done == total_b
 
 
+def test_running_share_many_buckets_and_null_sizes(spark):
+    rows = [(f"d{i % 7}/f{i:03d}", (None if i % 11 == 0 else i * 3), False, "file") for i in range(120)]
+    rows += [("d1/f005", 9, False, "file"), ("d1/f005", 9, False, "file"), (None, 4, False, "file")]
+    df = spark.createDataFrame(rows, MANIFEST_SCHEMA)
+    key = lambda r: ((r[0] is not None, r[0] or ""), -1 if r[1] is None else r[1])
+    ordered = sorted(rows, key=key)
+    want, done = [], 0
+    for i, r in enumerate(ordered):
+        done += r[1] or 0
+        want.append((r[0], r[1], i + 1, done))
+    for b in (1, 7, 64, 500):
+        got = sorted(((r.path, r.size, r.files_done, r.bytes_done) for r in running_share(df, buckets=b).collect()),
+                     key=lambda t: t[2])
+        assert got == want, b
+
+
 def test_running_share_hot_duplicate_path(spark):
     rows = [("same/p", 1, False, "file")] * 300 + [("z", 5, False, "file")]
     df = spark.createDataFrame(rows, MANIFEST_SCHEMA)
     out = running_share(df, buckets=4)
     assert sorted(r.files_done for r in out.collect()) == list(range(1, 302))
-    # the repeated path is spread over several ranges, not one task
-    ranged = df.select("path", F.monotonically_increasing_id().alias("i")).repartitionByRange(4, "path", "i")
-    assert ranged.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    # the repeated path is spread over several buckets, not one task
+    from strata.operators.hierarchy import _bucket_of, _sample_bounds
+    keyed = df.select("path", "size", F.monotonically_increasing_id().alias("_rid"))
+    bounds = _sample_bounds(keyed, 4)
+    key = F.struct(F.col("path"), F.col("size"), F.col("_rid"))
+    sizes = [r[1] for r in keyed.groupBy(_bucket_of(key, bounds)).count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 200
 
 
 def test_scan_manifest_lists_files(spark):

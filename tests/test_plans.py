@@ -29,9 +29,10 @@ def test_no_cartesian_or_nested_loop(spark, key):
 
 def test_running_share_windows_are_partitioned(spark):
     plan = _plan(ent.queries()["running_share"](spark, SF01))
-    # the only single-partition step is the window over per-range totals
+    # the only single-partition step is the window over per-bucket totals
     assert plan.count("SinglePartition") <= 1
-    assert "rangepartitioning" in plan
+    # rows cross one shuffle (to their bucket); the running window adds none
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "rangepartitioning" not in plan
 
 
 def test_hot_loan_report(spark):
