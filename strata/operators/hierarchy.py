@@ -40,18 +40,21 @@ def size_rollup(manifest: DataFrame, root: str = ".", hidden: str = "prune") ->
     """
     if hidden not in HIDDEN_MODES:
         raise ValueError(f"hidden must be one of {HIDDEN_MODES}")
-    comps = _components()
-    n = F.size(comps)
     link = F.coalesce(F.col("is_symlink"), F.lit(False))
-    deepest = F.when((F.col("kind") == "dir") & ~link, n).otherwise(n - 1)
+    bytes_ = F.when((F.col("kind") == "file") & ~link, F.col("size")).otherwise(F.lit(0)).cast("long")
+    # split each path once; the levels and directory names below reuse it
+    base = manifest.select(_components().alias("_c"), bytes_.alias("_b"),
+                           ((F.col("kind") == "dir") & ~link).alias("_is_dir"))
+    comps = F.col("_c")
+    n = F.size(comps)
+    deepest = F.when(F.col("_is_dir"), n).otherwise(n - 1)
     if hidden == "prune":
         first_hidden = F.array_position(F.transform(comps, _hidden), True)
         deepest = F.when(first_hidden > 0, F.least(deepest, (first_hidden - 1).cast("int"))).otherwise(deepest)
     levels = F.sequence(F.lit(0), deepest.cast("int"))
     if hidden == "basename":
         levels = F.filter(levels, lambda i: (i == 0) | ~_hidden(F.element_at(comps, i)))
-    bytes_ = F.when((F.col("kind") == "file") & ~link, F.col("size")).otherwise(F.lit(0)).cast("long")
-    exploded = manifest.select(comps.alias("_c"), bytes_.alias("_b"), F.explode(levels).alias("depth"))
+    exploded = base.select("_c", "_b", F.explode(levels).alias("depth"))
     d = F.col("depth")
     rel = F.array_join(F.slice(F.col("_c"), F.lit(1), d), "/")
     dir_ = F.when(d == 0, F.lit(root)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), rel))
