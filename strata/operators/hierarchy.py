@@ -153,12 +153,12 @@ def exclude_paths(manifest: DataFrame, excludes, root: str) -> DataFrame:
 
 
 def manifest_totals(manifest: DataFrame) -> DataFrame:
-    """Number of files and their total bytes (symbolic links count 0)."""
-    files = F.col("kind") == "file"
-    link = F.coalesce(F.col("is_symlink"), F.lit(False))
+    """Number of regular files (symbolic links are not files to copy) and
+    their total bytes; an unreadable file (NULL size) adds no bytes."""
+    regular = (F.col("kind") == "file") & ~F.coalesce(F.col("is_symlink"), F.lit(False))
     return manifest.agg(
-        F.count(F.when(files, 1)).alias("files"),
-        F.coalesce(F.sum(F.when(files & ~link, F.col("size"))), F.lit(0)).cast("long").alias("bytes"))
+        F.count(F.when(regular, 1)).alias("files"),
+        F.coalesce(F.sum(F.when(regular, F.col("size"))), F.lit(0)).cast("long").alias("bytes"))
 
 
 def _bucket_of(key: Column, bounds: list[tuple]) -> Column:

@@ -120,7 +120,8 @@ def test_exclusion_matches_walk(spark, manifest):
     assert got == want
     assert "y/temp" in got  # a file named like an entry stays
     tot = manifest_totals(exclude_paths(manifest, excludes, "/proj")).first()
-    assert tot.files == sum(1 for p, _, _, k in ROWS if k == "file" and p in want)
+    kept = [(p, s) for p, s, link, k in ROWS if k == "file" and not link and p in want]
+    assert (tot.files, tot.bytes) == (len(kept), sum(s for _, s in kept))
 
 
 def test_running_share_matches_sorted_walk(spark):
