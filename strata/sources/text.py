@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# LF, CRLF or a lone CR ends a line.
+LINE_END = r"(?:\r\n|\n|\r)"
+
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, line_no, line`` for every line of every file below ``path``.
 
     Definition files are small, so each is read whole (``wholetext``) and
     split into lines with ``posexplode``, which keeps the line order that a
-    plain line reader would lose.  A final line break does not start an extra
-    empty line; an empty file has no lines.
+    plain line reader would lose.  LF, CRLF and a lone CR all end a line; a
+    final line break does not start an extra empty line; an empty file has
+    no lines.
     """
     raw = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value"))
-    body = F.regexp_replace(F.col("value"), r"\r?\n\z", "")
-    parts = F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n"))
+    body = F.regexp_replace(F.col("value"), LINE_END + r"\z", "")
+    parts = F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_END))
     return raw.select("file", F.posexplode(parts).alias("pos", "line")).select(
         "file", (F.col("pos") + 1).alias("line_no"), "line")

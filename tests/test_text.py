@@ -38,6 +38,8 @@ def test_scan_lines_keeps_order(spark):
     with open(os.path.join(d, "b.iqy"), "w") as f:
         f.write("k=v\nlast")
     open(os.path.join(d, "c.iqy"), "w").close()
+    with open(os.path.join(d, "d.iqy"), "w", newline="") as f:
+        f.write("one\rtwo\r\n\nfour\r")
     rows = scan_lines(spark, d).collect()
     by_file = {}
     for r in rows:
@@ -45,6 +47,7 @@ def test_scan_lines_keeps_order(spark):
     assert sorted(by_file["a.iqy"]) == [(1, "WEB"), (2, "1"), (3, "http://x/y?z=1"), (4, "Selection=All")]
     assert sorted(by_file["b.iqy"]) == [(1, "k=v"), (2, "last")]
     assert "c.iqy" not in by_file
+    assert sorted(by_file["d.iqy"]) == [(1, "one"), (2, "two"), (3, ""), (4, "four")]
 
 
 def test_xml_rows_ragged(spark):
