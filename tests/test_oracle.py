@@ -15,6 +15,18 @@ def test_query_matches_oracle(spark, duck01, key):
     assert compare(spark, duck01, key, ent.queries()[key], sql, SF01)
 
 
+@pytest.fixture(scope="module")
+def duck001():
+    from oracle_check import duck
+    return duck(SF001)
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_query_matches_oracle_smallest(spark, duck001, key):
+    sql = ent.oracle_sql().get(key)
+    assert compare(spark, duck001, key, ent.queries()[key], sql, SF001)
+
+
 def test_every_key_but_listing_has_oracle():
     missing = set(ent.queries()) - set(ent.oracle_sql())
     assert missing == {"manifest_scan"}
