@@ -48,6 +48,11 @@ def php_periods(df: DataFrame) -> DataFrame:
 def _loan_stats(df: DataFrame) -> DataFrame:
     # One struct column, so that every consumer reads the same aggregate and
     # Spark can reuse its exchange instead of re-aggregating per branch.
+    # Grouped by ln_no, not by the null-safe join keys: the per-loan side then
+    # reaches the join through a shuffle of its own (small: one row per loan),
+    # and only a join of two shuffles lets AQE split a hot loan's partition
+    # of the row side.  Grouping on the join keys would save that small
+    # shuffle but leave a loan with a third of the rows in one task.
     return df.groupBy(F.col("ln_no").alias(_STATS_KEY)).agg(F.struct(
         F.min("pymt_ss_month").alias("start_month_php"),
         F.max("rev_ss_month").alias("end_month_php"),

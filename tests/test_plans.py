@@ -51,3 +51,38 @@ def test_hot_loan_report(spark):
     strings = report_cx6_strings(up, fx.AS_OF)
     assert strings.count() <= src.count()
     assert strings.agg(F.sum("cx6_count")).first()[0] == src.where("ln_no IS NOT NULL").count()
+
+
+def test_hot_loan_sort_merge_with_skew_split(spark):
+    """Broadcasts off (as on large data): the per-loan joins sort-merge and AQE
+    splits the hot loan's partition; the result stays exact."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        # several input partitions, as on a cluster: AQE splits a skewed
+        # partition along map outputs, so a one-task input cannot be split
+        src = fx.reversal_extract(spark, SF01).repartition(8)
+        src = src.withColumn("ln_no", F.when(F.col("ln_no") % 3 == 0, F.lit(0)).otherwise(F.col("ln_no")))
+        rep = final_report(php_updates(src, fx.AS_OF), fx.AS_OF)
+        total = rep.agg(F.sum("pair_count")).first()[0]
+        rows = rep.collect()
+        plan = rep._jdf.queryExecution().executedPlan().toString()
+        k = Counter(r.ln_no for r in src.select("ln_no").collect())
+        assert total == sum(v * v for v in k.values())
+        assert sum(r.pair_count for r in rows) == total
+        final = plan.split("== Initial Plan ==")[0]
+        assert "BroadcastHashJoin" not in final
+        # both per-loan stats joins and the pairing join split the hot loan
+        assert final.count("SortMergeJoin(skew=true)") == 3
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
