@@ -86,3 +86,61 @@ def test_hot_loan_sort_merge_with_skew_split(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+SKEW_CONF = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+
+
+def _with_conf(spark, conf, fn):
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        return fn()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def test_join_like_hot_part_splits(spark):
+    from strata.operators.joins import join_like
+
+    def run():
+        part = fx.table(spark, SF01, "part").select("p_partkey", "p_name")
+        hot = part.where(F.col("p_name").startswith("red")).agg(F.min("p_partkey")).first()[0]
+        li = fx.table(spark, SF01, "lineitem").select("l_partkey", "l_orderkey").repartition(8)
+        li = li.withColumn("l_partkey", F.when(F.col("l_orderkey") % 3 == 0, F.lit(hot)).otherwise(F.col("l_partkey")))
+        j = join_like(part, li, "p_partkey", "l_partkey", "p_name", "red")
+        n = j.count()
+        rows = j.collect()
+        final = _plan(j).split("== Initial Plan ==")[0]
+        want = li.join(part.where(F.col("p_name").startswith("red")), F.col("l_partkey") == F.col("p_partkey")).count()
+        return n, len(rows), want, final
+
+    n, got, want, final = _with_conf(spark, SKEW_CONF, run)
+    assert n == got == want
+    assert "SortMergeJoin(skew=true)" in final
+
+
+def test_validation_notice_hot_process_splits(spark):
+    from strata.operators.validation import validation_notice
+
+    def run():
+        v = fx.validation_results(spark, SF01).repartition(8)
+        v = v.withColumn("process", F.when(F.col("event_id") % 3 == 0, F.lit("hot")).otherwise(F.col("process")))
+        notice = validation_notice(v, rows_per_part=100, row_key="event_id")
+        rows = notice.collect()
+        final = _plan(notice).split("== Initial Plan ==")[0]
+        bad = v.where(~F.col("status").eqNullSafe("pass")).count()
+        return rows, final, bad
+
+    rows, final, bad = _with_conf(spark, SKEW_CONF, run)
+    assert sum(r.html.count("<tr class=") for r in rows if r.part > 0) == bad
+    assert "SortMergeJoin(skew=true)" in final
