@@ -14,7 +14,7 @@ ROWS_DATASET = "Reversals_rows"
 CX6_DATASET = "Reversals_cx6_strings"
 
 
-def report_dir(out_dir: str, run_mmddyyyy: str, prefix: str = "Pymt_Rev_GoFrwd") -> str:
+def report_dir(out_dir: str, run_mmddyyyy: str, prefix: str = "payment_reversal_report") -> str:
     return f"{out_dir.rstrip('/')}/{prefix}_{run_mmddyyyy}"
 
 

@@ -46,8 +46,8 @@ def test_stream_processes_each_landed_run(spark):
     q = start_report_stream(spark, landing, raw.schema, f"{base}/out", f"{base}/ckpt", "label", fx.AS_OF,
                             available_now=True)
     q.awaitTermination(300)
-    a = read_report(spark, f"{base}/out/Pymt_Rev_GoFrwd_05311999")
-    b = read_report(spark, f"{base}/out/Pymt_Rev_GoFrwd_06151999")
+    a = read_report(spark, f"{base}/out/payment_reversal_report_05311999")
+    b = read_report(spark, f"{base}/out/payment_reversal_report_06151999")
     assert a.exceptAll(_expected(spark, first)).count() == 0 and a.count() == _expected(spark, first).count()
     assert b.exceptAll(_expected(spark, second)).count() == 0 and b.count() == _expected(spark, second).count()
 
@@ -87,6 +87,6 @@ def test_stream_batch_with_two_runs_keeps_runs_apart(spark):
                             files_per_trigger=2, available_now=True)
     q.awaitTermination(300)
     for part_df, day in zip(halves, ("01011999", "02011999")):
-        got = read_report(spark, f"{base}/out/Pymt_Rev_GoFrwd_{day}")
+        got = read_report(spark, f"{base}/out/payment_reversal_report_{day}")
         want = _expected(spark, part_df)
         assert got.count() == want.count() and got.exceptAll(want).count() == 0

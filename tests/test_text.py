@@ -33,21 +33,21 @@ def test_kv_rules(spark, lines):
 
 def test_scan_lines_keeps_order(spark):
     d = tempfile.mkdtemp(prefix="lines-", dir="/tmp")
-    with open(os.path.join(d, "a.iqy"), "w", newline="") as f:
+    with open(os.path.join(d, "a.def"), "w", newline="") as f:
         f.write("WEB\r\n1\r\nhttp://x/y?z=1\r\nSelection=All\r\n")
-    with open(os.path.join(d, "b.iqy"), "w") as f:
+    with open(os.path.join(d, "b.def"), "w") as f:
         f.write("k=v\nlast")
-    open(os.path.join(d, "c.iqy"), "w").close()
-    with open(os.path.join(d, "d.iqy"), "w", newline="") as f:
+    open(os.path.join(d, "c.def"), "w").close()
+    with open(os.path.join(d, "d.def"), "w", newline="") as f:
         f.write("one\rtwo\r\n\nfour\r")
     rows = scan_lines(spark, d).collect()
     by_file = {}
     for r in rows:
         by_file.setdefault(os.path.basename(r.file), []).append((r.line_no, r.line))
-    assert sorted(by_file["a.iqy"]) == [(1, "WEB"), (2, "1"), (3, "http://x/y?z=1"), (4, "Selection=All")]
-    assert sorted(by_file["b.iqy"]) == [(1, "k=v"), (2, "last")]
-    assert "c.iqy" not in by_file
-    assert sorted(by_file["d.iqy"]) == [(1, "one"), (2, "two"), (3, ""), (4, "four")]
+    assert sorted(by_file["a.def"]) == [(1, "WEB"), (2, "1"), (3, "http://x/y?z=1"), (4, "Selection=All")]
+    assert sorted(by_file["b.def"]) == [(1, "k=v"), (2, "last")]
+    assert "c.def" not in by_file
+    assert sorted(by_file["d.def"]) == [(1, "one"), (2, "two"), (3, ""), (4, "four")]
 
 
 def test_xml_rows_ragged(spark):
