@@ -35,6 +35,7 @@ REPORT_COLUMNS = [
 # Manual-review outcomes.
 REVIEW_DEFERRAL, REVIEW_DUE_DATE, REVIEW_SOR, REVIEW_CLOSED, REVIEW_NONE, REVIEW_MULTI = (
     "Y - Deferral", "Y - Due Date", "Y - SOR PHP", "Y - Date Closed", "N", "Y - Multi")
+# Days after the month start that still count as that month.
 GRACE_DAYS = 5
 # Updates columns the row side of the report is computed from.
 REPORT_INPUTS = [
