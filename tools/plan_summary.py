@@ -21,6 +21,7 @@ COUNTS = [
     ("reused", r"ReusedExchange"),
     ("SMJ", r"SortMergeJoin"),
     ("BHJ", r"BroadcastHashJoin"),
+    ("SHJ", r"ShuffledHashJoin"),
     ("window", r"\bWindow \["),
     ("hash agg", r"\bHashAggregate\("),
     ("sort agg", r"\bSortAggregate\("),
