@@ -85,8 +85,15 @@ def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     keys = argv[2:]
     import __spark_entry__ as ent
-    from strata.session import get_session
-    spark = get_session("local[8]", shuffle_partitions=8)
+    if os.environ.get("PLAIN_SESSION") == "1":  # a session as a caller would build it, no strata settings
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false")
+                 .config("spark.sql.session.timeZone", os.environ.get("PLAIN_TZ", "UTC"))
+                 .config("spark.sql.ansi.enabled", os.environ.get("PLAIN_ANSI", "true")).getOrCreate())
+    else:
+        from strata.session import get_session
+        spark = get_session("local[8]", shuffle_partitions=8)
     con = duck(sf_dir)
     qs, sqls = ent.queries(), ent.oracle_sql()
     bad = []
