@@ -115,8 +115,11 @@ def update_strings(updates: DataFrame) -> DataFrame:
     return updates.select("ln_no", *[c.alias(n) for n, c in _update_string_columns().items()])
 
 
-def manual_review(updates: DataFrame) -> DataFrame:
-    return updates.select("ln_no", _review().alias("Requires_Manual_Review"))
+def manual_review(df: DataFrame) -> DataFrame:
+    """Manual-review outcome per row.  Reads extract columns only
+    (has_df_tran, has_due_date_change, pymt_hist_current_yr, date_closed,
+    rev_transaction_dt), so it runs on the extract or on the updates frame."""
+    return df.select("ln_no", _review().alias("Requires_Manual_Review"))
 
 
 def _row_side_columns() -> dict[str, Column]:
