@@ -3,7 +3,8 @@
 Records are bound by field name (a record listing its keys in another order
 still lands in the right columns).  An envelope without ``result`` fails the
 job, as a response without results is an error.  ``limit`` caps the records
-taken from each envelope (a response page), not the table.
+taken from each envelope (a response page, e.g. 100 as the fetch's page
+size), not the table; by default every record is kept.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def explode_result(df: DataFrame, column: str, record_schema: T.StructType, limi
             .select(*keep, "_r.*"))
 
 
-def scan_json_result(spark: SparkSession, path: str, record_schema: T.StructType, limit: int | None = 100,
+def scan_json_result(spark: SparkSession, path: str, record_schema: T.StructType, limit: int | None = None,
                      field: str = "result", multi_line: bool = False) -> DataFrame:
     """Read envelope files (one per line, or one document per file with
     ``multi_line``) with a declared schema and explode the records."""
