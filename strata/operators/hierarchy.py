@@ -10,6 +10,8 @@ the root (which every file reaches) never concentrates in one task.
 
 from __future__ import annotations
 
+import json
+import math
 import posixpath
 import warnings
 
@@ -161,19 +163,34 @@ def manifest_totals(manifest: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(regular, F.col("size"))), F.lit(0)).cast("long").alias("bytes"))
 
 
+MAX_BUCKETS = 1024
+_BOUND_TYPE = "array<struct<p:string,s:bigint,r:bigint>>"
+
+
 def _bucket_of(key: Column, bounds: list[tuple]) -> Column:
-    """Number of boundaries <= key, as a balanced tree of comparisons
-    (log2 of the bucket count per row).  Monotone in the key."""
-    def lit(b):
-        return F.struct(F.lit(b[0]).cast("string"), F.lit(b[1]).cast("long"), F.lit(b[2]).cast("long"))
+    """Number of boundaries <= key, by binary search.
+
+    The boundaries travel as one JSON string literal that Spark folds into a
+    constant array once, so the plan stays the same size whatever the bucket
+    count; the search is an ``aggregate`` over log2(n) + 1 steps.  ``key``
+    is ``struct(p string, s bigint, r bigint)``; monotone in the key.
+    """
+    n = len(bounds)
+    if n == 0:
+        return F.lit(0)
+    arr = F.from_json(F.lit(json.dumps([{"p": p, "s": s, "r": r} for p, s, r in bounds])), _BOUND_TYPE)
+    steps = max(1, math.ceil(math.log2(n + 1)) + 1)
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
 
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.shiftright(lo + hi, 1)
+        below = F.try_element_at(arr, mid + 1) <= key
+        narrowed = F.when(below, F.struct((mid + 1).alias("lo"), hi.alias("hi"))) \
+            .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
+        return F.when(lo < hi, narrowed).otherwise(acc)
 
-    return build(0, len(bounds))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["lo"]
 
 
 def _sample_bounds(keyed: DataFrame, buckets: int, per_bucket: int = 20, seed: int = 7) -> list[tuple]:
@@ -182,9 +199,10 @@ def _sample_bounds(keyed: DataFrame, buckets: int, per_bucket: int = 20, seed: i
     total = keyed.count()
     if total == 0 or buckets <= 1:
         return []
-    fraction = min(1.0, 3.0 * buckets * per_bucket / total)
+    target = buckets * per_bucket
+    fraction = min(1.0, 2.0 * target / total)
     rows = keyed.sample(False, fraction, seed).where(F.col("path").isNotNull()) \
-        .limit(6 * buckets * per_bucket).collect()
+        .select("path", "size", "_rid").limit(2 * target).collect()
     keys = sorted((r["path"], r["size"] if r["size"] is not None else -(1 << 62), r["_rid"]) for r in rows)
     if not keys:
         return []
@@ -197,9 +215,10 @@ def running_share(manifest: DataFrame, buckets: int | None = None) -> DataFrame:
     percentage of the totals (0 when the total is 0).  A NULL size (an
     unreadable file) counts 0 bytes.
 
-    No global window.  Rows get a bucket from boundary keys sampled from the
-    data (a bounded sample, like a range partitioner's), so each bucket is one
-    contiguous range of the order.  Per-bucket totals come from a map-side
+    No global window.  Rows get a bucket (binary search over boundary keys
+    sampled from the data -- a bounded sample, like a range partitioner's; at
+    most MAX_BUCKETS buckets), so each bucket is one contiguous range of the
+    order.  Per-bucket totals come from a map-side
     partial aggregation (one row per bucket, turned into start offsets and
     broadcast back); the rows cross one hash shuffle on the bucket, and the
     running window then needs no further exchange.  A row id ends the
@@ -209,13 +228,15 @@ def running_share(manifest: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = manifest.sparkSession
     if buckets is None:
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, min(buckets, MAX_BUCKETS))
     files = manifest.where((F.col("kind") == "file") & ~F.coalesce(F.col("is_symlink"), F.lit(False)))
     # an unreadable file (NULL size) counts as a file with 0 bytes
     keyed = files.select("path", "size", F.coalesce(F.col("size"), F.lit(0)).alias("_bytes"),
                          F.monotonically_increasing_id().alias("_rid"))
     bounds = _sample_bounds(keyed, buckets)
     order = ["path", "size", "_rid"]
-    key = F.struct(F.col("path"), F.coalesce(F.col("size"), F.lit(-(1 << 62))), F.col("_rid"))
+    key = F.struct(F.col("path").alias("p"), F.coalesce(F.col("size"), F.lit(-(1 << 62))).alias("s"),
+                   F.col("_rid").alias("r"))
     with_bucket = keyed.withColumn("_bucket", _bucket_of(key, bounds))
     # totals per bucket: partial aggregation before its (tiny) shuffle
     per_bucket = with_bucket.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_bn"), F.sum("_bytes").alias("_bb"))

@@ -148,7 +148,7 @@ def test_running_share_many_buckets_and_null_sizes(spark):
     for i, r in enumerate(ordered):
         done += r[1] or 0
         want.append((r[0], r[1], i + 1, done))
-    for b in (1, 7, 64, 500):
+    for b in (1, 7, 64, 500, 5000):
         got = sorted(((r.path, r.size, r.files_done, r.bytes_done) for r in running_share(df, buckets=b).collect()),
                      key=lambda t: t[2])
         assert got == want, b
@@ -163,7 +163,7 @@ def test_running_share_hot_duplicate_path(spark):
     from strata.operators.hierarchy import _bucket_of, _sample_bounds
     keyed = df.select("path", "size", F.monotonically_increasing_id().alias("_rid"))
     bounds = _sample_bounds(keyed, 4)
-    key = F.struct(F.col("path"), F.col("size"), F.col("_rid"))
+    key = F.struct(F.col("path").alias("p"), F.col("size").alias("s"), F.col("_rid").alias("r"))
     sizes = [r[1] for r in keyed.groupBy(_bucket_of(key, bounds)).count().collect()]
     assert len(sizes) >= 3 and max(sizes) < 200
 
