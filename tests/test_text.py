@@ -95,3 +95,21 @@ def test_json_envelope_without_result_fails(spark):
         f.write('{"result":[{"number":"D1","state":"1"}]}\n{"error":"none"}\n')
     with pytest.raises(Exception, match="No results found"):
         scan_json_result(spark, d, SCHEMA).collect()
+
+
+def test_split_line_reader_keeps_last_key_across_splits(spark):
+    d = tempfile.mkdtemp(prefix="lines-big-", dir="/tmp")
+    lines = [f"k{i % 7}=v{i}" for i in range(400)] + ["WEB=x", "tail=last"]
+    with open(os.path.join(d, "big.def"), "w") as f:
+        f.write("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")  # force many splits of one file
+    try:
+        split_df = scan_lines(spark, d, whole_files=False)
+        assert split_df.rdd.getNumPartitions() > 4
+        got = {(r.key, r.value) for r in kv_parse(split_df).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {(r.key, r.value) for r in kv_parse(scan_lines(spark, d)).collect()}
+    assert got == want
+    assert ("k0", "v399") in got and ("tail", "last") in got
