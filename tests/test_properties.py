@@ -69,3 +69,29 @@ def test_month_diff_model(spark, pairs):
     df = spark.createDataFrame(pairs, "a date, b date")
     got = [r[0] for r in df.select(month_diff("a", "b")).collect()]
     assert got == [(b.year - a.year) * 12 + b.month - a.month for a, b in pairs]
+
+
+from strata.operators.hierarchy import clean_excludes, exclude_paths  # noqa: E402
+from strata.sources.manifest import MANIFEST_SCHEMA  # noqa: E402
+from test_hierarchy import brute_excluded  # noqa: E402
+
+NAMES = ["a", "b", "src", "temp", ".git", "x"]
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(NAMES), min_size=1, max_size=4), st.sampled_from(["file", "dir"])),
+                min_size=1, max_size=40),
+       st.lists(st.one_of(st.sampled_from(NAMES),
+                          st.lists(st.sampled_from(NAMES), min_size=2, max_size=3).map("/".join),
+                          st.lists(st.sampled_from(NAMES), min_size=1, max_size=2).map(lambda p: "/root/" + "/".join(p))),
+                max_size=4))
+def test_exclusion_model(spark, entries, excludes):
+    rows = [("/".join(parts), 1, False, kind) for parts, kind in entries]
+    df = spark.createDataFrame(rows, MANIFEST_SCHEMA)
+    import warnings
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        cleaned = clean_excludes(excludes, "/root")
+        got = sorted(r.path for r in exclude_paths(df, excludes, "/root").collect())
+    want = sorted(p for p, _, _, k in rows if not brute_excluded(p, k, cleaned))
+    assert got == want
