@@ -95,3 +95,19 @@ def test_exclusion_model(spark, entries, excludes):
         got = sorted(r.path for r in exclude_paths(df, excludes, "/root").collect())
     want = sorted(p for p, _, _, k in rows if not brute_excluded(p, k, cleaned))
     assert got == want
+
+
+from strata.operators.hierarchy import size_rollup  # noqa: E402
+from test_hierarchy import brute_rollup  # noqa: E402
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(["a", "b", ".h", "c", ".git"]), min_size=1, max_size=4),
+                          st.integers(0, 1000), st.booleans(), st.sampled_from(["file", "file", "dir"])),
+                min_size=1, max_size=30),
+       st.sampled_from(["prune", "basename", "keep"]))
+def test_rollup_model(spark, entries, hidden):
+    rows = [("/".join(parts), size if kind == "file" else 0, link, kind) for parts, size, link, kind in entries]
+    df = spark.createDataFrame(rows, MANIFEST_SCHEMA)
+    got = {r.dir: (r.depth, r.bytes) for r in size_rollup(df, "root", hidden).collect()}
+    assert got == brute_rollup(rows, "root", hidden)
