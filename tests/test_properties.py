@@ -111,3 +111,39 @@ def test_rollup_model(spark, entries, hidden):
     df = spark.createDataFrame(rows, MANIFEST_SCHEMA)
     got = {r.dir: (r.depth, r.bytes) for r in size_rollup(df, "root", hidden).collect()}
     assert got == brute_rollup(rows, "root", hidden)
+
+
+from strata.operators.payment_history import _updated_history  # noqa: E402
+
+HISTORY_RULE_SQL = """
+SELECT i, CASE
+  WHEN late AND s > 1 AND e < 36 THEN substring(h, 1, s - 1)
+       || regexp_replace(substring(h, s, e - s + 1), '[^B]', 'D', 'g') || substring(h, e + 1)
+  WHEN late AND s = 1 AND e < 36 THEN regexp_replace(substring(h, 1, e), '[^B]', 'D', 'g') || substring(h, e + 1)
+  WHEN late AND s > 1 AND e = 36 THEN substring(h, 1, s - 1) || regexp_replace(substring(h, s), '[^B]', 'D', 'g')
+  WHEN late THEN regexp_replace(h, '[^B]', 'D', 'g')
+  WHEN NOT late AND pos IS NOT NULL AND b IS NOT NULL THEN CASE pos
+       WHEN 1 THEN b || substring(h, 2)
+       WHEN 36 THEN substring(h, 1, 35) || b
+       ELSE substring(h, 1, pos - 1) || b || substring(h, pos + 1) END
+  ELSE h END AS out
+FROM rows"""
+
+
+@settings(**{**SETTINGS, "max_examples": 25})
+@given(st.lists(st.tuples(st.text(alphabet="0123BDJKL", min_size=0, max_size=40), st.integers(1, 45),
+                          st.integers(-5, 36), st.one_of(st.none(), st.integers(-5, 45)),
+                          st.one_of(st.none(), st.sampled_from("0123456")), st.sampled_from([True, False, None])),
+                min_size=1, max_size=60))
+def test_history_rewrite_matches_duckdb(spark, rows):
+    import duckdb
+    import pandas as pd
+    data = [(i, h, s, e, p, b, late) for i, (h, s, e, p, b, late) in enumerate(rows)]
+    df = spark.createDataFrame(data, "i int, php_36_original string, update_start_pos int, update_end_pos int, "
+                                     "snapshot_php_position int, account_status_php_byte string, has_late_reversal boolean")
+    got = {r.i: r.out for r in df.select("i", _updated_history().alias("out")).collect()}
+    con = duckdb.connect()
+    con.register("rows", pd.DataFrame(data, columns=["i", "h", "s", "e", "pos", "b", "late"]).astype(
+        {"pos": "Int64", "late": "boolean"}))
+    want = dict(con.execute(HISTORY_RULE_SQL).fetchall())
+    assert got == want
