@@ -147,3 +147,42 @@ def test_history_rewrite_matches_duckdb(spark, rows):
         {"pos": "Int64", "late": "boolean"}))
     want = dict(con.execute(HISTORY_RULE_SQL).fetchall())
     assert got == want
+
+
+from strata.operators.report import cx6_columns  # noqa: E402
+
+CX6_RULE_SQL = """
+SELECT i,
+  CASE WHEN php IS NULL THEN NULL
+       WHEN datediff('month', st, fd) <= 1 THEN php
+       ELSE regexp_replace(substring(php, 1, datediff('month', st, fd) - 1), '[123456JKL0]', 'D', 'g')
+            || substring(php, datediff('month', st, fd)) END AS upd,
+  CASE WHEN NOT late AND php IS NOT NULL AND snap <= DATE '1999-06-06' AND left(php, 1) <> 'B'
+       THEN b || substring(php, 2) END AS acc
+FROM rows"""
+
+
+@settings(**{**SETTINGS, "max_examples": 20})
+@given(st.lists(st.tuples(st.one_of(st.none(), st.text(alphabet="0123456BDJKL", min_size=0, max_size=30)),
+                          st.one_of(st.none(), st.dates(dt.date(1995, 1, 1), dt.date(2001, 12, 1))),
+                          st.dates(dt.date(1995, 1, 1), dt.date(2001, 12, 1)),
+                          st.dates(dt.date(1999, 5, 1), dt.date(1999, 7, 1)),
+                          st.sampled_from([True, False, None]), st.one_of(st.none(), st.sampled_from("0123456"))),
+                min_size=1, max_size=60))
+def test_cx6_rewrite_matches_duckdb(spark, rows):
+    import duckdb
+    import pandas as pd
+    data = [(i, php, st_, fd, snap, late, b) for i, (php, st_, fd, snap, late, b) in enumerate(rows)]
+    df = spark.createDataFrame(data, "i int, payment_history_profile string, start_month_php date, file_date date, "
+                                     "rev_month_snapshot date, has_late_reversal boolean, account_status_php_byte string")
+    cols = cx6_columns(dt.date(1999, 6, 15))
+    df = df.withColumn("months_between", cols["months_between"])
+    got = {r.i: (r.upd, r.acc) for r in df.select("i", cols["cx6_php_updated"].alias("upd"),
+                                                   cols["cx6_accurate_php_updated"].alias("acc")).collect()}
+    con = duckdb.connect()
+    pdf = pd.DataFrame(data, columns=["i", "php", "st", "fd", "snap", "late", "b"])
+    for c in ("st", "fd", "snap"):
+        pdf[c] = pd.to_datetime(pdf[c]).dt.date
+    con.register("rows", pdf.astype({"late": "boolean"}))
+    want = {i: (u, a) for i, u, a in con.execute(CX6_RULE_SQL).fetchall()}
+    assert got == want
