@@ -186,3 +186,30 @@ def test_cx6_rewrite_matches_duckdb(spark, rows):
     con.register("rows", pdf.astype({"late": "boolean"}))
     want = {i: (u, a) for i, u, a in con.execute(CX6_RULE_SQL).fetchall()}
     assert got == want
+
+
+from strata.operators.report import manual_review  # noqa: E402
+from strata.plans.oracle import REVIEW_SQL  # noqa: E402
+
+
+@settings(**{**SETTINGS, "max_examples": 15})
+@given(st.lists(st.tuples(st.sampled_from(["Yes", "No", "Maybe", None]), st.sampled_from(["Yes", "No", None]),
+                          st.one_of(st.none(), st.just("000000000000")),
+                          st.one_of(st.none(), st.dates(dt.date(1998, 1, 1), dt.date(1999, 12, 31))),
+                          st.dates(dt.date(1998, 1, 1), dt.date(1999, 12, 31))),
+                min_size=1, max_size=60))
+def test_manual_review_matches_duckdb(spark, rows):
+    import duckdb
+    import pandas as pd
+    data = [(i, a, b, c, d, e) for i, (a, b, c, d, e) in enumerate(rows)]
+    df = spark.createDataFrame(data, "ln_no long, has_df_tran string, has_due_date_change string, "
+                                     "pymt_hist_current_yr string, date_closed date, rev_transaction_dt date")
+    got = {r.ln_no: r.Requires_Manual_Review for r in manual_review(df).collect()}
+    pdf = pd.DataFrame(data, columns=["ln_no", "has_df_tran", "has_due_date_change", "pymt_hist_current_yr",
+                                      "date_closed", "rev_transaction_dt"])
+    for c in ("date_closed", "rev_transaction_dt"):
+        pdf[c] = pd.to_datetime(pdf[c]).dt.date
+    con = duckdb.connect()
+    con.register("rows", pdf)
+    want = dict(con.execute(f"SELECT ln_no, {REVIEW_SQL} FROM rows").fetchall())
+    assert got == want
