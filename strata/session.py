@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -63,9 +63,11 @@ def get_session(master: str | None = None, app_name: str = "strata",
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for written intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only
-    when neither is set -- local tests -- a fresh local folder is created and
-    registered, so that later calls agree.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  On a
+    cluster one of them must be set: a machine-local folder would hold only
+    that machine's part files, so there is no fallback and this raises.  Only
+    a ``local[...]`` session -- one process, as in tests -- gets a fresh folder
+    of its own, registered so that later calls agree.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -77,15 +79,10 @@ def shared_dir(spark: SparkSession) -> str:
     ctx_dir = ctx.getCheckpointDir() if ctx is not None else None
     if ctx_dir:
         return ctx_dir.rstrip("/")
-    local = tempfile.mkdtemp(prefix="strata-ckpt-", dir=os.environ.get("STRATA_SCRATCH", "/tmp"))
-    if ctx is not None:
-        ctx.setCheckpointDir(local)
-        local = (ctx.getCheckpointDir() or local).rstrip("/")
-    try:
-        spark.conf.set("spark.checkpoint.dir", local)
-    except Exception:  # noqa: BLE001 -- some deployments reject core keys at runtime
-        pass
-    return local
+    if ctx is None or not re.fullmatch(r"local(\[[^\]]*\])?", ctx.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    ctx.setCheckpointDir(os.path.join(os.environ.get("STRATA_SCRATCH", "/tmp"), f"strata-ckpt-{uuid.uuid4().hex[:12]}"))
+    return ctx.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
