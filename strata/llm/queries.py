@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import exact_dedup, simhash
+from strata.llm import exact_dedup, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_packing": packing.op3_packing,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     }
 
