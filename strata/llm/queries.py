@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import exact_dedup, packing, simhash
+from strata.llm import exact_dedup, mixing, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_packing": packing.op3_packing,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
@@ -19,5 +20,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mixing": mixing.OP1_SQL,
         "op2_exact_dedup": exact_dedup.OP2_SQL,
     }
