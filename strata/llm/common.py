@@ -48,3 +48,23 @@ def keep_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
     hit = docs.withColumn(name, key).join(kept, name, "left_semi")
     nth = F.row_number().over(Window.partitionBy(name).orderBy(name))
     return hit.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+
+
+def hash_sample(rows: DataFrame, group: str, size: int) -> list:
+    """At most ``size`` rows (collected) of each value of ``group``: those whose
+    doc_id hashes lowest.  Rows above a group's share of the hash range are
+    dropped where they are read, so no group is gathered or shuffled."""
+    top = 1 << 31
+    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}  # one row a group
+    if not counts:
+        return []
+    # a fifth more than wanted and some: fewer than wanted would pass only rarely, and that is no harm
+    limits = F.coalesce(*[F.when(F.col(group).eqNullSafe(F.lit(g)), F.lit(min(top, int(top * (1.2 * size + 50) / n))))
+                          for g, n in counts.items()])
+    hashed = rows.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(top))).where(F.col("_h") < limits)
+    kept, taken = [], {g: 0 for g in counts}
+    for row in sorted(hashed.collect(), key=lambda r: (r["_h"], *map(str, r))):
+        if taken[row[group]] < size:
+            taken[row[group]] += 1
+            kept.append(row)
+    return kept

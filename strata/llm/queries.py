@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import exact_dedup, mixing, packing, quality, simhash, url_filter
+from strata.llm import exact_dedup, language, mixing, packing, quality, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.op3_packing,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op8_quality_classifier": quality.op8_quality_classifier,
+        "op9_language_id": language.op9_language_id,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
