@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import exact_dedup, language, licenses, mixing, packing, quality, simhash, url_filter
+from strata.llm import exact_dedup, language, licenses, mixing, packing, quality, simhash, spotsigs, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_packing": packing.op3_packing,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+        "op6_document_fingerprints": spotsigs.op6_document_fingerprints,
         "op7_license_scan": licenses.op7_license_scan,
         "op8_quality_classifier": quality.op8_quality_classifier,
         "op9_language_id": language.op9_language_id,
