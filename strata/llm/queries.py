@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import exact_dedup, language, licenses, mixing, packing, quality, simhash, spotsigs, url_filter
+from strata.llm import exact_dedup, language, licenses, mixing, packing, quality, simhash, spotsigs, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": mixing.op1_mixing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_packing": packing.op3_packing,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op6_document_fingerprints": spotsigs.op6_document_fingerprints,
         "op7_license_scan": licenses.op7_license_scan,
