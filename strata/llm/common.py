@@ -44,10 +44,10 @@ def keep_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key is in ``kept`` (its one column), one row a
     key.  The join's partitioning and order serve the window as well, so the
     texts move once."""
-    name = kept.columns[0]
-    hit = docs.withColumn(name, key).join(kept, name, "left_semi")
+    name = "__llm_key"  # apart from any column of the documents
+    hit = docs.withColumn(name, key).join(kept.toDF(name), name, "left_semi")
     nth = F.row_number().over(Window.partitionBy(name).orderBy(name))
-    return hit.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    return hit.withColumn("__llm_nth", nth).where("__llm_nth = 1").select(*docs.columns)
 
 
 def hash_sample(rows: DataFrame, group: str, size: int) -> list:

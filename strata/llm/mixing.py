@@ -150,12 +150,14 @@ def _mixed(sized: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them, with all their columns: a row for
     each time.  Documents without words are never taken."""
-    key = row_key(F.col("doc_id").cast("long"), F.concat_ws(":", F.col("_size").cast("string"), _key()))
-    times = (weighted_fair_mix(docs).where("times > 0").withColumnRenamed("size", "_size")
-             .select(key.alias("_key"), "times").distinct())
-    taken = docs.withColumn("_size", _size()).withColumn("_key", key).join(times, "_key")
-    return (taken.withColumn("_turn", F.explode(F.sequence(F.lit(1), "times")))
-            .select(*docs.columns))
+    def key(size: Column) -> Column:
+        return row_key(F.col("doc_id").cast("long"), F.concat_ws(":", size.cast("string"), _key()))
+
+    times = (weighted_fair_mix(docs).where("times > 0")
+             .select(key(F.col("size")).alias("__llm_key"), F.col("times").alias("__llm_times")).distinct())
+    turns = F.explode(F.sequence(F.lit(1), "__llm_times"))
+    return (docs.withColumn("__llm_key", key(_size())).join(times, "__llm_key")
+            .withColumn("__llm_turn", turns).select(*docs.columns))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
