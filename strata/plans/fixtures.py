@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.sources.manifest import manifest_from_table
+
 # Clock used by the report fixtures.
 AS_OF = _dt.date(1999, 6, 15)
 _BASE_DAY = _dt.date(1996, 1, 1)
@@ -66,8 +68,10 @@ def _extract_with_key(orders: DataFrame) -> DataFrame:
     for i, code in enumerate(["11", "71", "78", "80", "82", "83", "84", "05"]):
         status = F.when(k % 9 == i, code) if status is None else status.when(k % 9 == i, code)
     cx6 = F.when(ln % 4 == 0, "11").when(ln % 4 == 1, "71").when(ln % 4 == 2, "80")
+    # a few loans without a number, a few with eleven digits
+    number = F.when(ln % 211 == 5, _null("bigint")).when(ln % 223 == 7, ln + 10_000_000_000).otherwise(ln)
     return o.select(
-        "_k", "ln_no",
+        "_k", number.alias("ln_no"),
         snap.alias("rev_month_snapshot"),
         F.trunc(snap, "month").alias("rev_ss_month"),
         F.date_add(base, 45).alias("rev_transaction_dt"),
@@ -146,13 +150,26 @@ URL_PATH_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)"
 
 def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one file per page; path = host + URL path without trailing '/',
-    size = length of the page text."""
+    size = length of the page text.  By page id, some lie below a hidden
+    directory, some are hidden files, links, directories, linked directories or
+    unreadable (NULL size), and some are listed by an absolute path."""
     url = F.col("url")
     path = F.regexp_replace(F.concat(F.regexp_extract(url, HOST_RE, 1), F.regexp_extract(url, URL_PATH_RE, 1)),
                             "/+$", "")
+    return manifest_from_table(page_files(spark, sf_dir, path), MANIFEST_ROOT)
+
+
+def page_files(spark: SparkSession, sf_dir: str, path: Column) -> DataFrame:
+    """The listed files of F2 as whatever walked the store would give them."""
+    i = F.col("page_id")
+    hidden = (F.when(i % 10 == 3, F.concat(F.regexp_replace(path, "/[^/]*$", ""), F.lit("/.cache/deep/"), i.cast("string")))
+              .when(i % 10 == 4, F.concat(path, F.lit("/.hidden"))).otherwise(path))
+    listed = F.when(i % 10 == 5, F.concat(F.lit(MANIFEST_ROOT + "/"), hidden)).otherwise(hidden)
+    outside = F.when(i % 97 == 41, F.concat(F.lit("/elsewhere/"), hidden)).otherwise(listed)
     return table(spark, sf_dir, "pages").select(
-        path.alias("path"), F.length("html").cast("long").alias("size"),
-        F.lit(False).alias("is_symlink"), F.lit("file").alias("kind"))
+        outside.alias("path"), F.when(i % 17 != 0, F.length("html").cast("long")).alias("size"),
+        F.when(i % 19 != 2, i % 13 == 0).alias("is_symlink"),
+        F.when(i % 23 == 6, "dir").when(i % 19 != 2, "file").alias("kind"))
 
 
 # The exclusion list of the registered exclusion query, one of
@@ -163,10 +180,13 @@ EXCLUDES = ["es", " blog.ththan.example.net/en ", "/srv/site/m.ththth.example.ne
 
 
 def definition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page URLs as definition-file lines; file = host, line_no = page id."""
+    """page URLs as definition-file lines; file = host, line_no = page id.
+    By page id, some begin with WEB, some end in ``=`` and some are parameters."""
+    i, url = F.col("page_id"), F.col("url")
+    line = (F.when(i % 11 == 0, F.concat(F.lit("Web"), url, F.lit("=1"))).when(i % 7 == 0, F.concat(url, F.lit("=")))
+            .when(i % 5 == 0, F.concat(F.lit(" key"), (i % 3).cast("string"), F.lit("\t== "), url, F.lit(" "))).otherwise(url))
     return table(spark, sf_dir, "pages").select(
-        F.regexp_extract("url", HOST_RE, 1).alias("file"), F.col("page_id").alias("line_no"),
-        F.col("url").alias("line"))
+        F.regexp_extract("url", HOST_RE, 1).alias("file"), i.alias("line_no"), line.alias("line"))
 
 
 # XML wrapper of the row documents.
@@ -230,3 +250,12 @@ def validation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("event <"), F.col("event_id").cast("string"), F.lit("> & user "),
                  F.col("user_id").cast("string")).alias("detail"),
         F.col("event_id"))
+
+
+def event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event values by type, with groups of 30, 2, 1 and 0 positive values cut out."""
+    i = F.col("event_id")
+    group = (F.when(i < 30, "thirty").when(i < 32, "two").when(i < 33, "one").when(i < 40, "none")
+             .otherwise(F.col("event_type")))
+    value = F.when((i >= 33) & (i < 40), -F.col("value")).otherwise(F.col("value"))
+    return table(spark, sf_dir, "events").select(group.alias("grp"), value.alias("value"))

@@ -1,21 +1,21 @@
-"""Independent SQL (DuckDB dialect) for each registered query.
+"""SQL (DuckDB dialect) for each registered query, written from the rules.
 
 The driver runs these on the same parquet tables (views ``orders``,
-``lineitem`` ...) and compares them with the Spark results.  They are written
-directly from the rules, with CTEs instead of the DataFrame helpers.
+``lineitem`` ...) and compares them with the Spark results.  Nothing here
+comes from the code under test: a history is a list of positions with ranges
+to copy and to mark, the review is a table of outcomes looked up by its
+inputs, and Student's t is found by bisection on Simpson sums.
 """
 
 from __future__ import annotations
 
-from strata.functions.tdist import t_quantile_sql
-
 AS_OF_SQL = "DATE '1999-06-15'"
 
 # Fixture F1 (one text for both engines); ``_k`` is the source order key.
 F1_SQL = """
 WITH fk AS (SELECT o_orderkey AS k, CAST(floor(o_orderkey/3) AS BIGINT) AS ln FROM orders),
 fb AS (SELECT k, ln, DATE '1996-01-01' + CAST(ln*37 % 1500 AS INTEGER) AS base FROM fk)
-SELECT k AS _k, ln AS ln_no,
+SELECT k AS _k, CASE WHEN ln%211=5 THEN CAST(NULL AS BIGINT) WHEN ln%223=7 THEN ln + 10000000000 ELSE ln END AS ln_no,
  base + CAST(31*(k%3) AS INTEGER) AS rev_month_snapshot,
  CAST(date_trunc('month', base + CAST(31*(k%3) AS INTEGER)) AS DATE) AS rev_ss_month,
  base + CAST(45 AS INTEGER) AS rev_transaction_dt,
@@ -43,90 +43,113 @@ F1_COLUMNS = ("ln_no, rev_month_snapshot, rev_ss_month, rev_transaction_dt, pymt
               "has_df_tran, has_due_date_change, date_closed")
 
 
-def _md(a: str, b: str) -> str:
-    return f"CAST(datediff('month', {a}, {b}) AS INTEGER)"
+# Months since year 0, so that a difference counts month boundaries.
+def _months(day: str) -> str:
+    return f"(year({day}) * 12 + month({day}))"
+
+
+def _between(a: str, b: str) -> str:
+    return f"CAST({_months(b)} - {_months(a)} AS INTEGER)"
+
+
+def _yn(condition: str) -> str:
+    return f"['N', 'Y'][1 + CAST(coalesce({condition}, false) AS INTEGER)]"
+
+
+# ---- histories as lists of positions ---------------------------------------------------
+# A new history is: the old one's positions 1..keep, then either a new code or the
+# positions mark_lo..mark_hi with everything but B marked D, then the old positions from
+# ``rest`` on.  The rules only say which positions these are.
+
+def splice_ctes(src: str, out: str, h: str) -> str:
+    """CTEs that add ``spliced`` to ``src`` (columns: ``h``, late, s, e, pos, b)."""
+    def at(start: str) -> str:  # from this position on; below 1 it counts from the end, 0 is the first
+        return f"CASE WHEN {start} >= 1 THEN {start} WHEN {start} = 0 THEN 1 ELSE greatest(1, length({h}) + {start} + 1) END"
+
+    def code(i: str) -> str:
+        return f"substring({h}, CAST({i} AS INTEGER), 1)"
+
+    return f"""
+{out}_plan AS (
+  SELECT *, CASE WHEN late THEN 'mark' WHEN late = false AND pos IS NOT NULL AND b IS NOT NULL THEN 'set' ELSE 'keep' END AS act,
+    length({h}) + 1 AS beyond FROM {src}),
+{out}_ranges AS (
+  SELECT *,
+    CASE act WHEN 'set' THEN pos - 1 WHEN 'mark' THEN s - 1 ELSE beyond - 1 END AS keep,
+    CASE WHEN act <> 'mark' THEN 1 WHEN e >= s OR e = 36 THEN s ELSE greatest(e + 1, 1) END AS mark_lo,
+    CASE WHEN act <> 'mark' THEN 0 WHEN e = 36 THEN beyond - 1 WHEN e >= s THEN e ELSE s - 1 END AS mark_hi,
+    CASE WHEN act = 'keep' OR (act = 'mark' AND e = 36) OR (act = 'set' AND pos = 36) THEN beyond
+         WHEN act = 'set' THEN {at('(pos + 1)')} ELSE {at('(e + 1)')} END AS rest
+  FROM {out}_plan),
+{out} AS (
+  SELECT *,
+    array_to_string(list_transform(range(1, keep + 1), lambda i: {code('i')}), '')
+    || CASE WHEN act = 'set' THEN b ELSE '' END
+    || array_to_string(list_transform(range(mark_lo, mark_hi + 1),
+                                      lambda i: CASE WHEN {code('i')} IN ('', 'B') THEN {code('i')} ELSE 'D' END), '')
+    || array_to_string(list_transform(range(rest, beyond), lambda i: {code('i')}), '') AS spliced
+  FROM {out}_ranges)"""
+
+
+def cx6_string_sql(php: str, months: str) -> str:
+    """All but the last positions of a profile with a marked code become D."""
+    code = f"substring({php}, CAST(i AS INTEGER), 1)"
+    return (f"CASE WHEN {months} IS NOT NULL THEN array_to_string(list_transform(range(1, length({php}) + 1), lambda i: "
+            f"CASE WHEN i < {months} AND strpos('123456JKL0', {code}) > 0 THEN 'D' ELSE {code} END), '') END")
+
+
+def cx6_accurate_sql(php: str, late: str, snapshot: str, byte: str, as_of: str) -> str:
+    return (f"CASE WHEN {late} = false AND substring({php}, 1, 1) <> 'B' "
+            f"AND {snapshot} < CAST(date_trunc('month', {as_of}) AS DATE) + 6 THEN {byte} || substring({php}, 2) END")
 
 
 # The whole payment-history chain as CTEs over ``src`` (F1 columns).
 PHP_CTES = f"""
 src_k AS ({F1_SQL}),
 src AS (SELECT _k, {F1_COLUMNS} FROM src_k),
-inner_periods AS (
-  SELECT ln_no, rev_month_snapshot, rev_ss_month, rev_transaction_dt, MIN(pymt_ss_month) AS first_month
-  FROM src GROUP BY ln_no, rev_month_snapshot, rev_ss_month, rev_transaction_dt),
-periods AS (
-  SELECT ln_no, MIN(first_month) AS start_month_php, MAX(rev_ss_month) AS end_month_php
-  FROM inner_periods GROUP BY ln_no),
+loans AS (
+  SELECT ln_no AS loan, min(pymt_ss_month) AS start_month_php, max(rev_ss_month) AS end_month_php,
+         bool_or(rev_aftr_30_days) AS has_late_reversal
+  FROM src GROUP BY ln_no),
+periods AS (SELECT loan AS ln_no, start_month_php, end_month_php FROM loans),
 step1 AS (
-  SELECT s.*, p.start_month_php, p.end_month_php,
-    CAST(date_trunc('month', CASE WHEN dayofmonth(s.rev_month_snapshot) < 6
-                                  THEN s.rev_month_snapshot - INTERVAL 1 MONTH
-                                  ELSE s.rev_month_snapshot END) AS DATE) AS snapshot_month,
-    concat(s.pymt_hist_previous_2_yr, s.pymt_hist_previous_1_yr, s.pymt_hist_current_yr) AS php_36_original,
-    CAST(date_trunc('year', CASE WHEN year(s.otod) = 1899 THEN {AS_OF_SQL} ELSE s.otod END)
-         - INTERVAL 2 YEAR AS DATE) AS php_start_date,
-    lpad(CAST(s.ln_no AS VARCHAR), 10, '0') AS loan_number_padded,
-    CASE s.account_status WHEN '11' THEN '0' WHEN '71' THEN '1' WHEN '78' THEN '2' WHEN '80' THEN '3'
-                          WHEN '82' THEN '4' WHEN '83' THEN '5' WHEN '84' THEN '6' END AS account_status_php_byte,
-    max(s.rev_aftr_30_days) OVER (PARTITION BY s.ln_no) AS has_late_reversal
-  FROM src s LEFT JOIN periods p ON s.ln_no = p.ln_no),
+  SELECT s.*, CASE WHEN ln_no IS NOT NULL THEN start_month_php END AS start_month_php,
+    CASE WHEN ln_no IS NOT NULL THEN end_month_php END AS end_month_php, has_late_reversal,
+    CAST(date_trunc('month', rev_month_snapshot - 5) AS DATE) AS snapshot_month,
+    coalesce(pymt_hist_previous_2_yr, '') || coalesce(pymt_hist_previous_1_yr, '') || coalesce(pymt_hist_current_yr, '')
+      AS php_36_original,
+    make_date(CASE year(otod) WHEN 1899 THEN year({AS_OF_SQL}) ELSE year(otod) END - 2, 1, 1) AS php_start_date,
+    CASE WHEN ln_no IS NOT NULL THEN left(CASE WHEN ln_no < 1000000000 THEN printf('%010d', ln_no)
+                                               ELSE CAST(ln_no AS VARCHAR) END, 10) END AS loan_number_padded,
+    CAST(nullif(list_position(['11', '71', '78', '80', '82', '83', '84'], account_status), 0) - 1 AS VARCHAR)
+      AS account_status_php_byte
+  FROM src s LEFT JOIN loans ON s.ln_no IS NOT DISTINCT FROM loan),
 step2 AS (
   SELECT *,
-    greatest(1, {_md('php_start_date', 'start_month_php')} + 1) AS update_start_pos,
-    least(36, {_md('php_start_date', 'end_month_php')} + 1) AS update_end_pos,
-    CASE WHEN snapshot_month >= start_month_php AND snapshot_month <= end_month_php
-         THEN {_md('php_start_date', 'snapshot_month')} + 1 END AS snapshot_php_position
+    CAST(list_max([1, {_between('php_start_date', 'start_month_php')} + 1]) AS INTEGER) AS update_start_pos,
+    CAST(list_min([36, {_between('php_start_date', 'end_month_php')} + 1]) AS INTEGER) AS update_end_pos,
+    CASE WHEN snapshot_month BETWEEN start_month_php AND end_month_php
+         THEN {_between('php_start_date', 'snapshot_month')} + 1 END AS snapshot_php_position
   FROM step1),
-step3 AS (
-  SELECT *,
-    CASE
-      WHEN has_late_reversal AND update_start_pos > 1 AND update_end_pos < 36 THEN
-        substring(php_36_original, 1, update_start_pos - 1)
-        || regexp_replace(substring(php_36_original, update_start_pos, update_end_pos - update_start_pos + 1), '[^B]', 'D', 'g')
-        || substring(php_36_original, update_end_pos + 1)
-      WHEN has_late_reversal AND update_start_pos = 1 AND update_end_pos < 36 THEN
-        regexp_replace(substring(php_36_original, 1, update_end_pos), '[^B]', 'D', 'g')
-        || substring(php_36_original, update_end_pos + 1)
-      WHEN has_late_reversal AND update_start_pos > 1 AND update_end_pos = 36 THEN
-        substring(php_36_original, 1, update_start_pos - 1)
-        || regexp_replace(substring(php_36_original, update_start_pos), '[^B]', 'D', 'g')
-      WHEN has_late_reversal THEN regexp_replace(php_36_original, '[^B]', 'D', 'g')
-      WHEN NOT has_late_reversal AND snapshot_php_position IS NOT NULL AND account_status_php_byte IS NOT NULL THEN
-        CASE snapshot_php_position
-          WHEN 1 THEN account_status_php_byte || substring(php_36_original, 2)
-          WHEN 36 THEN substring(php_36_original, 1, 35) || account_status_php_byte
-          ELSE substring(php_36_original, 1, snapshot_php_position - 1) || account_status_php_byte
-               || substring(php_36_original, snapshot_php_position + 1)
-        END
-      ELSE php_36_original
-    END AS php_36_updated
-  FROM step2),
+history AS (
+  SELECT *, has_late_reversal AS late, update_start_pos AS s, update_end_pos AS e, snapshot_php_position AS pos,
+         account_status_php_byte AS b FROM step2),
+{splice_ctes('history', 'step3', 'php_36_original')},
 updates AS (
-  SELECT *,
-    substring(php_36_updated, 1, 12) AS new_previous_2_yr,
-    substring(php_36_updated, 13, 12) AS new_previous_1_yr,
-    substring(php_36_updated, 25, 12) AS new_current_yr,
-    CASE WHEN substring(php_36_updated, 1, 12) <> pymt_hist_previous_2_yr THEN 'Y' ELSE 'N' END AS update_prev_2_yr,
-    CASE WHEN substring(php_36_updated, 13, 12) <> pymt_hist_previous_1_yr THEN 'Y' ELSE 'N' END AS update_prev_1_yr,
-    CASE WHEN substring(php_36_updated, 25, 12) <> pymt_hist_current_yr THEN 'Y' ELSE 'N' END AS update_current_yr
+  SELECT *, spliced AS php_36_updated,
+    left(spliced, 12) AS new_previous_2_yr, left(substring(spliced, 13), 12) AS new_previous_1_yr,
+    left(substring(spliced, 25), 12) AS new_current_yr,
+    {_yn('left(spliced, 12) <> pymt_hist_previous_2_yr')} AS update_prev_2_yr,
+    {_yn('left(substring(spliced, 13), 12) <> pymt_hist_previous_1_yr')} AS update_prev_1_yr,
+    {_yn('left(substring(spliced, 25), 12) <> pymt_hist_current_yr')} AS update_current_yr
   FROM step3),
-cx6_base AS (
-  SELECT u.ln_no, u.payment_history_profile, u.file_date, p.start_month_php AS payment_date,
-         {_md('p.start_month_php', 'u.file_date')} AS months_between,
-         u.has_late_reversal, u.rev_month_snapshot, u.account_status_php_byte
-  FROM updates u LEFT JOIN periods p ON u.ln_no = p.ln_no),
 cx6 AS (
-  SELECT ln_no, payment_history_profile, file_date, payment_date, months_between,
-    CASE WHEN payment_history_profile IS NULL THEN NULL
-         WHEN months_between <= 1 THEN payment_history_profile
-         ELSE regexp_replace(substring(payment_history_profile, 1, months_between - 1), '[123456JKL0]', 'D', 'g')
-              || substring(payment_history_profile, months_between)
-    END AS cx6_php_updated,
-    CASE WHEN NOT has_late_reversal AND payment_history_profile IS NOT NULL
-              AND rev_month_snapshot <= CAST(date_trunc('month', {AS_OF_SQL}) AS DATE) + 5
-              AND left(payment_history_profile, 1) <> 'B'
-         THEN account_status_php_byte || substring(payment_history_profile, 2) END AS cx6_accurate_php_updated
-  FROM cx6_base)
+  SELECT ln_no, payment_history_profile, file_date, start_month_php AS payment_date,
+    {_between('start_month_php', 'file_date')} AS months_between,
+    {cx6_string_sql('payment_history_profile', _between('start_month_php', 'file_date'))} AS cx6_php_updated,
+    {cx6_accurate_sql('payment_history_profile', 'has_late_reversal', 'rev_month_snapshot', 'account_status_php_byte', AS_OF_SQL)}
+      AS cx6_accurate_php_updated
+  FROM updates)
 """
 
 UPDATE_COLUMNS = (F1_COLUMNS + ", start_month_php, end_month_php, snapshot_month, php_36_original, "
@@ -134,65 +157,82 @@ UPDATE_COLUMNS = (F1_COLUMNS + ", start_month_php, end_month_php, snapshot_month
                   "update_start_pos, update_end_pos, snapshot_php_position, php_36_updated, new_previous_2_yr, "
                   "new_previous_1_yr, new_current_yr, update_prev_2_yr, update_prev_1_yr, update_current_yr")
 
-REVIEW_SQL = """CASE
-  WHEN has_df_tran = 'Yes' AND has_due_date_change = 'No' AND pymt_hist_current_yr IS NOT NULL
-       AND (date_closed IS NULL OR date_closed >= CAST(date_trunc('month', rev_transaction_dt) AS DATE)) THEN 'Y - Deferral'
-  WHEN has_df_tran = 'No' AND has_due_date_change = 'Yes' AND pymt_hist_current_yr IS NOT NULL
-       AND (date_closed IS NULL OR date_closed >= CAST(date_trunc('month', rev_transaction_dt) AS DATE)) THEN 'Y - Due Date'
-  WHEN has_df_tran = 'No' AND has_due_date_change = 'No' AND pymt_hist_current_yr IS NULL
-       AND (date_closed IS NULL OR date_closed >= CAST(date_trunc('month', rev_transaction_dt) AS DATE)) THEN 'Y - SOR PHP'
-  WHEN has_df_tran = 'No' AND has_due_date_change = 'No' AND pymt_hist_current_yr IS NOT NULL
-       AND date_closed IS NOT NULL AND date_closed < CAST(date_trunc('month', rev_transaction_dt) AS DATE) THEN 'Y - Date Closed'
-  WHEN has_df_tran = 'No' AND has_due_date_change = 'No' AND pymt_hist_current_yr IS NOT NULL
-       AND (date_closed IS NULL OR date_closed >= CAST(date_trunc('month', rev_transaction_dt) AS DATE)) THEN 'N'
-  ELSE 'Y - Multi' END"""
-
-UPDATE_STRINGS_SQL = """
-  CASE WHEN update_current_yr = 'Y' THEN concat(loan_number_padded, '////', pymt_hist_current_yr, '/', new_current_yr) END AS "Current Year Update",
-  CASE WHEN update_prev_1_yr = 'Y' THEN concat(loan_number_padded, '////', pymt_hist_previous_1_yr, '/', new_previous_1_yr) END AS "Previous 1 Year Update",
-  CASE WHEN sor_dofd IS NOT NULL AND year(sor_dofd) <> 1899 AND account_status = '11'
-       THEN concat(loan_number_padded, '////', strftime(sor_dofd, '%m%d%y'), '/', '0') END AS "DOFD Update"
-"""
+# Outcomes by: deferral transaction, due date change, current history present, closed before
+# the transaction's month.  Any other inputs need a review for several reasons.
+REVIEW_TABLE = {
+    "Yes|No|true|open": "Y - Deferral",
+    "No|Yes|true|open": "Y - Due Date",
+    "No|No|false|open": "Y - SOR PHP",
+    "No|No|true|closed": "Y - Date Closed",
+    "No|No|true|open": "N",
+}
+_WHEN_CLOSED = """CASE WHEN date_closed IS NULL THEN 'open'
+  WHEN _months_closed < _months_transaction THEN 'closed' WHEN _months_closed >= _months_transaction THEN 'open' END""" \
+    .replace("_months_closed", _months("date_closed")).replace("_months_transaction", _months("rev_transaction_dt"))
+REVIEW_SQL = (
+    "coalesce(map {" + ", ".join(f"'{k}': '{v}'" for k, v in REVIEW_TABLE.items()) + "}[concat_ws('|', "
+    f"coalesce(has_df_tran, '?'), coalesce(has_due_date_change, '?'), pymt_hist_current_yr IS NOT NULL, {_WHEN_CLOSED})], "
+    "'Y - Multi')")
+
+
+def _instruction(old: str, new: str) -> str:
+    return f"coalesce(loan_number_padded, '') || '////' || coalesce({old}, '') || '/' || coalesce({new}, '')"
+
+
+_REAL_DELINQUENCY = "sor_dofd IS NOT NULL AND year(sor_dofd) <> 1899"
+UPDATE_STRINGS = {
+    "Current Year Update": f"CASE update_current_yr WHEN 'Y' THEN {_instruction('pymt_hist_current_yr', 'new_current_yr')} END",
+    "Previous 1 Year Update": f"CASE update_prev_1_yr WHEN 'Y' THEN {_instruction('pymt_hist_previous_1_yr', 'new_previous_1_yr')} END",
+    "DOFD Update": (f"CASE WHEN account_status = '11' AND {_REAL_DELINQUENCY} THEN "
+                    + _instruction("strftime(sor_dofd, '%m%d%y')", "'0'") + " END"),
+}
+
+
+def _us_date(day: str) -> str:
+    return f"strftime({day}, '%m/%d/%Y')"
+
+
+# The report's columns that need one row only, by name.
+ROW_COLUMNS = {
+    "CX6 Account Number": "'51' || coalesce(loan_number_padded, '')",
+    "PMT_TRANSACTION_DT": _us_date("pymt_tran_dt"),
+    "Impacted_Snapshot": _us_date("rev_month_snapshot"),
+    "Account Status": "account_status",
+    "What Account Status Should be In Current File": "if(payment_history_profile IS NULL, '', account_status)",
+    "Account Status Update Indicator": "if(payment_history_profile IS NULL, '', " + _yn(
+        "cx6_account_status <> account_status AND rev_month_snapshot - 5 >= date_trunc('month', rev_transaction_dt)") + ")",
+    "account_sts_CX6": "cx6_account_status",
+    "payment_history_profile": "payment_history_profile",
+    "AFS Current Year String": "pymt_hist_current_yr",
+    "Updated AFS Current Year String": "new_current_yr",
+    "AFS Current Year PHP String Update Indicator": "update_current_yr",
+    "AFS Previous 1 Year String": "pymt_hist_previous_1_yr",
+    "Updated AFS Previous 1 Year String": "new_previous_1_yr",
+    "AFS Previous 1 Year PHP String Update Indicator": "update_prev_1_yr",
+    "L_CB_1ST_DLQ_DATE": _us_date("sor_dofd"),
+    "DOFD Update Indicator": _yn(f"{_REAL_DELINQUENCY} AND (coalesce(account_status = '11', false) OR coalesce(rev_aftr_30_days, false))"),
+    **UPDATE_STRINGS,
+    "Requires_Manual_Review": REVIEW_SQL,
+}
+
+
+def _named(columns: dict[str, str]) -> str:
+    return ",\n    ".join(f'{sql} AS "{name}"' for name, sql in columns.items())
+
+
+CX6_COUNTS_SQL = """SELECT ln_no, coalesce(cx6_accurate_php_updated, cx6_php_updated) AS "What CX6 PHP string should be",
+  count(*) AS cx6_count FROM cx6 WHERE ln_no IS NOT NULL GROUP BY ALL"""
 
 FINAL_REPORT_SQL = f"""WITH {PHP_CTES},
-report_src AS (
-  SELECT a.*, coalesce(b.cx6_accurate_php_updated, b.cx6_php_updated) AS cx6_should_be
-  FROM updates a LEFT JOIN cx6 b ON a.ln_no = b.ln_no),
-report_cols AS (
-  SELECT *,
-    CASE WHEN payment_history_profile IS NULL THEN ''
-         WHEN rev_month_snapshot >= CAST(date_trunc('month', rev_transaction_dt) AS DATE) + 5
-              AND cx6_account_status <> account_status THEN 'Y' ELSE 'N' END AS status_ind,
-    CASE WHEN payment_history_profile IS NULL THEN ''
-         WHEN payment_history_profile <> cx6_should_be THEN 'Y' ELSE 'N' END AS php_ind
-  FROM report_src),
-report_pairs AS (
-  SELECT _k,
-    concat('51', loan_number_padded) AS "CX6 Account Number",
-    strftime(pymt_tran_dt, '%m/%d/%Y') AS "PMT_TRANSACTION_DT",
-    strftime(rev_month_snapshot, '%m/%d/%Y') AS "Impacted_Snapshot",
-    account_status AS "Account Status",
-    CASE WHEN payment_history_profile IS NOT NULL THEN account_status ELSE '' END
-      AS "What Account Status Should be In Current File",
-    status_ind AS "Account Status Update Indicator",
-    cx6_account_status AS "account_sts_CX6",
-    cx6_should_be AS "What CX6 PHP string should be",
-    payment_history_profile,
-    php_ind AS "CX6 PHP String Update Indicator",
-    CASE WHEN status_ind = 'Y' OR php_ind = 'Y' THEN 'Y' ELSE 'N' END AS "CX6_Update_Indicator",
-    pymt_hist_current_yr AS "AFS Current Year String",
-    new_current_yr AS "Updated AFS Current Year String",
-    update_current_yr AS "AFS Current Year PHP String Update Indicator",
-    pymt_hist_previous_1_yr AS "AFS Previous 1 Year String",
-    new_previous_1_yr AS "Updated AFS Previous 1 Year String",
-    update_prev_1_yr AS "AFS Previous 1 Year PHP String Update Indicator",
-    strftime(sor_dofd, '%m/%d/%Y') AS "L_CB_1ST_DLQ_DATE",
-    CASE WHEN sor_dofd IS NOT NULL AND year(sor_dofd) <> 1899
-              AND (account_status = '11' OR rev_aftr_30_days) THEN 'Y' ELSE 'N' END AS "DOFD Update Indicator",
-    {UPDATE_STRINGS_SQL},
-    {REVIEW_SQL} AS "Requires_Manual_Review"
-  FROM report_cols)
-SELECT * EXCLUDE (_k) FROM (SELECT *, COUNT(*) AS pair_count FROM report_pairs GROUP BY ALL)
+strings AS ({CX6_COUNTS_SQL}),
+report_rows AS (SELECT ln_no, {_named(ROW_COLUMNS)} FROM updates),
+paired AS (
+  SELECT r.* EXCLUDE (ln_no), s."What CX6 PHP string should be", coalesce(s.cx6_count, 1) AS pair_count,
+    if(payment_history_profile IS NULL, '', {_yn('payment_history_profile <> s."What CX6 PHP string should be"')})
+      AS "CX6 PHP String Update Indicator"
+  FROM report_rows r LEFT JOIN strings s ON r.ln_no = s.ln_no)
+SELECT *, {_yn("'Y' IN (" + '"Account Status Update Indicator", "CX6 PHP String Update Indicator")')} AS "CX6_Update_Indicator"
+FROM paired
 """
 
 
@@ -206,7 +246,7 @@ def php_queries() -> dict[str, str]:
         "php_updates": f"WITH {PHP_CTES} SELECT {UPDATE_COLUMNS} FROM updates",
         "cx6_updates": (f"WITH {PHP_CTES} SELECT ln_no, payment_history_profile, file_date, payment_date, "
                         "months_between, cx6_php_updated, cx6_accurate_php_updated FROM cx6"),
-        "update_strings": f"WITH {PHP_CTES} SELECT ln_no, {UPDATE_STRINGS_SQL} FROM updates",
+        "update_strings": f"WITH {PHP_CTES} SELECT ln_no, {_named(UPDATE_STRINGS)} FROM updates",
         "manual_review": f"WITH {PHP_CTES} SELECT ln_no, {REVIEW_SQL} AS \"Requires_Manual_Review\" FROM updates",
         "final_report": FINAL_REPORT_SQL,
         "report_roundtrip": FINAL_REPORT_SQL,
@@ -231,24 +271,32 @@ RUN_DATE_SQL = ("SELECT CAST(max(o_orderdate) AS DATE) AS run_date, "
 
 _HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)"
 _PATH_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)"
-MANIFEST_CTE = (f"manifest AS (SELECT regexp_replace(regexp_extract(url, '{_HOST_RE}', 1) || "
-                f"regexp_extract(url, '{_PATH_RE}', 1), '/+$', '') AS path, "
-                "CAST(length(html) AS BIGINT) AS size, 'file' AS kind FROM pages)")
-
-
-def _rollup_sql(hidden: str) -> str:
-    deepest = "len(comps) - 1"
-    if hidden == "prune":
-        deepest = ("CASE WHEN list_position(list_transform(comps, lambda x: starts_with(x, '.')), true) > 0 "
-                   "THEN least(len(comps) - 1, list_position(list_transform(comps, lambda x: starts_with(x, '.')), true) - 1) "
-                   "ELSE len(comps) - 1 END")
+MANIFEST_CTE = f"""urls AS (
+  SELECT page_id AS i, length(html) AS n,
+    regexp_replace(regexp_extract(url, '{_HOST_RE}', 1) || regexp_extract(url, '{_PATH_RE}', 1), '/+$', '') AS p FROM pages),
+placed AS (
+  SELECT i, n, CASE i % 10 WHEN 3 THEN regexp_replace(p, '/[^/]*$', '') || '/.cache/deep/' || i WHEN 4 THEN p || '/.hidden' ELSE p END AS p
+  FROM urls WHERE i % 97 <> 41),
+manifest AS (
+  SELECT p AS path, CASE WHEN i % 17 <> 0 THEN CAST(n AS BIGINT) END AS size,
+    i % 19 <> 2 AND i % 13 = 0 AS is_symlink, CASE WHEN i % 23 = 6 THEN 'dir' ELSE 'file' END AS kind
+  FROM placed)"""
+
+
+def _rollup_sql(hidden: str, root: str = ".") -> str:
+    """Directories as prefixes of the paths; which are reported depends on the hidden rule."""
+    hidden_sql = {"keep": "false", "prune": "len(list_filter(dir_names, lambda x: starts_with(x, '.'))) > 0",
+                  "basename": "coalesce(starts_with(dir_names[len(dir_names)], '.'), false)"}[hidden]
     return f"""WITH {MANIFEST_CTE},
-comps AS (SELECT string_split(path, '/') AS comps, size FROM manifest),
-levels AS (SELECT comps, size, CAST(unnest(generate_series(0, {deepest})) AS INTEGER) AS depth FROM comps),
+files AS (
+  SELECT string_split(path, '/') AS names, CASE WHEN kind = 'file' AND NOT is_symlink THEN coalesce(size, 0) ELSE 0 END AS b,
+         CASE WHEN kind = 'dir' AND NOT is_symlink THEN 0 ELSE 1 END AS leaf FROM manifest),
+below AS (SELECT names[1:depth] AS dir_names, CAST(depth AS INTEGER) AS depth, b
+          FROM (SELECT names, b, unnest(range(0, len(names) - leaf + 1)) AS depth FROM files)),
 rollup AS (
-  SELECT CASE WHEN depth = 0 THEN '.' ELSE './' || array_to_string(comps[1:depth], '/') END AS dir,
-         depth, CAST(SUM(size) AS BIGINT) AS bytes
-  FROM levels GROUP BY ALL)
+  SELECT concat_ws('/', '{root}', CASE WHEN depth > 0 THEN array_to_string(dir_names, '/') END) AS dir, depth,
+         CAST(sum(b) AS BIGINT) AS bytes
+  FROM below WHERE NOT ({hidden_sql}) GROUP BY ALL)
 """
 
 
@@ -277,29 +325,25 @@ SELECT dir, depth, bytes,
 FROM rollup WHERE bytes >= {int(0.01 * 1024 * 1024)}
 """
 
+SIZE_SPACED_SQL = _rollup_sql("keep") + """
+SELECT dir, CASE WHEN bytes < 1024 THEN printf('%.1f B', bytes::DOUBLE) WHEN bytes < 1048576 THEN printf('%.1f KB', bytes / 1024.0::DOUBLE)
+       ELSE printf('%.1f MB', bytes / 1048576.0::DOUBLE) END AS size  -- the pages never reach a GB
+FROM rollup
+"""
+
 
-def _exclusion_sql(names, paths) -> str:
-    dirs = "comps[1:len(comps) - 1]"
-    cond = ["false"]
-    if names:
-        lst = ", ".join(f"'{n}'" for n in names)
-        cond.append(f"list_has_any({dirs}, [{lst}])")
-    for p in paths:
-        cond.append(f"array_to_string({dirs}, '/') = '{p}' OR starts_with(array_to_string({dirs}, '/'), '{p}/')")
-    return " OR ".join(f"({c})" for c in cond)
+# The fixture's exclusions, cleaned by hand -- blanks trimmed and dropped, the
+# absolute one relative to the root, the one outside the root gone.
+EXCLUDED_NAMES = ["es"]
+EXCLUDED_PATHS = ["blog.ththan.example.net/en", "m.ththth.example.net/en"]
 
 
 def _excluded_manifest_sql() -> str:
-    from strata.operators.hierarchy import clean_excludes
-    from strata.plans.fixtures import EXCLUDES, MANIFEST_ROOT
-    import warnings
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        cleaned = clean_excludes(EXCLUDES, MANIFEST_ROOT)
-    names = [e for e in cleaned if "/" not in e]
-    paths = [e for e in cleaned if "/" in e]
-    return (f"WITH {MANIFEST_CTE}, c AS (SELECT *, string_split(path, '/') AS comps FROM manifest), "
-            f"kept AS (SELECT path, size, kind FROM c WHERE NOT ({_exclusion_sql(names, paths)})) ")
+    dirs = "(CASE kind WHEN 'dir' THEN names ELSE names[1:len(names) - 1] END)"
+    prefixes = f"list_transform(range(1, len({dirs}) + 1), lambda k: array_to_string({dirs}[1:k], '/'))"
+    hit = f"list_has_any({dirs}, {EXCLUDED_NAMES!r}) OR list_has_any({prefixes}, {EXCLUDED_PATHS!r})"
+    return (f"WITH {MANIFEST_CTE}, c AS (SELECT *, string_split(path, '/') AS names FROM manifest), "
+            f"kept AS (SELECT path, size, is_symlink, kind FROM c WHERE NOT ({hit})) ")
 
 
 def manifest_queries() -> dict[str, str]:
@@ -310,14 +354,18 @@ def manifest_queries() -> dict[str, str]:
 SELECT dir, depth, bytes, CAST(ceil(bytes / 1048576.0) AS BIGINT) AS mb
 FROM rollup WHERE depth <= 2 ORDER BY bytes DESC, dir ASC LIMIT 10""",
         "size_listing": SIZE_LISTING_SQL,
-        "path_exclude": excl + "SELECT path, size, false AS is_symlink, kind FROM kept",
+        "size_spaced": SIZE_SPACED_SQL,
+        "path_exclude": excl + "SELECT path, size, is_symlink, kind FROM kept",
+        "manifest_table": f"WITH {MANIFEST_CTE} SELECT path, size, is_symlink, kind FROM manifest",
+        "size_rollup_basename": _rollup_sql("basename", "site") + "SELECT * FROM rollup",
         "manifest_totals": excl + ("SELECT COUNT(*) AS files, CAST(COALESCE(SUM(size), 0) AS BIGINT) AS bytes "
-                                   "FROM kept"),
+                                   "FROM kept WHERE kind = 'file' AND NOT is_symlink"),
         "running_share": f"""WITH {MANIFEST_CTE},
 r AS (SELECT path, size,
-        COUNT(*) OVER w AS files_done, SUM(size) OVER w AS bytes_done,
-        COUNT(*) OVER () AS total_files, SUM(size) OVER () AS total_bytes
-      FROM manifest WINDOW w AS (ORDER BY path, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+        COUNT(*) OVER w AS files_done, SUM(coalesce(size, 0)) OVER w AS bytes_done,
+        COUNT(*) OVER () AS total_files, SUM(coalesce(size, 0)) OVER () AS total_bytes
+      FROM manifest WHERE kind = 'file' AND NOT is_symlink
+      WINDOW w AS (ORDER BY path, size NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT path, size, files_done,
   round(CAST(100 AS DOUBLE) * files_done / total_files, 6) AS files_pct,
   CAST(bytes_done AS BIGINT) AS bytes_done,
@@ -330,23 +378,43 @@ FROM r""",
 # ---- log-normal ------------------------------------------------------------------------
 
 def _lognormal_sql(src: str, keys: list[str], value: str, level: float) -> str:
+    """Student's t with nu degrees as sqrt(nu) * tan(angle): the angle whose share of the
+    integral of cos ** (nu - 1) is the level, by 60 halvings; Simpson sums of 400 panels."""
     k = ", ".join(keys)
-    t = t_quantile_sql("n - 1", 1.0 - (1.0 - level) / 2.0)
-    return f"""WITH x AS (SELECT {k}, CASE WHEN {value} > 0 AND NOT isnan({value}) THEN ln({value}) END AS lx FROM {src}),
+    part = ("list_sum(list_transform(range(0, 401), lambda i: (CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
+            "* power(cos({to} * i / 400), nu - 1))) * {to} / 1200")
+    widest = "least(pi() / 2, 9.5 / sqrt(nu))"
+    middle = "((lo + hi) / 2)"
+    return f"""WITH RECURSIVE x AS (SELECT {k}, CASE WHEN {value} > 0 AND NOT isnan({value}) THEN ln({value}) END AS lx FROM {src}),
 s AS (SELECT {k}, COUNT(lx) AS n, AVG(lx) AS mean_log, STDDEV_SAMP(lx) AS sd_log FROM x GROUP BY {k}),
-c AS (SELECT *, {t} AS t, sd_log / sqrt(CAST(n AS DOUBLE)) AS se FROM s)
+degrees AS (SELECT DISTINCT CAST(n - 1 AS DOUBLE) AS nu FROM s WHERE n > 1),
+halved(nu, whole, lo, hi, step) AS (
+  SELECT nu, {part.format(to=widest)}, CAST(0 AS DOUBLE), {widest}, 0 FROM degrees
+  UNION ALL
+  SELECT nu, whole, CASE WHEN {part.format(to=middle)} < {level!r} * whole THEN {middle} ELSE lo END,
+         CASE WHEN {part.format(to=middle)} < {level!r} * whole THEN hi ELSE {middle} END, step + 1
+  FROM halved WHERE step < 60),
+quantiles AS (SELECT nu, sqrt(nu) * tan({middle}) AS t FROM halved WHERE step = 60),
+c AS (SELECT s.*, t, sd_log / sqrt(CAST(n AS DOUBLE)) AS se FROM s LEFT JOIN quantiles ON nu = n - 1)
 SELECT {k}, round(exp(mean_log - t * se), 4) AS lower, round(exp(mean_log + t * se), 4) AS upper,
   round(exp(mean_log), 4) AS point_estimate, CAST({level!r} AS DOUBLE) AS confidence_level, n,
   round(mean_log, 6) AS mean_log, round(sd_log, 6) AS sd_log
 FROM c"""
 
 
+EVENT_VALUES_SQL = """(
+  SELECT CASE WHEN event_id < 30 THEN 'thirty' WHEN event_id < 32 THEN 'two' WHEN event_id < 33 THEN 'one'
+              WHEN event_id < 40 THEN 'none' ELSE event_type END AS grp,
+         CASE WHEN event_id BETWEEN 33 AND 39 THEN -value ELSE value END AS value FROM events)"""
+
+
 def other_queries() -> dict[str, str]:
     out = {
         "reversals_normalized": _normalized_sql(),
         "run_date": RUN_DATE_SQL,
+        "extract_scan": "SELECT * FROM orders",
         "lognormal_stats": _lognormal_sql("lineitem", ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.98),
-        "lognormal_ci": _lognormal_sql("events", ["event_type"], "value", 0.95),
+        "lognormal_ci": _lognormal_sql(EVENT_VALUES_SQL, ["grp"], "value", 0.95),
     }
     out.update(manifest_queries())
     return out
@@ -357,13 +425,15 @@ def other_queries() -> dict[str, str]:
 # ---- text lines, XML rows, JSON --------------------------------------------------------
 
 _TRIM = "(' ' || chr(9) || chr(13) || chr(10))"
-KV_PARSE_SQL = f"""WITH lines AS (
-  SELECT regexp_extract(url, '{_HOST_RE}', 1) AS file, page_id AS line_no, url AS line FROM pages),
-c AS (SELECT file, line_no, CASE WHEN ends_with(line, '=') THEN left(line, length(line) - 1) ELSE line END AS body
-      FROM lines WHERE contains(line, '=') AND NOT regexp_matches(line, '^WEB', 'i')),
-p AS (SELECT file, line_no, trim(split_part(body, '=', 1), {_TRIM}) AS key,
-             trim(substring(body, strpos(body, '=') + 1), {_TRIM}) AS value
-      FROM c WHERE contains(body, '='))
+LINES_CTE = f"""lines AS (
+  SELECT regexp_extract(url, '{_HOST_RE}', 1) AS file, page_id AS line_no,
+    CASE WHEN page_id % 11 = 0 THEN 'Web' || url || '=1' WHEN page_id % 7 = 0 THEN url || '='
+         WHEN page_id % 5 = 0 THEN ' key' || (page_id % 3) || chr(9) || '== ' || url || ' ' ELSE url END AS line
+  FROM pages)"""
+KV_PARSE_SQL = f"""WITH {LINES_CTE},
+pieces AS (SELECT file, line_no, string_split(regexp_replace(line, '=$', ''), '=') AS ps FROM lines WHERE lower(left(line, 3)) <> 'web'),
+p AS (SELECT file, line_no, trim(ps[1], {_TRIM}) AS key, trim(array_to_string(ps[2:], '='), {_TRIM}) AS value
+      FROM pieces WHERE len(ps) > 1)
 SELECT file, key, arg_max(value, line_no) AS value FROM p WHERE key <> '' GROUP BY file, key"""
 
 SUPPLIER_ROWS_SQL = ("SELECT CAST(s_suppkey AS VARCHAR) AS ows_ID, s_name AS ows_Title, "
@@ -390,35 +460,35 @@ def _esc(x: str) -> str:
     return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
+# The texts that open and close a notice.
+NOTICE_START = ("<html><head><style>.fail { color: red; font-weight: bold; } .review { color: orange; font-weight: bold; }"
+                "</style></head><body><p>Validation tests did not all pass for process <b>")
+NOTICE_END = "</table><p>Please review the validation results and take appropriate action.</p></body></html>"
+
+
 def _notice_sql(rows_per_part: int) -> str:
-    from strata.operators.validation import NOTICE_CLOSE, NOTICE_OPEN
-    head = (f"'{NOTICE_OPEN}' || {_esc("coalesce(process, '')")} || '</b></p><h3>Summary:</h3>'"
-            " || '<table><tr><th>status</th><th>count</th></tr>'"
-            " || '<tr><td>pass</td><td>' || CAST(pass AS VARCHAR) || '</td></tr>'"
-            " || '<tr><td>fail</td><td>' || CAST(fail AS VARCHAR) || '</td></tr>'"
-            " || '<tr><td>review</td><td>' || CAST(review AS VARCHAR) || '</td></tr>'"
-            " || '<tr><td>other</td><td>' || CAST(other AS VARCHAR) || '</td></tr>'"
-            " || '</table><table><tr><th>test_name</th><th>status</th><th>detail</th></tr>'")
-    cell = lambda c: f"'<td>' || coalesce({_esc(c)}, '') || '</td>'"
-    row = (f"'<tr class=\"' || {_esc('coalesce(status, ' + chr(39) * 2 + ')')} || '\">' || {cell('test_name')} || "
-           f"{cell('status')} || {cell('detail')} || '</tr>'")
+    counts = " || ".join(f"'<tr><td>{c}</td><td>' || \"{c}\" || '</td></tr>'" for c in ("pass", "fail", "review", "other"))
+    cells = " || ".join(f"'<td>' || coalesce({_esc(c)}, '') || '</td>'" for c in ("test_name", "status", "detail"))
     return f"""WITH {VALIDATION_CTE},
-b AS (SELECT *, CAST(ceil((total - pass) / {float(rows_per_part)!r}) AS BIGINT) AS parts FROM s WHERE total - pass > 0),
-r AS (SELECT v.process, (v.event_id % b.parts) + 1 AS part, v.test_name, v.event_id, {row} AS h
-      FROM v JOIN b ON v.process = b.process WHERE v.status IS DISTINCT FROM 'pass'),
-body AS (SELECT process, CAST(part AS BIGINT) AS part, string_agg(h, '' ORDER BY test_name, event_id) AS html
-         FROM r GROUP BY process, part)
-SELECT process, CAST(0 AS BIGINT) AS part, {head} AS html FROM b
-UNION ALL SELECT process, part, html FROM body
-UNION ALL SELECT process, parts + 1 AS part, '{NOTICE_CLOSE}' AS html FROM b"""
+bad AS (
+  SELECT process, '<tr class="' || coalesce({_esc('status')}, '') || '">' || {cells} || '</tr>' AS h,
+    row_number() OVER (PARTITION BY process ORDER BY test_name NULLS FIRST,
+      left(md5(concat_ws('|', CAST(event_id AS VARCHAR), status, detail)), 15), event_id) - 1 AS place
+  FROM v WHERE status IS DISTINCT FROM 'pass'),
+body AS (SELECT process, place // {rows_per_part} + 1 AS part, string_agg(h, '' ORDER BY place) AS html FROM bad GROUP BY ALL),
+ends AS (SELECT *, (total - pass + {rows_per_part} - 1) // {rows_per_part} + 1 AS last FROM s WHERE total > pass)
+SELECT process, CAST(part AS BIGINT) AS part, html FROM body
+UNION ALL
+SELECT process, 0, '{NOTICE_START}' || coalesce({_esc('process')}, '') || '</b></p><h3>Summary:</h3><table><tr><th>status</th>'
+  || '<th>count</th></tr>' || {counts} || '</table><table><tr><th>test_name</th><th>status</th><th>detail</th></tr>' FROM ends
+UNION ALL SELECT process, CAST(last AS BIGINT), '{NOTICE_END}' FROM ends"""
 
 
 def text_queries() -> dict[str, str]:
     return {
         "kv_parse": KV_PARSE_SQL,
-        "line_classes": (f"SELECT regexp_extract(url, '{_HOST_RE}', 1) AS file, page_id AS line_no, url AS line, "
-                         "regexp_matches(url, '^WEB', 'i') AS is_web, regexp_matches(url, '^http', 'i') AS is_url "
-                         "FROM pages"),
+        "line_classes": (f"WITH {LINES_CTE} SELECT file, line_no, line, lower(left(line, 3)) = 'web' AS is_web, "
+                         "lower(left(line, 4)) = 'http' AS is_url FROM lines"),
         "xml_rows": SUPPLIER_ROWS_SQL,
         "ragged_union": SUPPLIER_ROWS_SQL,
         "json_result": "SELECT CAST(o_orderkey AS VARCHAR) AS number, o_orderstatus AS state FROM orders",
@@ -436,38 +506,10 @@ def text_queries() -> dict[str, str]:
 
 # ---- factored report ------------------------------------------------------------------
 
-ROW_SIDE_SQL = f"""
-    concat('51', loan_number_padded) AS "CX6 Account Number",
-    strftime(pymt_tran_dt, '%m/%d/%Y') AS "PMT_TRANSACTION_DT",
-    strftime(rev_month_snapshot, '%m/%d/%Y') AS "Impacted_Snapshot",
-    account_status AS "Account Status",
-    CASE WHEN payment_history_profile IS NOT NULL THEN account_status ELSE '' END
-      AS "What Account Status Should be In Current File",
-    CASE WHEN payment_history_profile IS NULL THEN ''
-         WHEN rev_month_snapshot >= CAST(date_trunc('month', rev_transaction_dt) AS DATE) + 5
-              AND cx6_account_status <> account_status THEN 'Y' ELSE 'N' END AS "Account Status Update Indicator",
-    cx6_account_status AS "account_sts_CX6",
-    payment_history_profile,
-    pymt_hist_current_yr AS "AFS Current Year String",
-    new_current_yr AS "Updated AFS Current Year String",
-    update_current_yr AS "AFS Current Year PHP String Update Indicator",
-    pymt_hist_previous_1_yr AS "AFS Previous 1 Year String",
-    new_previous_1_yr AS "Updated AFS Previous 1 Year String",
-    update_prev_1_yr AS "AFS Previous 1 Year PHP String Update Indicator",
-    strftime(sor_dofd, '%m/%d/%Y') AS "L_CB_1ST_DLQ_DATE",
-    CASE WHEN sor_dofd IS NOT NULL AND year(sor_dofd) <> 1899
-              AND (account_status = '11' OR rev_aftr_30_days) THEN 'Y' ELSE 'N' END AS "DOFD Update Indicator",
-    {UPDATE_STRINGS_SQL},
-    {REVIEW_SQL} AS "Requires_Manual_Review"
-"""
-
-
 def factored_report_queries() -> dict[str, str]:
     return {
-        "report_rows": f"WITH {PHP_CTES} SELECT ln_no, {ROW_SIDE_SQL} FROM updates",
-        "report_cx6_strings": (f"WITH {PHP_CTES} SELECT ln_no, coalesce(cx6_accurate_php_updated, cx6_php_updated) "
-                               "AS \"What CX6 PHP string should be\", COUNT(*) AS cx6_count FROM cx6 "
-                               "WHERE ln_no IS NOT NULL GROUP BY ALL"),
+        "report_rows": f"WITH {PHP_CTES} SELECT ln_no, {_named(ROW_COLUMNS)} FROM updates",
+        "report_cx6_strings": f"WITH {PHP_CTES} {CX6_COUNTS_SQL}",
     }
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.functions.sizes import whole_mb
+from strata.functions.sizes import human_size
 from strata.operators.hierarchy import (
     exclude_paths, format_listing, manifest_totals, running_share, size_filter, size_rollup, size_topk,
 )
@@ -25,12 +25,10 @@ from strata.operators.report import (
 from strata.operators.textrows import classify_lines, kv_parse, ragged_union
 from strata.operators.validation import non_passing, validation_notice, validation_summary
 from strata.plans import fixtures as fx
-from strata.plans.report_job import read_report, write_report
-from strata.session import scratch_path
-from strata.sources.json import scan_json_result
-from strata.sources.manifest import scan_manifest
-from strata.sources.reversals import normalize_reversals, run_date_frame
-from strata.sources.xml import scan_xml_rows
+from strata.plans.report_job import parse_report_lines, report_lines
+from strata.sources.json import explode_result
+from strata.sources.reversals import normalize_reversals, run_date_frame, scan_reversals
+from strata.sources.xml import explode_xml_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,8 +88,7 @@ def q_manual_review(spark, sf):
 
 def q_report_roundtrip(spark, sf):
     report = final_report(_updates(spark, sf), fx.AS_OF)
-    out = write_report(report, "Internal review copy", scratch_path(spark, "report"), "06151999")
-    return read_report(spark, out)
+    return parse_report_lines(report_lines(report), report.schema)
 
 
 # ---- extract and run date --------------------------------------------------------------
@@ -100,6 +97,10 @@ def q_reversals_normalized(spark, sf):
     return normalize_reversals(fx.raw_reversal_extract(spark, sf)).select(*fx.RAW_NAMES.keys())
 
 
+def q_extract_scan(spark, sf):
+    return scan_reversals(spark, f"{sf}/orders.parquet")
+
+
 def q_run_date(spark, sf):
     return run_date_frame(fx.run_date_table(spark, sf))
 
@@ -110,6 +111,14 @@ def q_size_rollup(spark, sf):
     return size_rollup(fx.page_manifest(spark, sf), root=".", hidden="prune")
 
 
+def q_size_rollup_basename(spark, sf):
+    return size_rollup(fx.page_manifest(spark, sf), root="site", hidden="basename")
+
+
+def q_manifest_table(spark, sf):
+    return fx.page_manifest(spark, sf)
+
+
 def q_size_topk(spark, sf):
     return size_topk(size_rollup(fx.page_manifest(spark, sf), root=".", hidden="keep"), max_depth=2, k=10)
 
@@ -118,7 +127,12 @@ def q_size_listing(spark, sf):
     rollup = size_filter(size_rollup(fx.page_manifest(spark, sf), root=".", hidden="prune"), min_mb=0.01)
     tree = format_listing(rollup, "tree").withColumnRenamed("line", "line_tree")
     plain = format_listing(tree, "plain").withColumnRenamed("line", "line_plain")
-    return plain.withColumn("line_mb", F.format_string("%8d MB  %s", whole_mb("bytes"), F.col("dir")))
+    return format_listing(plain, "mb").withColumnRenamed("line", "line_mb")
+
+
+def q_size_spaced(spark, sf):
+    rollup = size_rollup(fx.page_manifest(spark, sf), root=".", hidden="keep")
+    return rollup.select("dir", human_size("bytes", "spaced").alias("size"))
 
 
 def q_path_exclude(spark, sf):
@@ -134,10 +148,6 @@ def q_running_share(spark, sf):
     return out.withColumns({"files_pct": F.round("files_pct", 6), "bytes_pct": F.round("bytes_pct", 6)})
 
 
-def q_manifest_scan(spark, sf):
-    return scan_manifest(spark, sf).select("path", "size", "is_symlink", "kind")
-
-
 # ---- log-normal intervals --------------------------------------------------------------
 
 def _rounded_ci(df):
@@ -152,7 +162,7 @@ def q_lognormal_stats(spark, sf):
 
 
 def q_lognormal_ci(spark, sf):
-    return _rounded_ci(lognormal_ci(fx.table(spark, sf, "events"), "event_type", "value", 0.95))
+    return _rounded_ci(lognormal_ci(fx.event_values(spark, sf), "grp", "value", 0.95))
 
 
 # ---- text lines, XML rows, JSON envelopes ------------------------------------------------
@@ -170,9 +180,7 @@ def q_line_classes(spark, sf):
 
 
 def q_xml_rows(spark, sf):
-    out = scratch_path(spark, "xml")
-    fx.supplier_xml_documents(spark, sf).select("value").write.text(out)
-    return scan_xml_rows(spark, out, "z:row", schema=XML_ROW_SCHEMA)
+    return explode_xml_rows(fx.supplier_xml_documents(spark, sf), "value", XML_ROW_SCHEMA)
 
 
 def q_ragged_union(spark, sf):
@@ -185,9 +193,7 @@ def q_ragged_union(spark, sf):
 
 
 def q_json_result(spark, sf):
-    out = scratch_path(spark, "json")
-    fx.order_envelopes(spark, sf).select("body").write.text(out)
-    return scan_json_result(spark, out, RECORD_SCHEMA, limit=fx.RECORDS_PER_ENVELOPE)
+    return explode_result(fx.order_envelopes(spark, sf), "body", RECORD_SCHEMA)
 
 
 def q_json_props(spark, sf):
@@ -232,13 +238,16 @@ def queries() -> dict[str, Query]:
         "report_roundtrip": q_report_roundtrip,
         "reversals_normalized": q_reversals_normalized,
         "run_date": q_run_date,
+        "extract_scan": q_extract_scan,
         "size_rollup": q_size_rollup,
         "size_topk": q_size_topk,
         "size_listing": q_size_listing,
+        "size_spaced": q_size_spaced,
         "path_exclude": q_path_exclude,
         "manifest_totals": q_manifest_totals,
         "running_share": q_running_share,
-        "manifest_scan": q_manifest_scan,
+        "manifest_table": q_manifest_table,
+        "size_rollup_basename": q_size_rollup_basename,
         "lognormal_stats": q_lognormal_stats,
         "lognormal_ci": q_lognormal_ci,
         "kv_parse": q_kv_parse,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.operators.payment_history import php_updates
 from strata.operators.report import final_report, report_cx6_strings, report_label_frame, report_rows
@@ -29,6 +31,17 @@ def write_report(report: DataFrame, label: str, out_dir: str, run_mmddyyyy: str)
     return target
 
 
+def report_lines(report: DataFrame) -> DataFrame:
+    """The report as text, one JSON line (``line``) a row, NULLs written out."""
+    row = F.struct(*[F.col(f"`{c}`") for c in report.columns])
+    return report.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("line"))
+
+
+def parse_report_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """The report back from its text lines."""
+    return lines.select(F.from_json("line", schema).alias("_r")).select("_r.*")
+
+
 def read_report(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(f"{target}/{REPORT_DATASET}")
 
@@ -45,11 +58,11 @@ def write_factored_report(updates: DataFrame, label: str, out_dir: str, run_mmdd
 
 
 def run_report(spark: SparkSession, extract_path: str, dates: DataFrame, out_dir: str, label: str,
-               as_of=None, fmt: str = "parquet", factored: bool = False, **read_options) -> str:
+               as_of=None, fmt: str = "parquet", factored: bool = True, **read_options) -> str:
     """Read the run date and the extract, build the report, write it.
 
-    ``factored=True`` writes the two pair-free parts instead of the paired
-    report (for extracts where one loan carries very many distinct rows)."""
+    The two pair-free parts are written; ``factored=False`` writes the paired
+    report instead, which grows with the square of a loan's distinct rows."""
     _, run_text = scan_run_date(dates)
     extract = normalize_reversals(scan_reversals(spark, extract_path, fmt, **read_options))
     updates = php_updates(extract, as_of)

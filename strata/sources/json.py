@@ -2,9 +2,8 @@
 
 Records are bound by field name (a record listing its keys in another order
 still lands in the right columns).  An envelope without ``result`` fails the
-job, as a response without results is an error.  ``limit`` caps the records
-taken from each envelope (a response page, e.g. 100 as the fetch's page
-size), not the table; by default every record is kept.
+job, as a response without results is an error.  Every record of an envelope
+is kept, however many there are.
 """
 
 from __future__ import annotations
@@ -20,22 +19,21 @@ def envelope_schema(record_schema: T.StructType, field: str = "result") -> T.Str
     return T.StructType([T.StructField(field, T.ArrayType(record_schema))])
 
 
-def _records(arr: Column, limit: int | None) -> Column:
-    checked = F.when(arr.isNull(), F.raise_error(F.lit(NO_RESULT))).otherwise(arr)
-    return F.slice(checked, 1, limit) if limit else checked
+def _records(arr: Column) -> Column:
+    return F.when(arr.isNull(), F.raise_error(F.lit(NO_RESULT))).otherwise(arr)
 
 
-def explode_result(df: DataFrame, column: str, record_schema: T.StructType, limit: int | None = None,
+def explode_result(df: DataFrame, column: str, record_schema: T.StructType,
                    field: str = "result", keep=()) -> DataFrame:
     """Parse a JSON text column holding envelopes and explode the records."""
     env = F.from_json(F.col(column), envelope_schema(record_schema, field))
-    return (df.select(*keep, F.explode(_records(env.getField(field), limit)).alias("_r"))
+    return (df.select(*keep, F.explode(_records(env.getField(field))).alias("_r"))
             .select(*keep, "_r.*"))
 
 
-def scan_json_result(spark: SparkSession, path: str, record_schema: T.StructType, limit: int | None = None,
+def scan_json_result(spark: SparkSession, path: str, record_schema: T.StructType,
                      field: str = "result", multi_line: bool = False) -> DataFrame:
     """Read envelope files (one per line, or one document per file with
     ``multi_line``) with a declared schema and explode the records."""
     env = spark.read.schema(envelope_schema(record_schema, field)).option("multiLine", multi_line).json(path)
-    return env.select(F.explode(_records(F.col(field), limit)).alias("_r")).select("_r.*")
+    return env.select(F.explode(_records(F.col(field))).alias("_r")).select("_r.*")

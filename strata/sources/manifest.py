@@ -1,31 +1,34 @@
-"""File manifests: ``path, size, is_symlink, kind`` rows.
+"""File manifests: ``path, size, is_symlink, kind`` rows, taken from a table.
 
-``scan_manifest`` lists every file below a root through the ``binaryFile``
-source with only metadata columns selected, so file contents are never read;
-the listing itself is distributed by Spark's parallel partition discovery.
+Listing a file tree belongs to whatever walks the store: a listing made by one
+Spark driver would pass every file's status through it, and Spark's own file
+index leaves out names that begin with ``.`` or ``_`` and follows links.  A
+manifest is therefore read from a table of listed files, hidden ones and links
+included.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MANIFEST_SCHEMA = "path string, size bigint, is_symlink boolean, kind string"
-SCHEME_AUTHORITY = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
 
 
-def scan_manifest(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Files below ``root`` with paths relative to it (links are not followed
-    by the listing, so none appear)."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(root).select("path", "length", "modificationTime")
-    # compare without scheme and authority: file:/a/b, hdfs://nn/a/b and /a/b all become /a/b
-    prefix = re.sub(SCHEME_AUTHORITY, "", root).rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), SCHEME_AUTHORITY, "")
-    rel = F.when(rel.startswith(prefix), rel.substr(F.lit(len(prefix) + 1), F.lit(1 << 30))).otherwise(rel)
-    return files.select(rel.alias("path"), F.col("length").alias("size"), F.lit(False).alias("is_symlink"),
-                        F.lit("file").alias("kind"), F.col("modificationTime").alias("modified"))
+def manifest_from_table(files: DataFrame, root: str) -> DataFrame:
+    """Listed files (``path``, ``size``, optional ``is_symlink`` and ``kind``) as
+    manifest rows: absolute paths become relative to ``root``, paths outside it
+    are not of this manifest, trailing slashes go and mark a directory; what is
+    not said to be a link or a directory is a plain file.  An unreadable file
+    (NULL size) stays, with its NULL."""
+    prefix = root.rstrip("/") + "/"
+    path = F.col("path")
+    inside = F.when(path.startswith("/"), path.startswith(prefix)).otherwise(path.isNotNull())
+    rel = F.when(path.startswith(prefix), path.substr(F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
+    named_dir = rel.endswith("/")
+    link = F.coalesce(F.col("is_symlink"), F.lit(False)) if "is_symlink" in files.columns else F.lit(False)
+    kind = F.col("kind") if "kind" in files.columns else F.lit(None).cast("string")
+    rows = files.where(inside).select(
+        F.rtrim(rel, F.lit("/")).alias("path"), F.col("size").cast("long").alias("size"), link.alias("is_symlink"),
+        F.coalesce(kind, F.when(named_dir, "dir").otherwise("file")).alias("kind"))
+    return rows.where(F.col("path") != "")

@@ -5,33 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# LF, CRLF or a lone CR ends a line.
-LINE_END = r"(?:\r\n|\n|\r)"
 
-
-def scan_lines(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, line_no, line`` for every line of every file below ``path``.
 
-    whole_files=True (definition files are small): each file is read whole
-    (``wholetext``) and split into lines with ``posexplode``, which keeps the
-    line order that a plain line reader would lose; ``line_no`` is 1-based.
-    LF, CRLF and a lone CR all end a line; a final line break does not start
-    an extra empty line; an empty file has no lines.
-
-    whole_files=False (large files): the splittable line reader, so one big
-    file spreads over many tasks.  ``line_no`` is then an order key, not a
-    count: ``struct(block start, row id)`` sorts the lines of a file in file
-    order, which is all ``kv_parse`` (last line wins) needs.
+    The splittable line reader, so one big file spreads over many tasks.
+    ``line_no`` is an order key, not a count: ``struct(block start, row id)``
+    sorts the lines of a file in file order, which is all ``kv_parse`` (last
+    line wins) needs.  LF, CRLF and a lone CR all end a line; a final line
+    break does not start an extra empty line; an empty file has no lines.
     """
-    if not whole_files:
-        raw = spark.read.text(path)
-        order = F.struct(F.col("_metadata.file_block_start").alias("block"),
-                         F.monotonically_increasing_id().alias("row"))
-        return raw.select(F.col("_metadata.file_path").alias("file"), order.alias("line_no"),
-                          F.col("value").alias("line"))
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value"))
-    body = F.regexp_replace(F.col("value"), LINE_END + r"\z", "")
-    parts = F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_END))
-    return raw.select("file", F.posexplode(parts).alias("pos", "line")).select(
-        "file", (F.col("pos") + 1).alias("line_no"), "line")
+    order = F.struct(F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), order.alias("line_no"),
+                                        F.col("value").alias("line"))

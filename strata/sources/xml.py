@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Element text gets a column name no XML attribute can have (names hold no blanks).
 VALUE_TAG = "element text"
@@ -27,3 +28,18 @@ def scan_xml_rows(spark: SparkSession, path: str, row_tag: str = "z:row", schema
     if schema is None and n:
         df = df.select(*[f"`{c}`" for c in df.columns if c.startswith(attribute_prefix)])
     return df.toDF(*[c[n:] if n and c.startswith(attribute_prefix) else c for c in df.columns])
+
+
+def explode_xml_rows(df: DataFrame, column: str, row_schema: str, path: str = "`rs:data`.`z:row`",
+                     attribute_prefix: str = "_") -> DataFrame:
+    """Row elements of a text column that holds whole documents: the elements at
+    ``path`` below the document's root, their attributes as string columns.
+    ``row_schema`` lists the attributes with their prefix; those absent on an
+    element are NULL."""
+    outer, inner = path.split(".")
+    schema = f"{outer} struct<{inner}: array<struct<{row_schema}>>>"
+    options = {"attributePrefix": attribute_prefix, "ignoreSurroundingSpaces": "false"}
+    rows = F.from_xml(column, schema, options).getField(outer.strip("`")).getField(inner.strip("`"))
+    out = df.select(F.explode(rows).alias("_r")).select("_r.*")
+    n = len(attribute_prefix)
+    return out.toDF(*[c[n:] if c.startswith(attribute_prefix) else c for c in out.columns])

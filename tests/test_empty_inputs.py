@@ -22,8 +22,8 @@ def test_empty_inputs(spark):
     assert report_rows(up).count() == 0 and report_cx6_strings(up, fx.AS_OF).count() == 0
 
     m = spark.createDataFrame([], MANIFEST_SCHEMA)
-    assert size_rollup(m).count() == 0 and size_topk(size_rollup(m)).count() == 0
-    assert format_listing(size_rollup(m), "tree").count() == 0
+    assert [r.dir for r in size_topk(size_rollup(m)).collect()] == ["."]  # the root is always listed
+    assert [r.line for r in format_listing(size_rollup(m), "mb").collect()] == ["       0 MB  ."]
     assert exclude_paths(m, ["x"], "/r").count() == 0 and running_share(m).count() == 0
     t = manifest_totals(m).first()
     assert (t.files, t.bytes) == (0, 0)

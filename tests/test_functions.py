@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strata.functions.dates import lenient_date, month_diff, snapshot_month
 from strata.functions.sizes import human_size, whole_mb
 from strata.functions.strings import concat_skip_null, mask_chars, mask_except, substring_neg
-from strata.functions.tdist import exact_t, t_quantile
+from strata.functions.tdist import t_quantile
 
 
 def one(spark, col, schema="x string"):
@@ -63,40 +63,33 @@ def test_masks(spark):
     assert r.b == "DBDDDD9DD"
 
 
-def _py_tight(size):
-    for unit in ["B", "KB", "MB", "GB", "TB", "PB"]:
-        if size < 1024.0:
-            return f"{size:.1f}{unit}"
-        size /= 1024.0
-    return f"{size:.1f}PB"
-
-
-def _py_spaced(size):
-    for unit in ["B", "KB", "MB", "GB", "TB"]:
-        if size < 1024.0:
-            return f"{size:.1f} {unit}"
-        size /= 1024.0
-    return f"{size:.1f} PB"
-
-
-def _py_integer(size):
-    units = ["B", "K", "M", "G", "T", "P"]
-    i = 0
-    while size > 1024:
-        size //= 1024
-        i += 1
-    return f"{size}{units[i] if i < len(units) else ''}"
-
-
-SIZES = [0, 1, 1023, 1024, 1025, 1280, 1536, 1048575, 1048576, 1073741824 - 1, 5 * 1024 ** 4 + 7,
-         1024 ** 5, 1024 ** 6, 3 * 1024 ** 6 + 12345, 1024 * 1024 + 52429, 2 ** 62]
-
-
-@pytest.mark.parametrize("style,ref", [("tight", _py_tight), ("spaced", _py_spaced), ("integer", _py_integer)])
-def test_human_size(spark, style, ref):
-    df = spark.createDataFrame([(s,) for s in SIZES], "b long")
+KIB, MIB, GIB, TIB, PIB = (1024 ** i for i in range(1, 6))
+# Worked by hand: (bytes, tight, spaced, integer).
+SIZES = [
+    (0, "0.0B", "0.0 B", "0B"),
+    (1, "1.0B", "1.0 B", "1B"),
+    (1023, "1023.0B", "1023.0 B", "1023B"),
+    (KIB, "1.0KB", "1.0 KB", "1024B"),
+    (KIB + 1, "1.0KB", "1.0 KB", "1K"),
+    (1280, "1.2KB", "1.2 KB", "1K"),
+    (1536, "1.5KB", "1.5 KB", "1K"),
+    (MIB - 1, "1024.0KB", "1024.0 KB", "1023K"),
+    (MIB, "1.0MB", "1.0 MB", "1024K"),
+    (MIB + 52429, "1.1MB", "1.1 MB", "1M"),
+    (GIB - 1, "1024.0MB", "1024.0 MB", "1023M"),
+    (5 * TIB + 7, "5.0TB", "5.0 TB", "5T"),
+    (PIB, "1.0PB", "1.0 PB", "1024T"),
+    (1024 * PIB, "1.0PB", "1024.0 PB", "1024P"),
+    (3 * 1024 * PIB + 12345, "3.0PB", "3072.0 PB", "3"),
+    (4096 * PIB, "4.0PB", "4096.0 PB", "4"),
+]
+
+
+@pytest.mark.parametrize("style,column", [("tight", 1), ("spaced", 2), ("integer", 3)])
+def test_human_size(spark, style, column):
+    df = spark.createDataFrame([(s[0],) for s in SIZES], "b long")
     got = [r[0] for r in df.select(human_size("b", style)).collect()]
-    assert got == [ref(s) for s in SIZES]
+    assert got == [s[column] for s in SIZES]
 
 
 def test_whole_mb(spark):
@@ -104,20 +97,39 @@ def test_whole_mb(spark):
     assert [r[0] for r in df.select(whole_mb("b")).collect()] == [0, 1, 1, 2]
 
 
-KNOWN_T99 = {1: 31.820516, 2: 6.964557, 3: 4.540703, 10: 2.763769, 30: 2.457262}
+# Critical values of Student's t from printed tables, by degrees of freedom.
+T_TABLE = {
+    0.95: {1: 6.313752, 2: 2.919986, 5: 2.015048, 10: 1.812461, 30: 1.697261, 50: 1.675905, 60: 1.670649, 120: 1.657651},
+    0.975: {1: 12.706205, 3: 3.182446, 10: 2.228139, 50: 2.008559, 100: 1.983972},
+    0.99: {1: 31.820516, 2: 6.964557, 3: 4.540703, 10: 2.763769, 30: 2.457262, 50: 2.403272},
+    0.9995: {1: 636.619249, 2: 31.599055, 5: 6.868827, 30: 3.645959},
+}
+
+
+def central_probability(t, nu, panels=20000):
+    """P(-t < T < t) as a share of the integral over the angle, by midpoints."""
+    import numpy as np
+
+    def total(to):
+        x = (np.arange(panels) + 0.5) * (to / panels)
+        return np.sum(np.cos(x) ** (nu - 1)) * (to / panels)
+
+    return total(math.atan(t / math.sqrt(nu))) / total(math.pi / 2)
 
 
-def test_exact_t_known_points():
-    for nu, want in KNOWN_T99.items():
-        assert abs(exact_t(0.99, nu) - want) < 5e-6
+@pytest.mark.parametrize("p", sorted(T_TABLE))
+def test_t_quantile_table(spark, p):
+    df = spark.createDataFrame([(d,) for d in T_TABLE[p]], "d long")
+    got = [r[0] for r in df.select(t_quantile(F.col("d"), p)).collect()]
+    assert all(math.isclose(g, want, rel_tol=1e-6) for g, want in zip(got, T_TABLE[p].values()))
 
 
-def test_t_quantile_column(spark):
-    dfs = [1, 2, 10, 50, 51, 100, 1000, 0]
-    df = spark.createDataFrame([(d,) for d in dfs], "d long")
-    got = [r[0] for r in df.select(t_quantile(F.col("d"), 0.99)).collect()]
-    for d, g in zip(dfs, got):
-        if d < 1:
-            assert g is None
-        else:
-            assert math.isclose(g, exact_t(0.99, d), rel_tol=1e-8)
+@pytest.mark.parametrize("level", [0.9, 0.98, 0.999, 0.9999])
+def test_t_quantile_inverts_the_distribution(spark, level):
+    degrees = [*range(1, 200), 5000]
+    df = spark.createDataFrame([(d,) for d in [0, *degrees]], "d long")
+    got = [r[0] for r in df.select(t_quantile(F.col("d"), (1 + level) / 2)).collect()]
+    assert got[0] is None
+    # 1 - level is at least 1e-4: an error of 1e-9 in t would show here
+    assert all(abs(central_probability(t, d) - level) < 1e-9 for t, d in zip(got[1:], degrees))
+    assert all(a > b for a, b in zip(got[1:], got[2:]))

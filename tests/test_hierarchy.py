@@ -1,6 +1,5 @@
 """Size rollups, exclusions, totals and running share on a hand manifest."""
 
-import posixpath
 import warnings
 
 import pytest
@@ -12,7 +11,7 @@ from strata.operators.hierarchy import (
     size_topk,
 )
 from strata.plans import fixtures as fx
-from strata.sources.manifest import MANIFEST_SCHEMA, scan_manifest
+from strata.sources.manifest import MANIFEST_SCHEMA
 
 ROWS = [
     ("a/.git/objects/x", 100, False, "file"),
@@ -126,15 +125,16 @@ def test_exclusion_matches_walk(spark, manifest):
 
 def test_running_share_matches_sorted_walk(spark):
     m = fx.page_manifest(spark, SF01)
-    rows = sorted((r.path, r.size) for r in m.collect())
-    total_n, total_b = len(rows), sum(s for _, s in rows)
+    rows = sorted(((r.path, r.size) for r in m.collect() if r.kind == "file" and not r.is_symlink),
+                  key=lambda r: (r[0], -1 if r[1] is None else r[1]))
+    total_n, total_b = len(rows), sum(s or 0 for _, s in rows)
     want, done = [], 0
     for i, (p, s) in enumerate(rows):
-        done += s
+        done += s or 0
         want.append((p, s, i + 1, done))
-    got = sorted((r.path, r.size, r.files_done, r.bytes_done) for r in running_share(m, buckets=5).collect())
-    assert got == sorted(want)
-    last = running_share(m, buckets=3).where(F.col("files_done") == total_n).first()
+    got = [(r.path, r.size, r.files_done, r.bytes_done) for r in running_share(m, bucket_keys=40).collect()]
+    assert sorted(got, key=lambda r: r[2]) == want
+    last = running_share(m, bucket_keys=90).where(F.col("files_done") == total_n).first()
     assert last.files_pct == 100.0 and last.bytes_pct == 100.0 and last.bytes_done == total_b
 
 
@@ -148,26 +148,33 @@ def test_running_share_many_buckets_and_null_sizes(spark):
     for i, r in enumerate(ordered):
         done += r[1] or 0
         want.append((r[0], r[1], i + 1, done))
-    for b in (1, 7, 64, 500, 5000):
-        got = sorted(((r.path, r.size, r.files_done, r.bytes_done) for r in running_share(df, buckets=b).collect()),
+    for b in (1, 2, 15, 60, 5000):
+        got = sorted(((r.path, r.size, r.files_done, r.bytes_done) for r in running_share(df.repartition(3), bucket_keys=b).collect()),
                      key=lambda t: t[2])
         assert got == want, b
 
 
 def test_running_share_hot_duplicate_path(spark):
-    rows = [("same/p", 1, False, "file")] * 300 + [("z", 5, False, "file")]
-    df = spark.createDataFrame(rows, MANIFEST_SCHEMA)
-    out = running_share(df, buckets=4)
-    assert sorted(r.files_done for r in out.collect()) == list(range(1, 302))
-    # the repeated path is spread over several buckets, not one task
-    from strata.operators.hierarchy import _bucket_of, _sample_bounds
-    keyed = df.select("path", "size", F.monotonically_increasing_id().alias("_rid"))
-    bounds = _sample_bounds(keyed, 4)
-    key = F.struct(F.col("path").alias("p"), F.col("size").alias("s"), F.col("_rid").alias("r"))
-    sizes = [r[1] for r in keyed.groupBy(_bucket_of(key, bounds)).count().collect()]
-    assert len(sizes) >= 3 and max(sizes) < 200
-
-
-def test_scan_manifest_lists_files(spark):
-    got = {r.path: r.size for r in scan_manifest(spark, SF01).collect()}
-    assert "orders.parquet" in got and got["orders.parquet"] == posixpath.getsize(f"{SF01}/orders.parquet")
+    rows = [("same/p", 1, False, "file")] * 300 + [(f"z{i}", 5, False, "file") for i in range(40)]
+    for parts in (1, 5):  # however the rows are dealt, equal ones count on in one go
+        df = spark.createDataFrame(rows, MANIFEST_SCHEMA).repartition(parts)
+        out = running_share(df, bucket_keys=7)
+        assert sorted(r.files_done for r in out.collect()) == list(range(1, 341))
+        assert out.agg(F.max("bytes_done")).first()[0] == 300 + 40 * 5
+        assert out.where("path = 'same/p'").agg(F.max("files_done")).first()[0] == 300
+
+
+def test_buckets_follow_the_number_of_keys(spark):
+    from strata.operators.hierarchy import _bounds
+    keys = spark.range(20000).selectExpr("concat('p', id) AS path", "id AS size")
+    bounds = _bounds(keys, 10)
+    assert 1500 < len(bounds) < 2000  # no cap
+    assert bounds == _bounds(keys.repartition(7), 10)  # the same sample in any order
+
+
+def test_unreadable_files_and_empty_manifest(spark):
+    df = spark.createDataFrame([("a/x", None, False, "file"), ("b/y", 4, False, "file")], MANIFEST_SCHEMA)
+    got = {r.dir: r.bytes for r in size_filter(size_rollup(df), 0).collect()}
+    assert got == {".": 4, "./b": 4, "./a": 0}
+    none = spark.createDataFrame([], MANIFEST_SCHEMA)
+    assert [tuple(r) for r in size_rollup(none, "top").collect()] == [("top", 0, 0)]

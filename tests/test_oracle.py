@@ -5,8 +5,9 @@ import pytest
 import __spark_entry__ as ent
 from conftest import SF01, SF001
 from oracle_check import compare
+from strata.plans import registry
 
-KEYS = sorted(ent.queries())
+KEYS = sorted(registry.queries())
 
 
 @pytest.mark.parametrize("key", KEYS)
@@ -27,9 +28,19 @@ def test_query_matches_oracle_smallest(spark, duck001, key):
     assert compare(spark, duck001, key, ent.queries()[key], sql, SF001)
 
 
-def test_every_key_but_listing_has_oracle():
-    missing = set(ent.queries()) - set(ent.oracle_sql())
-    assert missing == {"manifest_scan"}
+def test_every_key_has_oracle():
+    assert set(registry.queries()) <= set(ent.oracle_sql())
+
+
+def test_building_a_query_writes_nothing(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    def refuse(self):
+        raise AssertionError("a write")
+
+    monkeypatch.setattr(DataFrame, "write", property(refuse))
+    for query in registry.queries().values():
+        query(spark, SF001)
 
 
 def test_entry_smoke(spark):
@@ -41,5 +52,5 @@ def test_entry_smoke(spark):
 
 
 def test_queries_run_on_smallest_scale(spark):
-    for key, q in ent.queries().items():
+    for key, q in registry.queries().items():
         q(spark, SF001).write.format("noop").mode("overwrite").save()

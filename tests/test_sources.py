@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from conftest import SF001, SF01
 from strata.plans import fixtures as fx
 from strata.sources.json import scan_json_result
-from strata.sources.manifest import scan_manifest
+from strata.sources.manifest import manifest_from_table
 from strata.sources.reversals import (
     normalize_reversals, read_run_date_table, run_date_frame, scan_reversals, scan_run_date,
 )
@@ -65,9 +65,29 @@ def test_multiline_json_envelopes(spark):
     schema = T.StructType([T.StructField("number", T.StringType()), T.StructField("state", T.StringType())])
     got = sorted(tuple(r) for r in scan_json_result(spark, d, schema, multi_line=True).collect())
     assert got == sorted([(f"N{i}", "1") for i in range(3)] + [(f"M{i}", "2") for i in range(3)])
-    assert scan_json_result(spark, d, schema, limit=1, multi_line=True).count() == 3
 
 
-def test_manifest_glob(spark):
-    only = {r.path for r in scan_manifest(spark, SF01, glob="o*.parquet").collect()}
-    assert only == {"orders.parquet"}
+def test_manifest_from_table(spark):
+    rows = [("/r/x/a", 1, False, "file"), ("/r/x/.git/b", None, None, None), ("c/d/", 0, None, None), ("/r/xy/e", 2, False, "file"),
+            ("/r/x/", 0, False, "dir"), (None, 3, False, "file"), ("l", 9, True, "file")]
+    df = spark.createDataFrame(rows, "path string, size long, is_symlink boolean, kind string")
+    got = sorted(tuple(r) for r in manifest_from_table(df, "/r/x").collect())
+    assert got == [(".git/b", None, False, "file"), ("a", 1, False, "file"), ("c/d", 0, False, "dir"), ("l", 9, True, "file")]
+    assert manifest_from_table(df.select("path", "size"), "/r/x/").where("is_symlink").count() == 0
+
+
+def test_shared_dir_needs_a_setting_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from strata.session import shared_dir
+
+    def session(master, setting=None, folder=None):
+        ctx = SimpleNamespace(master=master, getCheckpointDir=lambda: folder)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: setting), sparkContext=ctx)
+
+    assert shared_dir(session("spark://host:7077", "hdfs://nn/ckpt/")) == "hdfs://nn/ckpt"
+    assert shared_dir(session("yarn", folder="hdfs://nn/c2")) == "hdfs://nn/c2"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+    assert shared_dir(spark) == shared_dir(spark)

@@ -1,14 +1,17 @@
 """Validation notices, log-normal intervals and the prefix join."""
 
 import math
+import re
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01
-from strata.functions.tdist import exact_t
+from test_functions import central_probability
 from strata.operators.joins import join_like
 from strata.operators.lognormal import lognormal_ci
+from strata.operators import validation
 from strata.operators.validation import NOTICE_CLOSE, non_passing, validation_notice, validation_summary
 from strata.plans import fixtures as fx
 
@@ -49,7 +52,22 @@ def test_notice_parts_bounded(spark):
     v = fx.validation_results(spark, SF01)
     parts = validation_notice(v, rows_per_part=50, row_key="event_id")
     sizes = parts.where("part > 0").select(F.size(F.split("html", "<tr class=")).alias("n")).collect()
-    assert max(r.n for r in sizes) - 1 <= 100
+    assert max(r.n for r in sizes) - 1 == 50
+
+
+@pytest.mark.parametrize("row_key", ["even", "same", "none", None])
+def test_notice_parts_whatever_the_keys(spark, monkeypatch, row_key):
+    monkeypatch.setattr(validation, "BUCKET_ROWS", 37)
+    df = spark.range(1000).selectExpr("'p' AS process", "concat('t', id % 3) AS test_name", "'fail' AS status",
+                                      "IF(id % 2 = 0, 'twin', concat('d', id)) AS detail", "id * 10 AS even",
+                                      "7L AS same", "CAST(NULL AS BIGINT) AS none")
+    parts = sorted(validation_notice(df, rows_per_part=100, row_key=row_key).collect(), key=lambda r: r.part)
+    assert [r.part for r in parts] == list(range(12))
+    assert [r.html.count("<tr class=") for r in parts[1:-1]] == [100] * 10
+    tests = re.findall("<td>(t[012])</td>", "".join(r.html for r in parts))
+    assert tests == sorted(tests) and len(tests) == 1000  # one order over the joined notice
+    assert sorted(re.findall("<td>(d[0-9]+)</td>", "".join(r.html for r in parts))) == sorted(
+        f"d{i}" for i in range(1, 1000, 2))
 
 
 def ci_reference(xs, level):
@@ -62,7 +80,10 @@ def ci_reference(xs, level):
     if n == 1:
         return n, None, None, math.exp(m)
     sd = statistics.stdev(logs)
-    t = exact_t(1 - (1 - level) / 2, n - 1)
+    low, high = 0.0, 1000.0
+    for _ in range(60):  # the value whose central probability is the level
+        t = (low + high) / 2
+        low, high = (t, high) if central_probability(t, n - 1) < level else (low, t)
     return n, math.exp(m - t * sd / math.sqrt(n)), math.exp(m + t * sd / math.sqrt(n)), math.exp(m)
 
 
