@@ -25,6 +25,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -98,7 +99,10 @@ class ChunkTokenizer:
             yield b"".join(map(self.known.__getitem__, chunks))
 
 
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}  # one a worker process
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> ChunkTokenizer:
+    """One for a worker process and all its tasks: what it has learned stays."""
+    return ChunkTokenizer(path)
 
 
 def _slices(texts: pd.Series) -> Iterator[list[bytes]]:
@@ -122,7 +126,7 @@ def _cuts(n: int) -> list[tuple[int, int]]:
 
 def _piece_batches(path: str):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, ChunkTokenizer(path))
+        tokenizer = worker_tokenizer(path)
         end = np.array([END_ID], "<u4").tobytes()
         for pdf in batches:
             rows = []
