@@ -20,6 +20,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Iterable, Iterator
 
@@ -120,9 +121,14 @@ def _compare_batches(least: float):
     return run
 
 
+def _constant(values: list[int | None]) -> Column:
+    """An array as one literal, so the plan stays small however many there are."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
 def _range_of(key: Column, limits: list[int]) -> Column:
     """How many of the ascending ``limits`` are at or below ``key``, by halving."""
-    bounds, steps = F.array(*[F.lit(x).cast("long") for x in limits]), len(limits).bit_length()
+    bounds, steps = _constant(limits), len(limits).bit_length()
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(limits)).alias("hi"))
 
     def halve(at: Column, _: Column) -> Column:
@@ -150,11 +156,11 @@ def with_successors(docs: DataFrame) -> DataFrame:
     order = sorted(firsts)
     before = {r: order[i - 1] for i, r in enumerate(order)}
     count = len(limits) + 1
-    first = F.array(*[F.lit(firsts.get(r)).cast("long") for r in range(count)])
-    previous = F.array(*[F.lit(before.get(r)).cast("int") for r in range(count)])
+    first = _constant([firsts.get(r) for r in range(count)])
+    previous = _constant([before.get(r) for r in range(count)])
     rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce("text", F.lit("")).alias("text")).withColumn("range", _range_of(F.col("key"), limits))
-    own = F.struct(F.col("range").alias("range"), F.lit(0).alias("copy"))
+    own = F.struct(F.col("range").cast("long").alias("range"), F.lit(0).alias("copy"))
     copy = F.struct(F.get(previous, F.col("range")).alias("range"), F.lit(1).alias("copy"))
     is_first = F.get(first, F.col("range")) == F.col("key")
     dealt = rows.withColumn("at", F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own))))
