@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import string
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def for_workers(docs: DataFrame) -> DataFrame:
+    """``docs``, with the folder of this package on the Python path of the tasks to
+    come: local workers find it from any working directory.  On a cluster the
+    package is shipped with the job, and a folder that isn't there does no harm."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    try:
+        environment = docs.sparkSession.sparkContext.environment
+    except PySparkException:  # a remote session has no context
+        return docs
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return docs
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, read many
     times, and still there when an executor is lost."""

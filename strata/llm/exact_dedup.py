@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import keep_rows, lower_az, row_key, table, written
+from strata.llm.common import for_workers, keep_rows, lower_az, row_key, table, written
 
 KEYS_PER_SHARD = 4096  # bounds an index row: about 200 KB
 ROWS_PER_LOOKUP = 4 * KEYS_PER_SHARD  # a shard with more rows is looked up in several tasks
@@ -145,7 +145,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     history's), and the others are grouped among themselves.
     """
     own = history is None
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256")),
+    rows = written(for_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256")),
                    "digests")
     known = rows if own else written(
         history.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256")), "digests")

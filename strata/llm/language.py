@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import crc_mod, hash_sample, table
+from strata.llm.common import crc_mod, for_workers, hash_sample, table
 
 EXAMPLES = 400  # texts learned from, of each language
 HELD_OUT = 4  # op9: rows with crc32(doc_id) mod 4 = 2
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                                 "lang_pred": pd.Series([f[0] for f in found], dtype=object),
                                 "score": np.array([f[1] for f in found], float)})
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return (for_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .mapInPandas(run, "doc_id long, lang_pred string, score double"))
 
 

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import table
+from strata.llm.common import for_workers, table
 
 # Phrases of the contract and their labels; fixed values.
 PHRASES = (
@@ -149,7 +149,7 @@ def _scan_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row a document: the columns of SCAN_SCHEMA.  ``spans`` are the notices
     found: label, text, start (bytes into the joined words) and edits."""
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return (for_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
             .mapInPandas(_scan_batches, SCAN_SCHEMA))
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import crc_mod, table, written
+from strata.llm.common import crc_mod, for_workers, table, written
 
 THRESHOLD = 0.3
 FOURIER = 200  # random features
@@ -78,7 +78,7 @@ def _statistics_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFram
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return (for_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
             .mapInPandas(_statistics_batches, "doc_id long, x array<double>"))
 
 

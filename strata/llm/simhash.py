@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import keep_rows, row_key, table, written
+from strata.llm.common import for_workers, keep_rows, row_key, table, written
 from strata.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -246,7 +246,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int
 def simhash_near_dedup(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id
     (smallest doc_id reachable over links)."""
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = written(for_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
                    .mapInPandas(_fingerprints(width), "doc_id long, fp long"), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = connected_components(fingerprint_links(nodes.select("fp"), max_bits))

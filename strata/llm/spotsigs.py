@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import table
+from strata.llm.common import for_workers, table
 
 CHAIN = 2  # content words of a signature
 RANGES_PER_PARTITION = 4  # id ranges for each shuffle partition
@@ -144,7 +144,7 @@ def with_successors(docs: DataFrame) -> DataFrame:
     """Rows (range, copy, doc_id, text) dealt by id ranges and sorted: each row's
     successor is the next row of its range.  The first document of a range is
     also, as a copy, the last row of the range before."""
-    spark = docs.sparkSession
+    spark = for_workers(docs).sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     parts = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(key.alias("key"))

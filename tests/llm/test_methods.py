@@ -91,9 +91,9 @@ def test_chunked_ids_are_the_whole_texts_ids():
     path = packing.default_tokenizer()
     whole, chunked = Tokenizer.from_file(path), packing.ChunkTokenizer(path)
     pool = ["<|endoftext|>", "<|ENDOFTEXT|>", " ", "\n", "\x1c", " ", "'s", "I'LL", "J̌", "İ", "Σ", "ß", "中文", "ﬁ",
-            "é", "é", "12", "½", "<|", "\x01", "\x85", "　", "A", "word", "word.", "a.,", "!", "?!", ". "]
+            "é", "é", "12", "½", "<|", "\x01", "\x85", "　", "A", "word", "word.", "a.,", "!", "?!", ". ", "é. ", "×, ", "÷.", "ß,\n", "«. ", "…, ", "9. ", "\x1c. ", "œ. "]
     rng = random.Random(3)
-    texts = ["", " ", "Plain words, twice. Plain words, twice."] + ["".join(rng.choices(pool, k=rng.randint(0, 12))) for _ in range(600)]
+    texts = ["", " ", "Plain words, twice. Plain words, twice."] + ["".join(rng.choices(pool, k=rng.randint(0, 12))) for _ in range(1500)]
     for text, ids in zip(texts, chunked.encode([t.encode() for t in texts])):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
