@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import crc_mod, hash_sample, table, written
+from strata.llm.common import crc_mod, for_workers, hash_sample, table, written
 from strata.llm.quality import isotonic
 
 THRESHOLD = 0.7
@@ -236,12 +236,19 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, usable: Column) -> DataF
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [f[0] for f in found],
                                 "counts": [f[1] for f in found]})
 
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = written(for_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
                    .mapInPandas(count, "doc_id long, ids array<int>, counts array<int>"), "terms")
-    n = rows.count()
-    df = np.zeros(size)
-    for r in rows.select(F.explode("ids").alias("id")).groupBy("id").count().collect():  # a row a term
-        df[r["id"]] = r["count"]
+
+    def frequencies(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(size, np.int64)  # a partition's own counts, so at most a row a term leaves it
+        for pdf in batches:
+            seen += np.bincount(np.concatenate([np.zeros(0, np.int64), *pdf["ids"]]).astype(np.int64), minlength=size)
+        found = np.flatnonzero(seen)
+        yield pd.DataFrame({"id": found.astype(np.int32), "n": seen[found]})
+
+    n, df = rows.count(), np.zeros(size)
+    for r in rows.select("ids").mapInPandas(frequencies, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        df[r["id"]] = r["n"]
     model = ToxicityModel(share)
     if len({y for _, y, _ in examples}) == 2 and size:
         model = _fit([(i, y, *vocabulary.counts(t)) for i, y, t in examples], np.log((n + 1) / (df + 1)), share)
