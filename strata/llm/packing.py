@@ -32,16 +32,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import table, written
+from strata.llm.common import for_workers, table, written
 
 WINDOW = 4096
 TAIL_CUT = 1024  # ids: a document's rest beyond whole windows is cut to pieces of this size
 GROUP_PIECES = 512  # pieces divided together, on average
-CACHED_CHUNKS = 700_000  # a worker forgets its chunks beyond this number
-SLICE_BYTES = 2_000_000  # texts whose chunks are looked up together
+CACHED_CHUNKS = 350_000  # chunks of a generation; a worker remembers two
+SLICE_BYTES = 1_000_000  # texts whose chunks are looked up together
 END_ID = 2
 
 _BETWEEN = "\x01"  # one token in every byte-level vocabulary; chunks that hold it are encoded alone
+# Kinds of bytes: blanks, "a" for letters and digits, "~" beyond ASCII, "!" all others.
+_KINDS = bytes(32 if c in b" \t\n\r\v\f" else 126 if c > 127 else 97 if chr(c).isalnum() else 33 for c in range(256))
+_UP_TO_LATIN1 = bytes(c for c in range(256) if c < 0xC2 or c == 0xC3)
 _LAST_MARK = re.compile(rb"(?<=[a-z])([.,])(?=\s)")
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -55,6 +58,11 @@ def default_tokenizer() -> str:
 
 # ---- ids ---------------------------------------------------------------------------------
 
+def _only_latin1_letters(text: bytes) -> bool:
+    """Whether all characters beyond ASCII are those of U+00C0 to U+00FF that are letters."""
+    return not text.translate(None, _UP_TO_LATIN1) and b"\xc3\x97" not in text and b"\xc3\xb7" not in text
+
+
 class ChunkTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -63,6 +71,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
         self.between = self._ids([_BETWEEN])[0]  # the id that stands between chunks
 
@@ -74,8 +83,14 @@ class ChunkTokenizer:
         # the vocabulary is lower case; "<|" may begin a special token, whose case counts
         if text.isascii() and b"<|" not in text:
             text = text.lower()
-        # a letter ends a token before a last stop or comma, so those may be chunks of their own
-        return _LAST_MARK.sub(rb" \1", text).split()
+        # a letter or digit ends a token before a last stop or comma, so those may be chunks of
+        # their own; plain replacing is right where every mark follows one of these or a blank
+        kinds = text.translate(_KINDS)
+        if b"!!" in kinds or (b"~!" in kinds and not _only_latin1_letters(text)):
+            return _LAST_MARK.sub(rb" \1", text).split()
+        for mark in (b".", b","):
+            text = text.replace(mark + b" ", b" " + mark + b" ").replace(mark + b"\n", b" " + mark + b" ")
+        return text.split()
 
     def learn(self, chunks: list[bytes]) -> None:
         """Ids of many chunks from one text, a known single token between each two."""
@@ -91,10 +106,12 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [self.chunks(t) for t in texts]
-        used = set().union(*split)
-        if len(self.known) > CACHED_CHUNKS:  # what is in use stays
-            self.known = {c: self.known[c] for c in used if c in self.known}
-        self.learn([c for c in used if c not in self.known])
+        if len(self.known) > CACHED_CHUNKS:  # a new generation; what the last one had in use moves over
+            self.older, self.known = self.known, {}
+        new = set().union(*split).difference(self.known)
+        again = new & self.older.keys()
+        self.known.update((c, self.older[c]) for c in again)
+        self.learn(list(new - again))
         for chunks in split:
             yield b"".join(map(self.known.__getitem__, chunks))
 
@@ -143,7 +160,7 @@ def _piece_batches(path: str):
 
 
 def pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return (for_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
             .mapInPandas(_piece_batches(tokenizer_path), PIECE_SCHEMA))
 
 
