@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from strata.session import scratch_path
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 # Words of a text for sizes and shingles: runs of anything but these blanks.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,9 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def for_workers(docs: DataFrame) -> DataFrame:
-    """``docs``, with the folder of this package on the Python path of the tasks to
-    come: local workers find it from any working directory.  On a cluster the
-    package is shipped with the job, and a folder that isn't there does no harm."""
+    """``docs``, with the session made ready for tasks that read whole texts.
+
+    Unless the session has a limit of its own, an Arrow batch holds ``BATCH_BYTES``
+    at most: ten thousand very long texts at once would not fit a worker.  The
+    folder of this package goes on the Python path of the tasks to come, so local
+    workers find it from any working directory; on a cluster the package is
+    shipped with the job, and a folder that isn't there does no harm.
+    """
+    conf = docs.sparkSession.conf
+    if ARROW_BYTES not in conf.getAll:
+        conf.set(ARROW_BYTES, BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     try:
         environment = docs.sparkSession.sparkContext.environment
