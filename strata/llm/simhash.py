@@ -78,7 +78,7 @@ def _fingerprints(width: int) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([0 if t is None else fingerprint(t, width) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+            yield pdf.drop(columns="text").assign(doc_id=pdf["doc_id"].astype("Int64"), fp=fps.view(np.int64))
 
     return run
 
@@ -243,32 +243,43 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int
 
 # ---- the operator ------------------------------------------------------------------------
 
+def _rooted(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """``nodes`` (fp, distinct) with ``root``, the smallest fingerprint of the component."""
+    roots = connected_components(fingerprint_links(nodes.select("fp"), max_bits))
+    return (nodes.join(roots, nodes["fp"] == roots["node"], "left")
+            .select(*nodes.columns, F.coalesce("root", "fp").alias("root")))
+
+
 def simhash_near_dedup(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id
     (smallest doc_id reachable over links)."""
     rows = written(for_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
                    .mapInPandas(_fingerprints(width), "doc_id long, fp long"), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = connected_components(fingerprint_links(nodes.select("fp"), max_bits))
-    rooted = (nodes.join(roots, nodes["fp"] == roots["node"], "left")
-              .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    rooted = _rooted(nodes, max_bits)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     component = written(rooted.join(named, "root").select("fp", "component_id"), "components")
     return rows.join(component, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def stay(docs: DataFrame) -> DataFrame:
+def _sha(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def stay(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each component, with all its columns: the one with the
-    component's id (a null id where there is no other).  Where rows share that
-    id, the one with the smallest digest of its text."""
-    found = simhash_near_dedup(docs)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    first = (texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
-             .groupBy("doc_id").agg(F.min("sha").alias("sha")))
-    kept = first.select(row_key(F.col("doc_id"), F.col("sha")).alias("_key"))
-    return keep_rows(docs, row_key(F.col("doc_id").cast("long"), F.sha2(F.coalesce("text", F.lit("")), 256)), kept)
+    smallest doc_id (a null id where there is no other).  Where rows of the
+    component share that id, the one with the smallest digest of its text."""
+    doc_id = F.col("doc_id").cast("long")
+    rows = (for_workers(docs).select(doc_id.alias("doc_id"), F.col("text").cast("binary").alias("text"), _sha(F.col("text")).alias("sha"))
+            .mapInPandas(_fingerprints(width), "doc_id long, fp long, sha string"))
+    # components by their roots: null and shared ids don't tell them apart
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("first")
+    nodes = written(rows.groupBy("fp").agg(first), "nodes")
+    kept = (_rooted(nodes, max_bits).groupBy("root").agg(F.min("first").alias("first"))
+            .select(row_key(F.col("first.doc_id"), F.col("first.sha")).alias("_key")))
+    return keep_rows(docs, row_key(doc_id, _sha(F.col("text"))), kept)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,3 +305,28 @@ def test_stages_keep_columns_and_clean_rows(spark, docs, none, sf_dir, name, sta
     assert stage(spark, none, sf_dir).count() == 0
 
 
+
+
+def test_near_dedup_keeps_one_row_of_each_linked_component(docs, spark):
+    unlinked = ["Bread is baked in the early morning before the village wakes up.",
+                "Rivers carry sand and stones from the mountains down to the sea.",
+                "Der Zug nach Norden fährt heute wegen des Sturms nicht mehr ab.",
+                "Une vieille horloge sonne encore chaque soir dans la tour de pierre."]
+    more = [(None, t, "en", "a", len(t), *"sssss") for t in unlinked] + [(12, unlinked[0] + " So it goes.", "en", "a", 1, *"sssss")]
+    table = docs.unionByName(spark.createDataFrame(more, SCHEMA))
+    every = [(r["doc_id"], r["text"]) for r in table.collect()]
+    prints = [simhash.fingerprint((t or "").encode()) for _, t in every]
+    left, components = set(range(len(every))), []
+    while left:  # brute-force links, row by row
+        reached, todo = set(), {min(left)}
+        while todo:
+            i = todo.pop()
+            reached.add(i)
+            todo |= {j for j in left - reached if bin(prints[i] ^ prints[j]).count("1") <= 3}
+        components.append(reached)
+        left -= reached
+    rows_of = [(d is None, d or 0, hashlib.sha256((t or "").encode()).hexdigest(), d) for d, t in every]
+    firsts = [min(rows_of[i][:3] + (i,) for i in c)[3] for c in components]
+    want = Counter((every[i][0], rows_of[i][2]) for i in firsts)
+    got = Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in simhash.stay(table).collect())
+    assert got == want and sum(d is None for d, _ in got) >= 5 and sum(d == 12 for d, _ in got) >= 2
