@@ -1,16 +1,19 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are words and word beginnings of two lengths.  The vocabulary are the
-terms of the labelled examples whose presence depends on the label (chi-square
-test); document frequencies are counted over all documents.  The examples, a
-bounded sample of each class, form a block-max inverted index: they lie in
+Terms are words and word beginnings of two lengths.  The vocabulary are all
+terms of the labelled examples; document frequencies are counted over all
+documents.  A term weighs its IDF times the root of 1 + chi-square of its
+presence and the label, so no term is left out.  The examples, a bounded sample
+of each class with small languages whole before large ones are thinned, form a
+block-max inverted index: they lie in
 blocks of similar ones, each block has a list of impacts for every term in it,
 and a table holds each term's largest impact in each block.  A search visits
 blocks by descending upper bound and stops when the next bound is below the
 k-th best cosine, so its result is exact.  The neighbours vote with weights
 that fall with their distance.  Votes become probabilities by isotonic
 regression over the examples' own votes, each example left out of its own
-search, weighted to the shares of the classes among all labelled rows.
+search, weighted to the shares of its class and language among all labelled
+rows.  Terms that no example has count in no cosine's norm.
 
 A null text is empty.  A text without vocabulary terms has no neighbours and
 gets the share of toxic examples among those without any.  A document with
@@ -35,9 +38,6 @@ from strata.llm.quality import isotonic
 
 THRESHOLD = 0.7
 EXAMPLES = 1000  # labelled documents of each class in the index
-VOCABULARY = 2000  # terms at most, those that depend most on the label
-LEAST_CHI2 = 25.0  # of a term: less than one in a million terms by chance
-LEAST_EXAMPLES = 5  # examples that have a term
 STEMS = (4, 6)  # bytes of the word beginnings
 NEIGHBOURS = 15
 BLOCK = 64  # examples of a block
@@ -66,17 +66,22 @@ class Vocabulary:
         self.stems = [(n, {t[:-1]: i for t, i in self.terms.items() if t.endswith(b"*") and len(t) == n + 1}) for n in STEMS]
 
     def counts(self, text: bytes) -> tuple[list[int], list[int]]:
-        words = words_of(text)
-        found = Counter(map(self.words.get, words))
-        for n, stems in self.stems:
-            found.update(map(stems.get, [w[:n] for w in words if len(w) > n]))
+        found: dict[int | None, int] = {}
+        for word, n in Counter(words_of(text)).items():
+            i = self.words.get(word)
+            found[i] = found.get(i, 0) + n
+            for size, stems in self.stems:
+                if len(word) > size:
+                    i = stems.get(word[:size])
+                    found[i] = found.get(i, 0) + n
         found.pop(None, None)
         ids = sorted(found)
         return ids, [found[i] for i in ids]
 
 
-def choose_vocabulary(examples: list[tuple[bytes, int]]) -> Vocabulary:
-    """The terms of (text, label) examples whose presence depends on the label."""
+def weigh_terms(examples: list[tuple[bytes, int]]) -> tuple[Vocabulary, np.ndarray]:
+    """All terms of (text, label) examples, and how much each tells about the
+    label: the root of 1 + chi-square of its presence."""
     n, positive = len(examples), sum(label for _, label in examples)
     df, hits = Counter(), Counter()
     for text, label in examples:
@@ -84,16 +89,13 @@ def choose_vocabulary(examples: list[tuple[bytes, int]]) -> Vocabulary:
         df.update(terms)
         if label:
             hits.update(terms)
-    scored = []
-    for term, d in df.items():
-        if LEAST_EXAMPLES <= d < n and 0 < positive < n:
-            a = hits[term]  # examples of each label with and without the term
-            b, c = d - a, positive - a
-            rest = n - d - c
-            chi2 = n * (a * rest - b * c) ** 2 / (d * (n - d) * positive * (n - positive))
-            if chi2 >= LEAST_CHI2:
-                scored.append((-chi2, term))
-    return Vocabulary({t: i for i, t in enumerate(sorted(term for _, term in sorted(scored)[:VOCABULARY]))})
+    terms = sorted(df)
+    d = np.array([df[t] for t in terms], float)
+    a = np.array([hits[t] for t in terms], float)  # examples of each label with and without the term
+    b, c = d - a, positive - a
+    rest = n - d - c
+    chi2 = n * (a * rest - b * c) ** 2 / np.maximum(d * (n - d) * positive * (n - positive), 1)
+    return Vocabulary({t: i for i, t in enumerate(terms)}), np.sqrt(1 + chi2)
 
 
 # ---- the index ---------------------------------------------------------------------------
@@ -107,6 +109,20 @@ class BlockMaxIndex:
     lists: list[np.ndarray] = field(default_factory=list)  # a block: terms x BLOCK impacts
     best: np.ndarray = field(default=None)  # term x block: the largest impact
     size: int = 0
+    vectors: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    def __getstate__(self):
+        """Only the vectors travel to the tasks; the lists, mostly zeros, are built there."""
+        none = (np.zeros(0, int), np.zeros(0, np.float32))
+        ids, weights = zip(none, *self.vectors)
+        return self.idf, [len(i) for i in ids[1:]], np.concatenate(ids).astype(np.int32), np.concatenate(weights)
+
+    def __setstate__(self, state):
+        idf, lengths, ids, weights = state
+        self.__init__(idf)
+        ends = np.cumsum(lengths)[:-1]
+        if lengths:
+            self.build(list(zip(np.split(ids.astype(int), ends), np.split(weights, ends))))
 
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weight = (1 + np.log(counts)) * self.idf[ids]
@@ -115,7 +131,7 @@ class BlockMaxIndex:
         return ids, (weight / np.linalg.norm(weight) if len(ids) else weight).astype(np.float32)
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.size = len(vectors)
+        self.size, self.vectors = len(vectors), vectors
         n_blocks = -(-self.size // BLOCK)
         self.rows = np.full((n_blocks, len(self.idf)), -1, np.int32)
         self.best = np.zeros((len(self.idf), n_blocks), np.float32)
@@ -177,8 +193,10 @@ class ToxicityModel:
         return float(np.interp(self.vote(found, cosine), self.grid, self.chance)), near
 
 
-def _fit(examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, share: float) -> ToxicityModel:
-    """From (doc_id, label, term ids, counts) of both classes."""
+def _fit(examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, share: float,
+         stands_for: np.ndarray) -> ToxicityModel:
+    """From (doc_id, label, term ids, counts) of both classes; each stands for
+    so many labelled rows."""
     index, model = BlockMaxIndex(idf), ToxicityModel(share)
     vectors = [index.vector(np.array(ids, int), np.array(counts, float)) for _, _, ids, counts in examples]
     # similar examples share a block, so the blocks' bounds are tight: by label, then heaviest term
@@ -189,8 +207,9 @@ def _fit(examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray,
     model.index = index
     model.doc_ids = np.array([examples[i][0] for i in order])
     model.labels = np.array([examples[i][1] for i in order], float)
-    toxic = model.labels.mean()
-    weight = np.where(model.labels == 1, share / toxic, (1 - share) / (1 - toxic))
+    weight = stands_for[order]
+    toxic = weight[model.labels == 1].sum()
+    weight = np.where(model.labels == 1, weight * share / toxic, weight * (1 - share) / (weight.sum() - toxic)) * len(order)
     votes = np.full(len(order), np.nan)
     for i, (ids, w) in enumerate(vectors):
         found, cosine = index.search(ids, w, but=i)
@@ -212,50 +231,72 @@ def _fit(examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray,
 
 # ---- the operator ------------------------------------------------------------------------
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[Vocabulary, list[tuple[int, int, bytes]], float]:
-    """Vocabulary, examples (doc_id, label, text) and the share of toxic rows, of
-    the rows of ``labels`` (doc_id, y) that meet ``usable``."""
-    marks = written(labels.where(usable & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
-                    .groupBy("doc_id").agg(F.max("y").alias("y")), "toxic-labels")
+def _quotas(counts: dict[tuple[int, str | None], int]) -> dict[tuple[int, str | None], int]:
+    """How many examples to draw of each (label, language): ``EXAMPLES`` of a
+    label, shared evenly; what a small language leaves goes to the larger."""
+    quotas = {}
+    for label in {y for y, _ in counts}:
+        left, open_ = EXAMPLES, sorted((n, str(lang), lang) for (y, lang), n in counts.items() if y == label)
+        for i, (n, _, lang) in enumerate(open_):
+            quotas[label, lang] = min(n, left // (len(open_) - i))
+            left -= quotas[label, lang]
+    return quotas
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[list[tuple[int, int, bytes]], np.ndarray, float]:
+    """Examples (doc_id, label, text), how many labelled rows each stands for and
+    the share of toxic rows, of the rows of ``labels`` (doc_id, y) that meet ``usable``."""
+    marks = labels.where(usable & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    if "lang" in docs.columns:
+        langs = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+                 .groupBy("doc_id").agg(F.min("lang").alias("lang")))
+        marks = marks.join(langs, "doc_id", "left")
+    else:
+        marks = marks.withColumn("lang", F.lit(None).cast("string"))
+    marks = written(marks, "toxic-labels")
     share = marks.agg(F.avg("y")).first()[0] or 0.0
-    chosen = {r["doc_id"]: r["y"] for r in hash_sample(marks, "y", EXAMPLES)}
+    counts = {(r["y"], r["lang"]): r["n"] for r in marks.groupBy("y", "lang").agg(F.count("*").alias("n")).collect()}
+    chosen = {}
+    for (y, lang), size in _quotas(counts).items():
+        if size:
+            drawn = hash_sample(marks.where((F.col("y") == y) & F.col("lang").eqNullSafe(F.lit(lang))), "y", size)
+            chosen |= {r["doc_id"]: (y, counts[y, lang] / len(drawn)) for r in drawn}
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
              .where(F.col("doc_id").isin(list(chosen))).collect()) if chosen else []
-    rows = sorted((r["doc_id"], chosen[r["doc_id"]], bytes(r["text"] or b"")) for r in texts)
-    return choose_vocabulary([(text, y) for _, y, text in rows]), rows, share
+    rows = sorted((r["doc_id"], chosen[r["doc_id"]][0], bytes(r["text"] or b"")) for r in texts)
+    return rows, np.array([chosen[i][1] for i, _, _ in rows]), share
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     """One row a document: doc_id, score, predicted, evidence."""
-    vocabulary, examples, share = train(docs, labels, usable)
+    examples, stands_for, share = train(docs, labels, usable)
+    vocabulary, telling = weigh_terms([(text, y) for _, y, text in examples])
     size = len(vocabulary.terms)
-
-    def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [vocabulary.counts(t or b"") for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [f[0] for f in found],
-                                "counts": [f[1] for f in found]})
-
-    rows = written(for_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-                   .mapInPandas(count, "doc_id long, ids array<int>, counts array<int>"), "terms")
+    # read twice: all terms of all texts would be a table as large as the texts
+    rows = for_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def frequencies(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(size, np.int64)  # a partition's own counts, so at most a row a term leaves it
+        seen, n = np.zeros(size + 1, np.int64), 0  # a partition's own counts, so at most a row a term leaves it
         for pdf in batches:
-            seen += np.bincount(np.concatenate([np.zeros(0, np.int64), *pdf["ids"]]).astype(np.int64), minlength=size)
+            n += len(pdf)
+            for text in pdf["text"]:
+                seen[vocabulary.counts(text or b"")[0]] += 1
+        seen[size] = n  # the last place counts the documents
         found = np.flatnonzero(seen)
         yield pd.DataFrame({"id": found.astype(np.int32), "n": seen[found]})
 
-    n, df = rows.count(), np.zeros(size)
-    for r in rows.select("ids").mapInPandas(frequencies, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    df = np.zeros(size + 1)
+    for r in rows.mapInPandas(frequencies, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         df[r["id"]] = r["n"]
     model = ToxicityModel(share)
     if len({y for _, y, _ in examples}) == 2 and size:
-        model = _fit([(i, y, *vocabulary.counts(t)) for i, y, t in examples], np.log((n + 1) / (df + 1)), share)
+        idf = np.log((df[size] + 1) / (df[:size] + 1)) * telling
+        model = _fit([(i, y, *vocabulary.counts(t)) for i, y, t in examples], idf, share, stands_for)
 
     def scored(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [model.score(np.asarray(i, int), np.asarray(c, float)) for i, c in zip(pdf["ids"], pdf["counts"])]
+            terms = [vocabulary.counts(t or b"") for t in pdf["text"]]
+            found = [model.score(np.array(i, int), np.array(c, float)) for i, c in terms]
             score = np.array([f[0] for f in found], float)
             near = [[dict(zip(("doc_id", "label", "cosine"), e)) for e in f[1]] for f in found]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": score,

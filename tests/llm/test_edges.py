@@ -330,3 +330,33 @@ def test_near_dedup_keeps_one_row_of_each_linked_component(docs, spark):
     want = Counter((every[i][0], rows_of[i][2]) for i in firsts)
     got = Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in simhash.stay(table).collect())
     assert got == want and sum(d is None for d, _ in got) >= 5 and sum(d == 12 for d, _ in got) >= 2
+
+
+def test_toxicity_learns_terms_of_a_rare_language(spark):
+    import pyspark.sql.functions as F
+    # 3 of 243 toxic examples are in a language of their own
+    docs = spark.range(600).selectExpr("id AS doc_id", """CASE
+        WHEN id IN (2, 12, 22, 32) THEN concat('tyhmä ilkeä roisto valehtelija ', id)
+        WHEN id % 5 < 2 THEN concat('you awful dreadful person number ', id)
+        ELSE concat('a kind remark about the weather number ', id) END AS text""", "IF(id IN (2, 12, 22, 32), 'fi', 'en') AS lang")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 5 < 2 OR lang = 'fi' AS INT) AS y")
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, labels, F.col("doc_id") != 32).collect()}
+    assert got[32]["predicted"] == 1 and {e["doc_id"] for e in got[32]["evidence"]} == {2, 12, 22}
+    vocabulary, telling = toxicity.weigh_terms([(b"one two", 1), (b"two", 0)])
+    assert set(vocabulary.terms) == {b"one", b"two"} and (telling >= 1).all()
+    counts = {(1, "en"): 5000, (1, "de"): 5000, (1, None): 7, (0, "en"): 3}
+    assert toxicity._quotas(counts) == {(1, None): 7, (1, "de"): 496, (1, "en"): 497, (0, "en"): 3}
+
+
+def test_toxicity_index_travels_without_its_lists():
+    import pickle
+
+    import numpy as np
+    rng = np.random.default_rng(6)
+    index = toxicity.BlockMaxIndex(rng.uniform(0.1, 3, 5000))
+    index.build([index.vector(np.sort(rng.choice(5000, 50, replace=False)), np.ones(50)) for _ in range(300)])
+    packed = pickle.dumps(index)
+    assert len(packed) < sum(x.nbytes for x in index.lists) / 10
+    for ids, w in index.vectors[::50]:
+        for a, b in zip(index.search(ids, w), pickle.loads(packed).search(ids, w)):
+            assert np.array_equal(a, b)
