@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import exact_dedup, language, licenses, mixing, packing, quality, simhash, spotsigs, toxicity, url_filter
+from strata.llm import (
+    exact_dedup, language, licenses, mixing, packing, prefix_trie, quality, repair, simhash, spotsigs, toxicity, url_filter,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": quality.op8_quality_classifier,
         "op9_language_id": language.op9_language_id,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_conversation_repair": repair.op11_conversation_repair,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
