@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm import (
-    exact_dedup, language, licenses, mixing, packing, prefix_trie, quality, repair, simhash, spotsigs, toxicity, url_filter,
+    exact_dedup, html_extract, language, licenses, mixing, packing, prefix_trie, quality, repair, simhash, spotsigs, toxicity, url_filter,
 )
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": language.op9_language_id,
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_conversation_repair": repair.op11_conversation_repair,
+        "op12_html_extraction": html_extract.op12_html_extraction,
         "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 

@@ -297,14 +297,26 @@ def test_stages_keep_columns_and_clean_rows(spark, docs, none, sf_dir, name, sta
         assert len(texts) == len(set(texts)) == len({lower_az(t) for _, t in TEXTS})
         assert sum(r["doc_id"] == 13 for r in rows_out) == 1
     if name == "simhash near-dedup":
-        want = len({r["component_id"] for r in simhash.simhash_near_dedup(docs).collect()})
-        assert len(rows_out) == want
+        assert len(rows_out) == len(linked_components([t for _, t in TEXTS]))
     if name == "mixing sources to target weights":
         taken = sum(len((r["text"] or "").split()) for r in rows_out)
         assert taken == sum(r["taken"] for r in mixing.weighted_fair_mix(docs).collect())
     assert stage(spark, none, sf_dir).count() == 0
 
 
+def linked_components(texts):
+    """Positions of ``texts`` in components of brute-force fingerprint links."""
+    prints = [simhash.fingerprint((t or "").encode()) for t in texts]
+    left, components = set(range(len(texts))), []
+    while left:
+        reached, todo = set(), {min(left)}
+        while todo:
+            i = todo.pop()
+            reached.add(i)
+            todo |= {j for j in left - reached if bin(prints[i] ^ prints[j]).count("1") <= 3}
+        components.append(reached)
+        left -= reached
+    return components
 
 
 def test_near_dedup_keeps_one_row_of_each_linked_component(docs, spark):
@@ -315,16 +327,7 @@ def test_near_dedup_keeps_one_row_of_each_linked_component(docs, spark):
     more = [(None, t, "en", "a", len(t), *"sssss") for t in unlinked] + [(12, unlinked[0] + " So it goes.", "en", "a", 1, *"sssss")]
     table = docs.unionByName(spark.createDataFrame(more, SCHEMA))
     every = [(r["doc_id"], r["text"]) for r in table.collect()]
-    prints = [simhash.fingerprint((t or "").encode()) for _, t in every]
-    left, components = set(range(len(every))), []
-    while left:  # brute-force links, row by row
-        reached, todo = set(), {min(left)}
-        while todo:
-            i = todo.pop()
-            reached.add(i)
-            todo |= {j for j in left - reached if bin(prints[i] ^ prints[j]).count("1") <= 3}
-        components.append(reached)
-        left -= reached
+    components = linked_components([t for _, t in every])
     rows_of = [(d is None, d or 0, hashlib.sha256((t or "").encode()).hexdigest(), d) for d, t in every]
     firsts = [min(rows_of[i][:3] + (i,) for i in c)[3] for c in components]
     want = Counter((every[i][0], rows_of[i][2]) for i in firsts)
