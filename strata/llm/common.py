@@ -96,3 +96,12 @@ def hash_sample(rows: DataFrame, group: str, size: int) -> list:
             taken[row[group]] += 1
             kept.append(row)
     return kept
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the crc32 of an ASCII text: eight shifts a byte from all
+    ones, by the reversed polynomial, and all bits turned at the end."""
+    shift = "lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"xor(crc, ascii(substr({text}, place::INT, 1))::BIGINT)"
+    return (f"xor(4294967295, list_reduce(range(1, length({text}) + 1), "
+            f"lambda crc, place: list_reduce(range(8), {shift}, {byte}), 4294967295::BIGINT))")

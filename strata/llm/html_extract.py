@@ -102,9 +102,10 @@ def leaf_blocks(page: str) -> list[Block]:
         if not name:
             continue
         if token[1]:
-            if name in BLOCKS:
+            opened = any(name == n for n, _ in stack)
+            if name in BLOCKS and (opened or name == "p"):  # other ends of nothing are passed over
                 flush()
-            if any(name == n for n, _ in stack):
+            if opened:
                 close({name}, frozenset())
             continue
         if name in SILENT:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import for_workers, table, written
+from strata.llm.common import crc32_sql, for_workers, table, written
 
 GROUP, MOST_KEPT = 5, 9  # op13: the first h < 9 turns come from conversation c - c % 5
 SHARD_NODES = 50_000  # nodes of a shard, and at least ...
@@ -366,3 +366,32 @@ def trie_nodes(paths_: DataFrame) -> DataFrame:
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_nodes(shared_heads(paths(for_workers(table(spark, sf_dir, "conversations")))))
+
+
+OP13_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM turns GROUP BY conv_id),
+headed AS (
+  SELECT o.conv_id, o.turns, coalesce(b.turns, []) AS base, {crc32_sql("o.conv_id::VARCHAR")} % 9 AS h
+  FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+rebuilt AS (SELECT conv_id, list_concat(base[1:h], turns[h + 1:]) AS path FROM headed),
+members AS (SELECT conv_id, path, d, path[1:d] AS prefix FROM rebuilt, LATERAL (SELECT unnest(range(len(path) + 1)) AS d)),
+nodes AS (
+  SELECT prefix, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CASE WHEN len(path) = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM members GROUP BY prefix, d),
+own_part AS (
+  SELECT n.*, CASE WHEN depth > 0 THEN (n_convs - 1) * octet_length(encode(prefix[depth].text)) ELSE 0 END AS saved,
+         (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.prefix[1:n.depth] = n.prefix) AS n_children
+  FROM nodes n),
+above AS (  -- each node with each node on its path
+  SELECT prefix[1:up] AS top, up, saved, n_children FROM own_part, LATERAL (SELECT unnest(range(depth + 1)) AS up)),
+below AS (SELECT top, up, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY top, up)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children,
+       b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM own_part n JOIN below b ON b.top = n.prefix AND b.up = n.depth
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+"""

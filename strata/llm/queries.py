@@ -34,4 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_mixing": mixing.OP1_SQL,
         "op2_exact_dedup": exact_dedup.OP2_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
+        "op11_conversation_repair": repair.OP11_SQL,
+        "op13_prefix_trie": prefix_trie.OP13_SQL,
     }

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import for_workers, table, written
+from strata.llm.common import crc32_sql, for_workers, table, written
 
 SEGMENT_BITS = 7  # a segment holds 2**7 different rows at most
 SEGMENT = 1 << SEGMENT_BITS
@@ -441,3 +441,76 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", *[F.coalesce(c, zero).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"))
+
+
+def _best_sql(ways: str) -> str:
+    """The least (cost, audit) of each state among some ways."""
+    return (f"list_filter(list_transform(range(4), lambda s: list_sort(list_filter({ways}, lambda w: w.state = s))[1]), "
+            "lambda w: w IS NOT NULL)")
+
+
+def _inserted_sql(ways: str) -> str:
+    """``ways`` and what one insert makes of them."""
+    role = "CASE WHEN w.state = 2 THEN 'assistant:' ELSE 'user:' END"
+    more = (f"list_transform({ways}, lambda w: struct_pack(cost := w.cost + 3, audit := w.audit || 'I', "
+            f"state := CASE WHEN w.state = 2 THEN 3 ELSE 2 END, text := concat_ws(chr(10), w.text, {role})))")
+    return _best_sql(f"list_concat({ways}, {more})")
+
+
+# One row's edits of one way; a row that may not stay has no state there.
+_EDITS_SQL = """flatten(list_transform(ways, lambda w: list_filter([
+    struct_pack(cost := w.cost + 4, audit := w.audit || 'D', state := w.state, text := w.text),
+    struct_pack(cost := w.cost + cut, audit := w.audit || 'K', state := CASE
+        WHEN NOT stays THEN NULL WHEN initial = 's' AND w.state = 0 THEN 1
+        WHEN initial = 'u' AND w.state <> 2 THEN 2 WHEN initial = 'a' AND w.state = 2 THEN 3 END,
+        text := concat_ws(chr(10), w.text, role || ':' || text)),
+    struct_pack(cost := w.cost + 3 + cut, audit := w.audit || 'R', state := CASE WHEN NOT stays THEN NULL WHEN w.state = 2 THEN 3 ELSE 2 END,
+        text := concat_ws(chr(10), w.text, CASE WHEN w.state = 2 THEN 'assistant:' ELSE 'user:' END || text))
+  ], lambda c: c.state IS NOT NULL)))"""
+
+# The best way to each state, row by row: forward dynamic programming, no lattice and no prices.
+OP11_SQL = f"""
+WITH RECURSIVE source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+hit AS (SELECT *, {crc32_sql("key")} % 20 AS how FROM source),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, copy,
+         CASE WHEN how = 1 THEN '' WHEN how = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit, LATERAL (SELECT unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS copy) WHERE how <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                 WHEN right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated'
+                 ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair FROM placed),
+rows AS (
+  SELECT conv_id, pos, role, text, left(role, 1) AS initial, fault NOT IN ('blank', 'duplicate') AS stays,
+         CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS cut FROM faulty),
+start AS (SELECT [struct_pack(cost := 0, audit := '', state := 0, text := NULL::VARCHAR)] AS ways),
+start1 AS (SELECT {_inserted_sql("ways")} AS ways FROM start),
+start2 AS (SELECT {_inserted_sql("ways")} AS ways FROM start1),
+steps AS (
+  SELECT conv_id, 0::BIGINT AS pos, ways FROM (SELECT DISTINCT conv_id FROM rows), start2
+  UNION ALL
+  SELECT conv_id, pos, {_inserted_sql("ways")} AS ways FROM (
+    SELECT conv_id, pos, {_inserted_sql("ways")} AS ways FROM (
+      SELECT conv_id, pos, {_best_sql("ways")} AS ways FROM (
+        SELECT r.conv_id, r.pos, {_EDITS_SQL} AS ways
+        FROM steps s JOIN rows r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.pos = s.pos + 1)))),
+ended AS (
+  SELECT conv_id, list_sort(list_filter(arg_max(ways, pos), lambda w: w.state IN (0, 3)))[1] AS way FROM steps GROUP BY conv_id),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(way.cost, 0)::BIGINT AS cost,
+       coalesce(way.audit, '') AS audit, sha256(coalesce(way.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
