@@ -10,15 +10,15 @@ the root (which every file reaches) never concentrates in one task.
 
 from __future__ import annotations
 
-import json
-import math
 import posixpath
+import re
 import warnings
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.sizes import human_size, whole_mb
+from strata.operators.ordering import running_totals
 
 HIDDEN_MODES = ("prune", "basename", "keep")
 
@@ -139,26 +139,177 @@ def excluded(excludes: list[str]) -> Column:
     An entry with ``/`` names a directory by relative path; one without names
     a directory anywhere by its own name.  Only directories match -- a file
     named like an entry stays."""
-    comps = _components()
-    n = F.size(comps)
-    depth = F.when(F.col("kind") == "dir", n).otherwise(n - 1)
-    dirs = F.slice(comps, F.lit(1), depth)
     names = [e for e in excludes if "/" not in e]
     paths = [e for e in excludes if "/" in e]
-    cond = F.lit(False)
-    if names:
-        cond = cond | F.arrays_overlap(dirs, F.array(*[F.lit(x) for x in names]))
-    if paths:
-        parent = F.array_join(dirs, "/")
-        for p in paths:
-            cond = cond | (parent == p) | parent.startswith(p + "/")
-    return cond
+    if not (names or paths):
+        return F.lit(False)
+
+    def hit(row: Column) -> Column:
+        n = F.size(row["comps"])
+        dirs = F.slice(row["comps"], F.lit(1), F.when(row["kind"] == "dir", n).otherwise(n - 1))
+        cond = F.lit(False)
+        if names:
+            cond = cond | F.arrays_overlap(dirs, F.array(*[F.lit(x) for x in names]))
+        if paths:
+            parent = F.concat(F.array_join(dirs, "/"), F.lit("/"))  # below a path: begins with it and a slash
+            cond = cond | F.exists(F.array(*[F.lit(p + "/") for p in paths]), lambda p: parent.startswith(p))
+        return cond
+
+    # named by the lambda: a filter is pushed down to where the path is computed, which must happen once
+    return F.exists(F.array(F.struct(_components().alias("comps"), F.col("kind").alias("kind"))), hit)
 
 
 def exclude_paths(manifest: DataFrame, excludes, root: str) -> DataFrame:
     return manifest.where(~excluded(clean_excludes(excludes, root)))
 
 
+def clean_entries(entries: DataFrame, root: str) -> DataFrame:
+    """``clean_excludes`` for a table with a column ``entry``: distinct ``key``,
+    ``n:`` and a directory's name or ``p:`` and a relative path.  An absolute
+    entry is normalised (``.``, ``..`` and empty parts) and made relative to
+    ``root``; the root itself is the name ``.``, which no directory has."""
+    base = [c for c in posixpath.abspath(root).split("/") if c]
+
+    def up_or_down(done: Column, c: Column) -> Column:
+        above = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(c == "..", above).otherwise(F.concat(done, F.array(c)))
+
+    def relative(parts: Column) -> Column:
+        inside = (F.slice(parts, 1, len(base)) == F.array(*[F.lit(c) for c in base])) if base else F.lit(True)
+        rest = F.array_join(F.slice(parts, F.lit(len(base) + 1), F.greatest(F.size(parts) - len(base), F.lit(0))), "/")
+        return F.when(inside & ~rest.startswith(".."), F.when(rest == "", ".").otherwise(rest))
+
+    def named(entry: Column) -> Column:
+        steps = F.filter(F.split(entry, "/"), lambda c: ~c.isin("", "."))
+        walked = F.aggregate(steps, F.array().cast("array<string>"), up_or_down)
+        return F.when(entry.startswith("/"), F.transform(F.array(walked), relative)[0]).when(entry != "", entry)
+
+    # lambdas name the steps, so that each is computed once wherever the filters are pushed
+    entry = F.regexp_replace("entry", r"^\s+|\s+$", "")
+    kept = entries.select(F.transform(F.array(entry), named)[0].alias("named")).where("named IS NOT NULL")
+    return kept.select(F.concat(F.when(F.col("named").contains("/"), "p:").otherwise("n:"), F.col("named")).alias("key")).distinct()
+
+
+def exclude_by_table(manifest: DataFrame, entries: DataFrame, root: str) -> DataFrame:
+    """``exclude_paths`` for a list of any length, as a table (column ``entry``).
+
+    Each different directory of the manifest is exploded into its own and its
+    ancestors' names and paths once, and those that meet an entry are found by
+    an equi-join; rows below them go by an anti-join on their directory, so a
+    directory that holds many files is one row until then, and its files may be
+    split over tasks.  The order of rows is not kept."""
+    whole = F.concat("path", F.when(F.col("kind") == "dir", "/").otherwise(""))  # the path is used once: it may be an expression
+    directory = F.regexp_replace(whole, "/?[^/]*$", "")
+    rows = manifest.withColumn("_dir", directory)
+    parts = F.split("_dir", "/")
+    names = F.transform(parts, lambda c: F.concat(F.lit("n:"), c))
+    paths = F.transform(F.sequence(F.lit(1), F.size(parts)),
+                        lambda i: F.concat(F.lit("p:"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    keys = rows.select("_dir").distinct().select("_dir", F.explode(F.array_distinct(F.concat(names, paths))).alias("key"))
+    # not made distinct: the anti-join doesn't ask for it, and so is one of two shuffles, which AQE may split
+    hit = keys.join(clean_entries(entries, root), "key", "left_semi").select("_dir")
+    return rows.join(hit, "_dir", "left_anti").select(*manifest.columns)
+
+
+# ---- patterns ------------------------------------------------------------------------------
+
+_POSIX_CLASS = re.compile(r"\[:(alpha|digit|alnum|upper|lower|punct|space|xdigit|blank|cntrl|graph|print):\]")
+
+
+def _class_regex(body: str) -> str:
+    """The inside of a bracket expression (without its negation) for a Java regex."""
+    out, i = [], 0
+    while i < len(body):
+        named = _POSIX_CLASS.match(body, i)
+        if named:
+            name = named[1]
+            out.append(r"\p{XDigit}" if name == "xdigit" else rf"\p{{{name.capitalize()}}}")
+            i = named.end()
+            continue
+        if body[i] == "\\" and i + 1 < len(body):
+            i += 1
+        out.append(body[i] if body[i] == "-" and 0 < i < len(body) - 1 else re.sub(r"([\\\[\]^&\-])", r"\\\1", body[i]))
+        i += 1
+    return "".join(out)
+
+
+def glob_regex(pattern: str, across: bool) -> str:
+    """A glob as a Java regex: ``*``, ``?``, ``[...]`` (``!`` or ``^`` negates) and
+    backslash; with ``across`` they match slashes, else only ``**`` does.  A
+    bracket left open stands for itself."""
+    out, i = [], 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "*":
+            stars = len(pattern[i:]) - len(pattern[i:].lstrip("*"))
+            out.append(".*" if across or stars > 1 else "[^/]*")
+            i += stars
+            continue
+        if c == "[":
+            start = i + 1 + (pattern[i + 1:i + 2] in ("!", "^"))
+            end = start + (pattern[start:start + 1] == "]")  # a bracket that comes first is a member
+            while end < len(pattern) and pattern[end] != "]":
+                named = _POSIX_CLASS.match(pattern, end)
+                end = named.end() if named else end + 2 if pattern[end] == "\\" else end + 1
+            if end < len(pattern):
+                negated = "^" if start > i + 1 else ""
+                out.append(("" if across else "(?!/)") + f"[{negated}{_class_regex(pattern[start:end])}]")
+                i = end + 1
+                continue
+        if c == "?":
+            out.append("." if across else "[^/]")
+            i += 1
+            continue
+        if c == "\\" and i + 1 < len(pattern):
+            i += 1
+        out.append(re.sub(r"([^\w/ ])", r"\\\1", pattern[i]))
+        i += 1
+    return "".join(out)
+
+
+GLOB_FORMS = ("find", "rsync")
+
+
+def excluded_by_glob(excludes: list[str], root: str, form: str) -> Column:
+    """True for manifest rows that a copy with these patterns leaves out, either
+    because they match themselves (files too) or lie below a directory that does.
+
+    form="find": an entry with ``/`` is matched against the whole relative path,
+    one without against any name, the root's own included; wildcards match
+    slashes.  form="rsync": an entry with ``/`` or ``**`` is matched against the
+    end of a path, at a name's beginning, one without against any name; only
+    ``**`` matches slashes, a trailing ``/`` means directories alone, and a
+    trailing ``/***`` a directory with all below it."""
+    if form not in GLOB_FORMS:
+        raise ValueError(f"form must be one of {GLOB_FORMS}")
+    anything, only_dirs = [], []
+    for entry in excludes:
+        if form == "find":
+            if "/" in entry:
+                anything.append(glob_regex(entry, True))
+            else:
+                name = glob_regex(entry, False)
+                if re.fullmatch(name.replace(r"\p{", r"\w{"), posixpath.basename(posixpath.abspath(root))):
+                    return F.lit(True)
+                anything.append(f"(?:.*/)?{name}")
+            continue
+        body, start = entry.rstrip("/"), "(?:.*/)?"
+        if body.endswith("/***"):
+            body = body[:-4]
+            only_dirs.append(start + glob_regex(body, False))
+        else:
+            (only_dirs if entry.endswith("/") else anything).append(start + glob_regex(body, False))
+    # a directory row is tested with a slash at its end, so that directories alone can be asked for
+    path = F.concat("path", F.when(F.col("kind") == "dir", "/").otherwise(""))
+    tests = [rf"(?:{'|'.join(anything)})(?:/.*)?"] if anything else []
+    tests += [rf"(?:{'|'.join(only_dirs)})/.*"] if only_dirs else []
+    return path.rlike(rf"(?s)^(?:{'|'.join(tests)})\z") if tests else F.lit(False)
+
+
+def exclude_globs(manifest: DataFrame, excludes, root: str, form: str = "rsync") -> DataFrame:
+    return manifest.where(~excluded_by_glob(clean_excludes(excludes, root), root, form))
+
+
 def manifest_totals(manifest: DataFrame) -> DataFrame:
     """Number of regular files (symbolic links are not files to copy) and
     their total bytes; an unreadable file (NULL size) adds no bytes."""
@@ -168,96 +319,26 @@ def manifest_totals(manifest: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(regular, F.col("size"))), F.lit(0)).cast("long").alias("bytes"))
 
 
-BUCKET_KEYS = 100_000  # distinct (path, size) keys of a bucket, on average
-SAMPLE_PER_BUCKET = 16  # sampled keys that place a bucket's limits
-_HASH_RANGE = 1 << 31
-_NO_SIZE = -(1 << 62)  # a NULL size sorts first
-_BOUND_TYPE = "array<struct<p:string,s:bigint>>"
-
-
-def _bucket_of(key: Column, bounds: list[tuple]) -> Column:
-    """Number of boundaries <= key, by binary search.
-
-    The boundaries travel as one JSON string literal that Spark folds into a
-    constant array once, so the plan stays the same size whatever the bucket
-    count; the search is an ``aggregate`` over log2(n) + 1 steps.  ``key``
-    is ``struct(p string, s bigint)``; monotone in the key.
-    """
-    n = len(bounds)
-    if n == 0:
-        return F.lit(0)
-    arr = F.from_json(F.lit(json.dumps([{"p": p, "s": s} for p, s in bounds])), _BOUND_TYPE)
-    steps = max(1, math.ceil(math.log2(n + 1)) + 1)
-    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.shiftright(lo + hi, 1)
-        below = F.try_element_at(arr, mid + 1) <= key
-        narrowed = F.when(below, F.struct((mid + 1).alias("lo"), hi.alias("hi"))) \
-            .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
-        return F.when(lo < hi, narrowed).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["lo"]
-
-
-def _bounds(keys: DataFrame, bucket_keys: int) -> list[tuple]:
-    """Limits of as many buckets as the distinct ``keys`` (path, size) need: the
-    keys that hash lowest are the sample, whole, so it is the same whenever and
-    in whatever order the rows are read."""
-    total = keys.count()
-    buckets = math.ceil(total / bucket_keys)
-    if buckets <= 1:
-        return []
-    share = min(1.0, SAMPLE_PER_BUCKET * buckets / total)
-    low = F.pmod(F.xxhash64("path", "size"), F.lit(_HASH_RANGE)) < int(share * _HASH_RANGE)
-    rows = keys.where(low & F.col("path").isNotNull()).select("path", F.coalesce("size", F.lit(_NO_SIZE)).alias("s"))
-    sample = sorted((r["path"], r["s"]) for r in rows.collect())
-    return sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)}) if sample else []
-
-
-def running_share(manifest: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+def running_share(manifest: DataFrame, partitions: int | None = None) -> DataFrame:
     """Per regular file in path order: files and bytes done so far and their
     percentage of the totals (0 when the total is 0).  A NULL size (an
     unreadable file) counts 0 bytes.
 
-    No global window.  Equal (path, size) rows are first counted, map-side, so
-    a path repeated on a third of the rows is one row here and only its count
-    is expanded at the end.  Each key gets a bucket (binary search over
-    boundary keys of a hash sample), which is one contiguous range of the
-    order; there are as many buckets as the number of keys asks for.  Totals
-    of the buckets give the start offsets, and the running window needs no row
-    beyond its bucket.  Bucket and order depend on (path, size) alone, so a
-    shuffled or retried input gives the same result; the sample only affects
-    balance.
+    Equal (path, size) rows are first counted, map-side, so a path repeated on a
+    third of the rows is one row in the running totals and only its count is
+    expanded at the end.  Range partitions are Spark's (``partitions`` of them,
+    by default as many as a shuffle has).
     """
     files = manifest.where((F.col("kind") == "file") & ~F.coalesce(F.col("is_symlink"), F.lit(False)))
     keys = files.groupBy("path", "size").agg(F.count(F.lit(1)).alias("_n"))
-    bounds = _bounds(keys, bucket_keys)
-    key = F.struct(F.col("path").alias("p"), F.coalesce(F.col("size"), F.lit(_NO_SIZE)).alias("s"))
-    # a single bucket is a column too: joining on a constant would be a nested loop
-    bucket = _bucket_of(key, bounds) if bounds else F.pmod(F.col("_n"), F.lit(1))
-    keyed = keys.withColumns({"_bytes": F.coalesce(F.col("size"), F.lit(0)) * F.col("_n"), "_bucket": bucket})
-    per_bucket = keyed.groupBy("_bucket").agg(F.sum("_n").alias("_bn"), F.sum("_bytes").alias("_bb"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = per_bucket.select(
-        "_bucket",
-        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off_n"),
-        F.coalesce(F.sum("_bb").over(before), F.lit(0)).alias("_off_b"),
-        F.sum("_bn").over(everything).alias("total_files"),
-        F.sum("_bb").over(everything).alias("total_bytes"))
-    earlier = Window.partitionBy("_bucket").orderBy("path", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.join(offsets, "_bucket").select(
-        "path", "size", "total_files", "total_bytes",
-        (F.col("_off_n") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_n0"),
-        (F.col("_off_b") + F.coalesce(F.sum("_bytes").over(earlier), F.lit(0))).alias("_b0"), "_n")
-    # a select of its own: the window counts keys, not the rows they stand for
+    keys = keys.withColumn("_bytes", F.coalesce("size", F.lit(0)) * F.col("_n"))
+    placed = running_totals(keys, ["path", "size"], {"_n": "_n0", "_bytes": "_b0"}, partitions)
+    # a select of its own: the totals count keys, not the rows they stand for
     expanded = placed.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
     done = expanded.select(
         "path", "size", (F.col("_n0") + F.col("_i")).alias("files_done"),
-        (F.col("_b0") + F.col("_i") * F.coalesce(F.col("size"), F.lit(0))).alias("bytes_done"),
-        "total_files", "total_bytes")
+        (F.col("_b0") + F.col("_i") * F.coalesce("size", F.lit(0))).alias("bytes_done"),
+        F.col("_n0_all").alias("total_files"), F.col("_b0_all").alias("total_bytes"))
     pct = F.lit(100.0)
     return done.select(
         "path", "size", "files_done",

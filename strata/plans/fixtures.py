@@ -137,6 +137,36 @@ def raw_reversal_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(*cols)
 
 
+CSV_DATES = (*TEXT_DATES, "trans_due_dt", "rev_eff_date")
+CSV_SCHEMA = T.StructType([T.StructField(n, T.LongType() if n == "LN_NO" else T.IntegerType() if n == "REV_AFTR_30_DAYS" else T.StringType())
+                           for n in (*RAW_NAMES.values(), "Trans_Due_Dt", "Rev_Eff_Date")])
+
+
+def extract_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 as lines of a text extract, with all six text dates; by order key
+    some dates are unreadable, and some lines end early, have a field too many or
+    a word for a number.  The status is quoted and followed by a comma inside."""
+    f = _extract_with_key(table(spark, sf_dir, "orders"))
+    k = F.col("_k")
+    f = f.withColumns({"trans_due_dt": F.date_add("file_date", 1), "rev_eff_date": F.date_sub("file_date", 9)})
+    cells = []
+    for name in (*RAW_NAMES, "trans_due_dt", "rev_eff_date"):
+        c = F.col(name)
+        if name in CSV_DATES:
+            c = F.date_format(c, "M/d/yyyy" if name in ("trans_due_dt", "rev_eff_date") else "MM/dd/yyyy")
+            c = F.when((k + len(name)) % 97 == 0, BROKEN_DATE_TEXT).otherwise(c)
+        elif name == "rev_aftr_30_days":
+            c = c.cast("int")
+        elif name == "account_status":
+            c = F.concat(F.lit('"'), c, F.when(k % 9 == 7, ",x").otherwise(""), F.lit('"'))
+        elif name == "ln_no":
+            c = F.when(k % 89 == 1, "none").otherwise(c.cast("string"))
+        cells.append(F.coalesce(c.cast("string"), F.lit("")))
+    cells = [F.concat(cells[0], F.when(k % 89 == 2, ",more").otherwise("")), *cells[1:]]
+    line = F.when(k % 89 == 0, F.concat_ws(",", *cells[:3])).otherwise(F.concat_ws(",", *cells))
+    return f.select(line.alias("line"))
+
+
 def run_date_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8: a one-row table whose second column is the run date as yyyyMMdd."""
     return table(spark, sf_dir, "orders").agg(
@@ -162,12 +192,16 @@ def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_files(spark: SparkSession, sf_dir: str, path: Column) -> DataFrame:
     """The listed files of F2 as whatever walked the store would give them."""
     i = F.col("page_id")
-    hidden = (F.when(i % 10 == 3, F.concat(F.regexp_replace(path, "/[^/]*$", ""), F.lit("/.cache/deep/"), i.cast("string")))
-              .when(i % 10 == 4, F.concat(path, F.lit("/.hidden"))).otherwise(path))
-    listed = F.when(i % 10 == 5, F.concat(F.lit(MANIFEST_ROOT + "/"), hidden)).otherwise(hidden)
-    outside = F.when(i % 97 == 41, F.concat(F.lit("/elsewhere/"), hidden)).otherwise(listed)
+    before = (F.when(i % 97 == 41, "/elsewhere/").when(i % 10 == 5, MANIFEST_ROOT + "/").otherwise(""))
+
+    def listed(p: Column) -> Column:
+        deep = F.concat(F.regexp_replace(p, "/[^/]*$", ""), F.lit("/.cache/deep/"), i.cast("string"))
+        return F.concat(before, F.when(i % 10 == 3, deep).when(i % 10 == 4, F.concat(p, F.lit("/.hidden"))).otherwise(p))
+
+    # the path is named by the lambda, so it is computed once a row however often it is used
+    placed = F.transform(F.array(path), listed)[0]
     return table(spark, sf_dir, "pages").select(
-        outside.alias("path"), F.when(i % 17 != 0, F.length("html").cast("long")).alias("size"),
+        placed.alias("path"), F.when(i % 17 != 0, F.length("html").cast("long")).alias("size"),
         F.when(i % 19 != 2, i % 13 == 0).alias("is_symlink"),
         F.when(i % 23 == 6, "dir").when(i % 19 != 2, "file").alias("kind"))
 
@@ -179,6 +213,28 @@ MANIFEST_ROOT = "/srv/site"
 EXCLUDES = ["es", " blog.ththan.example.net/en ", "/srv/site/m.ththth.example.net/en", "/var/other/x", "  "]
 
 
+# Patterns of each kind the copying tools take -- a file by its ending, a directory
+# by a class, a single unknown letter, a path, directories alone, a path over several levels, one
+# with all below it, one outside the root, and one that matches nothing (an open bracket).
+GLOB_EXCLUDES = ["*.html", "e[!n]", "m.th?hth*", "blog.*.net/fr", "f[q-s]/", "www.**/9*", "*.example.org/de/***", "/var/*/x", "[en"]
+
+
+def exclusion_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """an exclusion list as a table, entries of each kind taken from the pages
+    by id: relative paths, absolute ones inside the root (some to be normalised)
+    and outside it, names, names of files (which exclude nothing) and blanks."""
+    i, url = F.col("page_id"), F.col("url")
+    host = F.regexp_extract(url, HOST_RE, 1)
+    lang = F.regexp_extract(url, r"^[^:]+://[^/]+/([a-z]+)", 1)
+    root = F.lit(MANIFEST_ROOT + "/")
+    entry = (F.when(i % 40 == 3, F.concat(F.lit(" "), host, F.lit("/"), lang)).when(i % 40 == 5, F.concat(root, host))
+             .when(i % 40 == 7, F.concat(F.lit("/var/"), host)).when(i % 40 == 9, "  ")
+             .when(i % 40 == 11, F.concat(root, F.lit("./x/..//"), host, F.lit("/"), lang, F.lit("/\t")))
+             .when((i % 40 == 13) & (lang == "es"), lang).when(i % 40 == 15, F.regexp_extract(url, r"([^/]+)/?$", 1))
+             .when(i % 40 == 17, F.concat(root, F.lit("../..x/"), host)).when(i % 40 == 19, F.concat(root, F.lit("..x/"), host)))
+    return table(spark, sf_dir, "pages").select(entry.alias("entry")).where("entry IS NOT NULL")
+
+
 def definition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page URLs as definition-file lines; file = host, line_no = page id.
     By page id, some begin with WEB, some end in ``=`` and some are parameters."""
@@ -239,6 +295,21 @@ def order_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('{"result":['), F.array_join(F.collect_list(rec), ","), F.lit("]}")).alias("body"))
 
 
+def ragged_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 with records of no fixed shape: by order key some have a priority, some a
+    customer (a number), some a flag, some nested details; names need quoting."""
+    k = F.col("o_orderkey")
+    fields = [F.concat(F.lit('"number":"'), k.cast("string"), F.lit('"')),
+              F.when(k % 3 == 0, F.concat(F.lit('"the customer":'), F.col("o_custkey").cast("string"))),
+              F.when(k % 5 == 0, F.concat(F.lit('"priority.text":"'), F.col("o_orderpriority"), F.lit('"'))),
+              F.when(k % 7 == 0, F.concat(F.lit('"open":'), F.when(F.col("o_orderstatus") == "O", "true").otherwise("false"))),
+              F.when(k % 11 == 0, F.concat(F.lit('"details":{"status":"'), F.col("o_orderstatus"), F.lit('"}'))),
+              F.when(k % 13 == 0, F.lit('"state":null')).when(k % 13 == 1, F.concat(F.lit('"state":"'), F.col("o_orderstatus"), F.lit('"')))]
+    record = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.floor(k / RECORDS_PER_ENVELOPE).alias("page")).agg(
+        F.concat(F.lit('{"result":['), F.array_join(F.collect_list(record), ","), F.lit("]}")).alias("body"))
+
+
 def validation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one validation result per event."""
     e = table(spark, sf_dir, "events")

@@ -244,6 +244,7 @@ def php_queries() -> dict[str, str]:
         "php_positions": (f"WITH {PHP_CTES} SELECT ln_no, snapshot_month, php_36_original, php_start_date, "
                           "loan_number_padded, update_start_pos, update_end_pos, snapshot_php_position FROM step2"),
         "php_updates": f"WITH {PHP_CTES} SELECT {UPDATE_COLUMNS} FROM updates",
+        "php_updates_sql": f"WITH {PHP_CTES} SELECT {UPDATE_COLUMNS} FROM updates",
         "cx6_updates": (f"WITH {PHP_CTES} SELECT ln_no, payment_history_profile, file_date, payment_date, "
                         "months_between, cx6_php_updated, cx6_accurate_php_updated FROM cx6"),
         "update_strings": f"WITH {PHP_CTES} SELECT ln_no, {_named(UPDATE_STRINGS)} FROM updates",
@@ -264,6 +265,45 @@ def _normalized_sql() -> str:
     return f"WITH f AS ({F1_SQL}) SELECT {sel} FROM f"
 
 
+# Fixture F10: which dates are unreadable goes by the order key and the name's length.
+_CSV_DATES = ("rev_transaction_dt", "otod", "sor_dofd", "pymt_tran_dt", "trans_due_dt", "rev_eff_date")
+
+
+def _extract_csv_sql() -> str:
+    names = [c.strip() for c in F1_COLUMNS.split(",")] + ["trans_due_dt", "rev_eff_date"]
+    order = [  # the extract's columns as they land
+        "ln_no", "rev_month_snapshot", "rev_ss_month", "rev_transaction_dt", "pymt_ss_month", "pymt_tran_dt", "otod", "account_status",
+        "rev_aftr_30_days", "pymt_hist_previous_2_yr", "pymt_hist_previous_1_yr", "pymt_hist_current_yr", "payment_history_profile",
+        "cx6_account_status", "file_date", "sor_dofd", "has_df_tran", "has_due_date_change", "date_closed", "trans_due_dt", "rev_eff_date"]
+    shown, read = [], []
+    for c in order:
+        broken = f"(_k + {len(c)}) % 97 = 0"
+        if c in _CSV_DATES:
+            unpadded = f"month({c}) || '/' || day({c}) || '/' || year({c})"
+            text = unpadded if c in ("trans_due_dt", "rev_eff_date") else f"strftime({c}, '%m/%d/%Y')"
+            shown.append(f"CASE WHEN {broken} THEN '13/45/2024' ELSE {text} END")
+            read.append(f"CASE WHEN NOT ({broken}) THEN {c} END AS {c}")
+        elif c == "ln_no":
+            shown.append("CASE _k % 89 WHEN 1 THEN 'none' WHEN 2 THEN coalesce(ln_no::VARCHAR, '') || ',more' ELSE ln_no::VARCHAR END")
+            read.append(c)
+        elif c == "account_status":
+            text = "account_status || CASE WHEN _k % 9 = 7 THEN ',x' ELSE '' END"
+            shown.append(f"'\"' || {text} || '\"'")
+            read.append(f"{text} AS {c}")
+        elif c == "rev_aftr_30_days":
+            shown.append(f"{c}::INT::VARCHAR")
+            read.append(c)
+        else:
+            shown.append(f"{c}::VARCHAR")
+            read.append(f"{c}::VARCHAR AS {c}")
+    cells = [f"coalesce({x}, '')" for x in shown]
+    line = f"CASE WHEN _k % 89 = 0 THEN {' || chr(44) || '.join(cells[:3])} ELSE {' || chr(44) || '.join(cells)} END"
+    assert sorted(names) == sorted(order)
+    return (f"WITH f AS (SELECT *, file_date + 1 AS trans_due_dt, file_date - 9 AS rev_eff_date FROM ({F1_SQL})) "
+            f"SELECT {', '.join(read)}, NULL::VARCHAR AS bad_line FROM f WHERE _k % 89 > 2 "
+            f"UNION ALL SELECT {', '.join('NULL' for _ in order)}, {line} FROM f WHERE _k % 89 <= 2")
+
+
 RUN_DATE_SQL = ("SELECT CAST(max(o_orderdate) AS DATE) AS run_date, "
                 "strftime(max(o_orderdate), '%m%d%Y') AS run_date_mmddyyyy FROM orders")
 
@@ -346,6 +386,47 @@ def _excluded_manifest_sql() -> str:
             f"kept AS (SELECT path, size, is_symlink, kind FROM c WHERE NOT ({hit})) ")
 
 
+# Fixture F9, cleaned by hand: what each kind of entry comes to, NULL where it excludes nothing.
+EXCLUDE_TABLE_SQL = f"""WITH {MANIFEST_CTE},
+parts AS (SELECT page_id % 40 AS kind, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '^[^:]+://[^/]+/([a-z]+)', 1) AS lang,
+            regexp_extract(url, '([^/]+)/?$', 1) AS last_part FROM pages),
+entries AS (
+  SELECT CASE kind WHEN 3 THEN host || '/' || lang WHEN 5 THEN host WHEN 11 THEN host || '/' || lang WHEN 13 THEN CASE lang WHEN 'es' THEN lang END
+              WHEN 15 THEN last_part END AS entry FROM parts),
+listed AS (SELECT list(entry) FILTER (entry NOT LIKE '%/%') AS names, list(entry) FILTER (entry LIKE '%/%') AS paths FROM entries),
+split AS (SELECT *, string_split(path, '/') AS all_parts FROM manifest),
+placed_dirs AS (SELECT *, CASE kind WHEN 'dir' THEN all_parts ELSE all_parts[1:len(all_parts) - 1] END AS dirs FROM split)
+SELECT path, size, is_symlink, kind FROM placed_dirs, listed
+WHERE NOT coalesce(list_has_any(dirs, names), false)
+  AND NOT coalesce(list_has_any(list_transform(range(1, len(dirs) + 1), lambda k: array_to_string(dirs[1:k], '/')), paths), false)"""
+
+# The patterns of the fixture, each as a condition written by hand on a part of the path: its
+# names up to the k-th (parts), the text of these (upto), the k-th name (name), whether it is a
+# directory (is_dir), and the texts that begin at one of its names (tails).
+_GLOB_RULES = {
+    "find": ["name LIKE '%.html'", "length(name) = 2 AND name LIKE 'e%' AND name <> 'en'", "name LIKE 'm.th_hth%'",
+             "upto LIKE 'blog.%.net/fr'", "upto LIKE 'www.%/9%'", "upto LIKE '%.example.org/de/%'"],
+    "rsync": ["name LIKE '%.html'", "length(name) = 2 AND name LIKE 'e%' AND name <> 'en'", "name LIKE 'm.th_hth%'",
+              "name = 'fr' AND parts[k - 1] LIKE 'blog.%.net'", "name IN ('fq', 'fr', 'fs') AND is_dir",
+              "name LIKE '9%' AND len(list_filter(tails, lambda t: t LIKE 'www.%/9%')) > 0",
+              "name = 'de' AND parts[k - 1] LIKE '%.example.org' AND is_dir"],
+}
+
+
+def _glob_sql() -> str:
+    kept = " UNION ALL ".join(
+        f"SELECT '{form}' AS form, path, size, is_symlink, kind FROM whole w "
+        f"WHERE NOT EXISTS (SELECT 1 FROM pieces p WHERE p.id = w.id AND ({' OR '.join(f'({r})' for r in rules)}))"
+        for form, rules in _GLOB_RULES.items())
+    return f"""WITH {MANIFEST_CTE},
+whole AS (SELECT *, row_number() OVER () AS id, string_split(path, '/') AS every FROM manifest),
+cut AS (SELECT id, every, kind AS row_kind, unnest(range(1, len(every) + 1)) AS k FROM whole),
+pieces AS (
+  SELECT id, k, every[1:k] AS parts, array_to_string(every[1:k], '/') AS upto, every[k] AS name, k < len(every) OR row_kind = 'dir' AS is_dir,
+         list_transform(range(1, k + 1), lambda j: array_to_string(every[j:k], '/')) AS tails FROM cut)
+{kept}"""
+
+
 def manifest_queries() -> dict[str, str]:
     excl = _excluded_manifest_sql()
     return {
@@ -355,6 +436,8 @@ SELECT dir, depth, bytes, CAST(ceil(bytes / 1048576.0) AS BIGINT) AS mb
 FROM rollup WHERE depth <= 2 ORDER BY bytes DESC, dir ASC LIMIT 10""",
         "size_listing": SIZE_LISTING_SQL,
         "size_spaced": SIZE_SPACED_SQL,
+        "path_exclude_table": EXCLUDE_TABLE_SQL,
+        "path_exclude_glob": _glob_sql(),
         "path_exclude": excl + "SELECT path, size, is_symlink, kind FROM kept",
         "manifest_table": f"WITH {MANIFEST_CTE} SELECT path, size, is_symlink, kind FROM manifest",
         "size_rollup_basename": _rollup_sql("basename", "site") + "SELECT * FROM rollup",
@@ -413,6 +496,7 @@ def other_queries() -> dict[str, str]:
         "reversals_normalized": _normalized_sql(),
         "run_date": RUN_DATE_SQL,
         "extract_scan": "SELECT * FROM orders",
+        "extract_csv": _extract_csv_sql(),
         "lognormal_stats": _lognormal_sql("lineitem", ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.98),
         "lognormal_ci": _lognormal_sql(EVENT_VALUES_SQL, ["grp"], "value", 0.95),
     }
@@ -490,7 +574,15 @@ def text_queries() -> dict[str, str]:
         "line_classes": (f"WITH {LINES_CTE} SELECT file, line_no, line, lower(left(line, 3)) = 'web' AS is_web, "
                          "lower(left(line, 4)) = 'http' AS is_url FROM lines"),
         "xml_rows": SUPPLIER_ROWS_SQL,
+        "xml_rows_union": SUPPLIER_ROWS_SQL,
         "ragged_union": SUPPLIER_ROWS_SQL,
+        "json_pages": """SELECT *, position // 64 AS page FROM (
+  SELECT o_orderkey AS number, o_orderstatus AS state, row_number() OVER (ORDER BY o_orderstatus, o_orderkey) - 1 AS position FROM orders)""",
+        "json_records_variant": """SELECT CAST(o_orderkey AS VARCHAR) AS number, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS "the customer",
+  CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS "priority.text", CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus = 'O' END AS open,
+  CASE WHEN o_orderkey % 11 = 0 THEN '{"status":"' || o_orderstatus || '"}' END AS details,
+  CASE WHEN o_orderkey % 13 = 1 THEN o_orderstatus END AS state FROM orders""",
+        "json_props_variant": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
         "json_result": "SELECT CAST(o_orderkey AS VARCHAR) AS number, o_orderstatus AS state FROM orders",
         "json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
         "validation_summary": f"WITH {VALIDATION_CTE} SELECT * FROM s",
@@ -499,6 +591,8 @@ def text_queries() -> dict[str, str]:
         "validation_notice": _notice_sql(100),
         "join_like": ("SELECT p_name, p_partkey, l_orderkey, l_linenumber, l_quantity FROM part "
                       "JOIN lineitem ON p_partkey = l_partkey WHERE p_name LIKE 'red%'"),
+        "join_like_nocase": ("SELECT p_name, printf('part-%x', p_partkey) AS p_code, 'PART-' || upper(printf('%x', l_partkey)) AS l_code, "
+                             "l_orderkey, l_linenumber FROM part JOIN lineitem ON p_partkey = l_partkey WHERE p_name ILIKE 'red%'"),
     }
 
 

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from strata.functions.sizes import human_size
 from strata.operators.hierarchy import (
-    exclude_paths, format_listing, manifest_totals, running_share, size_filter, size_rollup, size_topk,
+    GLOB_FORMS, exclude_by_table, exclude_globs, exclude_paths, format_listing, manifest_totals, running_share, size_filter, size_rollup, size_topk,
 )
-from strata.operators.joins import join_like
+from strata.operators.joins import join_like, join_like_nocase
 from strata.operators.lognormal import lognormal_ci
 from strata.operators.payment_history import (
     php_periods, php_updates, with_late_flag, with_loan_stats, with_positions, with_status_byte,
@@ -26,9 +26,10 @@ from strata.operators.textrows import classify_lines, kv_parse, ragged_union
 from strata.operators.validation import non_passing, validation_notice, validation_summary
 from strata.plans import fixtures as fx
 from strata.plans.report_job import parse_report_lines, report_lines
-from strata.sources.json import explode_result
-from strata.sources.reversals import normalize_reversals, run_date_frame, scan_reversals
-from strata.sources.xml import explode_xml_rows
+from strata.plans.updates_sql import php_updates_sql
+from strata.sources.json import explode_result, records_by_name, result_pages, variant_records
+from strata.sources.reversals import extract_from_lines, normalize_reversals, run_date_frame, scan_reversals
+from strata.sources.xml import explode_xml_rows, explode_xml_union
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +62,11 @@ def q_php_updates(spark, sf):
     return _updates(spark, sf)
 
 
+def q_php_updates_sql(spark, sf):
+    extract = fx.reversal_extract(spark, sf)
+    return php_updates_sql(spark, extract, php_periods(extract), fx.AS_OF)
+
+
 def q_cx6_updates(spark, sf):
     return cx6_updates(_updates(spark, sf), fx.AS_OF)
 
@@ -97,6 +103,10 @@ def q_reversals_normalized(spark, sf):
     return normalize_reversals(fx.raw_reversal_extract(spark, sf)).select(*fx.RAW_NAMES.keys())
 
 
+def q_extract_csv(spark, sf):
+    return normalize_reversals(extract_from_lines(fx.extract_csv_lines(spark, sf), fx.CSV_SCHEMA))
+
+
 def q_extract_scan(spark, sf):
     return scan_reversals(spark, f"{sf}/orders.parquet")
 
@@ -139,6 +149,16 @@ def q_path_exclude(spark, sf):
     return exclude_paths(fx.page_manifest(spark, sf), fx.EXCLUDES, fx.MANIFEST_ROOT)
 
 
+def q_path_exclude_table(spark, sf):
+    return exclude_by_table(fx.page_manifest(spark, sf), fx.exclusion_entries(spark, sf), fx.MANIFEST_ROOT)
+
+
+def q_path_exclude_glob(spark, sf):
+    manifest = fx.page_manifest(spark, sf)
+    kept = [exclude_globs(manifest, fx.GLOB_EXCLUDES, fx.MANIFEST_ROOT, form).withColumn("form", F.lit(form)) for form in GLOB_FORMS]
+    return kept[0].unionByName(kept[1])
+
+
 def q_manifest_totals(spark, sf):
     return manifest_totals(exclude_paths(fx.page_manifest(spark, sf), fx.EXCLUDES, fx.MANIFEST_ROOT))
 
@@ -183,6 +203,10 @@ def q_xml_rows(spark, sf):
     return explode_xml_rows(fx.supplier_xml_documents(spark, sf), "value", XML_ROW_SCHEMA)
 
 
+def q_xml_rows_union(spark, sf):
+    return explode_xml_union(fx.supplier_xml_documents(spark, sf), "value")
+
+
 def q_ragged_union(spark, sf):
     s = fx.table(spark, sf, "supplier")
     ident = [F.col("s_suppkey").cast("string").alias("ows_ID"), F.col("s_name").alias("ows_Title")]
@@ -196,6 +220,23 @@ def q_json_result(spark, sf):
     return explode_result(fx.order_envelopes(spark, sf), "body", RECORD_SCHEMA)
 
 
+PAGE_SIZE = 64
+
+
+def q_json_pages(spark, sf):
+    records = explode_result(fx.order_envelopes(spark, sf), "body", RECORD_SCHEMA)
+    return result_pages(records.select(F.col("number").cast("long").alias("number"), "state"), PAGE_SIZE, ["state"])
+
+
+def q_json_records_variant(spark, sf):
+    return records_by_name(variant_records(fx.ragged_envelopes(spark, sf), "body", "result"))
+
+
+def q_json_props_variant(spark, sf):
+    e = fx.table(spark, sf, "events")
+    return records_by_name(variant_records(e, "props", keep=["event_id"]), keep=["event_id"])
+
+
 def q_json_props(spark, sf):
     e = fx.table(spark, sf, "events")
     return e.select("event_id", F.from_json("props", "k bigint").alias("p")).select("event_id", "p.k")
@@ -222,6 +263,13 @@ def q_join_like(spark, sf):
         "p_name", "p_partkey", "l_orderkey", "l_linenumber", "l_quantity")
 
 
+def q_join_like_nocase(spark, sf):
+    # the keys as text, in lower case on one side and in upper case on the other
+    part = fx.table(spark, sf, "part").select("p_name", "p_partkey", F.concat(F.lit("part-"), F.lower(F.hex("p_partkey"))).alias("p_code"))
+    li = fx.table(spark, sf, "lineitem").select(F.concat(F.lit("PART-"), F.hex("l_partkey")).alias("l_code"), "l_orderkey", "l_linenumber")
+    return join_like_nocase(part, li, "p_code", "l_code", "p_name", "RED").select("p_name", "p_code", "l_code", "l_orderkey", "l_linenumber")
+
+
 def queries() -> dict[str, Query]:
     return {
         "php_periods": q_php_periods,
@@ -229,6 +277,7 @@ def queries() -> dict[str, Query]:
         "php_status_byte": q_php_status_byte,
         "php_positions": q_php_positions,
         "php_updates": q_php_updates,
+        "php_updates_sql": q_php_updates_sql,
         "cx6_updates": q_cx6_updates,
         "final_report": q_final_report,
         "report_rows": q_report_rows,
@@ -239,11 +288,14 @@ def queries() -> dict[str, Query]:
         "reversals_normalized": q_reversals_normalized,
         "run_date": q_run_date,
         "extract_scan": q_extract_scan,
+        "extract_csv": q_extract_csv,
         "size_rollup": q_size_rollup,
         "size_topk": q_size_topk,
         "size_listing": q_size_listing,
         "size_spaced": q_size_spaced,
         "path_exclude": q_path_exclude,
+        "path_exclude_table": q_path_exclude_table,
+        "path_exclude_glob": q_path_exclude_glob,
         "manifest_totals": q_manifest_totals,
         "running_share": q_running_share,
         "manifest_table": q_manifest_table,
@@ -253,11 +305,16 @@ def queries() -> dict[str, Query]:
         "kv_parse": q_kv_parse,
         "line_classes": q_line_classes,
         "xml_rows": q_xml_rows,
+        "xml_rows_union": q_xml_rows_union,
         "ragged_union": q_ragged_union,
         "json_result": q_json_result,
+        "json_pages": q_json_pages,
+        "json_records_variant": q_json_records_variant,
         "json_props": q_json_props,
+        "json_props_variant": q_json_props_variant,
         "validation_summary": q_validation_summary,
         "non_passing": q_non_passing,
         "validation_notice": q_validation_notice,
         "join_like": q_join_like,
+        "join_like_nocase": q_join_like_nocase,
     }

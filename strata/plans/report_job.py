@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +59,40 @@ def write_factored_report(updates: DataFrame, label: str, out_dir: str, run_mmdd
     return target
 
 
+# ---- publication by run date ---------------------------------------------------------------
+
+PUBLISHED, LABELS = "published", "labels"
+
+
+def publish_report(report: DataFrame, label: str, out_dir: str, run_date) -> str:
+    """Publish a report for a run date and say which version it is.
+
+    The rows go to a version of their own (a partition of ``published`` that no
+    other writer touches); only when they are all there does one small append to
+    ``labels`` name it.  A job that dies in between leaves a version nobody
+    reads; a rerun publishes a newer one.  Overwriting the date's partition in
+    place would have readers see neither while old files go and new ones come.
+    """
+    spark, base = report.sparkSession, out_dir.rstrip("/")
+    version = uuid.uuid4().hex
+    report.write.parquet(f"{base}/{PUBLISHED}/run_date={run_date}/version={version}")
+    said = spark.range(1).select(F.lit(str(run_date)).cast("date").alias("run_date"), F.lit(version).alias("version"),
+                                 F.lit(label).alias("label"), F.current_timestamp().alias("published_at"))
+    said.coalesce(1).write.mode("append").parquet(f"{base}/{LABELS}")
+    return version
+
+
+def read_published(spark: SparkSession, out_dir: str, run_date) -> tuple[DataFrame, str]:
+    """The rows and the label last published for a run date."""
+    base = out_dir.rstrip("/")
+    labels = spark.read.schema("run_date date, version string, label string, published_at timestamp").parquet(f"{base}/{LABELS}")
+    last = (labels.where(F.col("run_date") == F.lit(str(run_date)).cast("date"))
+            .agg(F.max(F.struct("published_at", "version", "label")).alias("last")).first()["last"])
+    if last is None:
+        raise ValueError(f"nothing published for {run_date}")
+    return spark.read.parquet(f"{base}/{PUBLISHED}/run_date={run_date}/version={last['version']}"), last["label"]
+
+
 def run_report(spark: SparkSession, extract_path: str, dates: DataFrame, out_dir: str, label: str,
                as_of=None, fmt: str = "parquet", factored: bool = True, **read_options) -> str:
     """Read the run date and the extract, build the report, write it.

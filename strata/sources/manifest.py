@@ -9,6 +9,8 @@ included.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +23,14 @@ def manifest_from_table(files: DataFrame, root: str) -> DataFrame:
     are not of this manifest, trailing slashes go and mark a directory; what is
     not said to be a link or a directory is a plain file.  An unreadable file
     (NULL size) stays, with its NULL."""
-    prefix = root.rstrip("/") + "/"
+    prefix = re.escape(root.rstrip("/") + "/")
     path = F.col("path")
-    inside = F.when(path.startswith("/"), path.startswith(prefix)).otherwise(path.isNotNull())
-    rel = F.when(path.startswith(prefix), path.substr(F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
-    named_dir = rel.endswith("/")
+    # a path that is itself an expression is inlined wherever it is used: so it is used once in each
+    # column and once in the filter, which keeps relative paths and those inside, but for the root
+    inside = path.rlike(rf"^(?:{prefix}/*[^/]|[^/])")
+    rel = F.rtrim(F.regexp_replace(path, f"^{prefix}", ""), F.lit("/"))
     link = F.coalesce(F.col("is_symlink"), F.lit(False)) if "is_symlink" in files.columns else F.lit(False)
     kind = F.col("kind") if "kind" in files.columns else F.lit(None).cast("string")
-    rows = files.where(inside).select(
-        F.rtrim(rel, F.lit("/")).alias("path"), F.col("size").cast("long").alias("size"), link.alias("is_symlink"),
-        F.coalesce(kind, F.when(named_dir, "dir").otherwise("file")).alias("kind"))
-    return rows.where(F.col("path") != "")
+    return files.where(inside).select(
+        rel.alias("path"), F.col("size").cast("long").alias("size"), link.alias("is_symlink"),
+        F.coalesce(kind, F.when(path.endswith("/"), "dir").otherwise("file")).alias("kind"))

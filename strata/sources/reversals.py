@@ -49,6 +49,28 @@ def normalize_reversals(df: DataFrame, date_columns=DATE_COLUMNS, pattern: str =
     return df.withColumns(cols)
 
 
+BAD_LINE = "bad_line"
+
+
+def extract_from_lines(lines: DataFrame, schema: T.StructType, column: str = "line", **options) -> DataFrame:
+    """A text extract's lines (CSV, without header) by the declared ``schema``, with
+    lower-cased names and ``bad_line``: a line that doesn't fit (too few or too
+    many fields, a value not of its type) has its text there and NULLs in all
+    other columns, so no line is lost and none is half read."""
+    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + f", `{BAD_LINE}` string"
+    reading = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE, **options}
+    row = F.from_csv(F.col(column), declared, reading)
+    read = lines.select(row.alias("_r"))
+    good = F.col(f"_r.{BAD_LINE}").isNull()
+    return read.select(*[F.when(good, F.col("_r")[f.name]).alias(f.name.lower()) for f in schema.fields],
+                       F.col(f"_r.{BAD_LINE}").alias(BAD_LINE))
+
+
+def scan_extract_lines(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
+    """``extract_from_lines`` over text files (splittable; no quoted line breaks)."""
+    return extract_from_lines(spark.read.text(path), schema, "value", **options)
+
+
 def read_run_date_table(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     return spark.read.format(fmt).options(**options).load(path)
 

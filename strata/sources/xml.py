@@ -43,3 +43,30 @@ def explode_xml_rows(df: DataFrame, column: str, row_schema: str, path: str = "`
     out = df.select(F.explode(rows).alias("_r")).select("_r.*")
     n = len(attribute_prefix)
     return out.toDF(*[c[n:] if c.startswith(attribute_prefix) else c for c in out.columns])
+
+
+_ATTRIBUTE = r"""([^\s=<>/]+)\s*=\s*(?:"[^"]*"|'[^']*')"""
+
+
+def attribute_names(df: DataFrame, column: str, row_tag: str = "z:row") -> list[str]:
+    """The attribute names of all ``row_tag`` elements, sorted.  Each document's
+    names are taken from its tags and aggregated; one row a name reaches the
+    driver.  A tag inside a comment counts too: its names only add NULL columns."""
+    tags = F.regexp_extract_all(F.col(column), F.lit(rf"<{row_tag}((?:\s+{_ATTRIBUTE})+)\s*/?>"), F.lit(1))
+    names = F.regexp_extract_all(F.concat_ws(" ", F.array_distinct(F.transform(tags, _without_values))), F.lit(_ATTRIBUTE), F.lit(1))
+    found = df.select(F.explode(F.array_distinct(names)).alias("name")).distinct().collect()
+    return sorted(r["name"] for r in found)
+
+
+def _without_values(tag):
+    return F.regexp_replace(tag, r"""=\s*(?:"[^"]*"|'[^']*')""", "=''")
+
+
+def explode_xml_union(df: DataFrame, column: str, row_tag: str = "z:row", parent: str = "rs:data", attribute_prefix: str = "_") -> DataFrame:
+    """``explode_xml_rows`` without a declared list: a column for each attribute
+    that occurs in any row element, so rows of any documents are bound by name."""
+    names = attribute_names(df, column, row_tag)
+    if not names:
+        return df.select(F.lit(None).alias("none")).where("false").drop("none")
+    schema = ", ".join(f"`{attribute_prefix}{n}` string" for n in names)
+    return explode_xml_rows(df, column, schema, f"`{parent}`.`{row_tag}`", attribute_prefix)

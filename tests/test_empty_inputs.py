@@ -40,3 +40,15 @@ def test_empty_inputs(spark):
     a = spark.createDataFrame([], "k long, name string")
     b = spark.createDataFrame([], "k2 long, v long")
     assert join_like(a, b, "k", "k2", "name", "red").count() == 0
+
+    from strata.operators.joins import join_like_nocase
+    assert join_like_nocase(a.selectExpr("string(k) AS k", "name"), b.selectExpr("string(k2) AS k2"), "k", "k2", "name", "red").count() == 0
+
+    from strata.sources.json import records_by_name, result_pages, variant_records
+    from strata.sources.reversals import extract_from_lines
+    from strata.sources.xml import explode_xml_union
+    text = spark.createDataFrame([], "body string, k long")
+    assert records_by_name(variant_records(text, "body", "result", ["k"]), ["k"]).columns == ["k"]
+    assert result_pages(a, 10, ["k"]).count() == 0
+    assert explode_xml_union(text, "body").count() == 0
+    assert extract_from_lines(text, fx.CSV_SCHEMA, "body").count() == 0

@@ -1,5 +1,6 @@
 """Size rollups, exclusions, totals and running share on a hand manifest."""
 
+import fnmatch
 import warnings
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF01
 from strata.operators.hierarchy import (
-    clean_excludes, exclude_paths, format_listing, manifest_totals, running_share, size_filter, size_rollup,
+    clean_entries, clean_excludes, exclude_by_table, exclude_globs, exclude_paths, format_listing, glob_regex, manifest_totals, running_share, size_filter, size_rollup,
     size_topk,
 )
 from strata.plans import fixtures as fx
@@ -132,9 +133,9 @@ def test_running_share_matches_sorted_walk(spark):
     for i, (p, s) in enumerate(rows):
         done += s or 0
         want.append((p, s, i + 1, done))
-    got = [(r.path, r.size, r.files_done, r.bytes_done) for r in running_share(m, bucket_keys=40).collect()]
+    got = [(r.path, r.size, r.files_done, r.bytes_done) for r in running_share(m, partitions=7).collect()]
     assert sorted(got, key=lambda r: r[2]) == want
-    last = running_share(m, bucket_keys=90).where(F.col("files_done") == total_n).first()
+    last = running_share(m, partitions=3).where(F.col("files_done") == total_n).first()
     assert last.files_pct == 100.0 and last.bytes_pct == 100.0 and last.bytes_done == total_b
 
 
@@ -148,8 +149,8 @@ def test_running_share_many_buckets_and_null_sizes(spark):
     for i, r in enumerate(ordered):
         done += r[1] or 0
         want.append((r[0], r[1], i + 1, done))
-    for b in (1, 2, 15, 60, 5000):
-        got = sorted(((r.path, r.size, r.files_done, r.bytes_done) for r in running_share(df.repartition(3), bucket_keys=b).collect()),
+    for b in (1, 2, 15, 60, 500):
+        got = sorted(((r.path, r.size, r.files_done, r.bytes_done) for r in running_share(df.repartition(3), partitions=b).collect()),
                      key=lambda t: t[2])
         assert got == want, b
 
@@ -158,18 +159,112 @@ def test_running_share_hot_duplicate_path(spark):
     rows = [("same/p", 1, False, "file")] * 300 + [(f"z{i}", 5, False, "file") for i in range(40)]
     for parts in (1, 5):  # however the rows are dealt, equal ones count on in one go
         df = spark.createDataFrame(rows, MANIFEST_SCHEMA).repartition(parts)
-        out = running_share(df, bucket_keys=7)
+        out = running_share(df, partitions=20)
         assert sorted(r.files_done for r in out.collect()) == list(range(1, 341))
         assert out.agg(F.max("bytes_done")).first()[0] == 300 + 40 * 5
         assert out.where("path = 'same/p'").agg(F.max("files_done")).first()[0] == 300
 
 
-def test_buckets_follow_the_number_of_keys(spark):
-    from strata.operators.hierarchy import _bounds
-    keys = spark.range(20000).selectExpr("concat('p', id) AS path", "id AS size")
-    bounds = _bounds(keys, 10)
-    assert 1500 < len(bounds) < 2000  # no cap
-    assert bounds == _bounds(keys.repartition(7), 10)  # the same sample in any order
+def test_running_share_collects_nothing(spark, manifest, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    def refuse(*_):
+        raise AssertionError("rows reached the driver")
+
+    for name in ("collect", "first", "head", "take", "count", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, refuse)
+    running_share(manifest)
+
+
+def test_positions_of_equal_rows(spark):
+    from strata.operators.ordering import numbered
+    rows = [(1, "b")] * 200 + [(1, "a"), (None, "z"), (0, None), (0, "c")]
+    got = sorted((r["position"], r["k"], r["v"]) for r in numbered(spark.createDataFrame(rows, "k long, v string"), ["k"], partitions=5).collect())
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    assert got == [(i, *r) for i, r in enumerate(want)]
+    assert numbered(spark.createDataFrame([], "k long, v string"), ["k"]).count() == 0
+
+
+# ---- exclusion lists as tables, patterns --------------------------------------------------
+
+ENTRIES = [".git", "  node_modules\t", "src/temp", "/proj/empty", "/proj/a/../a//b/c/", "/proj/./x/src/", "/other/z", "", "   ", "temp", "/proj", "/",
+           "/proj/..foo", "../up", "a/b/", "/proj/y/temp/t"]
+
+
+def test_exclusion_by_table_matches_the_list(spark, manifest):
+    entries = spark.createDataFrame([(e, i) for i, e in enumerate([*ENTRIES, *ENTRIES, None])], "entry string, key int")
+    with warnings.catch_warnings(record=True):
+        want = sorted(map(str, exclude_paths(manifest, ENTRIES, "/proj").collect()))
+    got = exclude_by_table(manifest, entries, "/proj")
+    assert got.columns == manifest.columns and sorted(map(str, got.collect())) == want
+    assert 0 < len(want) < len(ROWS)
+    assert exclude_by_table(manifest, entries.where("false"), "/proj").count() == len(ROWS)
+    assert exclude_by_table(manifest.where("false"), entries, "/proj").count() == 0
+    keys = {r["key"] for r in clean_entries(entries, "/proj").collect()}
+    assert keys == {"n:.git", "n:node_modules", "p:src/temp", "n:empty", "p:a/b/c", "p:x/src", "n:temp", "n:.", "p:../up", "p:a/b/", "p:y/temp/t"}
+
+
+def test_exclusion_by_a_list_larger_than_a_literal(spark):
+    files = spark.range(30_000).selectExpr("concat('d', id % 1000, '/e', id % 7, '/f', id) AS path", "id AS size", "false AS is_symlink", "'file' AS kind")
+    entries = spark.range(20_000).selectExpr("concat('d', id * 3, '/e', id % 7) AS entry")
+    got = {r["path"] for r in exclude_by_table(files, entries, "/r").select("path").collect()}
+    listed = {f"d{i * 3}/e{i % 7}" for i in range(20_000)}
+    want = {p for p in (f"d{i % 1000}/e{i % 7}/f{i}" for i in range(30_000)) if p.rsplit("/", 1)[0] not in listed}
+    assert got == want and 0 < len(want) < 30_000
+
+
+def glob_excluded(path, kind, patterns, form):
+    """Does the path or a directory above it match?  By fnmatch, name by name."""
+    parts = path.split("/")
+    for k in range(1, len(parts) + 1):
+        name, upto, is_dir = parts[k - 1], "/".join(parts[:k]), k < len(parts) or kind == "dir"
+        for p in patterns:
+            if form == "find":
+                if fnmatch.fnmatchcase(upto if "/" in p else name, p):
+                    return True
+                continue
+            q = p.rstrip("/")
+            if not is_dir and (p.endswith("/") or q.endswith("/***")):
+                continue
+            q = q.removesuffix("/***")
+            n = q.count("/") + 1
+            if "**" not in q and k >= n and all(fnmatch.fnmatchcase(x, y) for x, y in zip(parts[k - n:k], q.split("/"))):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("form", ["find", "rsync"])
+@pytest.mark.parametrize("patterns", [["*.txt"], ["?"], ["[a-c]/"], ["[!a]*"], ["src/t*"], ["a/*/c"], ["t[e]mp", "*/HEAD"], ["f", "link"], ["a/b/***"],
+                                      ["temp/"], ["[]x]"], ["[x"], [".*"], ["*"], ["a.b"], ["x/src"]])
+def test_patterns_match_fnmatch(spark, form, patterns):
+    rows = ROWS + [("notes.txt", 1, False, "file"), ("a.b/x", 1, False, "file"), ("axb/x", 1, False, "file"), ("[x/y", 1, False, "file"),
+                   ("]/q", 1, False, "file"), ("deep/a/b/c/d", 1, False, "file"), ("line\nbreak/f", 1, False, "file")]
+    got = {r["path"] for r in exclude_globs(spark.createDataFrame(rows, MANIFEST_SCHEMA), patterns, "/proj", form).collect()}
+    assert got == {p for p, _, _, k in rows if not glob_excluded(p, k, patterns, form)}
+
+
+def test_patterns_of_their_own_kind(spark):
+    for pattern, across, yes, no in [
+            ("a**b", False, ["ab", "a/x/b"], ["a/x"]), ("a*b", False, ["axb"], ["a/b"]), ("a*b", True, ["a/b"], ["ac"]), (r"a\*b", True, ["a*b"], ["axb"]),
+            (r"a\?", True, ["a?"], ["ab"]), ("[[:digit:]x]", False, ["5", "x"], ["a"]), ("[^a-c]", False, ["d"], ["b", "/"]), ("a+(b)", True, ["a+(b)"], ["aab"]),
+            ("[a\\]]", True, ["]"], ["b"]), ("[a-]", True, ["-", "a"], ["b"])]:
+        regex = glob_regex(pattern, across)
+        rows = spark.createDataFrame([(x,) for x in yes + no], "x string").where(F.col("x").rlike(f"^(?:{regex})$")).collect()
+        assert {r["x"] for r in rows} == set(yes), (pattern, regex)
+    with pytest.raises(ValueError):
+        exclude_globs(spark.createDataFrame(ROWS, MANIFEST_SCHEMA), ["x"], "/r", "other")
+    m = spark.createDataFrame(ROWS, MANIFEST_SCHEMA)
+    assert exclude_globs(m, ["pr?j"], "/proj", "find").count() == 0  # the root's own name
+    assert exclude_globs(m, ["pr?j"], "/proj", "rsync").count() == len(ROWS) == exclude_globs(m, [" "], "/proj").count()
+
+
+def test_every_pattern_of_the_fixture_is_reached(spark):
+    m = fx.page_manifest(spark, SF01)
+    total = m.count()
+    for form, idle in (("find", {"f[q-s]/", "/var/*/x", "[en"}), ("rsync", {"/var/*/x", "[en"})):
+        with warnings.catch_warnings(record=True):
+            reached = {p for p in fx.GLOB_EXCLUDES if exclude_globs(m, [p], fx.MANIFEST_ROOT, form).count() < total}
+        assert reached == set(fx.GLOB_EXCLUDES) - idle
 
 
 def test_unreadable_files_and_empty_manifest(spark):

@@ -7,13 +7,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from conftest import SF01, SF001
 from strata.operators.payment_history import php_updates
 from strata.operators.report import final_report
 from strata.plans import fixtures as fx
 from strata.plans import registry
 
-WINDOW_KEYS = {"running_share", "validation_notice"}  # within bounded buckets, or over a row a bucket
+# within bounded buckets or range partitions, over a row a bucket, or (the SQL text) as the statement has it
+WINDOW_KEYS = {"running_share", "json_pages", "validation_notice", "php_updates_sql"}
 # a shuffle join (sort-merge, or hash when AQE finds the build side small) with the hot partition split
 SKEW_JOIN = re.compile(r"(?:SortMergeJoin|ShuffledHashJoin)\(skew=true\)")  # per-range windows + a window over one row per range
 
@@ -36,6 +37,35 @@ def test_running_share_windows_are_partitioned(spark):
     assert plan.count("SinglePartition") <= 1 and "rangepartitioning" not in plan
 
 
+def test_no_plan_outgrows_its_code(spark):
+    """Generated code that doesn't compile fails here instead of being interpreted, and no plan repeats a computed path over and over."""
+    old = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for key, query in registry.queries().items():
+            df = query(spark, SF001)
+            assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 60_000, key
+            df.write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", old)
+
+
+def test_exclusion_by_table_splits_a_hot_directory(spark):
+    from strata.operators.hierarchy import exclude_by_table
+    files = spark.range(60_000).repartition(8).selectExpr(
+        "concat(IF(id % 3 = 0, 'hot/dir', concat('d', id)), '/file', id) AS path", "id AS size", "false AS is_symlink", "'file' AS kind")
+    entries = spark.range(40_000).selectExpr("concat('d', id * 2) AS entry")
+
+    def run():
+        out = exclude_by_table(files, entries, "/r")
+        n = len(out.collect())
+        return n, _plan(out).split("== Initial Plan ==")[0]
+
+    n, final = _with_conf(spark, SKEW_CONF, run)
+    assert n == sum(i % 3 == 0 or i % 2 == 1 for i in range(60_000))
+    assert SKEW_JOIN.search(final)
+
+
 def test_hot_loan_report(spark):
     """A third of the rows belong to one loan: the report stays exact and is
     built from (loan, CX6 string) counts, never from the k*k pairs."""
