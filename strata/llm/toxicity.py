@@ -1,176 +1,156 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are words and word beginnings of two lengths.  The vocabulary are all
-terms of the labelled examples; document frequencies are counted over all
-documents.  A term weighs its IDF times the root of 1 + chi-square of its
-presence and the label, so no term is left out.  The examples, a bounded sample
-of each class with small languages whole before large ones are thinned, form a
-block-max inverted index: they lie in
-blocks of similar ones, each block has a list of impacts for every term in it,
-and a table holds each term's largest impact in each block.  A search visits
-blocks by descending upper bound and stops when the next bound is below the
-k-th best cosine, so its result is exact.  The neighbours vote with weights
-that fall with their distance.  Votes become probabilities by isotonic
-regression over the examples' own votes, each example left out of its own
-search, weighted to the shares of its class and language among all labelled
-rows.  Terms that no example has count in no cosine's norm.
-
-A null text is empty.  A text without vocabulary terms has no neighbours and
-gets the share of toxic examples among those without any.  A document with
-several labels counts with the larger one; rows with a null doc_id are scored,
-but never learned from.  Without examples of both classes the score is the
-share of toxic rows (0 without labels).  An empty table gives an empty result.
+Terms are the words of the whole text, hashed to ``DIMENSIONS`` places; document
+frequencies are counted over all documents, and every term of a text counts in
+its norm, whether an example has it or not, so a cosine is that of the whole
+texts.  The examples, a bounded sample of each class drawn evenly over the
+languages, form a block-max inverted index: a term's postings are cut by blocks
+of similar examples, and each piece knows its largest weight.  A search sums
+these into an upper bound of each block, looks into the most promising blocks,
+and then only into those whose bound reaches the k-th best cosine found, so its
+result is exact.
+
+The neighbours vote with their cosine, in which each shared term counts by how
+much its presence among the examples says about the label (the root of 1 + chi-
+square): labels weigh in the vote, never in the distance.  Votes become
+probabilities by isotonic regression over the examples' own votes, each example
+left out of its own search, weighted to the shares of its class and language
+among all labelled rows.
+
+An example has ``EXAMPLE_BYTES`` at most; longer labelled texts teach nothing,
+but are scored whole.  A null text is empty.  A text without terms of any
+example has no neighbours and gets the share of toxic examples among those
+without any.  A document with several labels counts with the larger one, one
+id with several texts with that of the smallest hash; rows with a null doc_id
+are scored, but never learned from.  Without examples of both classes the
+score is the share of toxic rows (0 without labels).  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import crc_mod, for_workers, hash_sample, table, written
+from strata.llm.common import crc_mod, for_workers, table, written
 from strata.llm.quality import isotonic
 
 THRESHOLD = 0.7
 EXAMPLES = 1000  # labelled documents of each class in the index
-STEMS = (4, 6)  # bytes of the word beginnings
-NEIGHBOURS = 15
-BLOCK = 64  # examples of a block
+EXAMPLE_BYTES = 1 << 16
+STRATA = 64  # languages are hashed to so many, so that quotas are a table of fixed size
+DIMENSIONS = 1 << 20  # places terms are hashed to
+NEIGHBOURS = 50
+BLOCK = 32  # examples of a block
+FIRST_BLOCKS = 3  # blocks that a search looks into before it prunes
 HELD_OUT = 3  # op4: rows with crc32(doc_id) mod 3 = 1
 
 # Word bytes are 0-9, a-z and all beyond ASCII; A-Z are lower-cased, the rest are blanks.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_WORDS).split()
+def terms_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a text's words, ascending, and how often each occurs."""
+    words = Counter(text.translate(_WORDS).split())
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0)
+    places = np.fromiter(map(crc32, words), np.int64, len(words)) & (DIMENSIONS - 1)
+    counts = np.fromiter(words.values(), float, len(words))
+    order = np.argsort(places, kind="stable")
+    places, counts = places[order], counts[order]
+    first = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+    return places[first], np.add.reduceat(counts, first)
 
 
-def terms_of(text: bytes) -> Counter:
-    """All terms of a text: words, and beginnings of longer words marked by a star."""
-    words = words_of(text)
-    return Counter(words) + Counter(w[:n] + b"*" for n in STEMS for w in words if len(w) > n)
-
-
-@dataclass
-class Vocabulary:
-    terms: dict[bytes, int]
-
-    def __post_init__(self):
-        self.words = {t: i for t, i in self.terms.items() if not t.endswith(b"*")}
-        self.stems = [(n, {t[:-1]: i for t, i in self.terms.items() if t.endswith(b"*") and len(t) == n + 1}) for n in STEMS]
-
-    def counts(self, text: bytes) -> tuple[list[int], list[int]]:
-        found: dict[int | None, int] = {}
-        for word, n in Counter(words_of(text)).items():
-            i = self.words.get(word)
-            found[i] = found.get(i, 0) + n
-            for size, stems in self.stems:
-                if len(word) > size:
-                    i = stems.get(word[:size])
-                    found[i] = found.get(i, 0) + n
-        found.pop(None, None)
-        ids = sorted(found)
-        return ids, [found[i] for i in ids]
-
-
-def weigh_terms(examples: list[tuple[bytes, int]]) -> tuple[Vocabulary, np.ndarray]:
-    """All terms of (text, label) examples, and how much each tells about the
-    label: the root of 1 + chi-square of its presence."""
-    n, positive = len(examples), sum(label for _, label in examples)
-    df, hits = Counter(), Counter()
-    for text, label in examples:
-        terms = terms_of(text).keys()
-        df.update(terms)
-        if label:
-            hits.update(terms)
-    terms = sorted(df)
-    d = np.array([df[t] for t in terms], float)
-    a = np.array([hits[t] for t in terms], float)  # examples of each label with and without the term
-    b, c = d - a, positive - a
-    rest = n - d - c
-    chi2 = n * (a * rest - b * c) ** 2 / np.maximum(d * (n - d) * positive * (n - positive), 1)
-    return Vocabulary({t: i for i, t in enumerate(terms)}), np.sqrt(1 + chi2)
+# ---- the index ---------------------------------------------------------------------------
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at ``starts``, one after another."""
+    total = int(sizes.sum())
+    return np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
-# ---- the index ---------------------------------------------------------------------------
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors of the examples: per block the lists of impacts of its terms."""
+    """Unit vectors of the examples, by term and block."""
+
+    vectors: list[tuple[np.ndarray, np.ndarray]]
+    telling: np.ndarray  # of the index's terms, ascending by place
 
-    idf: np.ndarray
-    rows: np.ndarray = field(default=None)  # block x term: row of the term's list in the block, or -1
-    lists: list[np.ndarray] = field(default_factory=list)  # a block: terms x BLOCK impacts
-    best: np.ndarray = field(default=None)  # term x block: the largest impact
-    size: int = 0
-    vectors: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    def __post_init__(self):
+        self.size = len(self.vectors)
+        sizes = [len(t) for t, _ in self.vectors]
+        terms = np.concatenate([t for t, _ in self.vectors] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([w for _, w in self.vectors] or [np.zeros(0)])
+        owner = np.repeat(np.arange(self.size), sizes)
+        order = np.lexsort((owner, terms))
+        self.terms, row = np.unique(terms[order], return_inverse=True)
+        self.owner, self.weight = owner[order], weight[order]
+        self.vote_weight = self.weight * self.telling[row] if len(self.telling) else self.weight
+        pair = row * (self.size // BLOCK + 1) + self.owner // BLOCK  # a term's postings in one block lie together
+        self.piece = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+        self.piece_size = np.diff(np.append(self.piece, len(pair)))
+        self.piece_block = self.owner[self.piece] // BLOCK
+        self.piece_best = np.maximum.reduceat(self.weight, self.piece) if len(self.piece) else np.zeros(0)
+        self.start = np.searchsorted(row[self.piece], np.arange(len(self.terms) + 1))  # pieces of each term
+        self.blocks = -(-self.size // BLOCK)
 
     def __getstate__(self):
-        """Only the vectors travel to the tasks; the lists, mostly zeros, are built there."""
-        none = (np.zeros(0, int), np.zeros(0, np.float32))
-        ids, weights = zip(none, *self.vectors)
-        return self.idf, [len(i) for i in ids[1:]], np.concatenate(ids).astype(np.int32), np.concatenate(weights)
+        return self.vectors, self.telling  # the lists are built where they are used
 
     def __setstate__(self, state):
-        idf, lengths, ids, weights = state
-        self.__init__(idf)
-        ends = np.cumsum(lengths)[:-1]
-        if lengths:
-            self.build(list(zip(np.split(ids.astype(int), ends), np.split(weights, ends))))
-
-    def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        weight = (1 + np.log(counts)) * self.idf[ids]
-        keep = weight > 0
-        ids, weight = ids[keep], weight[keep]
-        return ids, (weight / np.linalg.norm(weight) if len(ids) else weight).astype(np.float32)
-
-    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.size, self.vectors = len(vectors), vectors
-        n_blocks = -(-self.size // BLOCK)
-        self.rows = np.full((n_blocks, len(self.idf)), -1, np.int32)
-        self.best = np.zeros((len(self.idf), n_blocks), np.float32)
-        for b in range(n_blocks):
-            members = vectors[b * BLOCK:(b + 1) * BLOCK]
-            terms = np.unique(np.concatenate([ids for ids, _ in members]))
-            lists = np.zeros((len(terms), BLOCK), np.float32)
-            for i, (ids, weight) in enumerate(members):
-                lists[np.searchsorted(terms, ids), i] = weight
-            self.rows[b, terms] = np.arange(len(terms))
-            self.best[terms, b] = lists.max(axis=1) if len(terms) else 0
-            self.lists.append(lists)
-
-    def search(self, ids: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0, best first,
-        ties by number; example ``but`` is left out."""
-        if not len(ids) or not self.size:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        bound = weight @ self.best[ids]
-        found, cosine = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for b in np.argsort(-bound, kind="stable"):
-            least = cosine[k - 1] if len(cosine) >= k else 0.0
-            if bound[b] <= 0 or bound[b] < least - 1e-5:  # a hair below, for rounding
-                break
-            row = self.rows[b, ids]
-            has = row >= 0
-            score = weight[has] @ self.lists[b][row[has]]
-            at = np.flatnonzero(score > max(0.0, least - 1e-5))
-            number = b * BLOCK + at
-            keep = number != but
-            found, cosine = np.append(found, number[keep]), np.append(cosine, score[at][keep])
-            order = np.lexsort((found, -cosine))[:k]
-            found, cosine = found[order], cosine[order]
-        return found, cosine
+        self.__init__(*state)
+
+    def search(self, terms: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, but: int = -1):
+        """(examples, cosines, vote weights) of the k nearest with a cosine above 0,
+        best first, ties by number; example ``but`` is left out."""
+        at = np.searchsorted(self.terms, terms)
+        known = at < len(self.terms)
+        known[known] = self.terms[at[known]] == terms[known]
+        row, weight = at[known], weight[known]
+        many = self.start[row + 1] - self.start[row]
+        pieces, factor = _ranges(self.start[row], many), np.repeat(weight, many)
+        block = self.piece_block[pieces]
+        bound = np.bincount(block, self.piece_best[pieces] * factor, self.blocks)
+        cosine, votes = np.zeros(self.size), np.zeros(self.size)
+
+        def look_into(chosen: np.ndarray) -> None:
+            wanted = chosen[block]
+            sizes = self.piece_size[pieces[wanted]]
+            at = _ranges(self.piece[pieces[wanted]], sizes)
+            by = np.repeat(factor[wanted], sizes)
+            nonlocal cosine, votes
+            cosine = cosine + np.bincount(self.owner[at], self.weight[at] * by, self.size)
+            votes = votes + np.bincount(self.owner[at], self.vote_weight[at] * by, self.size)
+            if but >= 0:
+                cosine[but] = 0.0
+
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:max(FIRST_BLOCKS, -(-k // BLOCK))]] = True
+        look_into(first)
+        least = np.partition(cosine, -k)[-k] if self.size > k else 0.0
+        rest = ~first & (bound > 0) & (bound >= least - 1e-9)  # a hair below, for rounding
+        if rest.any():
+            look_into(rest)
+        found = np.flatnonzero(cosine > 0)
+        if len(found) > k:
+            found = found[cosine[found] >= np.partition(cosine[found], -k)[-k]]
+        found = found[np.lexsort((found, -cosine[found]))[:k]]
+        return found, cosine[found], votes[found]
 
 
 @dataclass
 class ToxicityModel:
     share: float  # of toxic rows among the labelled
+    idf: np.ndarray | None = None  # of all places
     index: BlockMaxIndex | None = None
     doc_ids: np.ndarray | None = None
     labels: np.ndarray | None = None
@@ -178,43 +158,58 @@ class ToxicityModel:
     chance: np.ndarray | None = None
     without: float = 0.0  # score where there are no neighbours
 
-    def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
-        weight = cosine / (1.05 - cosine)  # near 0 far away, high for copies
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = (1 + np.log(counts)) * self.idf[terms]
+        norm = np.sqrt(weight @ weight)  # of all terms of the text
+        return terms, weight / norm if norm > 0 else weight
+
+    def vote(self, found: np.ndarray, weight: np.ndarray) -> float:
         return float(weight @ self.labels[found] / weight.sum())
 
-    def score(self, ids: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
-        """Probability and evidence: (doc_id, label, cosine) of the three nearest."""
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
+        """Probability and evidence: doc_id, label and cosine of the three nearest."""
         if self.index is None:
             return self.share, []
-        found, cosine = self.index.search(*self.index.vector(ids, counts))
+        found, cosine, weight = self.index.search(*self.vector(terms, counts))
         if not len(found):
             return self.without, []
-        near = [(int(self.doc_ids[i]), int(self.labels[i]), float(c)) for i, c in zip(found[:3], cosine[:3])]
-        return float(np.interp(self.vote(found, cosine), self.grid, self.chance)), near
+        near = [{"doc_id": int(self.doc_ids[i]), "label": int(self.labels[i]), "cosine": float(c)} for i, c in zip(found[:3], cosine[:3])]
+        return float(np.interp(self.vote(found, weight), self.grid, self.chance)), near
+
+
+def tells(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """How much each term's presence says about the label: the root of 1 + chi-
+    square, for all the vectors' terms in ascending order."""
+    n, positive = len(labels), labels.sum()
+    terms, row = np.unique(np.concatenate([t for t, _ in vectors]), return_inverse=True)
+    label = np.repeat(labels, [len(t) for t, _ in vectors])
+    d = np.bincount(row, minlength=len(terms)).astype(float)
+    a = np.bincount(row, label, len(terms))  # examples of each label with and without the term
+    b, c = d - a, positive - a
+    chi2 = n * (a * (n - d - c) - b * c) ** 2 / np.maximum(d * (n - d) * positive * (n - positive), 1)
+    return np.sqrt(1 + chi2)
 
 
-def _fit(examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, share: float,
-         stands_for: np.ndarray) -> ToxicityModel:
-    """From (doc_id, label, term ids, counts) of both classes; each stands for
-    so many labelled rows."""
-    index, model = BlockMaxIndex(idf), ToxicityModel(share)
-    vectors = [index.vector(np.array(ids, int), np.array(counts, float)) for _, _, ids, counts in examples]
+def _fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray, share: float, stands_for: np.ndarray) -> ToxicityModel:
+    """From (doc_id, label, terms, counts) of both classes; each stands for so
+    many labelled rows."""
+    model = ToxicityModel(share, idf)
+    vectors = [model.vector(terms, counts) for _, _, terms, counts in examples]
     # similar examples share a block, so the blocks' bounds are tight: by label, then heaviest term
-    heaviest = [int(ids[np.argmax(w)]) if len(ids) else -1 for ids, w in vectors]
+    heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
     order = sorted(range(len(examples)), key=lambda i: (examples[i][1], heaviest[i], examples[i][0]))
     vectors = [vectors[i] for i in order]
-    index.build(vectors)
-    model.index = index
     model.doc_ids = np.array([examples[i][0] for i in order])
     model.labels = np.array([examples[i][1] for i in order], float)
+    index = model.index = BlockMaxIndex(vectors, tells(vectors, model.labels))
     weight = stands_for[order]
     toxic = weight[model.labels == 1].sum()
     weight = np.where(model.labels == 1, weight * share / toxic, weight * (1 - share) / (weight.sum() - toxic)) * len(order)
     votes = np.full(len(order), np.nan)
-    for i, (ids, w) in enumerate(vectors):
-        found, cosine = index.search(ids, w, but=i)
+    for i, (terms, w) in enumerate(vectors):
+        found, _, by = index.search(terms, w, but=i)
         if len(found):
-            votes[i] = model.vote(found, cosine)
+            votes[i] = model.vote(found, by)
     none = np.isnan(votes)
     # with the weight of one row of the average share, so that few examples aren't certain
     model.without = float((weight[none] @ model.labels[none] + share) / (weight[none].sum() + 1))
@@ -231,76 +226,98 @@ def _fit(examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray,
 
 # ---- the operator ------------------------------------------------------------------------
 
-def _quotas(counts: dict[tuple[int, str | None], int]) -> dict[tuple[int, str | None], int]:
-    """How many examples to draw of each (label, language): ``EXAMPLES`` of a
-    label, shared evenly; what a small language leaves goes to the larger."""
+def _quotas(counts: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
+    """How many examples to draw of each (label, stratum): ``EXAMPLES`` of a label,
+    shared evenly; what a small stratum leaves goes to the larger."""
     quotas = {}
     for label in {y for y, _ in counts}:
-        left, open_ = EXAMPLES, sorted((n, str(lang), lang) for (y, lang), n in counts.items() if y == label)
-        for i, (n, _, lang) in enumerate(open_):
-            quotas[label, lang] = min(n, left // (len(open_) - i))
-            left -= quotas[label, lang]
+        left, open_ = EXAMPLES, sorted((n, stratum) for (y, stratum), n in counts.items() if y == label)
+        for i, (n, stratum) in enumerate(open_):
+            quotas[label, stratum] = min(n, left // (len(open_) - i))
+            left -= quotas[label, stratum]
     return quotas
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[list[tuple[int, int, bytes]], np.ndarray, float]:
-    """Examples (doc_id, label, text), how many labelled rows each stands for and
-    the share of toxic rows, of the rows of ``labels`` (doc_id, y) that meet ``usable``."""
+_HASHES = 1 << 31
+
+
+def _draw(marks: DataFrame) -> dict[int, tuple[int, float]]:
+    """doc_id -> (label, how many labelled rows it stands for) of the examples, from
+    one row a document (doc_id, y, stratum): in each class and stratum those whose
+    ids hash lowest, all strata in one pass, and only those that may be among
+    them are collected."""
+    marks = marks.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)))
+    counts = {(r["y"], r["stratum"]): r["n"] for r in marks.groupBy("y", "stratum").agg(F.count("*").alias("n")).collect()}
+    quotas = {key: size for key, size in _quotas(counts).items() if size}
+    if not quotas:
+        return {}
+    # a fifth more than wanted and some: fewer than wanted would pass only rarely, and that is no harm
+    limit = F.create_map(*[x for (y, stratum), size in quotas.items() for x in (
+        F.lit(f"{y}:{stratum}"), F.lit(min(_HASHES, int(_HASHES * (1.2 * size + 50) / counts[y, stratum]))))])
+    low = marks.where(F.col("h") < limit[F.concat_ws(":", "y", "stratum")]).collect()
+    by: dict[tuple[int, int], list] = {}
+    for r in sorted(low, key=lambda r: (r["h"], r["doc_id"])):
+        by.setdefault((r["y"], r["stratum"]), []).append(r["doc_id"])
+    drawn = {key: ids[:quotas[key]] for key, ids in by.items()}
+    return {i: (key[0], counts[key] / len(ids)) for key, ids in drawn.items() for i in ids}
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column):
+    """Examples (doc_id, label, terms, counts), how many labelled rows each stands for
+    and the share of toxic rows, of the rows of ``labels`` (doc_id, y) that meet ``usable``."""
     marks = labels.where(usable & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    if "lang" in docs.columns:
-        langs = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-                 .groupBy("doc_id").agg(F.min("lang").alias("lang")))
-        marks = marks.join(langs, "doc_id", "left")
-    else:
-        marks = marks.withColumn("lang", F.lit(None).cast("string"))
-    marks = written(marks, "toxic-labels")
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(lang), F.lit(STRATA)).cast("int").alias("stratum"),
+                        F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("size"))
+    each = whole.groupBy("doc_id").agg(F.min("stratum").alias("stratum"), F.max("size").alias("size"))
+    marks = written(marks.join(each, "doc_id", "left"), "toxic-labels")
     share = marks.agg(F.avg("y")).first()[0] or 0.0
-    counts = {(r["y"], r["lang"]): r["n"] for r in marks.groupBy("y", "lang").agg(F.count("*").alias("n")).collect()}
-    chosen = {}
-    for (y, lang), size in _quotas(counts).items():
-        if size:
-            drawn = hash_sample(marks.where((F.col("y") == y) & F.col("lang").eqNullSafe(F.lit(lang))), "y", size)
-            chosen |= {r["doc_id"]: (y, counts[y, lang] / len(drawn)) for r in drawn}
-    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-             .where(F.col("doc_id").isin(list(chosen))).collect()) if chosen else []
-    rows = sorted((r["doc_id"], chosen[r["doc_id"]][0], bytes(r["text"] or b"")) for r in texts)
-    return rows, np.array([chosen[i][1] for i, _, _ in rows]), share
+    chosen = _draw(marks.where(F.col("size") <= EXAMPLE_BYTES).select("doc_id", "y", "stratum"))
+    if not chosen:
+        return [], np.zeros(0), share
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.col("doc_id").isin(list(chosen)))
+             .groupBy("doc_id").agg(F.min_by("text", F.sha2("text", 256)).alias("text")).collect())  # one bounded text an id
+    rows = sorted((r["doc_id"], chosen[r["doc_id"]][0], *terms_of(r["text"].encode())) for r in texts)
+    return rows, np.array([chosen[r[0]][1] for r in rows]), share
+
+
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Of all places, and the number of documents: counted by partition first."""
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(DIMENSIONS + 1, np.int64), 0
+        for batch in batches:
+            for text in batch.column("text"):
+                seen[terms_of(text.as_py() or b"")[0]] += 1
+                n += 1
+        seen[-1] = n  # the last place counts the documents
+        found = np.flatnonzero(seen)
+        for at in range(0, len(found), 1 << 16):
+            some = found[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(seen[some])], ["place", "n"])
+
+    counted = texts.mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # a row a place
+    df = np.zeros(DIMENSIONS + 1, np.int64)
+    df[counted["place"].to_numpy()] = counted["n"].to_numpy()
+    return df[:-1], int(df[-1])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     """One row a document: doc_id, score, predicted, evidence."""
     examples, stands_for, share = train(docs, labels, usable)
-    vocabulary, telling = weigh_terms([(text, y) for _, y, text in examples])
-    size = len(vocabulary.terms)
     # read twice: all terms of all texts would be a table as large as the texts
     rows = for_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-
-    def frequencies(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, n = np.zeros(size + 1, np.int64), 0  # a partition's own counts, so at most a row a term leaves it
-        for pdf in batches:
-            n += len(pdf)
-            for text in pdf["text"]:
-                seen[vocabulary.counts(text or b"")[0]] += 1
-        seen[size] = n  # the last place counts the documents
-        found = np.flatnonzero(seen)
-        yield pd.DataFrame({"id": found.astype(np.int32), "n": seen[found]})
-
-    df = np.zeros(size + 1)
-    for r in rows.mapInPandas(frequencies, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        df[r["id"]] = r["n"]
     model = ToxicityModel(share)
-    if len({y for _, y, _ in examples}) == 2 and size:
-        idf = np.log((df[size] + 1) / (df[:size] + 1)) * telling
-        model = _fit([(i, y, *vocabulary.counts(t)) for i, y, t in examples], idf, share, stands_for)
+    if len({e[1] for e in examples}) == 2 and any(len(e[2]) for e in examples):
+        df, n = document_frequencies(rows.select("text"))
+        model = _fit(examples, np.log((n + 1) / (df + 1)), share, stands_for)
 
     def scored(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            terms = [vocabulary.counts(t or b"") for t in pdf["text"]]
-            found = [model.score(np.array(i, int), np.array(c, float)) for i, c in terms]
+            found = [model.score(*terms_of(t or b"")) for t in pdf["text"]]
             score = np.array([f[0] for f in found], float)
-            near = [[dict(zip(("doc_id", "label", "cosine"), e)) for e in f[1]] for f in found]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": score,
-                                "predicted": (score >= THRESHOLD).astype(np.int32), "evidence": near})
+                                "predicted": (score >= THRESHOLD).astype(np.int32), "evidence": [f[1] for f in found]})
 
     return rows.mapInPandas(scored, "doc_id long, score double, predicted int, "
                                     "evidence array<struct<doc_id:long,label:int,cosine:double>>")

@@ -345,10 +345,29 @@ def test_toxicity_learns_terms_of_a_rare_language(spark):
     labels = docs.selectExpr("doc_id", "CAST(doc_id % 5 < 2 OR lang = 'fi' AS INT) AS y")
     got = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, labels, F.col("doc_id") != 32).collect()}
     assert got[32]["predicted"] == 1 and {e["doc_id"] for e in got[32]["evidence"]} == {2, 12, 22}
-    vocabulary, telling = toxicity.weigh_terms([(b"one two", 1), (b"two", 0)])
-    assert set(vocabulary.terms) == {b"one", b"two"} and (telling >= 1).all()
-    counts = {(1, "en"): 5000, (1, "de"): 5000, (1, None): 7, (0, "en"): 3}
-    assert toxicity._quotas(counts) == {(1, None): 7, (1, "de"): 496, (1, "en"): 497, (0, "en"): 3}
+    counts = {(1, 3): 5000, (1, 9): 5000, (1, 0): 7, (0, 3): 3}
+    assert toxicity._quotas(counts) == {(1, 0): 7, (1, 3): 496, (1, 9): 497, (0, 3): 3}
+
+
+def test_toxicity_collects_one_bounded_text_an_id(spark, monkeypatch):
+    import pyspark.sql.functions as F
+    docs = spark.range(9000).selectExpr(
+        "IF(id % 3 = 0, 7L, id) AS doc_id", "IF(id = 1, repeat('longer than any example ', 5000), concat('idiot words ', id, ' and ', id * 7)) AS text",
+        "concat('l', id % 60) AS lang")
+    labels = spark.range(9000).selectExpr("id AS doc_id", "CAST(id % 5 = 0 OR id = 7 AS INT) AS y")
+    collected, collect = [], type(docs).collect
+
+    def counting(self):
+        rows = collect(self)
+        collected.append((len(rows), sum(len(str(r)) for r in rows)))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", counting)
+    examples, stands_for, _ = toxicity.train(docs, labels, F.lit(True))
+    assert len(collected) == 3 and all(n <= 2.4 * toxicity.EXAMPLES + 100 * toxicity.STRATA for n, _ in collected)
+    ids = [e[0] for e in examples]
+    assert len(ids) == len(set(ids)) <= 2 * toxicity.EXAMPLES and 1 not in ids and len(stands_for) == len(ids)
+    assert collected[-1][0] == len(ids)
 
 
 def test_toxicity_index_travels_without_its_lists():
@@ -356,10 +375,10 @@ def test_toxicity_index_travels_without_its_lists():
 
     import numpy as np
     rng = np.random.default_rng(6)
-    index = toxicity.BlockMaxIndex(rng.uniform(0.1, 3, 5000))
-    index.build([index.vector(np.sort(rng.choice(5000, 50, replace=False)), np.ones(50)) for _ in range(300)])
+    vectors = [(np.sort(rng.choice(5000, 50, replace=False)), rng.uniform(0, 0.2, 50)) for _ in range(300)]
+    index = toxicity.BlockMaxIndex(vectors, np.ones(len(np.unique(np.concatenate([t for t, _ in vectors])))))
     packed = pickle.dumps(index)
-    assert len(packed) < sum(x.nbytes for x in index.lists) / 10
-    for ids, w in index.vectors[::50]:
-        for a, b in zip(index.search(ids, w), pickle.loads(packed).search(ids, w)):
+    assert len(packed) < 2 * sum(t.nbytes + w.nbytes for t, w in vectors)
+    for terms, w in vectors[::50]:
+        for a, b in zip(index.search(terms, w), pickle.loads(packed).search(terms, w)):
             assert np.array_equal(a, b)

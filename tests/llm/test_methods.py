@@ -4,6 +4,9 @@ brute force."""
 import random
 import re
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 import xxhash
@@ -122,27 +125,38 @@ def test_cuts():
 
 def test_search_is_exact():
     rng = np.random.default_rng(4)
-    index = toxicity.BlockMaxIndex(rng.uniform(0.1, 3, 50))
 
     def draw():
         ids = np.sort(rng.choice(50, rng.integers(1, 9), replace=False))
-        return index.vector(ids, rng.integers(1, 5, len(ids)).astype(float))
+        w = rng.uniform(0.1, 3, len(ids))
+        return ids, w / np.linalg.norm(w)
 
     vectors = [draw() for _ in range(300)]
-    index.build(vectors)
+    telling = rng.uniform(1, 4, 50)
+    index = toxicity.BlockMaxIndex(vectors, telling)
     dense = np.zeros((300, 50))
     for i, (ids, w) in enumerate(vectors):
         dense[i, ids] = w
     for but in (-1, 7):
-        for _ in range(50):
-            ids, w = draw()
-            cosine = dense[:, ids] @ w
-            if but >= 0:
-                cosine[but] = 0
-            want = np.sort(cosine[cosine > 0])[::-1][:15]
-            found, got = index.search(ids, w, but=but)
-            assert but not in found
-            assert np.allclose(got, want, atol=1e-5) and np.allclose(cosine[found], got, atol=1e-5)
+        for k in (1, 15, 290, 400):
+            for _ in range(20):
+                ids, w = draw()
+                cosine = dense[:, ids] @ w
+                if but >= 0:
+                    cosine[but] = 0
+                want = sorted((-c, i) for i, c in enumerate(cosine) if c > 0)[:k]
+                found, got, votes = index.search(ids, w, k, but)
+                assert but not in found
+                assert np.allclose(got, [-c for c, _ in want]) and np.allclose(cosine[found], got)
+                assert np.allclose(votes, (dense[found][:, ids] * telling[ids]) @ w)
+    none, _, _ = toxicity.BlockMaxIndex([], np.zeros(0)).search(np.array([3]), np.ones(1))
+    assert not len(none)
+
+
+def test_term_places_and_counts():
+    ids, n = toxicity.terms_of("Äh, the THE 7x; äh the".encode())
+    want = Counter({zlib.crc32(w.encode()) % toxicity.DIMENSIONS: c for w, c in {"Äh": 1, "äh": 1, "the": 3, "7x": 1}.items()})
+    assert dict(zip(ids.tolist(), n.tolist())) == want and sorted(ids) == ids.tolist()
 
 
 # ---- spot signatures -----------------------------------------------------------------------
