@@ -166,13 +166,11 @@ def test_running_share_hot_duplicate_path(spark):
 
 
 def test_running_share_collects_nothing(spark, manifest, monkeypatch):
-    from pyspark.sql import DataFrame
-
     def refuse(*_):
         raise AssertionError("rows reached the driver")
 
     for name in ("collect", "first", "head", "take", "count", "toPandas"):
-        monkeypatch.setattr(DataFrame, name, refuse)
+        monkeypatch.setattr(type(manifest), name, refuse)
     running_share(manifest)
 
 
