@@ -49,8 +49,9 @@ EXAMPLE_BYTES = 1 << 16
 STRATA = 64  # languages are hashed to so many, so that quotas are a table of fixed size
 DIMENSIONS = 1 << 20  # places terms are hashed to
 NEIGHBOURS = 50
-BLOCK = 32  # examples of a block
-FIRST_BLOCKS = 3  # blocks that a search looks into before it prunes
+BLOCK = 64  # examples of a block
+COMMON = 8  # a term that more than one of so many examples has is kept as a row of a matrix
+FIRST_BLOCKS = 2  # blocks that a search looks into before it prunes
 HELD_OUT = 3  # op4: rows with crc32(doc_id) mod 3 = 1
 
 # Word bytes are 0-9, a-z and all beyond ASCII; A-Z are lower-cased, the rest are blanks.
@@ -80,7 +81,8 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors of the examples, by term and block."""
+    """Unit vectors of the examples, by term and block.  The lists of terms that many
+    examples have are kept as rows of a matrix, those of others as postings."""
 
     vectors: list[tuple[np.ndarray, np.ndarray]]
     telling: np.ndarray  # of the index's terms, ascending by place
@@ -93,15 +95,26 @@ class BlockMaxIndex:
         owner = np.repeat(np.arange(self.size), sizes)
         order = np.lexsort((owner, terms))
         self.terms, row = np.unique(terms[order], return_inverse=True)
-        self.owner, self.weight = owner[order], weight[order]
-        self.vote_weight = self.weight * self.telling[row] if len(self.telling) else self.weight
+        owner, weight = owner[order], weight[order]
+        self.blocks = -(-self.size // BLOCK)
+        self.block_of = np.arange(self.size) // BLOCK
+        common = np.bincount(row, minlength=len(self.terms)) * COMMON > self.size
+        self.dense_row = np.where(common, np.cumsum(common) - 1, -1)
+        self.dense = np.zeros((int(common.sum()), self.size))
+        often = common[row]
+        self.dense[self.dense_row[row[often]], owner[often]] = weight[often]
+        padded = np.zeros((len(self.dense), self.blocks * BLOCK))
+        padded[:, :self.size] = self.dense
+        self.dense_best = padded.reshape(len(padded), self.blocks, BLOCK).max(axis=2, initial=0)
+        self.dense_telling = self.telling[common]
+        row, self.owner, self.weight = row[~often], owner[~often], weight[~often]
+        self.vote_weight = self.weight * self.telling[row]
         pair = row * (self.size // BLOCK + 1) + self.owner // BLOCK  # a term's postings in one block lie together
         self.piece = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
         self.piece_size = np.diff(np.append(self.piece, len(pair)))
         self.piece_block = self.owner[self.piece] // BLOCK
         self.piece_best = np.maximum.reduceat(self.weight, self.piece) if len(self.piece) else np.zeros(0)
         self.start = np.searchsorted(row[self.piece], np.arange(len(self.terms) + 1))  # pieces of each term
-        self.blocks = -(-self.size // BLOCK)
 
     def __getstate__(self):
         return self.vectors, self.telling  # the lists are built where they are used
@@ -116,10 +129,13 @@ class BlockMaxIndex:
         known = at < len(self.terms)
         known[known] = self.terms[at[known]] == terms[known]
         row, weight = at[known], weight[known]
+        often = self.dense_row[row] >= 0
+        lists, heavy = self.dense_row[row[often]], weight[often]
+        row, weight = row[~often], weight[~often]
         many = self.start[row + 1] - self.start[row]
         pieces, factor = _ranges(self.start[row], many), np.repeat(weight, many)
         block = self.piece_block[pieces]
-        bound = np.bincount(block, self.piece_best[pieces] * factor, self.blocks)
+        bound = np.bincount(block, self.piece_best[pieces] * factor, self.blocks) + heavy @ self.dense_best[lists]
         cosine, votes = np.zeros(self.size), np.zeros(self.size)
 
         def look_into(chosen: np.ndarray) -> None:
@@ -130,6 +146,11 @@ class BlockMaxIndex:
             nonlocal cosine, votes
             cosine = cosine + np.bincount(self.owner[at], self.weight[at] * by, self.size)
             votes = votes + np.bincount(self.owner[at], self.vote_weight[at] * by, self.size)
+            members = chosen[self.block_of]
+            if 4 * np.count_nonzero(chosen) > self.blocks:  # whole rows are quicker than many of their places
+                cosine += np.where(members, heavy @ self.dense[lists], 0.0)
+            else:
+                cosine[members] += heavy @ self.dense[np.ix_(lists, np.flatnonzero(members))]
             if but >= 0:
                 cosine[but] = 0.0
 
@@ -144,7 +165,7 @@ class BlockMaxIndex:
         if len(found) > k:
             found = found[cosine[found] >= np.partition(cosine[found], -k)[-k]]
         found = found[np.lexsort((found, -cosine[found]))[:k]]
-        return found, cosine[found], votes[found]
+        return found, cosine[found], votes[found] + (heavy * self.dense_telling[lists]) @ self.dense[np.ix_(lists, found)]
 
 
 @dataclass

@@ -364,7 +364,7 @@ def test_toxicity_collects_one_bounded_text_an_id(spark, monkeypatch):
 
     monkeypatch.setattr(type(docs), "collect", counting)
     examples, stands_for, _ = toxicity.train(docs, labels, F.lit(True))
-    assert len(collected) == 3 and all(n <= 2.4 * toxicity.EXAMPLES + 100 * toxicity.STRATA for n, _ in collected)
+    assert len(collected) == 4 and all(n <= 2.4 * toxicity.EXAMPLES + 100 * toxicity.STRATA for n, _ in collected)
     ids = [e[0] for e in examples]
     assert len(ids) == len(set(ids)) <= 2 * toxicity.EXAMPLES and 1 not in ids and len(stands_for) == len(ids)
     assert collected[-1][0] == len(ids)
