@@ -1,7 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source is a queue of its documents in a shuffled order (by a hash of the
-id), repeated as often as its target needs.  An entry's virtual finish time is
+id, the text and a number among equals), repeated as often as its target needs.  An entry's virtual finish time is
 the words its source has sent up to and with it, divided by the source's
 target.  All entries are range-sorted by finish time and cut at the total
 budget: at finish time 1 every source has sent its target.
@@ -15,8 +15,8 @@ buckets (rows, buckets, coarse buckets), so a hot source is spread like any
 other and no window holds more than a bucket.
 
 A null or blank text has size 0 and takes nothing; a null doc_id is a value
-like any other.  Rows with the same id, source and size are taken alike.  An
-empty table gives an empty result, a table without words gets targets of 0.
+like any other.  Equal rows are numbered and stand in the queue one by one, so
+targets are met to within a document whatever repeats.  An empty table gives an empty result, a table without words gets targets of 0.
 """
 
 from __future__ import annotations
@@ -35,10 +35,12 @@ COARSE = 1024  # buckets of a coarse bucket
 _HASH_BITS = 60
 
 
-def shuffle_order(doc_id: Column) -> Column:
-    """A number below 2**60 from the id alone: reruns shuffle alike."""
-    text = F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, _HASH_BITS // 4), 16, 10).cast("long")
+def shuffle_order(doc_id: Column, text: Column, copy: Column) -> Column:
+    """A number below 2**60 from the id, the text's digest and which of equal rows
+    it is: reruns shuffle alike, and rows that share an id, or all they have, lie
+    apart."""
+    name = F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text, F.lit(":"), copy.cast("string"))
+    return F.conv(F.substring(F.md5(name), 1, _HASH_BITS // 4), 16, 10).cast("long")
 
 
 def _sum_before(rows: DataFrame, group: list[str], order: str, value: str) -> Column:
@@ -106,12 +108,23 @@ def _key() -> Column:
     return F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source"))
 
 
+def _digest() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+def _queues(docs: DataFrame) -> DataFrame:
+    """All rows in light form, each with a place of its own in its source's queue.
+    Equal rows are counted and numbered, so none waits for another."""
+    equal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size().alias("size"), _key().alias("key"), _digest().alias("text"))
+    equal = equal.groupBy(*equal.columns).agg(F.count(F.lit(1)).alias("copies"))
+    rows = equal.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return rows.withColumn("h", shuffle_order(F.col("doc_id"), F.col("text"), F.col("copy"))).drop("copy", "copies")
+
+
 def weighted_fair_mix(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, times (how
     often the mix takes the document) and taken (words, repeats counted)."""
-    queued = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size().alias("size"), _key().alias("key"),
-                         shuffle_order(F.col("doc_id")).alias("h"))
-    return _mixed(written(queued, "sizes"))
+    return _mixed(written(_queues(docs), "sizes")).drop("text")
 
 
 def _mixed(sized: DataFrame) -> DataFrame:
@@ -144,20 +157,30 @@ def _mixed(sized: DataFrame) -> DataFrame:
             in_mix = (F.col("repeats") > turn) & (F.col("size") > 0) & (place(F.lit(turn).cast("long")) <= last)
             times = times + F.when(in_mix, 1).otherwise(0)
     return sent.withColumn("times", times).select(
-        "doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+        "doc_id", "source", "size", "text", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them, with all their columns: a row for
-    each time.  Documents without words are never taken."""
-    def key(size: Column) -> Column:
-        return row_key(F.col("doc_id").cast("long"), F.concat_ws(":", size.cast("string"), _key()))
-
-    times = (weighted_fair_mix(docs).where("times > 0")
-             .select(key(F.col("size")).alias("__llm_key"), F.col("times").alias("__llm_times")).distinct())
-    turns = F.explode(F.sequence(F.lit(1), "__llm_times"))
-    return (docs.withColumn("__llm_key", key(_size())).join(times, "__llm_key")
-            .withColumn("__llm_turn", turns).select(*docs.columns))
+    each time.  Documents without words are never taken.  Rows that agree in id,
+    source and text share the times of all of them evenly, in the order of their
+    other columns."""
+    def key(text: Column) -> Column:
+        return row_key(F.col("doc_id").cast("long"), F.concat_ws(":", text, _key()))
+
+    mixed = _mixed(written(_queues(docs), "sizes")).groupBy(key(F.col("text")).alias("__llm_key")).agg(
+        F.count(F.lit(1)).alias("__llm_rows"), F.sum("times").alias("__llm_times")).where("__llm_times > 0")
+    rows = docs.withColumn("__llm_key", key(_digest())).join(written(mixed, "mix-times"), "__llm_key")
+    alone, several = rows.where("__llm_rows = 1"), rows.where("__llm_rows > 1")
+    # equal rows are counted first, so that the window has a row for each different one
+    several = several.groupBy(*several.columns).agg(F.count(F.lit(1)).alias("__llm_equal"))
+    before = F.sum("__llm_equal").over(Window.partitionBy("__llm_key").orderBy(*docs.columns).rowsBetween(Window.unboundedPreceding, -1))
+    share, rest = F.floor(F.col("__llm_times") / F.col("__llm_rows")), F.col("__llm_times") % F.col("__llm_rows")
+    left = F.greatest(F.least(F.col("__llm_equal"), rest - F.coalesce("__llm_before", F.lit(0))), F.lit(0))
+    several = several.withColumn("__llm_before", before).withColumn("__llm_times", F.col("__llm_equal") * share + left)
+    taken = alone.unionByName(several.select(*alone.columns)).where("__llm_times > 0")
+    turns = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__llm_times").cast("long")))
+    return taken.withColumn("__llm_turn", turns).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,10 +189,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
-  FROM documents),
+WITH told AS (  -- equal rows are numbered
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS digest,
+         row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1 AS copy FROM documents),
+sized AS (
+  SELECT doc_id, source, size,
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || digest || ':' || copy), 1, 15))::BIGINT AS h FROM told),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size, (3 * sum(size))::BIGINT AS cap,
          row_number() OVER (ORDER BY source IS NULL, source) - 1 AS position
@@ -197,8 +222,8 @@ entries AS (
 served AS (
   SELECT *, sum(size) OVER (ORDER BY finish, position, h, doc_id, size, turn) AS total FROM entries),
 taken AS (
-  SELECT doc_id, position, size, sum(size)::BIGINT AS taken FROM served
-  WHERE total <= (SELECT sum(source_size) FROM src) GROUP BY doc_id, position, size)
+  SELECT h, position, sum(size)::BIGINT AS taken FROM served
+  WHERE total <= (SELECT sum(source_size) FROM src) GROUP BY h, position)
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0)::BIGINT AS taken
-FROM queues q LEFT JOIN taken t ON q.doc_id = t.doc_id AND q.position = t.position AND q.size = t.size
+FROM queues q LEFT JOIN taken t ON q.h = t.h AND q.position = t.position
 """

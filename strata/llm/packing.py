@@ -37,7 +37,7 @@ from strata.llm.common import for_workers, table, written
 WINDOW = 4096
 TAIL_CUT = 1024  # ids: a document's rest beyond whole windows is cut to pieces of this size
 GROUP_PIECES = 512  # pieces divided together, on average
-CACHED_CHUNKS = 350_000  # chunks of a generation; a worker remembers two
+CACHED_CHUNKS = 600_000  # chunks of a generation; a worker remembers two
 SLICE_BYTES = 1_000_000  # texts whose chunks are looked up together
 END_ID = 2
 
@@ -221,7 +221,7 @@ def _pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         window = sorted(window)
         number[window] = i
         offset[window] = np.cumsum(size[window]) - size[window]
-    out = pdf.drop(columns="group")
+    out = pdf.drop(columns=["group", "salt"])
     out["sequence_id"] = (int(key[0]) << 24) + number
     out["offset"] = offset
     return out
@@ -230,9 +230,11 @@ def _pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, and its
     place: sequence_id and offset."""
-    rows = written(pieces(docs, tokenizer_path or default_tokenizer()), "pieces")
+    # equal pieces are told apart by a salt that is written with them, so that any number of them is dealt out
+    salted = pieces(docs, tokenizer_path or default_tokenizer()).withColumn("salt", F.monotonically_increasing_id())
+    rows = written(salted, "pieces")
     groups = max(1, math.ceil(rows.count() / GROUP_PIECES))
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(groups)))
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", "salt"), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(_pack_group, PACKED_SCHEMA)
 
 

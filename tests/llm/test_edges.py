@@ -97,6 +97,29 @@ def test_mixing(docs, none):
     assert [(r["target"], r["taken"]) for r in mixing.weighted_fair_mix(blank).collect()] == [(0.0, 0)] * 3
 
 
+@pytest.mark.parametrize("ids", ["CAST(NULL AS LONG)", "IF(id % 3 = 0, NULL, id)", "IF(id % 3 = 0, 7L, id)", "id"])
+def test_mixing_meets_targets_whatever_repeats(spark, ids):
+    docs = spark.range(6000).selectExpr(
+        f"{ids} AS doc_id", "IF(id % 3 = 0, 'ten words of text that are the same in all', concat('ten words of text that are the same but ', id)) AS text",
+        "IF(id % 2 = 0, 'a', 'b') AS source", "'en' AS lang")
+    got = mixing.weighted_fair_mix(docs).collect()
+    assert len(got) == 6000 and sum(r["size"] for r in got) == 60_000 >= sum(r["taken"] for r in got) > 59_980
+    for source in "ab":
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 2 * 10 and all(r["taken"] <= 3 * r["size"] for r in mine)
+    rows = mixing.mix(docs)
+    assert rows.columns == docs.columns
+    count = Counter(r["source"] for r in rows.collect())
+    assert count == Counter({s: sum(r["times"] for r in got if r["source"] == s) for s in "ab"})
+
+
+def test_packing_deals_equal_rows_over_groups(spark):
+    docs = spark.range(3000).repartition(4).selectExpr("CAST(NULL AS LONG) AS doc_id", "IF(id % 3 = 0, '', 'a repeated row of text') AS text")
+    rows = packing.pack(docs).collect()
+    groups = Counter(r["sequence_id"] >> 24 for r in rows)
+    assert len(rows) == 3000 and max(groups.values()) < 2 * packing.GROUP_PIECES and len(groups) > 3
+
+
 def test_exact_dedup(docs, none, spark):
     got = exact_dedup.exact_dedup(docs).collect()
     groups = defaultdict(list)

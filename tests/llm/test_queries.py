@@ -223,7 +223,13 @@ def brute_mix(documents):
     target = {s: min(3.0 * of[s], level * weight[s]) for s in names}
     entries = []
     for i, s in enumerate(names):
-        queue = sorted((int(hashlib.md5(f"mix:{d}".encode()).hexdigest()[:15], 16), d, n) for d, x, n in sizes if x == s)
+        queue, seen = [], Counter()
+        for (d, x, n), (_, _, text) in zip(sizes, documents):
+            if x == s:
+                name = f"mix:{'' if d is None else d}:{hashlib.md5((text or '').encode()).hexdigest()}"
+                queue.append((int(hashlib.md5(f"{name}:{seen[name]}".encode()).hexdigest()[:15], 16), d, n))
+                seen[name] += 1
+        queue.sort(key=lambda e: e[0])
         for turn in range(3):
             sent = turn * of[s]
             for h, d, n in queue:
