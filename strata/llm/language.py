@@ -8,7 +8,7 @@ each pair of languages, by votes and, where these tie, by margins.  The score
 is the logistic of the smallest winning margin.
 
 Learning uses at most ``EXAMPLES`` texts of a language (those whose ids hash
-lowest), so it is bounded; languages may be any, and those without a known
+lowest, one text an id, of ``EXAMPLE_BYTES`` at most), so it is bounded; languages may be any, and those without a known
 family form one of their own.  A null text or one without a letter is ``und``
 with score 1; where nothing could be learned every text is ``und`` with score
 0.  Rows with a null doc_id are predicted, but never learned from.  An empty
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import crc_mod, for_workers, hash_sample, table
 
 EXAMPLES = 400  # texts learned from, of each language
+EXAMPLE_BYTES = 1 << 16  # longer texts are predicted, but not learned from
 HELD_OUT = 4  # op9: rows with crc32(doc_id) mod 4 = 2
 UNKNOWN = "und"
 
@@ -108,17 +109,19 @@ class LanguageModel:
         raise AssertionError("every family has languages")
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, seed: int = 9, cost: float = 10.0, rounds: int = 40) -> np.ndarray:
-    """Linear SVM (squared hinge) by dual coordinate descent; x has a column of ones."""
-    rng, alpha, w = np.random.default_rng(seed), np.zeros(len(y)), np.zeros(x.shape[1])
-    norm = (x * x).sum(axis=1) + 0.5 / cost
+def train_svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, seed: int = 9, cost: float = 10.0, rounds: int = 40) -> np.ndarray:
+    """Linear SVM (squared hinge) by dual coordinate descent on sparse rows (places
+    and values) of vectors of ``size``; a constant is among the features."""
+    rng, alpha, w = np.random.default_rng(seed), np.zeros(len(y)), np.zeros(size)
+    norm = np.array([v @ v for _, v in x]) + 0.5 / cost
     for _ in range(rounds):
         largest = 0.0
         for i in rng.permutation(len(y)):
-            gradient = y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / cost
+            at, value = x[i]
+            gradient = y[i] * (value @ w[at]) - 1 + alpha[i] * 0.5 / cost
             new = max(0.0, alpha[i] - gradient / norm[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w[at] += (new - alpha[i]) * y[i] * value
                 largest = max(largest, abs(new - alpha[i]))
                 alpha[i] = new
         if largest < 1e-4:
@@ -126,13 +129,14 @@ def train_svm(x: np.ndarray, y: np.ndarray, seed: int = 9, cost: float = 10.0, r
     return w
 
 
-def _separators(names: list[str], pairs: list[tuple[int, int]], x: np.ndarray, label: np.ndarray) -> LinearModels:
+def _separators(names: list[str], pairs: list[tuple[int, int]], x: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray,
+                size: int) -> LinearModels:
     models, weights = LinearModels(names), []
     for a, b in pairs:
-        use = np.isin(label, [a, b]) if b >= 0 else np.ones(len(label), bool)
+        use = np.flatnonzero(np.isin(label, [a, b]) if b >= 0 else np.ones(len(label), bool))
         models.first.append(a)
         models.second.append(b)
-        weights.append(train_svm(x[use], np.where(label[use] == a, 1.0, -1.0)))
+        weights.append(train_svm([x[i] for i in use], np.where(label[use] == a, 1.0, -1.0), size))
     if weights:
         models.weights = np.array(weights)
     return models
@@ -145,19 +149,25 @@ def train(examples: list[tuple[str, str]]) -> LanguageModel:
     langs = [lang for lang, _ in coded]
     if not coded:
         return LanguageModel(LinearModels([]), {})
-    used = np.unique(np.concatenate([np.unique(codes) for _, codes in coded]))
-    x = np.array([np.bincount(np.searchsorted(used, codes), minlength=len(used)) / len(codes) for _, codes in coded])
+    # sparse rows: a text has few of all pairs, and languages may be many
+    rows = [np.unique(codes, return_counts=True) for _, codes in coded]
+    used, place = np.unique(np.concatenate([at for at, _ in rows]), return_inverse=True)
+    shares = [n / n.sum() for _, n in rows]
+    mean = np.bincount(place, np.concatenate(shares)) / len(rows)
     # rare pairs count as much as frequent ones of the same spread; unseen pairs weigh nothing
-    scale = 1 / np.sqrt(x.mean(axis=0) * len(used))
-    z = np.hstack([x * scale, np.ones((len(x), 1))])
+    scale = 1 / np.sqrt(mean * len(used))
+    ends = np.cumsum([len(s) for s in shares])[:-1]
+    size = len(used) + 1  # with the constant
+    z = [(np.append(at, len(used)), np.append(share * scale[at], 1.0)) for at, share in zip(np.split(place, ends), shares)]
     names = sorted({family_of(lang) for lang in langs})
     family = np.array([names.index(family_of(lang)) for lang in langs])
     outer = [(0, 1)] if len(names) == 2 else [(i, -1) for i in range(len(names))] if len(names) > 2 else []
-    model = LanguageModel(_separators(names, outer, z, family), {})
+    model = LanguageModel(_separators(names, outer, z, family, size), {})
     for i, name in enumerate(names):
         inner = sorted({lang for lang in langs if family_of(lang) == name})
         label = np.array([inner.index(lang) if lang in inner else -2 for lang in langs])
-        model.within[name] = _separators(inner, list(combinations(range(len(inner)), 2)), z[family == i], label[family == i])
+        model.within[name] = _separators(inner, list(combinations(range(len(inner)), 2)),
+                                           [z[j] for j in np.flatnonzero(family == i)], label[family == i], size)
     parts = [m.weights for m in [model.families, *model.within.values()] if len(m.first)]
     model.weights = np.zeros((N_FEATURES + 1, sum(map(len, parts))))
     if parts:
@@ -171,9 +181,16 @@ def train(examples: list[tuple[str, str]]) -> LanguageModel:
 
 def learn(docs: DataFrame, usable: Column) -> LanguageModel:
     """The model of a bounded sample of the rows that meet ``usable``."""
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).where(
         usable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return train([(r["lang"], r["text"]) for r in hash_sample(marked, "lang", EXAMPLES)])
+    marked = marked.where(F.octet_length("text") <= EXAMPLE_BYTES)
+    one = marked.select("doc_id", "lang").groupBy("doc_id").agg(F.min("lang").alias("lang"))  # an id may have many rows
+    drawn = {r["doc_id"]: r["lang"] for r in hash_sample(one, "lang", EXAMPLES)}
+    if not drawn:
+        return train([])
+    texts = (marked.where(F.col("doc_id").isin(list(drawn))).groupBy("doc_id", "lang")
+             .agg(F.min_by("text", F.sha2("text", 256)).alias("text")).collect())  # one bounded text an id and language
+    return train([(r["lang"], r["text"]) for r in sorted(texts) if drawn[r["doc_id"]] == r["lang"]])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -405,3 +405,21 @@ def test_toxicity_index_travels_without_its_lists():
     for terms, w in vectors[::50]:
         for a, b in zip(index.search(terms, w), pickle.loads(packed).search(terms, w)):
             assert np.array_equal(a, b)
+
+
+def test_language_learns_from_one_text_an_id(spark, monkeypatch):
+    import pyspark.sql.functions as F
+    docs = spark.range(8000).selectExpr("IF(id % 3 = 0, 7L, id) AS doc_id", "concat('l', id % 200) AS lang",
+                                        "IF(id = 1, repeat('long ', 20000), concat('words of ', id)) AS text")
+    collected, examples, collect = [], [], type(docs).collect
+
+    def counting(self):
+        rows = collect(self)
+        collected.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", counting)
+    monkeypatch.setattr(language, "train", examples.extend)
+    language.learn(docs, F.lit(True))
+    assert collected[0] == 200 and len(examples) == 8000 - 2667 - 1  # one for the id that many rows share; not the long one
+    assert max(len(t) for _, t in examples) <= language.EXAMPLE_BYTES and len({lang for lang, _ in examples}) == 200
