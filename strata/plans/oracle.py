@@ -53,7 +53,7 @@ def _between(a: str, b: str) -> str:
 
 
 def _yn(condition: str) -> str:
-    return f"['N', 'Y'][1 + CAST(coalesce({condition}, false) AS INTEGER)]"
+    return f"(CASE WHEN {condition} THEN 'Y' ELSE 'N' END)"
 
 
 # ---- histories as lists of positions ---------------------------------------------------
@@ -121,13 +121,13 @@ step1 AS (
     make_date(CASE year(otod) WHEN 1899 THEN year({AS_OF_SQL}) ELSE year(otod) END - 2, 1, 1) AS php_start_date,
     CASE WHEN ln_no IS NOT NULL THEN left(CASE WHEN ln_no < 1000000000 THEN printf('%010d', ln_no)
                                                ELSE CAST(ln_no AS VARCHAR) END, 10) END AS loan_number_padded,
-    CAST(nullif(list_position(['11', '71', '78', '80', '82', '83', '84'], account_status), 0) - 1 AS VARCHAR)
+    CASE account_status WHEN '11' THEN '0' WHEN '71' THEN '1' WHEN '78' THEN '2' WHEN '80' THEN '3' WHEN '82' THEN '4' WHEN '83' THEN '5' WHEN '84' THEN '6' END
       AS account_status_php_byte
   FROM src s LEFT JOIN loans ON s.ln_no IS NOT DISTINCT FROM loan),
 step2 AS (
   SELECT *,
-    CAST(list_max([1, {_between('php_start_date', 'start_month_php')} + 1]) AS INTEGER) AS update_start_pos,
-    CAST(list_min([36, {_between('php_start_date', 'end_month_php')} + 1]) AS INTEGER) AS update_end_pos,
+    greatest(1, {_between('php_start_date', 'start_month_php')} + 1) AS update_start_pos,
+    least(36, {_between('php_start_date', 'end_month_php')} + 1) AS update_end_pos,
     CASE WHEN snapshot_month BETWEEN start_month_php AND end_month_php
          THEN {_between('php_start_date', 'snapshot_month')} + 1 END AS snapshot_php_position
   FROM step1),
