@@ -6,7 +6,7 @@ import os
 import string
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.session import scratch_path
@@ -70,12 +70,16 @@ def row_key(doc_id: Column, content: Column) -> Column:
 
 def keep_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key is in ``kept`` (its one column), one row a
-    key.  The join's partitioning and order serve the window as well, so the
-    texts move once."""
-    name = "__llm_key"  # apart from any column of the documents
-    hit = docs.withColumn(name, key).join(kept.toDF(name), name, "left_semi")
-    nth = F.row_number().over(Window.partitionBy(name).orderBy(name))
-    return hit.withColumn("__llm_nth", nth).where("__llm_nth = 1").select(*docs.columns)
+    key.  Repeats are reduced to one before the shuffle, so a task receives a row
+    of each other task at most; the join uses the same partitioning and order, so
+    the texts move once.  Rows that share a key but differ in other columns are
+    told apart by a hash of those."""
+    name, row, rank = "__llm_key", "__llm_row", "__llm_rank"  # apart from any column of the documents
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if not any(k in kind for k in ("map<", "variant"))]
+    one = (docs.select(key.alias(name), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row),
+                       F.xxhash64(*plain).alias(rank))
+           .groupBy(name).agg(F.min_by(row, rank).alias(row)))
+    return one.join(kept.toDF(name), name, "left_semi").select(f"{row}.*")
 
 
 def hash_sample(rows: DataFrame, group: str, size: int) -> list:

@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from strata.llm.common import for_workers, keep_rows, lower_az, row_key, table, written
 
 KEYS_PER_SHARD = 4096  # bounds an index row: about 200 KB
-ROWS_PER_LOOKUP = 4 * KEYS_PER_SHARD  # a shard with more rows is looked up in several tasks
+ROWS_PER_LOOKUP = 4 * KEYS_PER_SHARD  # a shard with more different rows is looked up in several tasks
 ROOM = 1.5  # bits of a level for each key that is still without a place
 
 INDEX_SCHEMA = ("shard long, level_bits array<int>, bits binary, slots binary, "
                 "winners array<long>, copies array<long>")
-FOUND_SCHEMA = "doc_id long, text_sha256 string, keep_id long, group_size long, kept boolean, member boolean"
+FOUND_SCHEMA = "doc_id long, text_sha256 string, same long, keep_id long, group_size long, winner boolean, member boolean"
 
 
 def digest(text: Column) -> Column:
@@ -88,15 +88,15 @@ def _shard(n_shards: int) -> Column:
 
 
 def build_index(history: DataFrame, n_shards: int) -> DataFrame:
-    """One row a shard from ``history`` (doc_id, text_sha256); a hot digest is
+    """One row a shard from ``history`` (doc_id, text_sha256, same); a hot digest is
     counted before the shuffle, so no shard holds more than its distinct keys."""
-    distinct = history.groupBy("text_sha256").agg(F.max("doc_id").alias("winner"), F.count("*").alias("copies"))
+    distinct = history.groupBy("text_sha256").agg(F.max("doc_id").alias("winner"), F.sum("same").alias("copies"))
     return distinct.withColumn("shard", _shard(n_shards)).groupBy("shard").applyInPandas(_build_shard, INDEX_SCHEMA)
 
 
 def _finder(own_history: bool):
     def find(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        out = rows[["doc_id", "text_sha256"]].reset_index(drop=True)
+        out = rows[["doc_id", "text_sha256", "same"]].reset_index(drop=True)
         n = len(out)
         keep, size, member = np.full(n, None, object), np.ones(n, np.int64), np.zeros(n, bool)
         if n and len(index):
@@ -111,9 +111,8 @@ def _finder(own_history: bool):
             size[member] = np.asarray(entry["copies"])[slot[member]]
         out["keep_id"] = pd.array(list(keep), dtype="Int64")
         out["group_size"] = size
-        same = out["doc_id"].isna() & out["keep_id"].isna() | (out["doc_id"].astype("Int64") == out["keep_id"]).fillna(False)
-        first = ~out.duplicated(["text_sha256", "doc_id"])
-        out["kept"] = (same & first).to_numpy(bool) & member & own_history
+        largest = out["doc_id"].isna() & out["keep_id"].isna() | (out["doc_id"].astype("Int64") == out["keep_id"]).fillna(False)
+        out["winner"] = largest.to_numpy(bool) & member & own_history
         out["member"] = member
         return out
 
@@ -121,9 +120,10 @@ def _finder(own_history: bool):
 
 
 def look_up(rows: DataFrame, index: DataFrame, n_shards: int, own_history: bool) -> DataFrame:
-    """Every row of ``rows`` (doc_id, text_sha256) against its shard's slots.
-    Shards with many rows (a hot digest) are dealt over several tasks, each
-    with a copy of that shard's bounded index row."""
+    """Every row of ``rows`` (doc_id, text_sha256, same; distinct) against its
+    shard's slots.  Shards with many rows (a hot digest) are dealt over several
+    tasks, each with a copy of that shard's bounded index row; rows of one id
+    are no more than the shard's digests."""
     rows = rows.withColumn("shard", _shard(n_shards))
     hot = (rows.groupBy("shard").agg(F.ceil(F.count("*") / ROWS_PER_LOOKUP).cast("long").alias("parts"))
            .where("parts > 1"))
@@ -131,11 +131,18 @@ def look_up(rows: DataFrame, index: DataFrame, n_shards: int, own_history: bool)
         "part", F.pmod(F.xxhash64("doc_id", "shard"), F.coalesce("parts", F.lit(1))))
     copies = index.join(hot, "shard", "left").withColumn(
         "part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
-    return (dealt.select("doc_id", "text_sha256", "shard", "part").groupBy("shard", "part")
+    return (dealt.select("doc_id", "text_sha256", "same", "shard", "part").groupBy("shard", "part")
             .cogroup(copies.drop("parts").groupBy("shard", "part"))
             .applyInPandas(_finder(own_history), FOUND_SCHEMA))
 
 
+def _digests(docs: DataFrame) -> DataFrame:
+    """Distinct (doc_id, text_sha256) with how many rows are the ``same``: repeats
+    are counted before they are shuffled, however many there are."""
+    rows = for_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256"))
+    return written(rows.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("same")), "digests")
+
+
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256, member.
 
@@ -145,24 +152,21 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     history's), and the others are grouped among themselves.
     """
     own = history is None
-    rows = written(for_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256")),
-                   "digests")
-    known = rows if own else written(
-        history.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256")), "digests")
+    rows = _digests(docs)
+    known = rows if own else _digests(history)
     n_shards = max(1, math.ceil(known.count() / KEYS_PER_SHARD))
     index = written(build_index(known, n_shards), "digest-index")
     found = written(look_up(rows, index, n_shards, own), "found")
-    members = found.where("member")
-    others = found.where("not member").select("doc_id", "text_sha256")
-    groups = others.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    # the winner: one of the rows with the largest id
-    firsts = others.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("same"))
-    apart = (firsts.join(groups, "text_sha256")
-             .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "same")))
-             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1))
+    others = found.where("not member").select("doc_id", "text_sha256", "same")
+    groups = others.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("same").alias("group_size"))
+    apart = (others.join(groups, "text_sha256")
+             .withColumn("winner", F.col("doc_id").eqNullSafe(F.col("keep_id")))
              .withColumn("member", F.lit(False)))
-    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "member"]
-    return members.select(*columns).unionByName(apart.select(*columns))
+    # the winner: one of the rows with the largest id
+    return (found.where("member").unionByName(apart)
+            .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "same")))
+            .select("doc_id", "keep_id", "group_size", (F.col("winner") & (F.col("nth") == 1)).alias("kept"),
+                    "text_sha256", "member"))
 
 
 def stay(docs: DataFrame) -> DataFrame:

@@ -157,6 +157,30 @@ def test_exact_dedup_with_a_hot_digest(spark, monkeypatch):
     assert sum(r["kept"] for r in got) == 201
 
 
+def test_exact_dedup_counts_repeats_before_the_lookup(spark, monkeypatch):
+    looked = []
+    look_up = exact_dedup.look_up
+    monkeypatch.setattr(exact_dedup, "look_up", lambda rows, *rest: looked.append(rows.collect()) or look_up(rows, *rest))
+    docs = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, id) AS doc_id", "IF(id % 3 = 0, '', concat('t', id)) AS text")
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert [len(rows) for rows in looked] == [2001] and len(got) == 3000
+    hot = [r for r in got if r["doc_id"] is None]
+    assert [r["group_size"] for r in hot] == [1000] * 1000 and sum(r["kept"] for r in hot) == 1
+    assert sum(r["kept"] for r in got) == 2001
+
+
+def test_kept_rows_are_one_a_key(spark):
+    docs = spark.range(900).selectExpr(
+        "IF(id % 3 = 0, NULL, id) AS doc_id", "IF(id % 3 = 0, 'Hot', concat('t', id)) AS text", "IF(id = 6, 'b', 'a') AS source",
+        "map('k', id) AS `a.b`", "'x' AS __key")
+    rows = exact_dedup.stay(docs)
+    assert rows.schema.names == docs.columns
+    kept = rows.collect()
+    assert Counter(r["doc_id"] for r in kept) == Counter([None, *(i for i in range(900) if i % 3)])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
