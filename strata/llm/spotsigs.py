@@ -12,9 +12,17 @@ in classes such that sets more than one class apart cannot reach the least
 likeness asked for; those pairs are pruned unseen, and within a class the
 likeness that the lengths allow is tested before the sets are intersected.
 
+``near_documents`` finds all documents that are alike.  Equal sets are one
+node.  A set is posted under its rarest signatures, as many as any partner must
+share one of; sets meet in the partition of a signature and a length class, long
+posting lists in pairs of blocks; the rest of both sets bounds the likeness
+before the sets themselves are joined and intersected.
+
 A null text is empty.  Rows that share a doc_id stand in the order of their
 texts' hashes; null ids come first.  The only document is its own successor.
-An empty table gives an empty result.
+An empty table gives an empty result.  Rows of one id are dealt over ranges by
+their texts' hashes; equal rows share a range, which passes its task as a
+sorted stream and is never held.
 """
 
 from __future__ import annotations
@@ -30,11 +38,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import for_workers, table
+from strata.llm.common import for_workers, table, written
+from strata.llm.components import connected_components
 
 CHAIN = 2  # content words of a signature
-RANGES_PER_PARTITION = 4  # id ranges for each shuffle partition
-QUANTILE_ERROR = 0.0005  # of the ranges' sizes; their limits are exact
+RANGES_PER_PARTITION = 4  # id ranges for each shuffle partition, or more by
+RANGE_BYTES = 256 << 20  # text bytes of a range; one limit a range goes to the driver and the tasks
+LEAST = 0.8  # likeness of near documents
+PLACES = 1 << 20  # counters of signatures, whatever the corpus: a byte each in the tasks
+BLOCK_ROWS = 256  # postings of a block
 
 # Common words of four languages, the anchors; fixed values.
 ANCHORS = frozenset(w.encode() for w in """
@@ -74,7 +86,11 @@ def as_text(signature_set: np.ndarray) -> str:
 
 def length_class(n: int, least: float) -> int:
     """Class of a set's length: sets two classes apart are less alike than ``least``."""
-    return int(math.log(n) / -math.log(least)) if 0 < least < 1 else 0
+    return int(math.log(n) / _class_width(least)) if 0 < least < 1 else 0
+
+
+def _class_width(least: float) -> float:
+    return -math.log(least) * (1 + 1e-9)  # so rounding never parts sets by two classes
 
 
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
@@ -121,52 +137,43 @@ def _compare_batches(least: float):
     return run
 
 
-def _constant(values: list[int | None]) -> Column:
-    """An array as one literal, so the plan stays small however many there are."""
-    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
-
-
-def _range_of(key: Column, limits: list[int]) -> Column:
-    """How many of the ascending ``limits`` are at or below ``key``, by halving."""
-    bounds, steps = _constant(limits), len(limits).bit_length()
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(limits)).alias("hi"))
+def _range_of(key: Column, limits: Column, n: int) -> Column:
+    """How many of the ``n`` ascending ``limits`` are at or below ``key``, by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
 
     def halve(at: Column, _: Column) -> Column:
         mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
-        below = F.get(bounds, mid) <= key
+        below = F.get(limits, mid) <= key
         return F.when(at["lo"] >= at["hi"], at).otherwise(F.struct(
             F.when(below, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(below, at["hi"]).otherwise(mid).alias("hi")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, steps + 1))), start, halve)["lo"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length() + 1)), start, halve)["lo"]
 
 
 def with_successors(docs: DataFrame) -> DataFrame:
-    """Rows (range, copy, doc_id, text) dealt by id ranges and sorted: each row's
-    successor is the next row of its range.  The first document of a range is
-    also, as a copy, the last row of the range before."""
+    """Rows (range, copy, doc_id, text) dealt by ranges of (id, text hash) and
+    sorted: each row's successor is the next row of its range.  The first
+    document of a range is also, as a copy, the last row of the range before."""
     spark = for_workers(docs).sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    parts = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(key.alias("key"))
-    # one number a range goes to the driver and to the tasks
-    limits = ids.approxQuantile("key", [i / parts for i in range(1, parts)], QUANTILE_ERROR)
-    limits = sorted({int(x) for x in limits})
-    ranged = ids.select("key", _range_of(F.col("key"), limits).alias("range"))
-    firsts = dict(ranged.groupBy("range").agg(F.min("key")).collect())
-    order = sorted(firsts)
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    count = len(limits) + 1
-    first = _constant([firsts.get(r) for r in range(count)])
-    previous = _constant([before.get(r) for r in range(count)])
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce("text", F.lit("")).alias("text")).withColumn("range", _range_of(F.col("key"), limits))
+    text = F.coalesce("text", F.lit(""))
+    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(text).alias("hash"))
+    places = written(docs.select(place.alias("place"), F.octet_length(text).alias("bytes")), "places")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(RANGES_PER_PARTITION * tasks, math.ceil((places.agg(F.sum("bytes")).first()[0] or 0) / RANGE_BYTES))
+    firsts = sorted((r["first"]["key"], r["first"]["hash"]) for r in
+                    places.repartitionByRange(ranges, "place").groupBy(F.spark_partition_id()).agg(F.min("place").alias("first")).collect())
+    # one literal, so the plan stays small however many ranges there are
+    limits = F.from_json(F.lit(json.dumps([{"key": k, "hash": h} for k, h in firsts])), "array<struct<key:bigint,hash:bigint>>")
+    rows = (docs.select(place.alias("place"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+            .withColumn("range", _range_of(F.col("place"), limits, len(firsts)) - 1))
     own = F.struct(F.col("range").cast("long").alias("range"), F.lit(0).alias("copy"))
-    copy = F.struct(F.get(previous, F.col("range")).alias("range"), F.lit(1).alias("copy"))
-    is_first = F.get(first, F.col("range")) == F.col("key")
+    before = F.pmod(F.col("range") - 1, F.lit(max(1, len(firsts)))).cast("long")
+    copy = F.struct(before.alias("range"), F.lit(1).alias("copy"))
+    is_first = F.get(limits, F.col("range")) == F.col("place")
     dealt = rows.withColumn("at", F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own))))
-    return (dealt.select("at.range", "at.copy", "key", "doc_id", "text").repartition("range")
-            .sortWithinPartitions("range", "copy", "key", F.xxhash64("text"), "text")
-            .select("range", "copy", "doc_id", "text"))
+    dealt = dealt.select("at.range", "at.copy", "place", "doc_id", "text")
+    dealt = dealt.repartition(ranges, "range") if ranges > RANGES_PER_PARTITION * tasks else dealt.repartition("range")
+    return dealt.sortWithinPartitions("range", "copy", "place", "text").select("range", "copy", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame, least: float = 0.0) -> DataFrame:
@@ -174,5 +181,107 @@ def fingerprints(docs: DataFrame, least: float = 0.0) -> DataFrame:
     return with_successors(docs).mapInPandas(_compare_batches(least), COMPARED_SCHEMA)
 
 
+# ---- all documents that are alike ---------------------------------------------------------
+
+def _print_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"),
+                            "print": [signatures(t or "").astype(">u4").tobytes() for t in pdf["text"]]})
+
+
+def _place_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each batch's counts of its sets' signatures by place."""
+    for pdf in batches:
+        counts = np.zeros(PLACES, np.int64)
+        for p in pdf["print"]:
+            np.add.at(counts, np.frombuffer(p, ">u4") % PLACES, 1)
+        place = np.flatnonzero(counts)
+        yield pd.DataFrame({"place": place, "n": counts[place]})
+
+
+def prefix(signature_set: np.ndarray, commonness: np.ndarray, least: float) -> np.ndarray:
+    """The set's rarest signatures, rarest first: a set that is ``least`` alike has one of them among its own."""
+    order = np.lexsort((signature_set, commonness[signature_set % PLACES]))
+    n = len(signature_set)
+    return signature_set[order[:n - math.ceil(least * n - 1e-9) + 1]]
+
+
+def _posting_batches(commonness: np.ndarray, least: float):
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for node, p in zip(pdf["node"], pdf["print"]):
+                found = np.frombuffer(p, ">u4").astype(np.int64)
+                rare = prefix(found, commonness, least)
+                yield pd.DataFrame({"signature": rare, "node": node, "n": len(found), "at": np.arange(len(rare)),
+                                    "class": length_class(len(found), least)})
+
+    return run
+
+
+def _pairs(postings: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that share a posted signature and may be
+    alike.  A set lies in the lists of its class and the next; a list of many
+    blocks is compared block by block, each pair of blocks under a key of its own."""
+    lists = postings.withColumn("list", F.explode(F.array(F.col("class"), F.col("class") + 1)))
+    key = ["signature", "list"]
+    hot = (lists.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1"))
+    lists = (lists.join(hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    low = lists.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    high = lists.withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    x, y = low.alias("x"), high.alias("y")
+    nx, ny = F.col("x.n"), F.col("y.n")
+    one_list = F.greatest("x.class", "y.class") == F.col("x.list")  # a pair of one class meets in two lists
+    rest = F.least(nx - F.col("x.at"), ny - F.col("y.at"))  # shared signatures from here on, at most
+    apart = (F.col("x.block") != F.col("x.other")) | (F.col("x.node") < F.col("y.node"))
+    met = x.join(y, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in (*key, "block", "other")])
+    met = met.where(one_list & apart & (F.least(nx, ny) >= least * F.greatest(nx, ny) - 1e-9)
+                    & (rest >= least / (1 + least) * (nx + ny) - 1e-9))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def links(sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b, likeness) of different ``sets`` (node, print) at least ``least``
+    alike (over 0, below 1)."""
+    prints = for_workers(sets).select("node", "print")
+    counts = prints.mapInPandas(_place_batches, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    commonness = np.zeros(PLACES, np.uint8)
+    for place, n in counts.collect():  # PLACES rows at most
+        commonness[place] = int(n).bit_length()
+    postings = written(prints.mapInPandas(_posting_batches(commonness, least),
+                                          "signature long, node long, n long, at long, class int"), "postings")
+
+    def both(pairs: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pairs:
+            found = [likeness(np.frombuffer(p, ">u4"), np.frombuffer(q, ">u4"), least) for p, q in zip(pdf["p"], pdf["q"])]
+            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "likeness": np.array(found, float)})
+
+    a = prints.select(F.col("node").alias("a"), F.col("print").alias("p"))
+    b = prints.select(F.col("node").alias("b"), F.col("print").alias("q"))
+    return (_pairs(postings, least).join(a, "a").join(b, "b").select("a", "b", "p", "q")
+            .mapInPandas(both, "a long, b long, likeness double").where("likeness > 0"))
+
+
+def near_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """One row a document: doc_id, class_id (the smallest doc_id reachable over
+    likenesses of ``least`` or more, its own included; null where all are null),
+    n_links long (documents that are so alike to it, equal sets included)."""
+    prints = written(for_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+                     .mapInPandas(_print_batches, "doc_id long, print binary"), "prints")
+    # nodes are numbered once, in the written table
+    sets = written(prints.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+                   .withColumn("node", F.monotonically_increasing_id()), "sets")
+    linked = written(links(sets, least), "links")
+    ends = linked.select("a", "b").union(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    partners = (ends.join(sets.select(F.col("node").alias("b"), "copies"), "b")
+                .groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("partners")))
+    roots = connected_components(linked.select("a", "b"))
+    rooted = (sets.join(roots, "node", "left").join(partners, "node", "left")
+              .select("print", "first_id", F.coalesce("root", "node").alias("root"),
+                      (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links")))
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    return prints.join(rooted.join(named, "root"), "print").select("doc_id", "class_id", "n_links")
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))

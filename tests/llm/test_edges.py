@@ -4,6 +4,7 @@ clashing column names, through every operator and every pipeline stage."""
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -280,6 +281,52 @@ def test_spotsigs(docs, none):
     assert [(r["near_next"], r["n_chars"]) for r in alone] == [(1.0, len(TEXTS[2][1]))]
 
 
+def alike(rows, least):
+    """Class (least id) and links of each row of (id, text), by all pairs."""
+    sets = [set(spotsigs.signatures(t or "").tolist()) for _, t in rows]
+    near = [[j for j, y in enumerate(sets) if j != i and len(x & y) >= least * len(x | y)] for i, x in enumerate(sets)]
+    out = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            new = set(near[todo.pop()]) - seen
+            seen |= new
+            todo += new
+        out.append((rows[i][0], min((rows[j][0] for j in seen if rows[j][0] is not None), default=None), len(near[i])))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("least", [0.8, 0.6])
+def test_near_documents_against_all_pairs(spark, docs, none, monkeypatch, least):
+    monkeypatch.setattr(spotsigs, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(d, t) for d, t in TEXTS]
+    for family in range(12):
+        base = ["the" if i % 3 == 0 else words[rng.integers(400)] for i in range(int(rng.integers(20, 300)))]
+        for _ in range(int(rng.integers(1, 25))):
+            text = list(base)
+            for at in rng.integers(0, len(base), int(rng.integers(0, max(2, len(base) // 12)))):
+                text[at] = words[rng.integers(400)]
+            rows.append((100 + len(rows) if rng.random() > 0.1 else None, " ".join(text)))
+    rows += [(None, "a hot row of the one text")] * 60
+    got = spotsigs.near_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), least).collect()
+    assert Counter(map(tuple, got)) == alike(rows, least)
+    assert len({r["class_id"] for r in got}) > 10 and max(r["n_links"] for r in got) >= 59
+    assert spotsigs.near_documents(none).count() == 0
+
+
+def test_hot_ids_are_dealt_over_ranges(spark):
+    docs = spark.range(3000).selectExpr("IF(id % 2 = 0, NULL, id) AS doc_id", "concat('the text of number ', id) AS text")
+    rows = spotsigs.with_successors(docs).where("copy = 0").groupBy("range").count().collect()
+    assert sum(r["count"] for r in rows) == 3000 and max(r["count"] for r in rows) < 600
+    order = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["text"]) for r in docs.collect())
+    got = spotsigs.fingerprints(docs).collect()
+    after = {text: order[(i + 1) % 3000][1] for i, (_, text) in enumerate(order) if i >= 1500}  # null ids follow by hash
+    want = Counter(hashlib.sha256(spotsigs.edited(t, a).encode()).hexdigest() for t, a in list(after.items())[:-1])
+    assert not want - Counter(r["edited_sha256"] for r in got) and len(got) == 3000
+
+
 def test_license_scan(docs, none):
     got = licenses.license_scan(docs)
     assert ids(got) == ALL
