@@ -43,7 +43,7 @@ from strata.llm.components import connected_components
 
 CHAIN = 2  # content words of a signature
 RANGES_PER_PARTITION = 4  # id ranges for each shuffle partition, or more by
-RANGE_BYTES = 256 << 20  # text bytes of a range; one limit a range goes to the driver and the tasks
+RANGE_BYTES = 1 << 30  # text bytes of a range (sorted, never held); one limit a range goes to the driver and the tasks
 LEAST = 0.8  # likeness of near documents
 PLACES = 1 << 20  # counters of signatures, whatever the corpus: a byte each in the tasks
 BLOCK_ROWS = 256  # postings of a block
