@@ -20,6 +20,7 @@ gives an empty result, an empty rule list the default verdict.
 
 from __future__ import annotations
 
+import json
 import math
 import string
 from collections.abc import Iterable
@@ -138,7 +139,8 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default
     universe = written(placed.select(F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL").distinct(), "keys")
     found = []
     for verdict in sorted({r[0] for r in rules}):
-        listed = spark.createDataFrame([(k,) for k in sorted({h + p for v, h, p in rules if v == verdict})], "key string")
+        literal = json.dumps(sorted({h + p for v, h, p in rules if v == verdict}))  # one literal, however many
+        listed = spark.range(1).select(F.explode(F.from_json(F.lit(literal), "array<string>")).alias("key"))
         cascade = build_cascade(listed, universe)
         found += [F.when(k.isNotNull() & cascade.member(k), F.struct(
             F.length(k).alias("length"), k.alias("rule"), F.lit(verdict).alias("verdict"))) for k in keys]
