@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ RIDGE = 1.0
 SEED = 8
 GRID = 1000  # cells of a unit of raw score for the calibration
 LIMIT = 4.0  # standardised statistics beyond it count as it
+BRANCH = 256  # partitions whose sums are added together at first
+SUMS_SCHEMA = "row int, branch int, sums array<double>"
 HELD_OUT = 5  # op8: rows with crc32(doc_id) mod 5 = 0
 
 STATISTICS = ("log_bytes", "upper", "digits", "symbols", "commas", "blanks", "log_lines", "line_repeats", "word_bytes",
@@ -121,13 +124,13 @@ def _normal_equations(model: QualityModel):
                 part = z.T @ np.column_stack([z, pdf["y"].to_numpy(float)])
                 total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"row": np.arange(len(total)), "sums": list(total)})
+            yield pd.DataFrame({"row": np.arange(len(total)), "branch": TaskContext.get().partitionId() // BRANCH, "sums": list(total)})
 
     return run
 
 
-def _add_row(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"row": [key[0]], "sums": [np.sum(pdf["sums"].tolist(), axis=0)]})
+def _add_rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"row": [key[0]], "branch": [pdf["branch"].iloc[0] // BRANCH], "sums": [np.sum(pdf["sums"].tolist(), axis=0)]})
 
 
 def isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -153,8 +156,10 @@ def train(stats: DataFrame, labels: DataFrame, learn: Column) -> QualityModel:
         frequencies=rng.normal(size=(n, FOURIER)) / KERNEL_WIDTH, phases=rng.uniform(0, 2 * np.pi, FOURIER))
     marks = labels.where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.avg("y").alias("y"))
     rows = written(stats.where(learn).join(marks, "doc_id").select("x", "y"), "training")
-    system = (rows.mapInPandas(_normal_equations(model), "row int, sums array<double>")
-              .groupBy("row").applyInPandas(_add_row, "row int, sums array<double>").orderBy("row").collect())
+    parts = rows.mapInPandas(_normal_equations(model), SUMS_SCHEMA)
+    # added in two levels, so a group holds BRANCH partitions' rows, then one of BRANCH partitions each
+    system = (parts.groupBy("row", "branch").applyInPandas(_add_rows, SUMS_SCHEMA)
+              .groupBy("row").applyInPandas(_add_rows, SUMS_SCHEMA).orderBy("row").collect())
     if not system:
         return model
     sums = np.array([r["sums"] for r in system])

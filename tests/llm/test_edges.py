@@ -371,6 +371,14 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(pages, []).collect()} == {"allow"}
 
 
+def test_url_rules_start_no_python(spark, monkeypatch):
+    pages = spark.range(50).selectExpr("id AS page_id", "concat('https://a', id % 3, '.example.com/en/', id) AS url")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *_, **__: pytest.fail("rows from Python"))
+    got = url_filter.filter_urls(pages, url_filter.RULES)
+    assert "ExistingRDD" not in got._jdf.queryExecution().toString()
+    assert {(r["rule"], r["verdict"]) for r in got.collect()} == {("example.com/en/", "block")}
+
+
 def test_cascade_is_exact_for_the_whole_universe(spark):
     universe = spark.range(3000).selectExpr("concat('key', id) AS key")
     listed = universe.where("key LIKE '%7'")

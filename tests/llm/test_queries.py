@@ -137,6 +137,29 @@ def test_held_out_labels(spark, key, label, divisor, rest, accuracy):
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) >= accuracy
 
 
+def test_quality_against_a_dense_fit(spark, texts):
+    order = sorted(texts)
+    x = np.array([quality.statistics((texts[d] or "").encode()) for d in order])
+    rng = np.random.default_rng(quality.SEED)
+    waves, phases = rng.normal(size=(x.shape[1], 200)) / 3.0, rng.uniform(0, 2 * np.pi, 200)
+    z = np.clip((x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-6), -4, 4)
+    f = np.hstack([np.sqrt(2 / 200) * np.cos(z @ waves + phases), np.ones((len(x), 1))])
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF001}/labels.parquet").collect() if r["quality"] is not None}
+    learn = [i for i, d in enumerate(order) if d in marks and zlib.crc32(str(d).encode()) % 5 != 0]
+    y = np.array([marks[order[i]] for i in learn], float)
+    damping = np.diag([1.0] * 200 + [1e-3])  # roots of the penalties
+    raw = f @ np.linalg.lstsq(np.vstack([f[learn], damping]), np.concatenate([y, np.zeros(201)]), rcond=None)[0]
+    cell = np.floor(np.clip(raw[learn], -1, 2) * 1000)
+    cells = np.unique(cell)
+    total, count = (np.concatenate([[0], np.cumsum([g(y[cell == c]) for c in cells])]) for g in (np.sum, len))
+    fit = [max(min((total[k] - total[j]) / (count[k] - count[j]) for k in range(i + 1, len(total))) for j in range(i + 1))
+           for i in range(len(cells))]  # least-squares monotone fit by its min-max formula
+    want = dict(zip(order, np.interp(raw, (cells + 0.5) / 1000, fit)))
+    got = {r["doc_id"]: r["score"] for r in run(spark, "op8_quality_classifier")}
+    off = np.array([abs(got[d] - want[d]) for d in order])  # sums in another order may move a row over a cell's edge
+    assert sorted(got) == order and off.max() < 0.05 and np.mean(off < 1e-6) > 0.9
+
+
 def test_toxicity_against_dense_cosines(spark, texts):
     """The whole query again with dense vectors: every learnable row is an example at this size."""
     labels = defaultdict(int)
