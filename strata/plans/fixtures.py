@@ -245,6 +245,17 @@ def definition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("url", HOST_RE, 1).alias("file"), i.alias("line_no"), line.alias("line"))
 
 
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as text files with each kind of line break; by id, some end
+    in one, some in two, and parameters stand before the last line."""
+    i = F.col("doc_id")
+    brk = F.when(i % 3 == 0, F.lit("\r\n")).when(i % 3 == 1, F.lit("\r")).otherwise(F.lit("\n"))
+    body = F.replace(F.concat(F.lit("first = "), i.cast("string"), F.lit("\nfirst = second\n"), F.col("text")), F.lit("\n"), brk)
+    text = (F.when(i % 5 == 0, F.concat(body, brk)).when(i % 7 == 0, F.concat(body, brk, brk))
+            .when(i % 13 == 0, F.lit("")).when(i % 17 != 0, body))
+    return table(spark, sf_dir, "documents").select(F.format_string("doc-%d.def", i).alias("file"), text.alias("value"))
+
+
 # XML wrapper of the row documents.
 XML_OPEN = "<xml xmlns:rs='urn:schemas-microsoft-com:rowset' xmlns:z='#RowsetSchema'><rs:data>"
 XML_CLOSE = "</rs:data></xml>"

@@ -514,12 +514,27 @@ LINES_CTE = f"""lines AS (
     CASE WHEN page_id % 11 = 0 THEN 'Web' || url || '=1' WHEN page_id % 7 = 0 THEN url || '='
          WHEN page_id % 5 = 0 THEN ' key' || (page_id % 3) || chr(9) || '== ' || url || ' ' ELSE url END AS line
   FROM pages)"""
-KV_PARSE_SQL = f"""WITH {LINES_CTE},
+
+# Lines of whole files: breaks made one kind, a final break cut off, numbered by place.
+TEXT_LINES_CTE = """whole AS (
+  SELECT 'doc-' || doc_id || '.def' AS file, CASE WHEN doc_id % 5 = 0 THEN body || brk WHEN doc_id % 7 = 0 THEN body || brk || brk
+    WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 17 <> 0 THEN body END AS value
+  FROM (SELECT doc_id, brk, replace('first = ' || doc_id || chr(10) || 'first = second' || chr(10) || text, chr(10), brk) AS body
+        FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN chr(13) || chr(10) WHEN 1 THEN chr(13) ELSE chr(10) END AS brk FROM documents))),
+plain AS (SELECT file, regexp_replace(replace(replace(value, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n\\z', '') AS value
+          FROM whole WHERE value <> ''),
+split AS (SELECT file, string_split(value, chr(10)) AS ls FROM plain),
+lines AS (SELECT file, unnest(range(len(ls)))::INT AS line_no, unnest(ls) AS line FROM split)"""
+
+
+def _kv_sql(lines_cte: str) -> str:
+    return f"""WITH {lines_cte},
 pieces AS (SELECT file, line_no, string_split(regexp_replace(line, '=$', ''), '=') AS ps FROM lines WHERE lower(left(line, 3)) <> 'web'),
 p AS (SELECT file, line_no, trim(ps[1], {_TRIM}) AS key, trim(array_to_string(ps[2:], '='), {_TRIM}) AS value
       FROM pieces WHERE len(ps) > 1)
 SELECT file, key, arg_max(value, line_no) AS value FROM p WHERE key <> '' GROUP BY file, key"""
 
+
 SUPPLIER_ROWS_SQL = ("SELECT CAST(s_suppkey AS VARCHAR) AS ows_ID, s_name AS ows_Title, "
                      "CASE WHEN s_nationkey <> 0 THEN CAST(s_nationkey AS VARCHAR) END AS ows_Nation FROM supplier")
 
@@ -570,7 +585,9 @@ UNION ALL SELECT process, CAST(last AS BIGINT), '{NOTICE_END}' FROM ends"""
 
 def text_queries() -> dict[str, str]:
     return {
-        "kv_parse": KV_PARSE_SQL,
+        "kv_parse": _kv_sql(LINES_CTE),
+        "text_lines": f"WITH {TEXT_LINES_CTE} SELECT file, line_no, line FROM lines",
+        "text_parameters": _kv_sql(TEXT_LINES_CTE),
         "line_classes": (f"WITH {LINES_CTE} SELECT file, line_no, line, lower(left(line, 3)) = 'web' AS is_web, "
                          "lower(left(line, 4)) = 'http' AS is_url FROM lines"),
         "xml_rows": SUPPLIER_ROWS_SQL,

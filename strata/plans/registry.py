@@ -29,6 +29,7 @@ from strata.plans.report_job import parse_report_lines, report_lines
 from strata.plans.updates_sql import php_updates_sql
 from strata.sources.json import explode_result, records_by_name, result_pages, variant_records
 from strata.sources.reversals import extract_from_lines, normalize_reversals, run_date_frame, scan_reversals
+from strata.sources.text import explode_lines
 from strata.sources.xml import explode_xml_rows, explode_xml_union
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,6 +200,18 @@ def q_line_classes(spark, sf):
     return classify_lines(fx.definition_lines(spark, sf))
 
 
+def _file_lines(spark, sf):
+    return explode_lines(fx.text_files(spark, sf), F.col("file"), F.col("value"))
+
+
+def q_text_lines(spark, sf):
+    return _file_lines(spark, sf)
+
+
+def q_text_parameters(spark, sf):
+    return kv_parse(_file_lines(spark, sf))
+
+
 def q_xml_rows(spark, sf):
     return explode_xml_rows(fx.supplier_xml_documents(spark, sf), "value", XML_ROW_SCHEMA)
 
@@ -304,6 +317,8 @@ def queries() -> dict[str, Query]:
         "lognormal_ci": q_lognormal_ci,
         "kv_parse": q_kv_parse,
         "line_classes": q_line_classes,
+        "text_lines": q_text_lines,
+        "text_parameters": q_text_parameters,
         "xml_rows": q_xml_rows,
         "xml_rows_union": q_xml_rows_union,
         "ragged_union": q_ragged_union,

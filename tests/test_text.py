@@ -4,11 +4,12 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.operators.textrows import classify_lines, kv_map, kv_pairs, kv_parse, ragged_union
 from strata.sources.json import explode_result, scan_json_result
-from strata.sources.text import scan_lines
+from strata.sources.text import explode_lines, scan_lines
 from strata.sources.xml import scan_xml_rows
 
 LINES = ["WEB", "WEB=1", "Selection=All", "K = v1=v2 ", "a==b", "E=", "T=x=", "=v", "nokv", "Selection=Last",
@@ -31,6 +32,28 @@ def test_kv_rules(spark, lines):
     assert kv_pairs(lines).count() == 7
 
 
+FILES = {"crlf": "WEB\r\n1\r\n\r\nk=v\r\n", "cr": "a\rb\r\r", "lf": "\nk=v\nlast", "mixed": "a\r\n\rb\n\nc\r", "break": "\n",
+         "blank": " ", "empty": "", "long": "x=1\n" * 50_000 + "y" * 2_000_000}
+
+
+def test_lines_of_a_column_are_the_files_lines(spark, tmp_path):
+    """Text files read whole line by line give what the column gives."""
+    for name, text in FILES.items():
+        (tmp_path / name).write_bytes(text.encode())
+    rows = sorted(scan_lines(spark, str(tmp_path)).collect(), key=lambda r: (r.file, r.line_no))
+    want = {}
+    for r in rows:
+        want.setdefault(os.path.basename(r.file), []).append(r.line)
+    df = spark.createDataFrame([*FILES.items(), ("null", None), (None, "z")], "name string, body string")
+    got = {}
+    for r in sorted(explode_lines(df, F.col("name"), F.col("body")).collect(), key=lambda r: (str(r.file), r.line_no)):
+        assert r.line_no == len(got.setdefault(r.file, []))
+        got[r.file].append(r.line)
+    assert got.pop(None) == ["z"]
+    assert got == want and "empty" not in got and got["break"] == [""]
+    assert explode_lines(df.where("false"), F.col("name"), F.col("body")).count() == 0
+
+
 def test_scan_lines_keeps_order(spark):
     d = tempfile.mkdtemp(prefix="lines-", dir="/tmp")
     with open(os.path.join(d, "a.def"), "w", newline="") as f:
