@@ -12,8 +12,11 @@ inequality a linked pair's distances to any pivot differ by max_bits at most,
 so pairs whose largest coordinate difference is higher are discarded, and the
 survivors are verified bit by bit.  A bucket with more than ``BUCKET_ROWS``
 fingerprints is first split by cells of pivot distances; cells overlap by
-max_bits, so no pair is lost.  A bucket gives a spanning forest of its links,
-not its pairs; components come from those.
+max_bits, so no pair is lost.  One that no pivot splits further (distinct
+fingerprints that agree in a choice of blocks and in all their cells) is compared
+in one task, in blocks of rows near in pivot distance: its memory grows with its
+rows, its time with their square.  A bucket gives a spanning forest of its
+links, not its pairs; components come from those.
 
 A null or blank text has fingerprint zero, linked like any other.  Null ids
 never name a component unless it has no other.  An empty table gives an empty

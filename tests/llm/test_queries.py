@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -219,6 +220,78 @@ def test_toxicity_finds_toxic_rows_and_leaves_clean_ones(spark):
     assert sum(toxic) >= 0.4 * len(toxic) and sum(clean) <= 0.03 * len(clean)
 
 
+def _byte_pairs(text):
+    """Pairs of neighbouring bytes, straight from the rule: a-z and all beyond ASCII stay, others are blanks."""
+    kept = [chr(b).lower() if b < 128 and chr(b).isalpha() else f"+{b}" if b >= 128 else " " for b in text.encode()]
+    line = [" ", *kept, " "]
+    return Counter((a, b) for a, b in zip(line, line[1:]) if (a, b) != (" ", " "))
+
+
+def _exact_svm(x, y, cost=10.0):
+    """Least 0.5 w.w + cost * sum of squared hinges, by Newton's steps on the support vectors' system."""
+    kernel, active, seen = x @ x.T, np.ones(len(y), bool), 0
+    while True:
+        beta = np.zeros(len(y))
+        beta[active] = np.linalg.solve(kernel[np.ix_(active, active)] + np.eye(active.sum()) / (2 * cost), y[active])
+        again, seen = y * (kernel @ beta) < 1, seen + 1
+        if (again == active).all() or seen == 100:
+            assert seen < 100
+            return x.T @ beta
+        active = again
+
+
+def test_language_against_dense_separators(spark, texts):
+    """The whole query at sf0.001 against every separator solved exactly on dense rows."""
+    from strata.llm.language import EXAMPLES, FAMILIES
+    rows = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "lang", "text").collect()
+    learned = [(r["lang"], _byte_pairs(r["text"])) for r in rows
+               if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None]
+    learned = [(lang, pairs) for lang, pairs in learned if pairs]
+    langs = [lang for lang, _ in learned]
+    assert max(Counter(langs).values()) <= EXAMPLES  # all of them are the sample
+    family = {lang: next((name for name, members in FAMILIES.items() if lang in members), lang) for lang in langs}
+    place = {pair: i for i, pair in enumerate(sorted({p for _, pairs in learned for p in pairs}))}
+
+    def shares(pairs):
+        out = np.zeros(len(place) + 1)
+        for pair, n in pairs.items():
+            if pair in place:
+                out[place[pair]] = n / sum(pairs.values())
+        return out
+
+    x = np.array([shares(pairs) for _, pairs in learned])
+    mean = x.mean(axis=0)
+    scale = np.append(1 / np.sqrt(mean[:-1] * len(place)), 1.0)
+    x = x * scale
+    x[:, -1] = 1.0
+    of = np.array([family[lang] for lang in langs])
+    names = sorted(set(of))
+    assert len(names) > 1 and any(len({lang for lang in langs if family[lang] == name}) > 1 for name in names)
+    outer = {name: _exact_svm(x, np.where(of == name, 1.0, -1.0)) for name in names}
+    inner = {}
+    for a, b in combinations(sorted(set(langs)), 2):
+        if family[a] == family[b]:
+            use = np.array([lang in (a, b) for lang in langs])
+            inner[a, b] = _exact_svm(x[use], np.where(np.array(langs)[use] == a, 1.0, -1.0))
+    got = {r["doc_id"]: r for r in run(spark, "op9_language_id", SF001)}
+    assert len(got) == len(rows)
+    for r in rows:
+        pairs, found = _byte_pairs(r["text"] or ""), got[r["doc_id"]]
+        if not re.search(r"[^\W\d_]", r["text"] or ""):
+            assert (found["lang_pred"], found["score"]) == ("und", 1.0)
+            continue
+        z = shares(pairs) * scale
+        z[-1] = 1.0
+        by_family = {name: z @ w for name, w in outer.items()}
+        best = max(names, key=lambda name: by_family[name])
+        members = sorted({lang for lang in langs if family[lang] == best})
+        against = {lang: [z @ w if a == lang else -(z @ w) for (a, b), w in inner.items() if lang in (a, b)] for lang in members}
+        lang = max(members, key=lambda m: (sum(v >= 0 for v in against[m]), sum(against[m])))
+        margin = min([by_family[best], *against[lang]])
+        assert found["lang_pred"] == lang
+        assert found["score"] == pytest.approx(1 / (1 + np.exp(-4 * margin)), abs=0.01)
+
+
 def test_held_out_languages(spark):
     langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()}
     got = run(spark, "op9_language_id", SF01)
