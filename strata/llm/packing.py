@@ -11,7 +11,9 @@ divided again with one window more.
 
 Tokens come from a whole-text tokenizer, but are remembered by chunk: white
 space never lies inside a token, so a text's ids are those of its blank-
-separated chunks in a row, and most chunks repeat.
+separated chunks in a row, and most chunks repeat.  The chunks of many texts
+are found in their bytes at once, each distinct one is looked up or learned
+once, and the texts' ids are gathered from those.
 
 A null text is empty; a document without tokens is one piece of the end id.
 Rows that repeat are packed once each.  An empty table gives an empty result.
@@ -19,7 +21,9 @@ Rows that repeat are packed once each.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import codecs
 import heapq
+import json
 import math
 import os
 import re
@@ -29,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +42,25 @@ from strata.llm.common import for_workers, table, written
 WINDOW = 4096
 TAIL_CUT = 1024  # ids: a document's rest beyond whole windows is cut to pieces of this size
 GROUP_PIECES = 512  # pieces divided together, on average
+LEARNED_AT_ONCE = 1000  # chunks; more slow the tokenizer down
 CACHED_CHUNKS = 600_000  # chunks of a generation; a worker remembers two
-SLICE_BYTES = 1_000_000  # texts whose chunks are looked up together
+SLICE_BYTES = 4_000_000  # texts whose chunks are looked up together
 END_ID = 2
 
-_BETWEEN = "\x01"  # one token in every byte-level vocabulary; chunks that hold it are encoded alone
-# Kinds of bytes: blanks, "a" for letters and digits, "~" beyond ASCII, "!" all others.
-_KINDS = bytes(32 if c in b" \t\n\r\v\f" else 126 if c > 127 else 97 if chr(c).isalnum() else 33 for c in range(256))
+_BETWEEN = b"\x01"  # one token in every byte-level vocabulary; chunks that hold it are encoded alone
+_SPECIAL = b"<|"  # may begin a special token, whose case counts
+# Kinds of bytes: blanks, letters and digits, the rest of ASCII, beyond.
+_BLANK, _ALNUM, _SIGN, _BEYOND = range(4)
+_KINDS = np.array([_BLANK if c in b" \t\n\r\v\f" else _BEYOND if c > 127 else _ALNUM if chr(c).isalnum() else _SIGN
+                   for c in range(256)], np.uint8)
 _UP_TO_LATIN1 = bytes(c for c in range(256) if c < 0xC2 or c == 0xC3)
-_LAST_MARK = re.compile(rb"(?<=[a-z])([.,])(?=\s)")
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # up to U+00FF
+# Rules by which a chunk of _LETTERS is one word, in lower case, its bytes spelled as characters of _SPELLED.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_END = "</w>"
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELLED = "".join(chr(c if c in _PRINTED else 256 + sum(x not in _PRINTED for x in range(c))) for c in range(256))
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
@@ -63,6 +78,29 @@ def _only_latin1_letters(text: bytes) -> bool:
     return not text.translate(None, _UP_TO_LATIN1) and b"\xc3\x97" not in text and b"\xc3\xb7" not in text
 
 
+def _chunked(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The chunks of all texts in a row, and the place of each text's first (and of the end)."""
+    joined = b" ".join([b"", *texts, b""])
+    raw = np.frombuffer(joined, np.uint8)
+    kinds = _KINDS[raw]
+    inked, sign = kinds != _BLANK, kinds == _SIGN
+    first = inked.copy()
+    first[1:] &= ~inked[:-1]
+    # a letter or digit ends a token before signs, so signs between one and a blank are a chunk of
+    # their own, unless they may close a special token
+    edges = np.flatnonzero(sign[1:] != sign[:-1]) + 1  # blanks at both ends: a run of signs starts and ends
+    start, end = edges[::2], edges[1::2]
+    start = start[~inked[end]]
+    before, lead = raw[start - 1], raw[start - 2]
+    latin1 = (kinds[start - 1] == _BEYOND) & (lead == 0xC3) & (before != 0x97) & (before != 0xB7)
+    first[start[((kinds[start - 1] == _ALNUM) | latin1) & (raw[start] != _SPECIAL[1])]] = True
+    ink = raw[inked]
+    offsets = np.append(np.flatnonzero(first[inked]), len(ink))
+    begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(ink)])
+    return words, np.searchsorted(np.flatnonzero(first), begins)
+
+
 class ChunkTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -70,50 +108,78 @@ class ChunkTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        vocabulary = self.tokenizer.get_vocab()
+        # the same vocabulary without the rules that only find and spell words, if they are these
+        self.words = Tokenizer(self.tokenizer.model) if (
+            (rules["normalizer"] or {}).get("normalizers") == _NORMALIZERS and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+            and steps[0]["pattern"] == {"Regex": _WORDS} and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+            and rules["model"].get("end_of_word_suffix") == _WORD_END
+            and all(c in vocabulary and c + _WORD_END in vocabulary for c in _SPELLED)) else None
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.between = self._ids(_BETWEEN)[0]  # the id that stands between chunks
 
-        self.between = self._ids([_BETWEEN])[0]  # the id that stands between chunks
-
-    def _ids(self, texts: list[str]) -> list[int]:
-        return self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
 
     @staticmethod
-    def chunks(text: bytes) -> list[bytes]:
-        # the vocabulary is lower case; "<|" may begin a special token, whose case counts
-        if text.isascii() and b"<|" not in text:
-            text = text.lower()
-        # a letter or digit ends a token before a last stop or comma, so those may be chunks of
-        # their own; plain replacing is right where every mark follows one of these or a blank
-        kinds = text.translate(_KINDS)
-        if b"!!" in kinds or (b"~!" in kinds and not _only_latin1_letters(text)):
-            return _LAST_MARK.sub(rb" \1", text).split()
-        for mark in (b".", b","):
-            text = text.replace(mark + b" ", b" " + mark + b" ").replace(mark + b"\n", b" " + mark + b" ")
-        return text.split()
+    def lowered(text: bytes) -> bytes:
+        """A-Z in lower case, as in the vocabulary, where no mark may combine with them."""
+        return text.lower() if _SPECIAL not in text and (text.isascii() or _only_latin1_letters(text)) else text
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Ids of many chunks from one text, a known single token between each two."""
-        plain = [c for c in chunks if _BETWEEN.encode() not in c and b"<|" not in c]
-        text = f" {_BETWEEN} ".join(c.decode() for c in plain)
-        ids = np.array(self._ids([text, _BETWEEN]), "<u4")
+    def _keep(self, chunks: list[bytes], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
         raw, start = ids.tobytes(), 0
-        for chunk, end in zip(plain, (4 * np.flatnonzero(ids == self.between)).tolist()):
+        for chunk, end in zip(chunks, (4 * ends).tolist()):
             self.known[chunk] = raw[start:end]
-            start = end + 4
-        for c in set(chunks).difference(plain):
-            self.known[c] = np.array(self._ids([c.decode()]), "<u4").tobytes()
+            start = end + 4 * gap
+
+    def _learn_letters(self, chunks: list[bytes]) -> None:
+        """Ids from one list of words; a word's last token alone has the mark of an end."""
+        lower = b" ".join(chunks).decode().lower().encode()
+        words = codecs.charmap_decode(lower, "strict", _SPELLED)[0].split(_SPELLED[ord(" ")])
+        ids = np.array(self.words.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        self._keep(chunks, ids, np.flatnonzero(self.ends_word[ids]) + 1, 0)
+
+    def _learn_plain(self, chunks: list[bytes]) -> None:
+        """Ids from one text, a known single token between each two chunks."""
+        ids = self._ids((b" " + _BETWEEN + b" ").join([*chunks, _BETWEEN]))
+        self._keep(chunks, ids, np.flatnonzero(ids == self.between), 1)
+
+    def learn(self, chunks: list[bytes]) -> None:
+        letters, plain = [], []
+        for c in chunks:
+            if self.words is not None and _LETTERS.fullmatch(c):
+                letters.append(c)
+            elif _BETWEEN in c or _SPECIAL in c:
+                self.known[c] = self._ids(c).tobytes()
+            else:
+                plain.append(c)
+        for learn, some in ((self._learn_letters, letters), (self._learn_plain, plain)):
+            for i in range(0, len(some), LEARNED_AT_ONCE):
+                learn(some[i:i + LEARNED_AT_ONCE])
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [self.chunks(t) for t in texts]
+        words, begins = _chunked([self.lowered(t) for t in texts])
+        words = words.dictionary_encode()
+        chunks = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHED_CHUNKS:  # a new generation; what the last one had in use moves over
             self.older, self.known = self.known, {}
-        new = set().union(*split).difference(self.known)
-        again = new & self.older.keys()
-        self.known.update((c, self.older[c]) for c in again)
-        self.learn(list(new - again))
-        for chunks in split:
-            yield b"".join(map(self.known.__getitem__, chunks))
+        ids = list(map(self.known.get, chunks))
+        missing = [i for i, known in enumerate(ids) if known is None]
+        again = {c: self.older[c] for c in map(chunks.__getitem__, missing) if c in self.older}
+        self.known.update(again)
+        self.learn([c for c in map(chunks.__getitem__, missing) if c not in again])
+        for i in missing:
+            ids[i] = self.known[chunks[i]]
+        found = pa.array(ids, pa.large_binary()).take(words.indices)
+        at = np.frombuffer(found.buffers()[1], np.int64)[begins].tolist() if len(found) else [0] * len(begins)
+        raw = memoryview(found.buffers()[2] or b"")
+        for start, end in zip(at, at[1:]):
+            yield bytes(raw[start:end])
 
 
 @lru_cache(maxsize=1)

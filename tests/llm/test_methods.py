@@ -1,6 +1,7 @@
 """The parts of the training-data operators that run without Spark, against
 brute force."""
 
+import json
 import random
 import re
 
@@ -101,6 +102,57 @@ def test_chunked_ids_are_the_whole_texts_ids():
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+SIGNED = ["É", "È,", "Ñ&&&", "ÿ!!", "ß", "œ", "Œ.", "Σ.", "ж!", "'", "'s", "'LL.", "it's", "<", "<|", "|>", "|", "<|endoftext|>", "&&&",
+          "!!", "#1.", "12%%%", "word", "Word", "WORDÉ", "a\u0301.", "=\u0338", "\u0338", "\x01", "\x01.", "\x00", "\x7f.", "\x1c", "\x85",
+          "×", "÷!", "\xa0", "½.", "\u0600.", " ", " ", " ", "\n", "\t", "\v"]
+
+
+def rules_changed(tmp_path, change):
+    rules = json.loads(open(packing.default_tokenizer(), encoding="utf-8").read())
+    change(rules)
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(rules))
+    return str(path)
+
+
+def digits_together(rules):
+    pattern = rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]
+    pattern["Regex"] = pattern["Regex"].replace(r"[\p{N}]|", r"[\p{N}]+|")
+
+
+@pytest.mark.parametrize("change", [lambda rules: None, digits_together])
+def test_signs_and_letters_beyond_ascii_keep_the_whole_texts_ids(tmp_path, change):
+    from tokenizers import Tokenizer
+    path = rules_changed(tmp_path, change)
+    whole, chunked = Tokenizer.from_file(path), packing.ChunkTokenizer(path)
+    assert (chunked.words is None) == (change is digits_together)
+    rng = random.Random(8)
+    texts = ["", "&&& ", " &&&", ".", "É"] + ["".join(rng.choices(SIGNED, k=rng.randint(0, 14))) for _ in range(3000)]
+    for some in ([], [""], ["", " \n"], texts, texts[::-1]):
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in chunked.encode([t.encode() for t in some])]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_each_distinct_chunk_is_looked_up_once():
+    class Counted(dict):
+        looked_up = 0
+
+        def get(self, key, default=None):
+            self.looked_up += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            self.looked_up += 1
+            return super().__getitem__(key)
+
+    tokenizer = packing.ChunkTokenizer(packing.default_tokenizer())
+    tokenizer.known = Counted()
+    text = "Some words, été and Été; these words&&& come again!! " * 500
+    assert len(list(tokenizer.encode([text.encode()] * 4))) == 4
+    assert tokenizer.known.looked_up < 50  # of 26,000 chunks
+    assert b"words" in tokenizer.known and not {b"words,", b"words&&&", b"again!!"} & tokenizer.known.keys()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_divide_fits_and_loses_nothing(sizes):
